@@ -45,11 +45,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`written` returned and nobody reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty); other columns are not read."""
     return docs.select(
