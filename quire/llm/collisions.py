@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from quire.llm._common import table
 from quire.llm.vectors import blocks, top, unpack, usable
 
-PROJECTIONS = 96
+PROJECTIONS = 128
 #: Of the arrays, the share in which a candidate must collide.
-THRESHOLD = 0.6
+THRESHOLD = 0.75
 #: Candidates to verify: this share of a block, and 4 k at least.
-SHARE = 0.08
+SHARE = 0.06
 #: First window as a share of the block's standard deviation along a direction, and the factor of each level.
-FIRST, WIDER = 0.45, 1.22
+FIRST, WIDER = 0.9, 1.06
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
 
 
@@ -47,6 +47,10 @@ class CollisionIndex:
         self.sorted = np.take_along_axis(values, self.order, axis=1)
         self.first = FIRST * max(float(values.std()), 1e-12)
         self.widest = float(np.abs(values).max(initial=0)) if len(data) else 0.0
+        # the arrays end to end, each moved past the one before: one search finds all windows
+        self.apart = 3 * self.widest + 1
+        self.moved = (self.sorted + np.arange(projections)[:, None] * self.apart).reshape(-1)
+        self.flat = self.order.reshape(-1).astype(np.int64)
 
     def candidates(self, query: np.ndarray, wanted: int, threshold: float) -> np.ndarray:
         """Positions of vectors that collide often enough, at least ``wanted`` if there are so many."""
@@ -54,19 +58,19 @@ class CollisionIndex:
         if wanted >= n:
             return np.arange(n)
         at = np.append(query, 0.0) @ self.directions
-        counts = np.zeros(n, dtype=np.int16)
-        low = [int(np.searchsorted(s, a)) for s, a in zip(self.sorted, at)]
-        high = list(low)
+        # a window never needs to leave the span of its array's values
+        reach = self.widest * 1.001
+        base = np.arange(m) * self.apart
+        counts = np.zeros(n, dtype=np.int64)
+        low = high = np.searchsorted(self.moved, np.clip(at, -reach, reach) + base)
         width, need = self.first, max(1, int(np.ceil(threshold * m)))
         far = self.widest + float(np.abs(at).max())
         while True:
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - width, at[j] + width)).tolist()
-                b = max(b, high[j])
-                a = min(a, low[j])
-                counts[self.order[j, a : low[j]]] += 1
-                counts[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = a, b
+            a = np.minimum(low, np.searchsorted(self.moved, np.clip(at - width, -reach, reach) + base))
+            b = np.maximum(high, np.searchsorted(self.moved, np.clip(at + width, -reach, reach) + base, side="right"))
+            opened = [self.flat[x:y] for x, y in zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist())]
+            counts += np.bincount(np.concatenate(opened), minlength=n)
+            low, high = a, b
             found = np.flatnonzero(counts >= need)
             if len(found) >= wanted or width > far:
                 return found
