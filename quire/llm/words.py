@@ -6,6 +6,8 @@ word's hash is a polynomial over its bytes, taken from prefix sums, then mixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -80,9 +82,47 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def polynomial(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` bytes, one for every place where one starts."""
+    n = len(raw) - size + 1
+    out = np.empty(max(0, n), dtype=np.uint64)
+    for a in range(0, n, _PIECE):
+        part = raw[a : a + _PIECE + size - 1]
+        up, down = _powers.get(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        out[a : a + len(part) - size + 1] = mix((sums[size:] - sums[:-size]) * down[: len(part) - size + 1])
+    return out
+
+
 _SLOT = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 
 
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes, one row at least."""
+    _, offsets = text_bytes(column)
+    start = 0
+    while start < len(column):
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
+        stop = min(max(stop, start + 1), len(column))
+        yield start, stop
+        start = stop
+
+
+def shingles_in_order(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ``size``-word shingles as they follow: hash, row, and the word of the row they start at."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        value += hashes[k : k + n] * np.uint64(_SLOT[k % 8] ^ (k // 8))
+    whole = np.flatnonzero(rows[:n] == rows[size - 1 :])
+    first = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_rows))])
+    of = rows[whole]
+    return mix(value[whole] + np.uint64(size)), of, whole - first[of]
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``size``-word shingles of each row: their hashes, sorted in a row, and their rows.
 
@@ -90,15 +130,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tu
     words has none.
     """
     counts = np.bincount(rows, minlength=n_rows)
-    n = len(hashes) - size + 1
-    if n > 0:
-        value = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            value += hashes[k : k + n] * np.uint64(_SLOT[k % 8] ^ (k // 8))
-        whole = rows[:n] == rows[size - 1 :]
-        value, of = mix(value[whole] + np.uint64(size)), rows[:n][whole]
-    else:
-        value, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    value, of, _ = shingles_in_order(hashes, rows, n_rows, size)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         first = np.concatenate([[0], np.cumsum(counts)])
