@@ -169,7 +169,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_ids:
                     if held and size + len(ids) + 1 > block_ids:
                         yield flush()
                         size = 0
-                    held.append(np.array([*ids, end_id], dtype=np.uint32))
+                    held.append(np.append(ids, end_id).astype(np.uint32))
                     names.append(d)
                     size += len(ids) + 1
         if held:

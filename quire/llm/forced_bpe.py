@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for s in chunks(texts):
                 out = enc.encode(texts[s])
                 yield pa.RecordBatch.from_arrays(
-                    [ids[s.start : s.stop], pa.array(texts[s], pa.string()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text", "ids"]
+                    [ids[s.start : s.stop], pa.array(texts[s], pa.string()), pa.array([ids.tolist() for ids in out], pa.list_(pa.int32()))], ["doc_id", "text", "ids"]
                 )
 
     return texts_of(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
@@ -76,7 +77,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column(1).to_pylist()
             counts, ids_sha, text_sha = [], [], []
             for s in chunks(texts):
-                for ids in enc.encode(texts[s]):
+                for ids in map(np.ndarray.tolist, enc.encode(texts[s])):
                     counts.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded(enc.token_bytes, ids).encode()).hexdigest())

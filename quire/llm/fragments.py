@@ -16,8 +16,10 @@ from itertools import chain
 
 import numpy as np
 
+from quire.llm.batch_bpe import WIDEST, BatchBPE
+
 #: Fragments that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Longer fragments are encoded each time.
 CACHED_CHARS = 64
 
@@ -89,8 +91,17 @@ class ForcedBoundaries:
         return out
 
 
+#: A piece that a byte-level tokenizer never splits before merging, and marks behind it that it splits off.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class FragmentEncoder:
-    """``encode(texts)`` gives the ids of each text, as the library would."""
+    """``encode(texts)`` gives the ids of each text, as the library would.
+
+    New fragments that are one run of letters, perhaps with marks behind it, are
+    merged in bulk by :class:`quire.llm.batch_bpe.BatchBPE`; all others are encoded
+    by the library itself.
+    """
 
     def __init__(self, path: str, cuts: str):
         from tokenizers import Tokenizer
@@ -105,23 +116,51 @@ class FragmentEncoder:
             self.cut = ForcedBoundaries(plain, specials)
         else:
             self.cut = {"space": space_cuts, "words": word_cuts}[cuts]
-        self.known: dict[str, list[int]] = {}
+        self.lower = cuts == "words"
+        self.bulk = BatchBPE(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.cut(t) for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
         new = list(set(chain.from_iterable(parts)).difference(self.known))
-        found = {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for f, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (self.known if len(f) <= CACHED_CHARS else found)[f] = e.ids
-        if found:
-            get = lambda f: found[f] if f in found else self.known[f]
+        long: dict[str, bytes] = {}
+        if new:
+            self._learn(new, long)
+        if long:
+            get = lambda f: long[f] if f in long else self.known[f]
         else:
             get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)), self.kind) for p in parts]
+
+    def _learn(self, new: list[str], long: dict[str, bytes]) -> None:
+        others, names, pieces, ends = [], [], [], []
+        plain = _PLAIN.fullmatch
+        for f in new:
+            m = plain(f)
+            if m:
+                word, mark = m.groups()
+                raw = (word.lower() if self.lower else word).encode()
+                if len(raw) <= WIDEST and len(mark) < 4:
+                    names.append(f)
+                    pieces.append(raw)
+                    ends.append(mark)
+                    continue
+            others.append(f)
+        for mark in set(ends).difference(self.marks):
+            self.marks[mark] = self._ids(self.tokenizer.encode(mark, add_special_tokens=False))
+        for f, ids, mark in zip(names, self.bulk.encode(pieces), ends):
+            self.known[f] = ids.astype(self.kind).tobytes() + self.marks[mark]
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            for f, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                (self.known if len(f) <= CACHED_CHARS else long)[f] = self._ids(e)
+
+    def _ids(self, encoding) -> bytes:
+        return np.array(encoding.ids, dtype=self.kind).tobytes()
 
 
 def byte_vocabulary(path: str) -> tuple[list[bytes | None], list[str]]:
@@ -156,7 +195,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(texts: list[str], chars: int = 1_000_000) -> list[slice]:
+def chunks(texts: list[str], chars: int = 4_000_000) -> list[slice]:
     """Slices of about that many characters, one text at least."""
     out, start, size = [], 0, 0
     for k, t in enumerate(texts):

@@ -41,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, table, texts_of, written
+from quire.llm._common import table, texts_of, written
 from quire.llm.components import components
-from quire.llm.words import mix, shingles, text_bytes, words
+from quire.llm.words import mix, shingles, slices, text_bytes, words
 
 WORDS = 5
 #: Similarity in percent.
@@ -52,21 +52,10 @@ PERCENT = 75
 COMMON = 100_000
 #: ... found among one document in so many, and there in so many documents.
 SAMPLE_OF, SAMPLE_DOCS = 16, 8
+#: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
+PARTS = 2
 
 _PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Rows of an Arrow batch that are worked on at once hold about so many bytes.
-_SLICE = 1 << 20
-
-
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    _, offsets = text_bytes(column)
-    start = 0
-    while start < len(column):
-        stop = int(np.searchsorted(offsets, offsets[start] + _SLICE, side="right")) - 1
-        stop = min(max(stop, start + 1), len(column))
-        yield start, stop
-        start = stop
-
 
 def _sets(column: pa.Array, start: int, stop: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles and their rows of part of a text column."""
@@ -80,7 +69,7 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
+            for a, b in slices(batch.column(1)):
                 value, of = _sets(batch.column(1), a, b, size)
                 n = np.bincount(of, minlength=b - a)
                 keys = []
@@ -98,7 +87,7 @@ def shingle_arrays(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _slices(batch.column(1)):
+            for a, b in slices(batch.column(1)):
                 value, of = _sets(batch.column(1), a, b, size)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b - a))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
@@ -196,38 +185,42 @@ def signatures(value: np.ndarray, of: np.ndarray, n_sets: int, common: np.ndarra
             reach[ids[enough]] = False
 
 
-def signature_rows(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``sig long, doc_id long, hot boolean``; hot: of the levels that keep common shingles."""
+def signature_rows(docs: DataFrame, common: np.ndarray, size: int, percent: int, levels: tuple[int, ...], part: int = 0, parts: int = 1) -> DataFrame:
+    """``sig long, doc_id long`` of these levels; of ``parts`` equal parts of all signatures, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in _slices(batch.column(1)):
+            for a, b in slices(batch.column(1)):
                 value, of = _sets(batch.column(1), a, b, size)
                 for level, sig, who in signatures(value, of, b - a, common, percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc[a:b][who]), pa.array(np.full(len(sig), level > 2))], ["sig", "doc_id", "hot"])
+                    if level in levels:
+                        on = sig % np.uint64(parts) == part
+                        yield pa.RecordBatch.from_arrays([pa.array(sig[on].view(np.int64)), pa.array(doc[a:b][who[on]])], ["sig", "doc_id"])
 
-    return docs.mapInArrow(run, "sig long, doc_id long, hot boolean")
+    return docs.mapInArrow(run, "sig long, doc_id long")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
     """``sig, doc_id, leader``: signatures that several documents have, and the smallest of these.
 
-    Signatures without common shingles have small groups and are counted in one
-    shuffle by a window.  Those with common shingles are counted by a grouped
-    aggregate, combined before the shuffle, and joined back.
+    For signatures without common shingles, whose groups are small: one shuffle, a window.
     """
     by = Window.partitionBy("sig")
-    cold = rows.filter(~F.col("hot")).select("sig", "doc_id").withColumn("leader", F.min("doc_id").over(by)).withColumn("last", F.max("doc_id").over(by))
-    cold = cold.filter(F.col("leader") != F.col("last")).select("sig", "doc_id", "leader")
-    return cold
+    both = rows.withColumn("leader", F.min("doc_id").over(by)).withColumn("last", F.max("doc_id").over(by))
+    return both.filter(F.col("leader") != F.col("last")).select("sig", "doc_id", "leader")
 
 
 def shared_hot_signatures(rows: DataFrame) -> DataFrame:
-    """As :func:`shared_signatures`, for the levels that keep common shingles."""
+    """As :func:`shared_signatures`, for the levels that keep common shingles.
+
+    Their groups may be very large: a grouped aggregate, combined before the shuffle,
+    is joined back.
+    """
+    rows = written(rows, "hot")
     counted = rows.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter(F.col("leader") != F.col("last"))
     counted = written(counted.select("sig", "leader"), "hot-groups")
-    return rows.select("sig", "doc_id").join(counted, "sig").select("sig", "doc_id", "leader")
+    return rows.join(counted, "sig").select("sig", "doc_id", "leader")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,9 +254,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     edges = written(copied.distinct(), "copies")
     # a document with a text of its own set goes on; its other texts, if its id stands for several, too
     reps = docs.join(firsts.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = written(signature_rows(reps, common_shingles(docs, size, common), size, percent), "signatures")
-    groups = written(shared_signatures(rows).unionByName(shared_hot_signatures(rows.filter("hot"))), "groups")
-    discard(rows)
+    heavy = common_shingles(docs, size, common)
+    cold = [written(shared_signatures(signature_rows(reps, heavy, size, percent, (1, 2), part, PARTS)), "groups") for part in range(PARTS)]
+    hot = written(shared_hot_signatures(signature_rows(reps, heavy, size, percent, (3, 4))), "groups")
+    groups = hot
+    for df in cold:
+        groups = groups.unionByName(df)
     some = groups.select("doc_id").distinct()
     sets = written(shingle_arrays(docs.join(some, "doc_id", "left_semi"), size), "sets")
     # round 1: one leader for each document

@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             for s in chunks(texts):
                 rows = []
                 for d, k, ids in zip(doc[s], key[s], enc.encode(texts[s])):
-                    raw = np.array([*ids, end_id], dtype="<u4")
+                    raw = np.append(ids, end_id).astype("<u4")
                     n = len(raw)
                     for at in range(0, n, length):
                         part = raw[at : at + length]

@@ -34,7 +34,20 @@ def random_texts(n=1500, seed=1):
 def test_fragments_give_the_librarys_ids(path, cuts):
     texts = [t or "" for t in ODD_TEXTS] + random_texts()
     want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
-    assert FragmentEncoder(path, cuts).encode(texts) == want
+    texts += ["words, such; as, these!? stand: here.", "A" * 40, "straßen ÜBER naïve, façade!!!! x.", "Zurich,zurich ;a"]
+    want += [e.ids for e in library(path).encode_batch(texts[len(want) :], add_special_tokens=False)]
+    encoder = FragmentEncoder(path, cuts)
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_bulk_merges(sf):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
+    for path, cuts in ((BYTE, "forced"), (BYTE, "space"), (WORD, "words")):
+        want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in FragmentEncoder(path, cuts).encode(texts)] == want
 
 
 def test_forced_bpe(spark, sf):
