@@ -293,6 +293,17 @@ def _named(rows: DataFrame, names: DataFrame, of: str, name: str) -> DataFrame:
     return rows.join(known, rows[of] == known["_node"], "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
 
+def first_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+    """The rows of ``docs``, unchanged, without those that links lead to a smaller ``doc_id``.
+
+    Of each group the document with the smallest id stays, with all rows that have
+    this id; texts without words and rows with a null ``doc_id`` stay.
+    """
+    found = jaccard_components(docs, size, percent, common)
+    later = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later")
+    return docs.join(later, docs["doc_id"].cast("long") == later["doc_id"], "left_anti")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: all documents, five words, three quarters."""
     return jaccard_components(table(spark, sf_dir, "documents"))

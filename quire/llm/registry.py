@@ -11,6 +11,7 @@ from quire.llm.collisions import op1_collision_search
 from quire.llm.elias_fano import op10_elias_fano
 from quire.llm.forced_bpe import op4_forced_bpe
 from quire.llm.jaccard import op9_ngram_jaccard
+from quire.llm.katz import op5_katz_backoff
 from quire.llm.kd_search import op6_kd_search
 from quire.llm.packing import op8_packing
 from quire.llm.suffixes import op7_suffix_dedup
@@ -18,7 +19,7 @@ from quire.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_collision_search, op2_chained_passages, op3_toxicity, op6_kd_search, op9_ngram_jaccard, op4_forced_bpe, op7_suffix_dedup, op8_packing, op10_elias_fano]
+    found = [op1_collision_search, op2_chained_passages, op3_toxicity, op4_forced_bpe, op5_katz_backoff, op6_kd_search, op7_suffix_dedup, op8_packing, op9_ngram_jaccard, op10_elias_fano]
     return {f.__name__: f for f in found}
 
 
