@@ -1,7 +1,10 @@
 """Operator 3: toxicity by Levenshtein automata over a lexicon trie.
 
 The lexicon is learned: terms that stand far more often in documents labelled
-toxic than in others, with their log-odds as weights.  Every distinct word of a
+toxic than in others, with their log-odds as weights.  A document counts once for
+each pair of neighbours that a term has there first, so copies do not count again.  Terms are taken in
+turn, each time the one of most toxic documents that lack ``COVER`` terms so far, so
+the lexicon does not take in what else such documents are about.  Every distinct word of a
 text becomes a Levenshtein automaton (one bit per state, a mask per letter) that
 is run along the trie; where both accept, the word is a term or a misspelling of
 one.  Words that clean documents use are exceptions and only count as themselves.
@@ -18,6 +21,7 @@ shuffle.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +34,12 @@ from quire.llm._common import table, texts_of, written
 
 #: Labelled rows of each class that the model may be fitted on.
 SAMPLE_ROWS = 8000
-#: Terms of the lexicon and exceptions to it, at most.
-LEXICON, EXCEPTIONS = 3000, 50_000
-#: A term stands in so many toxic documents of the sample at least, with such log-odds.
+#: Terms of the lexicon, words looked at for it, and exceptions to it, at most.
+LEXICON, CANDIDATES, EXCEPTIONS = 3000, 20_000, 50_000
+#: A term stands in so many toxic documents of the sample at least, each time between other words, with such log-odds.
 LEAST_DOCS, LEAST_ODDS = 3, 2.0
+#: A toxic document with so many terms of the lexicon asks for no more.
+COVER = 3
 THRESHOLD = 0.3
 #: Words on either side of a hit that set its context.
 WINDOW = 6
@@ -61,6 +67,7 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.numbers = {t: n for n, t in enumerate(terms)}
         self.begins = {t[:k] for t in terms for k in range(len(t) + 1)}
         self.ends = {t[k:] for t in terms for k in range(len(t) + 1)}
         for n, term in enumerate(terms):
@@ -78,41 +85,49 @@ class Trie:
         """The nearest term as (edits, number), the smaller number first; None if none is near.
 
         The word's automaton has a state for each number of letters read and of edits
-        made; states of equal edits are the bits of one integer.
+        made; states of equal edits are the bits of one integer.  With all edits made,
+        the rest of the word must end a term, or the state is dropped.
         """
+        if edits == 0:
+            n = self.numbers.get(word)
+            return None if n is None else (0, n)
         if edits < 2 and not self.may(word):
             return None
         end = 1 << len(word)
         masks: dict[str, int] = {}
+        open_ends = end
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | (1 << i)
+            if word[i:] in self.ends:
+                open_ends |= 1 << i
         full = (end << 1) - 1
-        start = tuple((1 << (e + 1)) - 1 & full for e in range(edits + 1))
+
+        def read(states: tuple[int, ...], mask: int) -> tuple[int, ...]:
+            last = states[0]
+            now = (last & mask) << 1
+            after = [now]
+            for here in states[1:]:
+                now = (((here & mask) | last | now) << 1 | last) & full
+                last = here
+                after.append(now)
+            after[-1] &= open_ends
+            return tuple(after)
+
         best: tuple[int, int] | None = None
-        stack = [(self.root, start)]
+        stack = [(self.root, tuple((1 << (e + 1)) - 1 & full for e in range(edits + 1)))]
         while stack:
             node, states = stack.pop()
-            for c, below in node.items():
-                if c == "":
-                    for e, s in enumerate(states):
-                        if s & end:
-                            if best is None or (e, below) < best:
-                                best = (e, below)
-                            break
-                    continue
-                mask = masks.get(c, 0)
-                last = states[0]
-                now = (last & mask) << 1
-                after = [now]
-                some = now
-                for e in range(1, edits + 1):
-                    here = states[e]
-                    now = (((here & mask) | last | now) << 1 | last) & full
-                    last = here
-                    after.append(now)
-                    some |= now
-                if some:
-                    stack.append((below, after))
+            if "" in node:
+                e = next((e for e, s in enumerate(states) if s & end), None)
+                if e is not None and (best is None or (e, node[""]) < best):
+                    best = (e, node[""])
+            other = read(states, 0)
+            # where a letter that the word lacks leaves no state, only its own letters matter
+            for c in node if any(other) else masks:
+                if c and c in node:
+                    after = read(states, masks[c]) if c in masks else other
+                    if any(after):
+                        stack.append((node[c], after))
         return best
 
 
@@ -134,7 +149,7 @@ class Scorer:
 
     def hits(self, words: list[str]) -> dict[str, tuple[int, int]]:
         """The words that are terms or near one, with the edits and the term."""
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         for w in set(words).difference(self.known):
             edits = 0 if w in self.model.exceptions else tolerance(len(w))
@@ -193,6 +208,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return beta.tolist()
 
 
+def covering(docs: list[np.ndarray], clean_share: list[float]) -> list[int]:
+    """Terms in the order they are taken.
+
+    ``docs``: the terms of each toxic document; ``clean_share``: log of the share of
+    clean documents that have a term.
+    """
+    counts = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(clean_share))
+    holders: list[list[int]] = [[] for _ in clean_share]
+    for d, terms in enumerate(docs):
+        for t in terms.tolist():
+            holders[t].append(d)
+    open_to = [COVER] * len(docs)
+    out: list[int] = []
+    while len(out) < LEXICON and len(counts):
+        t = int(counts.argmax())
+        if counts[t] < LEAST_DOCS:
+            break
+        if np.log((counts[t] + 0.5) / (len(docs) + 1)) - clean_share[t] >= LEAST_ODDS:
+            out.append(t)
+            for d in holders[t]:
+                open_to[d] -= 1
+                if open_to[d] == 0:
+                    counts[docs[d]] -= 1
+        counts[t] = -len(docs)
+    return out
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a row is kept from training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -214,21 +256,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = texts_of(docs).join(F.broadcast(some), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)))
     sample = written(sample, "labelled")
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(set(WORD.findall(text.lower())))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["term", "toxic"])
+                found = WORD.findall(text.lower())
+                first = {w: k for k, w in reversed(list(enumerate(found)))}
+                beside = [zlib.crc32(" ".join(found[max(0, k - 1) : k + 2]).encode()) for k in first.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([toxic] * len(first), pa.int32()), pa.array(beside, pa.int64())], ["term", "toxic", "beside"])
 
     learn = sample.filter("fold <> 0")
     totals = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model()
-    counts = learn.select("text", "toxic").mapInArrow(distinct_words, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
+    counts = learn.select("text", "toxic").mapInArrow(first_places, "term string, toxic int, beside long").distinct().groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
     counts = written(counts.withColumn("odds", odds), "terms")
-    chosen = counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.col("bad").desc(), F.col("odds").desc(), "term").limit(LEXICON).collect()
+    strong = counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
+    found = strong.orderBy(F.col("bad").desc(), F.col("odds").desc(), "term").limit(CANDIDATES).collect()
+    number = {r["term"]: n for n, r in enumerate(found)}
+
+    def numbers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = [sorted({number[w] for w in WORD.findall(t.lower()) if w in number}) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32()))], ["terms"])
+
+    # of the sample's toxic documents only
+    has = [np.array(r["terms"], dtype=np.int64) for r in learn.filter("toxic = 1").select("text").mapInArrow(numbers_of, "terms array<int>").collect()]
+    clean_share = [float(np.log((r["all"] - r["bad"] + 0.5) / (good + 1))) for r in found]
+    chosen = [found[n] for n in covering(has, clean_share)]
     model = Model([r["term"] for r in chosen], [min(6.0, r["odds"]) for r in chosen])
 
     def misleading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,13 @@ def test_odd_rows_and_no_labels(spark):
     assert len(got) == table.count() and all(0 <= r.score < 0.3 and r.predicted == 0 for r in got)
     assert toxicity.score(empty_docs(spark), model()).count() == 0
     assert toxicity.clean_documents(table, model()).count() == table.count()
+
+
+def test_covering_leaves_out_what_only_stands_with_stronger_terms():
+    # 0 to 2 are in all documents, 3 in some of these, 4 in documents of its own
+    import numpy as np
+
+    docs_of = [np.array([0, 1, 2, 3])] * 20 + [np.array([0, 1, 2])] * 20 + [np.array([4])] * 5
+    assert toxicity.covering(docs_of, [-8.0] * 5) == [0, 1, 2, 4]
+    assert toxicity.covering(docs_of, [-8.0, 0.0, -8.0, -8.0, -8.0]) == [0, 2, 3, 4]
+    assert toxicity.covering([], []) == []
