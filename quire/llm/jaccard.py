@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import table, texts_of, written
+from quire.llm._common import discard, table, texts_of, written
 from quire.llm.components import components
 from quire.llm.words import mix, shingles, slices, text_bytes, words
 
@@ -53,7 +53,7 @@ COMMON = 100_000
 #: ... found among one document in so many, and there in so many documents.
 SAMPLE_OF, SAMPLE_DOCS = 16, 8
 #: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
-PARTS = 2
+PARTS = 4
 
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -220,7 +220,9 @@ def shared_hot_signatures(rows: DataFrame) -> DataFrame:
     rows = written(rows, "hot")
     counted = rows.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter(F.col("leader") != F.col("last"))
     counted = written(counted.select("sig", "leader"), "hot-groups")
-    return rows.join(counted, "sig").select("sig", "doc_id", "leader")
+    out = written(rows.join(counted, "sig").select("sig", "doc_id", "leader"), "groups")
+    discard(rows)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,15 +255,16 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     copied = live.join(firsts.filter(F.col("copies") > 1), ["key1", "key2"]).select("a", F.col("doc_id").alias("b")).filter(F.col("a") != F.col("b"))
     edges = written(copied.distinct(), "copies")
     # a document with a text of its own set goes on; its other texts, if its id stands for several, too
-    reps = docs.join(firsts.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = written(docs.join(firsts.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "firsts-texts")
     heavy = common_shingles(docs, size, common)
     cold = [written(shared_signatures(signature_rows(reps, heavy, size, percent, (1, 2), part, PARTS)), "groups") for part in range(PARTS)]
-    hot = written(shared_hot_signatures(signature_rows(reps, heavy, size, percent, (3, 4))), "groups")
+    hot = shared_hot_signatures(signature_rows(reps, heavy, size, percent, (3, 4)))
     groups = hot
     for df in cold:
         groups = groups.unionByName(df)
     some = groups.select("doc_id").distinct()
-    sets = written(shingle_arrays(docs.join(some, "doc_id", "left_semi"), size), "sets")
+    sets = written(shingle_arrays(reps.join(some, "doc_id", "left_semi"), size), "sets")
+    discard(reps)
     # round 1: one leader for each document
     done = written(groups.filter(F.col("doc_id") != F.col("leader")).groupBy("doc_id").agg(F.min("leader").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
     found = written(verified(done, sets, percent).unionByName(edges), "links")
