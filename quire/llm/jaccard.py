@@ -35,6 +35,7 @@ intersection of the shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,10 @@ PERCENT = 75
 COMMON = 100_000
 #: ... found among one document in so many, and there in so many documents.
 SAMPLE_OF, SAMPLE_DOCS = 16, 8
-#: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
-PARTS = 4
+#: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle; ...
+PARTS = 2
+#: ... so are the first and the second sets of the pairs that are compared.
+FIRST_PARTS, SECOND_PARTS = 3, 2
 
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 
@@ -225,10 +228,10 @@ def shared_hot_signatures(rows: DataFrame) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link; ``sets``: ``doc_id, shingles``."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+def verified(pairs: DataFrame, first: DataFrame, second: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that link; the sets of ``a`` and of ``b``: ``doc_id, shingles``."""
+    left = first.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = second.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     na, nb = F.size("sa"), F.size("sb")
     near = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
     joined = pairs.join(left, "a").join(right, "b").filter(near)
@@ -236,6 +239,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
 
+def verified_in_parts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As :func:`verified`, for written pairs and sets: one part of the sets after the other."""
+
+    def part(column: str, of: int, k: int) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(of)) == k
+
+    out = []
+    for i in range(FIRST_PARTS):
+        for j in range(SECOND_PARTS):
+            some = pairs.filter(part("a", FIRST_PARTS, i) & part("b", SECOND_PARTS, j))
+            first, second = sets.filter(part("doc_id", FIRST_PARTS, i)), sets.filter(part("doc_id", SECOND_PARTS, j))
+            out.append(written(verified(some, first, second, percent), "links"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per document.
 
@@ -267,14 +285,14 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     discard(reps)
     # round 1: one leader for each document
     done = written(groups.filter(F.col("doc_id") != F.col("leader")).groupBy("doc_id").agg(F.min("leader").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
-    found = written(verified(done, sets, percent).unionByName(edges), "links")
+    found = verified_in_parts(done, sets, percent).unionByName(edges)
     # round 2: the leaders of all groups, where not yet connected
     names = components(found)
     mine = written(_named(groups, names, "doc_id", "own"), "named")
     next_pairs = mine.filter(F.col("own") != F.col("leader")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "own").distinct()
     apart = _named(next_pairs, names, "a", "other").filter(F.col("own") != F.col("other")).select("a", "b")
     pairs = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
-    found = written(verified(pairs, sets, percent).unionByName(found), "links")
+    found = verified_in_parts(pairs, sets, percent).unionByName(found)
     # round 3: pairs of a group in different components
     names = components(found)
     mine = _named(groups.select("sig", "doc_id", "leader"), names, "doc_id", "own")
@@ -284,7 +302,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     x, y = members.alias("x"), members.alias("y")
     may = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    last = written(verified(rest, sets, percent), "links")
+    last = verified_in_parts(written(rest, "pairs"), sets, percent)
     if not last.isEmpty():
         names = components(last.unionByName(found))
     return _named(sizes.select("doc_id", "n_shingles"), names, "doc_id", "component_id")
