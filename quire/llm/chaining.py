@@ -6,6 +6,13 @@ occurrence of a shared seed is joined with the seed's first document only (the
 smallest id), never with all others: a passage in very many documents costs one
 anchor for each occurrence.
 
+Where the seeds of a stretch have different first documents, none of these need hold
+the stretch as a whole.  So spans of successive shared seeds (with their distances)
+are keys too, of each length in ``SPANS``, and are joined with the span's own first
+document.  A span of ``PASSAGE_WORDS`` words makes a passage with whatever document it is
+joined with, so a long equal passage is covered however many earlier documents hold
+pieces of it.
+
 The anchors of a document with one source are joined to runs on a diagonal and
 chained: in order of their start, each run takes the best chain that ends before
 it in both texts, less a cost for the gaps, from a Fenwick tree of maxima over
@@ -24,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import discard, table, texts_of, written
-from quire.llm.words import mix, shingles_in_order, slices, text_bytes, words
+from quire.llm.words import _powers, mix, shingles_in_order, slices, text_bytes, words
 
 K, WINDOW = 5, 6
 #: A chain has so many matching words before it is aligned; a passage so many words and such a share of equal ones.
 CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 8, 40, 0.8
 #: Cost of each word of a gap, and words beyond a chain that the extension may look at.
 GAP_COST, REACH = 0.3, 400
+#: Words of the spans of seeds, at least; at most twice as many.
+SPANS = (10, 20, PASSAGE_WORDS)
 _GAP_CELLS = 40_000
 
 PASSAGES = "doc_id long, start int, length int, source_id long, source_start int, source_length int, matches int, text_hash long"
@@ -71,19 +80,80 @@ def minima(value: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """``doc_id, source_id, pos, source_pos``: each occurrence of a seed with its first document."""
+    """``doc_id, source_id, pos, source_pos, n``: each occurrence of a seed with its first document, and of a span with its own.
+
+    ``n``: words of the seed or span.
+    """
     found = seeds(docs, k, window)
     first = found.groupBy("seed").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).filter(F.col("source_id") != F.col("last")).select("seed", "source_id")
     first = written(first, "first")
     shared = written(found.join(first, "seed"), "shared")
     source = written(shared.filter(F.col("doc_id") == F.col("source_id")).groupBy("seed").agg(F.min("pos").alias("source_pos")), "source")
-    anchors = shared.filter(F.col("doc_id") != F.col("source_id")).join(source, "seed").select("doc_id", "source_id", "pos", "source_pos")
-    anchors = written(anchors, "anchors")
+    # one row for each document, as its text is
+    of_doc = shared.join(source, "seed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "seed", "source_id", "source_pos"))).alias("s"))
+    of_doc = written(of_doc.select("doc_id", "s.pos", "s.seed", "s.source_id", "s.source_pos"), "of-doc")
     for df in (first, shared, source):
         discard(df)
+    asking = written(spans(of_doc, True, k), "asking")
+    held = spans(of_doc, False, k).groupBy("key").agg(F.min("doc_id").alias("source_id"), F.min_by("pos", "doc_id").alias("source_pos"), F.max("doc_id").alias("last"))
+    held = held.filter(F.col("source_id") != F.col("last")).drop("last")
+    wide = asking.join(held, "key").filter(F.col("source_id") < F.col("doc_id")).select("doc_id", "source_id", "pos", "source_pos", "n")
+    wide = written(wide, "wide-anchors")
+    discard(asking)
+    single = of_doc.select("doc_id", F.inline(F.arrays_zip("source_id", "pos", "source_pos"))).filter(F.col("doc_id") != F.col("source_id")).withColumn("n", F.lit(k))
+    anchors = written(single.unionByName(wide), "anchors")
+    discard(of_doc)
+    discard(wide)
     return anchors
 
 
+def spans(of_doc: DataFrame, asking: bool, k: int = K) -> DataFrame:
+    """``key long, doc_id long, pos int, n int``: from each seed the shortest span of each of the lengths in ``SPANS``.
+
+    ``asking``: only spans that may have an earlier holder and that their seeds do not
+    join with one document on one diagonal already; else the first place of every key
+    of a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in range(1, 5)]
+            count = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+            pos, seed, source, at = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+            if not len(pos):
+                continue
+            row = np.repeat(np.arange(len(count)), count)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            end = np.cumsum(count)[row]
+            up, down = _powers.get(int(pos.max()) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(seed.view(np.uint64)) * up[pos])])
+            place = (row << 32) + pos
+            late = np.concatenate([[0], np.cumsum(source >= doc)])
+            moved = np.zeros(len(pos), dtype=np.int64)
+            moved[1:] = (source[1:] != source[:-1]) | ((pos - at)[1:] != (pos - at)[:-1])
+            moved = np.cumsum(moved)
+            for words_of in SPANS:
+                last = np.searchsorted(place, place + words_of - k)
+                on = np.flatnonzero(last < end)
+                to = last[on]
+                n = pos[to] + k - pos[on]
+                keep = n <= 2 * words_of
+                if asking:
+                    keep &= (late[to + 1] == late[on]) & (moved[to] != moved[on])
+                on, to, n = on[keep], to[keep], n[keep]
+                key = mix((sums[to + 1] - sums[on]) * down[pos[on]] + np.uint64(words_of))
+                if not asking:
+                    # rows and places ascend, and the sort is stable
+                    order = np.lexsort((key, row[on]))
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = (key[order][1:] != key[order][:-1]) | (row[on][order][1:] != row[on][order][:-1])
+                    some = order[new]
+                    on, n, key = on[some], n[some], key[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[on], pa.int64()), pa.array(pos[on].astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc_id", "pos", "n"])
+
+    return of_doc.mapInArrow(run, "key long, doc_id long, pos int, n int")
+
+
 class Fenwick:
     """Prefix maxima of (value, item)."""
 
@@ -107,16 +177,20 @@ class Fenwick:
         return out
 
 
-def runs(pos: np.ndarray, source: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Rows ``(start, source start, length)``: anchors of a diagonal that follow each other closely."""
+def runs(pos: np.ndarray, source: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Rows ``(start, source start, length)``: anchors of ``n`` words of a diagonal that follow each other closely."""
     diagonal = pos - source
     order = np.lexsort((pos, diagonal))
     p, d = pos[order], diagonal[order]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] > k + window)
+    other = np.ones(len(p), dtype=bool)
+    other[1:] = d[1:] != d[:-1]
+    apart = np.cumsum(other) << 40
+    end = np.maximum.accumulate(p + n[order] + apart) - apart
+    new = other.copy()
+    new[1:] |= p[1:] - end[:-1] > window
     at = np.flatnonzero(new)
-    end = np.append(at[1:], len(p)) - 1
-    out = np.stack([p[at], p[at] - d[at], p[end] + k - p[at]], axis=1)
+    last = np.append(at[1:], len(p)) - 1
+    out = np.stack([p[at], p[at] - d[at], end[last] - p[at]], axis=1)
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
@@ -158,17 +232,17 @@ def chains(blocks: np.ndarray, least: int, cost: float = GAP_COST) -> list[list[
     return out
 
 
-def chained(anchors: DataFrame, k: int = K, window: int = WINDOW, least: int = CHAIN_WORDS) -> DataFrame:
+def chained(anchors: DataFrame, window: int = WINDOW, least: int = CHAIN_WORDS) -> DataFrame:
     """``doc_id, source_id, xs, ys, ns``: the runs of each chain.
 
-    Groups are the anchors of one document with one source: as many as the document
-    has words at most, however many documents share a passage.
+    Groups are the anchors of one document with one source: a few times as many as the
+    document has words at most, however many documents share a passage.
     """
     schema = "doc_id long, source_id long, xs array<int>, ys array<int>, ns array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(doc: int, source: int, pos: np.ndarray, at: np.ndarray) -> list:
-            blocks = runs(pos, at, k, window)
+        def rows(doc: int, source: int, pos: np.ndarray, at: np.ndarray, n: np.ndarray) -> list:
+            blocks = runs(pos, at, n, window)
             return [(doc, source, *blocks[c].T.tolist()) for c in chains(blocks, least)]
 
         def batch_of(out: list) -> pa.RecordBatch:
@@ -180,17 +254,17 @@ def chained(anchors: DataFrame, k: int = K, window: int = WINDOW, least: int = C
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, source, pos, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+            doc, source, pos, at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
             if held:
-                doc, source, pos, at = (np.concatenate(c) for c in zip(held, (doc, source, pos, at)))
+                doc, source, pos, at, n = (np.concatenate(c) for c in zip(held, (doc, source, pos, at, n)))
             cut = np.flatnonzero((doc[1:] != doc[:-1]) | (source[1:] != source[:-1])) + 1
             edges = [0, *cut.tolist()]
-            out = [x for a, b in zip(edges, edges[1:]) for x in rows(int(doc[a]), int(source[a]), pos[a:b], at[a:b])]
-            held = [c[edges[-1] :] for c in (doc, source, pos, at)]
+            out = [x for a, b in zip(edges, edges[1:]) for x in rows(int(doc[a]), int(source[a]), pos[a:b], at[a:b], n[a:b])]
+            held = [c[edges[-1] :] for c in (doc, source, pos, at, n)]
             if out:
                 yield batch_of(out)
         if held:
-            out = rows(int(held[0][0]), int(held[1][0]), held[2], held[3])
+            out = rows(int(held[0][0]), int(held[1][0]), *held[2:])
             if out:
                 yield batch_of(out)
 

@@ -101,3 +101,24 @@ def test_odd_rows(spark):
     chaining.passages(table).collect()
     kept = chaining.remove_passages(table)
     assert kept.filter("text is null").count() == table.filter("text is null").count()
+
+
+def whole_again(spark, pieces, length):
+    """Share of a passage of ``length`` words found in the last document; earlier ones hold its pieces, one the whole."""
+    r = random.Random(9)
+    word = lambda: "w" + str(r.randrange(10**7))
+    passage = [word() for _ in range(length)]
+    own = lambda: [word() for _ in range(30)]
+    texts = [[*own(), *passage[a:b], *own()] for a, b in pieces]
+    texts += [[*own(), *passage, *own()] for _ in range(2)]
+    table = docs(spark, [" ".join(t) for t in texts])
+    got = chaining.passages(table).filter(f"doc_id = {len(texts) - 1}").collect()
+    return len({k for p in got for k in range(p.start, p.start + p.length)} & set(range(30, 30 + length))) / length
+
+
+def test_passage_pieced_together_from_earlier_documents(spark):
+    assert whole_again(spark, [(0, 30), (30, 60)], 60) == 1
+
+
+def test_passage_of_overlapping_pieces(spark):
+    assert whole_again(spark, [(a, a + 35) for a in range(0, 1165, 15)], 1200) >= 0.98
