@@ -1,10 +1,8 @@
 """Operator 3: toxicity by Levenshtein automata over a lexicon trie.
 
 The lexicon is learned: terms that stand far more often in documents labelled
-toxic than in others, with their log-odds as weights.  A document counts once for
-each pair of neighbours that a term has there first, so copies do not count again.  Terms are taken in
-turn, each time the one of most toxic documents that lack ``COVER`` terms so far, so
-the lexicon does not take in what else such documents are about.  Every distinct word of a
+toxic than in others, with their log-odds as weights.  Documents are counted, exact
+copies as one; every term that meets the odds is taken.  Every distinct word of a
 text becomes a Levenshtein automaton (one bit per state, a mask per letter) that
 is run along the trie; where both accept, the word is a term or a misspelling of
 one.  Words that clean documents use are exceptions and only count as themselves.
@@ -21,7 +19,6 @@ shuffle.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +31,9 @@ from quire.llm._common import table, texts_of, written
 
 #: Labelled rows of each class that the model may be fitted on.
 SAMPLE_ROWS = 8000
-#: Terms of the lexicon, words looked at for it, and exceptions to it, at most.
-LEXICON, CANDIDATES, EXCEPTIONS = 3000, 20_000, 50_000
-#: A term stands in so many toxic documents of the sample at least, each time between other words, with such log-odds.
+#: Terms that :func:`covering` takes, and exceptions to the lexicon, at most.
+LEXICON, EXCEPTIONS = 3000, 50_000
+#: A term stands in so many toxic documents of the sample at least, with such log-odds.
 LEAST_DOCS, LEAST_ODDS = 3, 2.0
 #: A toxic document with so many terms of the lexicon asks for no more.
 COVER = 3
@@ -209,7 +206,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def covering(docs: list[np.ndarray], clean_share: list[float]) -> list[int]:
-    """Terms in the order they are taken.
+    """Terms in the order they are taken, for a short lexicon; :func:`fit` takes all.
 
     ``docs``: the terms of each toxic document; ``clean_share``: log of the share of
     clean documents that have a term.
@@ -256,35 +253,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = texts_of(docs).join(F.broadcast(some), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)))
     sample = written(sample, "labelled")
 
-    def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = WORD.findall(text.lower())
-                first = {w: k for k, w in reversed(list(enumerate(found)))}
-                beside = [zlib.crc32(" ".join(found[max(0, k - 1) : k + 2]).encode()) for k in first.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([toxic] * len(first), pa.int32()), pa.array(beside, pa.int64())], ["term", "toxic", "beside"])
+                found = list(set(WORD.findall(text.lower())))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["term", "toxic"])
 
-    learn = sample.filter("fold <> 0")
+    learn = written(sample.filter("fold <> 0").select("text", "toxic").distinct(), "learned")
     totals = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model()
-    counts = learn.select("text", "toxic").mapInArrow(first_places, "term string, toxic int, beside long").distinct().groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
+    counts = learn.mapInArrow(distinct_words, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
     counts = written(counts.withColumn("odds", odds), "terms")
     strong = counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    found = strong.orderBy(F.col("bad").desc(), F.col("odds").desc(), "term").limit(CANDIDATES).collect()
-    number = {r["term"]: n for n, r in enumerate(found)}
-
-    def numbers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = [sorted({number[w] for w in WORD.findall(t.lower()) if w in number}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32()))], ["terms"])
-
-    # of the sample's toxic documents only
-    has = [np.array(r["terms"], dtype=np.int64) for r in learn.filter("toxic = 1").select("text").mapInArrow(numbers_of, "terms array<int>").collect()]
-    clean_share = [float(np.log((r["all"] - r["bad"] + 0.5) / (good + 1))) for r in found]
-    chosen = [found[n] for n in covering(has, clean_share)]
+    # words of the bounded sample
+    chosen = strong.orderBy(F.col("bad").desc(), F.col("odds").desc(), "term").collect()
     model = Model([r["term"] for r in chosen], [min(6.0, r["odds"]) for r in chosen])
 
     def misleading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

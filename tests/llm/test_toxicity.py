@@ -84,3 +84,24 @@ def test_covering_leaves_out_what_only_stands_with_stronger_terms():
     assert toxicity.covering(docs_of, [-8.0] * 5) == [0, 1, 2, 4]
     assert toxicity.covering(docs_of, [-8.0, 0.0, -8.0, -8.0, -8.0]) == [0, 2, 3, 4]
     assert toxicity.covering([], []) == []
+
+
+def test_every_term_that_meets_the_odds_is_taken(spark):
+    r = random.Random(8)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    calm = lambda n: [f"calm{r.randrange(300)}".translate(letters) for _ in range(n)]
+    texts = []
+    for k in range(600):
+        words = calm(30)
+        if k % 3 == 0:
+            # a fixed phrase, three terms of all of them, and one that only stands beside these
+            words[5:5] = ["utter", "scoundrel", "indeed", *["wretch", "swine", "vermin"], *(["lout"] if k % 2 else [])]
+        elif k % 3 == 1:
+            words[5:5] = ["utter", "indeed"]
+        texts.append(" ".join(words))
+    copies = [" ".join([*calm(30), "bystander"])] * 40
+    d = docs(spark, [*texts, *copies])
+    labels = spark.createDataFrame([(k, int(k >= 600 or k % 3 == 0)) for k in range(640)], "doc_id long, toxic int")
+    m = toxicity.fit(d, labels)
+    assert {"scoundrel", "wretch", "swine", "vermin", "lout"} <= set(m.terms)
+    assert "bystander" not in m.terms
