@@ -242,11 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     ``labels``: ``doc_id, toxic``; null labels and ids do not count, of several labels
     of one id the largest does.  Of each class the ``rows`` ids with the smallest
-    hashes are used: three quarters for the lexicon, the others for the regression.
+    hashes are used: three quarters for the lexicon, the others for the regression,
+    whose intercept is set right for the classes' share of all labels.
     Without labels of both classes every text gets the same low score.
     """
     of = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     of = of.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    all_of = {r["toxic"]: r["count"] for r in of.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = of.filter("toxic = 1").orderBy(*order).limit(rows).unionByName(of.filter("toxic = 0").orderBy(*order).limit(rows))
     # at most 2 * rows pairs of two numbers
@@ -291,6 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     y = np.array([float(r["toxic"]) for r in fitted])
     if len(y) and 0 < y.sum() < len(y):
         model.beta = logistic(np.array([r["x"] for r in fitted]), y)
+        # the larger class is thinned more
+        thinned = {c: all_of[c] / min(all_of[c], rows) for c in (0, 1)}
+        model.beta[0] += float(np.log(thinned[1] / thinned[0]))
     return model
 
 

@@ -105,3 +105,23 @@ def test_every_term_that_meets_the_odds_is_taken(spark):
     m = toxicity.fit(d, labels)
     assert {"scoundrel", "wretch", "swine", "vermin", "lout"} <= set(m.terms)
     assert "bystander" not in m.terms
+
+
+def test_scores_do_not_rise_when_the_clean_class_is_thinned(spark):
+    r = random.Random(3)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts, toxic = [], []
+    for k in range(4000):
+        bad = k % 20 == 0
+        words = [f"calm{r.randrange(200)}".translate(letters) for _ in range(20)]
+        # the one term also stands in some clean documents, and not in all toxic ones
+        if r.random() < (0.7 if bad else 0.05):
+            words[5] = "wretch"
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    d = docs(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    whole, thinned = (toxicity.Scorer(toxicity.fit(d, labels, rows)) for rows in (8000, 130))
+    for text in (texts[1].replace("wretch", "calma"), "calma wretch " + " ".join(["calma"] * 18)):
+        z = [sum(b * x for b, x in zip(s.model.beta, s.features(text))) for s in (whole, thinned)]
+        assert abs(z[0] - z[1]) < 1.5, z
