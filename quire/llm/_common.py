@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a single machine) a
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs in one process a
     temporary folder is used and set as the checkpoint folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="quire-")
     spark.sparkContext.setCheckpointDir(made)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -35,19 +38,28 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quire/{uuid.uuid4().hex}/{name}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs the tasks it held, not the
-    steps before.  Shuffle files of the steps before may then go.
+    steps before.  The shuffle files of the steps before go as soon as it is written.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -58,6 +70,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is :func:`written` inside at its end, but for tables given to the function it yields.
+
+    Kept tables pass to the scope around it, if there is one.
+    """
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for df in _scopes.pop():
+            if not any(df is k for k in kept):
+                discard(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty); other columns are not read."""
     return docs.select(

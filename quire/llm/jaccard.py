@@ -7,29 +7,26 @@ reaches a threshold.  Sets of sizes ``a <= b`` that link differ in at most
 Signatures.  Sizes fall into bands of equal size (each twice as wide as the one
 before); a pair is found in the band of its larger set, so a set also takes part
 in the next band if its partners may lie there.  For each band the shingle domain
-is divided into first-level partitions and each of these into three.  Differences
-of at most ``k`` leave, among any ``k // 2 + 1`` partitions, one with at most one
-difference, hence two of its three parts equal: every two of the three parts give
-a signature.  A set emits partitions in a fixed order until it has ``k // 2 + 1``
-in which all three signatures are of something.
-
-Levels.  A set that has too few such partitions goes on to the next level, where
-again it finds every partner that went on as well:
-
-1. partitions as above, without shingles that very many documents have,
-2. the ``k + 1`` smallest single shingles, without those,
-3. partitions over all shingles,
-4. the ``k + 1`` smallest single shingles, which every set has.
-
-Any set of shingles may be left out in levels 1 and 2 without losing a link: what
-is left differs no more than the whole.  The heaviest shingles of a sample of
-documents are left out, at most a fixed number of them.
-
-Links.  Only the components matter, so candidates are compared in rounds and
-pairs that are already connected are not looked at again: first every document
-with one leader, then with the leaders of all its groups, then what is left
-between different components of a group.  Every comparison is an exact
-intersection of the shingle sets.
+is divided into first-level partitions and each of these into three parts.
+Differences of at most ``k`` leave, among any ``k // 2 + 1`` partitions, one with at
+most one difference, hence two of its three parts equal: every two of the three
+parts give a signature.  A partition is good for a set that has something in two
+parts of it.  A set with too few good partitions also has its ``k + 1`` smallest
+shingles as signatures.
+
+Frequent signatures.  A signature is cold if at most ``SHARED`` rows have it: the pairs
+of its documents are candidates.  A set with ``k // 2 + 1`` good partitions all of whose
+signatures are cold has met every partner there already.  Only sets with too few
+of these go on, and only with their frequent signatures.  Most of them are members of
+large groups of near copies: the member that shares most with the group is
+compared with all others first, and only documents that this leaves in other
+components are compared with the rest.
+
+Candidates.  A sketch of each set has one bit for each of ``SKETCH`` cells, which says
+whether the cell holds an odd number of shingles; two sets differ in as many
+shingles as their sketches in bits, at least.  Candidates whose sizes or sketches rule
+a link out go before any set is fetched.  Of the others, only those that still lie in
+different components are compared, by exact intersection of the shingle sets.
 """
 
 from __future__ import annotations
@@ -42,23 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, table, texts_of, written
+from quire.llm._common import discard, scope, table, texts_of, written
 from quire.llm.components import components
 from quire.llm.words import mix, shingles, slices, text_bytes, words
 
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 75
-#: Common shingles that levels 1 and 2 leave out: at most this many, ...
-COMMON = 100_000
-#: ... found among one document in so many, and there in so many documents.
-SAMPLE_OF, SAMPLE_DOCS = 16, 8
-#: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle; ...
+#: Rows of a cold signature at most.
+SHARED = 8
+#: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
 PARTS = 2
-#: ... so are the first and the second sets of the pairs that are compared.
-FIRST_PARTS, SECOND_PARTS = 3, 2
+#: Bits of a sketch.
+SKETCH = 512
+#: Places of the bit map that leaves most signatures which are not frequent out of the second shuffle.
+_SLOTS = 1 << 20
 
 _PAIRS = ((0, 1), (0, 2), (1, 2))
+_WORDS_OF = [f"s{i}" for i in range(SKETCH // 64)]
+
 
 def _sets(column: pa.Array, start: int, stop: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles and their rows of part of a text column."""
@@ -68,7 +67,8 @@ def _sets(column: pa.Array, start: int, stop: int, size: int) -> tuple[np.ndarra
 
 
 def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, key1, key2``; the keys stand for the whole set (128 bits)."""
+    """``doc_id, n_shingles, key1, key2, s0..``; the keys stand for the whole set (128 bits), the others are its sketch."""
+    names = ["doc_id", "n_shingles", "key1", "key2", *_WORDS_OF]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +80,12 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
                     total = np.zeros(b - a, dtype=np.uint64)
                     np.add.at(total, of, mix(value ^ np.uint64(salt)))
                     keys.append(total.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys)], ["doc_id", "n_shingles", "key1", "key2"])
+                cell = of * SKETCH + (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=(b - a) * SKETCH) & 1).astype(np.uint8)
+                bits = np.packbits(odd, bitorder="little").view("<i8").reshape(b - a, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), *(pa.array(c) for c in bits.T.copy())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long")
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def shingle_arrays(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -99,35 +102,19 @@ def shingle_arrays(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def common_shingles(docs: DataFrame, size: int = WORDS, most: int = COMMON) -> np.ndarray:
-    """The heaviest shingles of a sample of documents, sorted; at most ``most`` of them."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_OF)) == 0)
-    counts = shingle_arrays(some, size).select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= SAMPLE_DOCS)
-    found = counts.orderBy(F.col("count").desc(), "s").limit(most).select("s").toPandas()["s"]
-    return np.sort(found.to_numpy(dtype=np.int64).view(np.uint64))
-
-
-def _without(value: np.ndarray, sorted_out: np.ndarray) -> np.ndarray:
-    """Which values are not among ``sorted_out``."""
-    if not len(sorted_out):
-        return np.ones(len(value), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_out, value), len(sorted_out) - 1)
-    return sorted_out[at] != value
-
-
 def band_limits(sizes: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
     """The most differences that a set and a partner of the band can have."""
     top = np.minimum((2 << band) - 1, sizes * 100 // percent)
     return (100 - percent) * (sizes + top) // (100 + percent)
 
 
-def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, need: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, their sets, and which sets have enough partitions.
+def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their sets, their partitions, whether these are good, and the number of good ones of each set.
 
-    ``value, of``: elements and their sets; ``band, need``: of each set.
+    ``value, of``: elements and their sets; ``band``: of each set.
     """
     upper = (2 << band) - 1
-    parts = np.maximum(upper // 5, (100 - percent) * upper // (100 + percent) + 1) + 1
+    parts = np.maximum(upper // 6, (100 - percent) * upper // (100 + percent) + 1) + 1
     base = np.concatenate([[0], np.cumsum(parts)])
     spread = mix(value ^ np.uint64(salt))
     first = ((spread >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -138,123 +125,171 @@ def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, ne
     total = total.reshape(-1, 3)
     owner = np.repeat(np.arange(len(parts)), parts)
     good = full.sum(axis=1) >= 2
-    seen = np.cumsum(good)
-    before = np.concatenate([[0], seen])[base[:-1]]
-    emit = seen - good - before[owner] < need[owner]
-    enough = np.concatenate([[0], seen])[base[1:]] - before >= need
     place = np.arange(base[-1]) - base[owner]
-    out, who = [], []
+    out, where = [], []
     for p, (x, y) in enumerate(_PAIRS):
-        has = np.flatnonzero(emit & (full[:, x] | full[:, y]))
+        has = np.flatnonzero(full[:, x] | full[:, y])
         label = (place[has] * 3 + p) * 64 + band[owner[has]]
         out.append(mix(total[has, x] * np.uint64(0xD1342543DE82EF95) + mix(total[has, y] + label.astype(np.uint64)) + np.uint64(salt)))
-        who.append(owner[has])
-    return np.concatenate(out), np.concatenate(who), enough
+        where.append(has)
+    where = np.concatenate(where)
+    return np.concatenate(out), owner[where], place[where], good[where], np.bincount(owner[good], minlength=len(parts))
 
 
-def single_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, need: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``need`` smallest elements of each set as signatures, as above."""
+def single_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, need: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``need`` smallest elements of each set as signatures, and their sets."""
     order = np.lexsort((value, of))
     value, of = value[order], of[order]
-    counts = np.bincount(of, minlength=len(band))
-    first = np.concatenate([[0], np.cumsum(counts)])
+    first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(band)))])
     emit = np.arange(len(of)) - first[of] < need[of]
-    return mix(mix(value[emit] ^ np.uint64(salt)) + band[of[emit]].astype(np.uint64)), of[emit], counts >= need
+    return mix(mix(value[emit] ^ np.uint64(salt)) + band[of[emit]].astype(np.uint64)), of[emit]
+
 
+def signatures(value: np.ndarray, of: np.ndarray, n_sets: int, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Signatures, their sets, bands, partitions (-1: none that is good) and spare good partitions of the set.
 
-def signatures(value: np.ndarray, of: np.ndarray, n_sets: int, common: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Level, signatures and their sets, for sorted distinct elements of each set."""
+    ``value``: sorted distinct elements of each set.
+    """
     sizes = np.bincount(of, minlength=n_sets).astype(np.int64)
     own = np.frexp(np.maximum(sizes, 1))[1].astype(np.int64) - 1
-    rare = _without(value, common)
     for step in (0, 1):
         band = own + step
         reach = (sizes > 0) & (sizes * 100 // percent >= (1 << band))
+        if not reach.any():
+            continue
         k = band_limits(sizes, band, percent)
-        for level in (1, 2, 3, 4):
-            if not reach.any():
-                break
+        for level in (1, 2):
             ids = np.flatnonzero(reach)
+            if not len(ids):
+                break
             index = np.full(n_sets, -1)
             index[ids] = np.arange(len(ids))
-            take = reach[of] & (rare if level <= 2 else True)
+            take = reach[of]
             v, o = value[take], index[of[take]]
             salt = 0x9E3779B97F4A7C15 ^ (level << 8)
-            if level % 2:
-                sig, who, enough = partition_signatures(v, o, band[ids], k[ids] // 2 + 1, salt, percent)
+            if level == 1:
+                sig, who, place, good, n_good = partition_signatures(v, o, band[ids], salt, percent)
+                spare = n_good - (k[ids] // 2 + 1)
+                yield sig, ids[who], band[ids[who]], np.where(good, place, -1), spare[who]
+                reach[ids[spare >= 0]] = False
             else:
-                sig, who, enough = single_signatures(v, o, band[ids], k[ids] + 1, salt)
-            yield level, sig, ids[who]
-            reach[ids[enough]] = False
+                sig, who = single_signatures(v, o, band[ids], k[ids] + 1, salt)
+                yield sig, ids[who], band[ids[who]], np.full(len(sig), -1), np.full(len(sig), -1)
 
 
-def signature_rows(docs: DataFrame, common: np.ndarray, size: int, percent: int, levels: tuple[int, ...], part: int = 0, parts: int = 1) -> DataFrame:
-    """``sig long, doc_id long`` of these levels; of ``parts`` equal parts of all signatures, one."""
+def signature_rows(docs: DataFrame, size: int, percent: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """``sig long, doc_id long``; of ``parts`` equal parts of all signatures, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
                 value, of = _sets(batch.column(1), a, b, size)
-                for level, sig, who in signatures(value, of, b - a, common, percent):
-                    if level in levels:
-                        on = sig % np.uint64(parts) == part
-                        yield pa.RecordBatch.from_arrays([pa.array(sig[on].view(np.int64)), pa.array(doc[a:b][who[on]])], ["sig", "doc_id"])
+                for sig, who, *_ in signatures(value, of, b - a, percent):
+                    on = sig % np.uint64(parts) == part
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[on].view(np.int64)), pa.array(doc[a:b][who[on]])], ["sig", "doc_id"])
 
     return docs.mapInArrow(run, "sig long, doc_id long")
 
 
-def shared_signatures(rows: DataFrame) -> DataFrame:
-    """``sig, doc_id, leader``: signatures that several documents have, and the smallest of these.
+def shared_signatures(rows: DataFrame, most: int = SHARED) -> DataFrame:
+    """``sig, n, docs array<long>`` of the signatures that several documents have.
 
-    For signatures without common shingles, whose groups are small: one shuffle, a window.
+    Of a signature with more than ``most`` rows only ``most + 1`` are sent on from each
+    input partition and counted (``n``), however many there are.
     """
-    by = Window.partitionBy("sig")
-    both = rows.withColumn("leader", F.min("doc_id").over(by)).withColumn("last", F.max("doc_id").over(by))
-    return both.filter(F.col("leader") != F.col("last")).select("sig", "doc_id", "leader")
+    by = Window.partitionBy("sig").orderBy("doc_id")
+    few = rows.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most + 1)
+    found = few.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.collect_list("doc_id").alias("docs"))
+    return found.filter((F.col("n") > most) | (F.col("low") != F.col("high"))).select("sig", "n", F.array_distinct("docs").alias("docs"))
 
 
-def shared_hot_signatures(rows: DataFrame) -> DataFrame:
-    """As :func:`shared_signatures`, for the levels that keep common shingles.
+def cold_pairs(groups: DataFrame, most: int = SHARED) -> DataFrame:
+    """``a, b``: the pairs of documents of signatures with ``most`` rows at most; ``a < b``."""
+    each = groups.filter(F.col("n") <= most).select(F.explode("docs").alias("b"), "docs")
+    return each.select(F.explode(F.filter("docs", lambda x: x < F.col("b"))).alias("a"), "b").distinct()
 
-    Their groups may be very large: a grouped aggregate, combined before the shuffle,
-    is joined back.
-    """
-    rows = written(rows, "hot")
-    counted = rows.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter(F.col("leader") != F.col("last"))
-    counted = written(counted.select("sig", "leader"), "hot-groups")
-    out = written(rows.join(counted, "sig").select("sig", "doc_id", "leader"), "groups")
+
+def frequent_map(groups: DataFrame, most: int = SHARED) -> np.ndarray:
+    """A bit map of frequent signatures, of fixed size: what it lacks is not frequent."""
+    hot = groups.filter(F.col("n") > most)
+    slot, bit = F.pmod("sig", F.lit(_SLOTS)), F.expr("shiftleft(1L, cast(pmod(shiftright(sig, 20), 64) as int))")
+    found = hot.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()  # _SLOTS rows at most
+    out = np.zeros(_SLOTS, dtype=np.int64)
+    out[found["slot"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def frequent_rows(docs: DataFrame, groups: DataFrame, size: int, percent: int, most: int = SHARED) -> DataFrame:
+    """``sig, doc_id``: the frequent signatures of those sets that have too few cold partitions."""
+    told = docs.sparkSession.sparkContext.broadcast(frequent_map(groups, most))
+    names = ["sig", "doc_id", "band", "place", "spare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = told.value
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in slices(batch.column(1)):
+                value, of = _sets(batch.column(1), a, b, size)
+                for sig, who, *rest in signatures(value, of, b - a, percent):
+                    may = (bits[sig & np.uint64(_SLOTS - 1)] >> (sig >> np.uint64(20) & np.uint64(63))) & np.uint64(1)
+                    on = np.flatnonzero(may)
+                    cols = [sig[on].view(np.int64), doc[a:b][who[on]], *(c[on] for c in rest)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    hot = groups.filter(F.col("n") > most).select("sig")
+    rows = written(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)).join(hot, "sig"), "frequent")
+    taken = F.count_distinct(F.when(F.col("place") >= 0, F.col("place")))
+    short = rows.groupBy("doc_id", "band", "spare").agg(taken.alias("taken")).filter(F.col("taken") > F.col("spare")).select("doc_id", "band").distinct()
+    out = written(rows.join(short, ["doc_id", "band"], "left_semi").select("sig", "doc_id").distinct(), "frequent-rows")
     discard(rows)
     return out
 
 
-def verified(pairs: DataFrame, first: DataFrame, second: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link; the sets of ``a`` and of ``b``: ``doc_id, shingles``."""
-    left = first.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = second.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    near = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-    joined = pairs.join(left, "a").join(right, "b").filter(near)
-    both = joined.select("a", "b", (na + nb).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
-
+def may_link(x: str, y: str, percent: int) -> F.Column:
+    """Whether sizes and sketches of the rows ``x`` and ``y`` allow a link; exact ones always do."""
+    n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in _WORDS_OF])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """``a, b, apart``: the pairs that sketches allow; ``apart``: the least share of elements that differ, in millionths."""
+    with_a = pairs.join(info.select(F.col("doc_id").alias("a"), F.struct("n_shingles", *_WORDS_OF).alias("x")), "a")
+    both = with_a.join(info.select(F.col("doc_id").alias("b"), F.struct("n_shingles", *_WORDS_OF).alias("y")), "b").filter(may_link("x", "y", percent))
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _WORDS_OF])
+    return both.groupBy("a", "b").agg(F.min((apart * 1_000_000 / (F.col("x.n_shingles") + F.col("y.n_shingles"))).cast("int")).alias("apart"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that link, by their texts in ``docs``."""
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_arrays(docs.join(named, "doc_id", "left_semi"), size), "sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    links = joined.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+    out = written(links, "links")
+    discard(sets)
+    return out
 
-def verified_in_parts(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """As :func:`verified`, for written pairs and sets: one part of the sets after the other."""
 
-    def part(column: str, of: int, k: int) -> F.Column:
-        return F.pmod(F.xxhash64(column), F.lit(of)) == k
+def linked(pairs: DataFrame, edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``edges`` with the links among ``pairs (a, b, apart)`` that change components.
 
-    out = []
-    for i in range(FIRST_PARTS):
-        for j in range(SECOND_PARTS):
-            some = pairs.filter(part("a", FIRST_PARTS, i) & part("b", SECOND_PARTS, j))
-            first, second = sets.filter(part("doc_id", FIRST_PARTS, i)), sets.filter(part("doc_id", SECOND_PARTS, j))
-            out.append(written(verified(some, first, second, percent), "links"))
-    return reduce(DataFrame.unionByName, out)
+    Each document is first compared with the one that its sketch is nearest to, then
+    only pairs of different components are.
+    """
+    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    edges = edges.unionByName(verified(written(best, "best"), docs, size, percent))
+    names = components(edges)
+    rest = _named(_named(pairs, names, "a", "of_a"), names, "b", "of_b").filter(F.col("of_a") != F.col("of_b")).select("a", "b")
+    rest = written(rest.join(best, ["a", "b"], "left_anti"), "rest")
+    return edges.unionByName(verified(rest, docs, size, percent))
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per document.
 
     ``component_id`` is the smallest ``doc_id`` that links reach.  A null, empty or
@@ -265,46 +300,39 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     empty table gives no rows; other columns are ignored.
     """
     docs = texts_of(docs)
-    sizes = written(sketches(docs, size), "sizes")
-    live = sizes.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    firsts = live.groupBy("key1", "key2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies"))
-    firsts = written(firsts, "firsts")
-    # copies of a set link with the first of them
-    copied = live.join(firsts.filter(F.col("copies") > 1), ["key1", "key2"]).select("a", F.col("doc_id").alias("b")).filter(F.col("a") != F.col("b"))
-    edges = written(copied.distinct(), "copies")
-    # a document with a text of its own set goes on; its other texts, if its id stands for several, too
-    reps = written(docs.join(firsts.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "firsts-texts")
-    heavy = common_shingles(docs, size, common)
-    cold = [written(shared_signatures(signature_rows(reps, heavy, size, percent, (1, 2), part, PARTS)), "groups") for part in range(PARTS)]
-    hot = shared_hot_signatures(signature_rows(reps, heavy, size, percent, (3, 4)))
-    groups = hot
-    for df in cold:
-        groups = groups.unionByName(df)
-    some = groups.select("doc_id").distinct()
-    sets = written(shingle_arrays(reps.join(some, "doc_id", "left_semi"), size), "sets")
-    discard(reps)
-    # round 1: one leader for each document
-    done = written(groups.filter(F.col("doc_id") != F.col("leader")).groupBy("doc_id").agg(F.min("leader").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
-    found = verified_in_parts(done, sets, percent).unionByName(edges)
-    # round 2: the leaders of all groups, where not yet connected
-    names = components(found)
-    mine = written(_named(groups, names, "doc_id", "own"), "named")
-    next_pairs = mine.filter(F.col("own") != F.col("leader")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "own").distinct()
-    apart = _named(next_pairs, names, "a", "other").filter(F.col("own") != F.col("other")).select("a", "b")
-    pairs = written(apart.join(done, ["a", "b"], "left_anti"), "pairs")
-    found = verified_in_parts(pairs, sets, percent).unionByName(found)
-    # round 3: pairs of a group in different components
-    names = components(found)
-    mine = _named(groups.select("sig", "doc_id", "leader"), names, "doc_id", "own")
-    mixed = written(mine, "named")
-    open_groups = mixed.groupBy("sig").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter(F.col("low") != F.col("high")).select("sig")
-    members = written(mixed.join(open_groups, "sig", "left_semi").filter(F.col("doc_id") != F.col("leader")).join(live.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")), "doc_id").select("sig", "doc_id", "own", "least", "most"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    may = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & may).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    last = verified_in_parts(written(rest, "pairs"), sets, percent)
-    if not last.isEmpty():
-        names = components(last.unionByName(found))
+    with scope() as keep:
+        sizes = keep(written(sketches(docs, size), "sizes"))
+        live = sizes.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        firsts = written(live.groupBy("key1", "key2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")), "firsts")
+        # copies of a set link with the first of them
+        copied = live.join(firsts.filter(F.col("copies") > 1), ["key1", "key2"]).select("a", F.col("doc_id").alias("b")).filter(F.col("a") != F.col("b"))
+        edges = written(copied.distinct(), "copies")
+        # a document with a text of its own set goes on; its other texts, if its id stands for several, too
+        own = firsts.select(F.col("a").alias("doc_id")).distinct()
+        reps = written(docs.join(own, "doc_id", "left_semi"), "firsts-texts")
+        info = written(live.join(own, "doc_id", "left_semi").select("doc_id", "n_shingles", *_WORDS_OF).distinct(), "info")
+        groups = reduce(DataFrame.unionByName, [written(shared_signatures(signature_rows(reps, size, percent, part, PARTS), shared), "groups") for part in range(PARTS)])
+        cold = written(possible(cold_pairs(groups, shared), info, percent), "pairs")
+        hot = frequent_rows(reps, groups, size, percent, shared)
+        edges = linked(cold, edges, reps, size, percent)
+        # the member of each frequent signature that shares most comes first
+        weight = hot.groupBy("sig").count()
+        score = hot.join(weight, "sig").groupBy("doc_id").agg(F.sum("count").alias("score"))
+        leaders = hot.join(score, "doc_id").groupBy("sig").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("leader"))
+        leaders = written(leaders, "leaders")
+        led = hot.join(leaders, "sig").filter(F.col("doc_id") != F.col("leader"))
+        led = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+        edges = linked(written(possible(led, info, percent), "led"), edges, reps, size, percent)
+        # documents outside their leader's component, with all others
+        names = written(components(edges), "names")
+        members = written(_named(hot, names, "doc_id", "own").join(info, "doc_id"), "members")
+        centre = _named(leaders, names, "leader", "centre").select("sig", "centre")
+        outside = written(members.join(centre, "sig").filter(F.col("own") != F.col("centre")).drop("centre"), "outside")
+        met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.own") != F.col("y.own")) & may_link("x", "y", percent)
+        rest = outside.alias("x").join(members.alias("y"), met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        rest = written(rest, "rest")
+        edges = edges.unionByName(verified(rest, reps, size, percent))
+        names = keep(written(components(edges), "components"))
     return _named(sizes.select("doc_id", "n_shingles"), names, "doc_id", "component_id")
 
 
@@ -314,14 +342,15 @@ def _named(rows: DataFrame, names: DataFrame, of: str, name: str) -> DataFrame:
     return rows.join(known, rows[of] == known["_node"], "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
 
 
-def first_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
+def first_documents(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, shared: int = SHARED) -> DataFrame:
     """The rows of ``docs``, unchanged, without those that links lead to a smaller ``doc_id``.
 
     Of each group the document with the smallest id stays, with all rows that have
     this id; texts without words and rows with a null ``doc_id`` stay.
     """
-    found = jaccard_components(docs, size, percent, common)
-    later = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later")
+    with scope() as keep:
+        found = jaccard_components(docs, size, percent, shared)
+        later = keep(written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "later"))
     return docs.join(later, docs["doc_id"].cast("long") == later["doc_id"], "left_anti")
 
 

@@ -1,7 +1,8 @@
 """Words of many texts at once, as 64-bit hashes, with numpy.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased.  A
-word's hash is a polynomial over its bytes, taken from prefix sums, then mixed.
+word's hash is the mixed sum of fixed random numbers, one for each byte at its place in
+the word, so two different words meet about once in 2**64, regular ones too.
 """
 
 from __future__ import annotations
@@ -60,26 +61,37 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+#: Random numbers for each byte at each of the first places of a word.
+_TABLE = np.random.default_rng(0x5157).integers(0, 1 << 64, (32, 256), dtype=np.uint64)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every word of the texts, in order."""
     inside = ~SPACE[raw]
     if not inside.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    edge = np.zeros(len(raw) + 1, dtype=bool)
-    edge[offsets] = True
-    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
-    after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    out = np.empty(len(starts), dtype=np.uint64)
-    cuts = np.flatnonzero(np.diff(starts // _PIECE)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)]):
-        first, last = int(starts[a]), int(ends[b - 1])
-        up, down = _powers.get(last - first + 1)
-        sums = np.zeros(last - first + 1, dtype=np.uint64)
-        np.cumsum((LOWER[raw[first:last]].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        s, e = starts[a:b] - first, ends[a:b] - first
-        out[a:b] = mix((sums[e] - sums[s]) * down[s])
-    return out, np.searchsorted(offsets, starts, side="right") - 1
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(raw))]
+    begins[edges] = inside[edges]
+    stops[edges - 1] = inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(stops) + 1 - starts
+    letters = LOWER[raw]
+    sums = lengths.astype(np.uint64)
+    some, at = np.arange(len(starts)), starts
+    for place in range(min(int(lengths.max()), len(_TABLE))):
+        if place:
+            on = lengths[some] > place
+            some, at = some[on], at[on]
+        sums[some] += _TABLE[place][letters[at + place]]
+    for w in np.flatnonzero(lengths > len(_TABLE)).tolist():
+        rest = letters[starts[w] + len(_TABLE) : starts[w] + lengths[w]]
+        place = np.arange(len(rest), dtype=np.uint64) * np.uint64(_BASE)
+        sums[w : w + 1] += mix(_TABLE[0][rest] + mix(place)).sum(dtype=np.uint64)
+    return mix(sums), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def polynomial(raw: np.ndarray, size: int) -> np.ndarray:
@@ -98,7 +110,7 @@ def polynomial(raw: np.ndarray, size: int) -> np.ndarray:
 _SLOT = [0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 
 
-def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``size`` bytes, one row at least."""
     _, offsets = text_bytes(column)
     start = 0

@@ -70,14 +70,46 @@ def planted(seed, n=220):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "SAMPLE_OF", 2)
+@pytest.mark.parametrize("seed, shared", [(1, 8), (2, 2)])
+def test_against_brute_force(spark, seed, shared):
     table = docs(spark, planted(seed), first=100)
-    got = jaccard.jaccard_components(clashing(table, "sig", "component_id", "n_shingles"))
+    got = jaccard.jaccard_components(clashing(table, "sig", "component_id", "n_shingles"), shared=shared)
     assert Counter(map(tuple, got.collect())) == brute_force([(r[0], r[1]) for r in table.select("doc_id", "text").collect()])
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """The original is not the first; copies differ from it by up to the threshold, so many of them do not link with each other."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(edited(r, base, r.randint(1, 9))) for _ in range(600)]
+    texts.insert(300, " ".join(base))
+    compared = []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    table = docs(spark, texts)
+    got = jaccard.jaccard_components(table)
+    assert Counter(map(tuple, got.collect())) == brute_force(list(enumerate(texts)))
+    assert sum(compared) < 8 * len(texts), compared
+
+
+def test_long_text_and_its_near_copy(spark):
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    other = list(base)
+    for at in r.sample(range(len(base)), 2000):
+        other[at] = "changed"
+    got = jaccard.jaccard_components(docs(spark, [" ".join(base), " ".join(other), "a b c"]))
+    assert sorted((x[0], x[2]) for x in got.collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_regular_words_differ(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    got = jaccard.jaccard_components(docs(spark, [a, a.translate(str.maketrans("ab", "ba"))]))
+    assert sorted((x[0], x[2]) for x in got.collect()) == [(0, 0), (1, 1)]
+
+
 def test_odd_rows(spark):
     table = odd_docs(spark)
     got = jaccard.jaccard_components(table)
@@ -99,14 +131,21 @@ def test_every_link_shares_a_signature():
                 break
             b = c
         b = np.sort(b)
-        both = np.union1d(a, b)
-        common = np.sort(both[r.random(len(both)) < r.choice([0, 0.3, 0.6, 0.9, 1.0])])
         value, of = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-        sides = [set(), set()]
-        for level, sig, who in jaccard.signatures(value, of, 2, common, 75):
-            for s, w in zip(sig.tolist(), who.tolist()):
-                sides[w].add((level, s))
-        assert sides[0] & sides[1], (trial, size)
+        band = max(len(a), len(b)).bit_length() - 1
+        sides, spare = [{}, {}], [None, None]
+        for sig, who, of_band, place, left in jaccard.signatures(value, of, 2, 75):
+            for s, w, g, p, x in zip(*(c.tolist() for c in (sig, who, of_band, place, left))):
+                sides[w][s] = p
+                spare[w] = x if g == band and spare[w] is None else spare[w]
+        both = set(sides[0]) & set(sides[1])
+        assert both, (trial, size)
+        share = r.choice([0.02, 0.1, 0.3])
+        hot = {s for s in set(sides[0]) | set(sides[1]) if r.random() < share}
+        for side, left in zip(sides, spare):
+            taken = {p for s, p in side.items() if s in hot and p >= 0}
+            if left is not None and len(taken) <= left:
+                assert both - hot, (trial, size)
 
 
 def test_components(spark):
