@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import table
-from quire.llm.vectors import blocks, top, unpack, usable
+from quire.llm.vectors import FOUND, blocks, counted, others, top, unpack, usable
 
-PROJECTIONS = 128
+PROJECTIONS = 512
 #: Of the arrays, the share in which a candidate must collide.
-THRESHOLD = 0.75
+THRESHOLD = 0.6
 #: Candidates to verify: this share of a block, and 4 k at least.
-SHARE = 0.06
+SHARE = 0.05
 #: First window as a share of the block's standard deviation along a direction, and the factor of each level.
-FIRST, WIDER = 0.9, 1.06
+FIRST, WIDER = 0.6, 1.05
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
 
 
@@ -83,10 +83,11 @@ class CollisionIndex:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, projections: int = PROJECTIONS, threshold: float = THRESHOLD, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each query.
+    """``query_id, rank, vec_id, score, query_key``: the ``k`` nearest vectors found for each query.
 
-    Both tables have ``vec_id`` and ``embedding``.  A query is not its own neighbour;
-    rows with the same id count as one (see :func:`quire.llm.vectors.blocks`).
+    Both tables have ``vec_id`` and ``embedding``.  Every row but the query's own may be
+    found, rows with the query's id too; equal queries count once, and different ones
+    with the same id differ in ``query_key``, a hash of the vector.
     Vectors that are null, zero or hold null or non-finite components take no part,
     nor do vectors of another dimension than the query's; ties go to the smaller id;
     no vectors, no rows; other columns are ignored.
@@ -99,26 +100,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, projections: int = P
         kept: tuple = (None, None)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, data = unpack(row["ids"], row["data"], row["dim"])
+                ids, keys, times, data = unpack(row)
                 if kept[0] != (row["dim"], row["block"]):
                     kept = ((row["dim"], row["block"]), CollisionIndex(data, projections))
                 index = kept[1]
                 wanted = max(4 * k, int(share * len(ids)))
-                q_ids, q_data = unpack(row["q_ids"], row["q_data"], row["dim"])
+                q_ids, q_keys, _, q_data = unpack(row, "q_")
                 out = []
-                for q, v in zip(q_ids.tolist(), q_data):
+                for q, key, v in zip(q_ids.tolist(), q_keys.tolist(), q_data):
                     at, score = index.search(v, wanted, threshold)
-                    own = ids[at] != q
-                    at, score = at[own], score[own]
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out.append((np.full(len(best), q), ids[at][best], score[best]))
+                    n = others(ids[at], keys[at], times[at], q, key)
+                    best = np.lexsort((ids[at], -score))
+                    best = best[n[best] > 0][:k]
+                    out.append((np.full(len(best), q), np.full(len(best), key), ids[at][best], score[best], n[best]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "query_key", "vec_id", "score", "times"])
 
-    at = blocks(vectors, blocks_n)
-    ask = blocks(queries, query_blocks).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1))).alias("block"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    at = blocks(counted(vectors), F.pmod(F.xxhash64("vec_id", "key"), F.lit(blocks_n)))
+    ask = blocks(counted(queries), F.pmod(F.xxhash64("vec_id", "key"), F.lit(query_blocks)))
+    ask = ask.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks_n - 1))).alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "keys", "times", "data")))
     pairs = at.join(ask, ["dim", "block"])
-    return top(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    return top(pairs.mapInArrow(run, FOUND.format("double")), k)
 
 
 def op1_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:

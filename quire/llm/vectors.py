@@ -1,8 +1,9 @@
 """Vectors in bounded blocks, for the search operators.
 
 A block is one row: the ids and the matrix of some thousand vectors as bytes.
-Queries are packed alike, and each block of queries meets each block of vectors
-once; results of a query are then merged by rank.
+Queries are packed alike, and blocks of queries meet blocks of vectors once; results
+of a query are then merged by rank.  Equal rows are counted before they are dealt, so
+that an id or a vector that very many rows have fills no block.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "dim int, block int, n int, ids binary, data binary"
+BLOCK = "dim int, block int, n int, ids binary, keys binary, times binary, data binary"
+FOUND = "query_id long, query_key long, vec_id long, score {}, times long"
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -29,44 +31,51 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return v if zero else v.filter(F.exists("embedding", lambda x: x != 0))
 
 
-def blocks(vectors: DataFrame, blocks_n: int) -> DataFrame:
-    """Rows of :data:`BLOCK`; ids are ascending and stand once in a block.
+def counted(vectors: DataFrame) -> DataFrame:
+    """``vec_id, embedding, key, times, dim``: equal rows once; ``key``: a hash of the vector."""
+    once = vectors.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("times"))
+    return once.withColumn("key", F.xxhash64("embedding")).withColumn("dim", F.size("embedding"))
 
-    Rows are dealt by a hash of ``vec_id``, so blocks are even and all rows of an id
-    are in one; of several rows with one id, that with the smallest vector counts.
-    """
-    dealt = vectors.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks_n)).cast("int"))
-    grouped = dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
+
+def blocks(rows: DataFrame, block: F.Column) -> DataFrame:
+    """Rows of :data:`BLOCK`: ``rows`` of :func:`counted`, dealt by ``dim`` and ``block``; ids are ascending."""
+    grouped = rows.withColumn("block", block.cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "key", "times", "embedding")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = batch.column(2)[k].values
                 dim = batch.column(0)[k].as_py()
-                ids = rows.field("vec_id").to_numpy(zero_copy_only=False)
-                lists = rows.field("embedding")
-                data = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                order = np.argsort(ids, kind="stable")
-                ids, data = ids[order], data[order]
-                again = np.flatnonzero(ids[1:] == ids[:-1])
-                if len(again):
-                    order = np.lexsort((*data.T[::-1], ids))
-                    ids, data = ids[order], data[order]
-                    keep = np.concatenate([[True], ids[1:] != ids[:-1]])
-                    ids, data = ids[keep], data[keep]
+                ids, keys, times = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "key", "times"))
+                data = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                order = np.lexsort((keys, ids))
+                blobs = [ids[order].astype("<i8"), keys[order].astype("<i8"), times[order].astype("<i8"), data[order].astype("<f8")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), batch.column(1).slice(k, 1), pa.array([len(ids)], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary())],
-                    ["dim", "block", "n", "ids", "data"],
+                    [pa.array([dim], pa.int32()), batch.column(1).slice(k, 1), pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
+                    [c.split()[0] for c in BLOCK.split(", ")],
                 )
 
     return grouped.mapInArrow(run, BLOCK)
 
 
-def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
+def unpack(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys, times and vectors of a block."""
+    ids, keys, times = (np.frombuffer(row[prefix + c], "<i8") for c in ("ids", "keys", "times"))
+    return ids, keys, times, np.frombuffer(row[prefix + "data"], "<f8").reshape(-1, row["dim"])
+
+
+def others(ids: np.ndarray, keys: np.ndarray, times: np.ndarray, query_id: int, query_key: int) -> np.ndarray:
+    """``times`` without the query's own row."""
+    own = (ids == query_id) & (keys == query_key)
+    return times - own if own.any() else times
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best rows of each query: highest score, then smallest ``vec_id``."""
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The ``k`` best rows of each query: highest score, then smallest ``vec_id``; a row that occurs several times is several."""
+    by = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+    few = found.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= k)
+    last = F.sum("times").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = few.withColumn("last", last).withColumn("first", F.col("last") - F.col("times") + 1).filter(F.col("first") <= k)
+    last = F.least("last", F.lit(k).cast("long"))
+    each = F.explode(F.sequence(F.col("first").cast("int"), last.cast("int")))
+    return ranked.select("query_id", each.alias("rank"), "vec_id", "score", "query_key")
