@@ -3,8 +3,9 @@
 Documents are laid out in ascending ``doc_id`` order as one concatenated id
 array.  It is stored in bounded blocks; each holds its ids in the narrowest
 unsigned type and the ends of its documents as an Elias-Fano sequence: the low
-bits packed side by side, the high bits in unary.  ``select`` finds a boundary
-from samples of the unary part, so no table of 64-bit offsets is kept.
+bits packed side by side, the high bits in unary, and samples of these, from which
+``select`` finds a boundary.  The ascending document ids are such a sequence, too, so
+no table of 64-bit numbers is kept.
 
 Blocks are rows of a Parquet table (a binary column in the format below), so
 that they can be written to and read from any store that Spark reaches and a
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import table, texts_of, work_path
@@ -37,14 +38,13 @@ BLOCKS = "part int, block int, part_start long, n_docs int, n_ids long, doc_ids
 
 
 class EliasFano:
-    """A non-decreasing sequence below ``universe`` in about ``2 + log2(u / n)`` bits each."""
+    """A non-decreasing sequence below ``universe`` in about ``2 + log2(u / n)`` bits each, and samples for ``select``."""
 
     HEAD = struct.Struct("<QQB")
 
-    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.universe, self.low_bits, self.low, self.high = n, universe, low_bits, low, high
-        ones = np.cumsum(np.unpackbits(high, bitorder="little").reshape(-1, 8).sum(axis=1, dtype=np.int64)) if len(high) else np.zeros(0, np.int64)
-        self._ones = ones[SAMPLE - 1 :: SAMPLE]  # ones up to the end of each run of SAMPLE bytes
+        self.ones = ones  # ones up to the end of each run of SAMPLE bytes
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -52,43 +52,49 @@ class EliasFano:
         bits = max(0, (universe // n).bit_length() - 1) if n else 0
         v = values.astype(np.uint64)
         low = ((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1)
-        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
-        high[ones] = 1
-        return cls(n, universe, bits, np.packbits(low, bitorder="little"), np.packbits(high, bitorder="little"))
+        at = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        size = -(-(int(at[-1]) + 1) // 8) if n else 0
+        bitmap = np.zeros(8 * size, dtype=np.uint8)
+        bitmap[at] = 1
+        ones = np.searchsorted(at, 8 * np.arange(SAMPLE, size + 1, SAMPLE)).astype("<u4")
+        return cls(n, universe, bits, np.packbits(low, bitorder="little"), np.packbits(bitmap, bitorder="little"), ones)
 
     def select(self, k: int) -> int:
         """The value at ``k``."""
-        run = int(np.searchsorted(self._ones, k, side="right"))
-        before = int(self._ones[run - 1]) if run else 0
+        run = int(np.searchsorted(self.ones, k, side="right"))
+        before = int(self.ones[run - 1]) if run else 0
         first = run * SAMPLE
         bits = np.unpackbits(self.high[first : first + SAMPLE], bitorder="little")
         at = first * 8 + int(np.flatnonzero(bits)[k - before])
         low = 0
         if self.low_bits:
             a = k * self.low_bits
-            window = int.from_bytes(self.low[a // 8 : (a + self.low_bits + 7) // 8].tobytes(), "little")
+            window = int.from_bytes(self.low[a // 8 : (a + self.low_bits + 7) // 8 + 1].tobytes(), "little")
             low = (window >> (a % 8)) & ((1 << self.low_bits) - 1)
         return ((at - k) << self.low_bits) | low
 
     def values(self) -> np.ndarray:
-        """All values in order."""
+        """All values in order, as unsigned 64-bit integers."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        out = (at - np.arange(self.n)) << self.low_bits
+        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits and self.n:
             low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            for k in range(self.low_bits):
+                out |= low[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
     def to_bytes(self) -> bytes:
-        return self.HEAD.pack(self.n, self.universe, self.low_bits) + self.low.tobytes() + self.high.tobytes()
+        return self.HEAD.pack(self.n, self.universe - 1, self.low_bits) + struct.pack("<Q", len(self.high)) + self.ones.astype("<u4").tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
-        n, universe, bits = cls.HEAD.unpack_from(raw)
-        rest = np.frombuffer(raw, dtype=np.uint8, offset=cls.HEAD.size)
+        n, last, bits = cls.HEAD.unpack_from(raw)
+        (size,) = struct.unpack_from("<Q", raw, cls.HEAD.size)
+        at = cls.HEAD.size + 8
+        ones = np.frombuffer(raw, "<u4", offset=at, count=size // SAMPLE)
+        rest = np.frombuffer(raw, dtype=np.uint8, offset=at + ones.nbytes)
         cut = (n * bits + 7) // 8
-        return cls(n, universe, bits, rest[:cut], rest[cut:])
+        return cls(n, last + 1, bits, rest[:cut], rest[cut : cut + size], ones)
 
 
 class Block:
@@ -123,16 +129,22 @@ class Block:
         return cls(EliasFano.from_bytes(raw[at : at + n]), np.frombuffer(raw, dtype=f"<u{wide}", offset=at + n, count=ids))
 
 
-def _nullable(ids: list[int | None]) -> bytes:
-    """Document ids as signed 64-bit integers after a bit for each that says whether it is null."""
-    nulls = np.array([i is None for i in ids], dtype=bool)
-    return np.packbits(nulls).tobytes() + np.array([i or 0 for i in ids], dtype="<i8").tobytes()
+_NAMES = struct.Struct("<QqQ")
 
 
-def _ids_from(raw: bytes, n: int) -> list[int | None]:
-    cut = (n + 7) // 8
-    nulls = np.unpackbits(np.frombuffer(raw, np.uint8, count=cut))[:n]
-    return [None if z else int(i) for z, i in zip(nulls, np.frombuffer(raw, "<i8", offset=cut, count=n))]
+def names_to_bytes(ids: list[int | None]) -> bytes:
+    """Ascending document ids, nulls first: the number of nulls, the least id, and Elias-Fano distances from it."""
+    some = [i for i in ids if i is not None]
+    base = some[0] if some else 0
+    apart = np.array(some, dtype="<i8").view(np.uint64) - np.array([base], dtype="<i8").view(np.uint64)
+    return _NAMES.pack(len(ids) - len(some), base, len(some)) + (EliasFano.of(apart, int(apart[-1]) + 1).to_bytes() if some else b"")
+
+
+def names_from_bytes(raw: bytes) -> pa.Array:
+    """The ids that :func:`names_to_bytes` wrote, as 64-bit integers."""
+    nulls, base, n = _NAMES.unpack_from(raw)
+    found = EliasFano.from_bytes(raw[_NAMES.size :]).values() + np.array([base], dtype="<i8").view(np.uint64) if n else np.zeros(0, np.uint64)
+    return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(found.view(np.int64))])
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
@@ -145,7 +157,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_ids:
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "space")
+        enc = encoder(path, "forced")
         part = TaskContext.get().partitionId()
         state = {"block": 0, "start": 0}
         held: list[np.ndarray] = []
@@ -153,7 +165,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_ids:
 
         def flush() -> pa.RecordBatch:
             n = sum(map(len, held))
-            row = {"part": part, "block": state["block"], "part_start": state["start"], "n_docs": len(held), "n_ids": n, "doc_ids": _nullable(names), "data": Block.of(held).to_bytes()}
+            row = {"part": part, "block": state["block"], "part_start": state["start"], "n_docs": len(held), "n_ids": n, "doc_ids": names_to_bytes(names), "data": Block.of(held).to_bytes()}
             state["block"] += 1
             state["start"] += n
             held.clear()
@@ -184,34 +196,27 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = END_ID, block_ids:
 def read(spark: SparkSession, out: str) -> DataFrame:
     """Each document's place in the whole id array and its ids.
 
-    ``doc_id, start long, ids array<int>``.  The driver gets one number per part
-    (as many as output tasks) to set the parts one after the other.
+    ``doc_id, start long, ids array<int>``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.from_bytes(row["data"])
-                ends = block.ends.values()
+                ends = block.ends.values().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]) + row["first_id"] if len(ends) else ends
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(block.ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(_ids_from(row["doc_ids"], row["n_docs"]), pa.int64()), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([names_from_bytes(row["doc_ids"]), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
 
     return _placed(spark, out).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def _placed(spark: SparkSession, out: str) -> DataFrame:
-    """The blocks with ``first_id``, the ids before them in the whole array."""
-    blocks = spark.read.parquet(out)
-    parts = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n_ids")).collect())
-    firsts, at = {}, 0
-    for part, n in parts:
-        firsts[part] = at
-        at += n
-    if not firsts:
-        return blocks.select("n_docs", "doc_ids", "data", F.lit(0).cast("long").alias("first_id"))
-    first = spark.createDataFrame(list(firsts.items()), "part int, part_first long")
-    placed = blocks.join(F.broadcast(first), "part")
+    """The blocks with ``first_id``, the ids before them in the whole array: one sum for each part, in a window."""
+    blocks = spark.read.schema(BLOCKS).parquet(out)
+    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    first = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_first"))
+    placed = blocks.join(first, "part")
     return placed.select("n_docs", "doc_ids", "data", (F.col("part_first") + F.col("part_start")).alias("first_id"))
 
 
@@ -222,14 +227,11 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.from_bytes(row["data"])
-                starts, counts, crcs, at = [], [], [], 0
-                for k in range(row["n_docs"]):
-                    end = block.ends.select(k)
-                    starts.append(row["first_id"] + at)
-                    counts.append(end - at)
-                    crcs.append(zlib.crc32(block.ids[at:end].astype("<u4").tobytes()))
-                    at = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (_ids_from(row["doc_ids"], row["n_docs"]), starts, counts, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                edge = np.concatenate([[0], block.ends.values().astype(np.int64)])
+                raw = memoryview(block.ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(edge.tolist(), edge[1:].tolist())]
+                cols = [names_from_bytes(row["doc_ids"]), pa.array(edge[:-1] + row["first_id"]), pa.array(np.diff(edge)), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _placed(spark, out).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -2,8 +2,9 @@
 
 A text is cut where no token can lie across the cut and where the cut does not
 change how the library splits what lies on either side.  Fragments repeat, so
-each is encoded once per worker and looked up afterwards; the ids of a text are
-the concatenation of its fragments' ids.
+each is encoded once per worker and looked up afterwards by a 64-bit hash of its
+bytes; the ids of a text are the concatenation of its fragments' ids.  Cuts, hashes
+and ids of many texts are found at once, with numpy.
 """
 
 from __future__ import annotations
@@ -12,36 +13,35 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from quire.llm.batch_bpe import WIDEST, BatchBPE
+from quire.llm.words import span_hashes, text_bytes
 
-#: Fragments that a worker remembers before it starts afresh.
-CACHE_ENTRIES = 800_000
-#: Longer fragments are encoded each time.
-CACHED_CHARS = 64
+#: Fragments and ids that a worker remembers before it starts afresh.
+CACHE_ENTRIES, CACHE_IDS = 800_000, 1 << 24
 
-#: Characters that some libraries count as white space and others do not, or
-#: that are white space outside ASCII: texts with a cut behind one of them are
-#: encoded whole.
-_UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff][ \t-\r]")
-_SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_WORDS = re.compile(r"[^ \t-\r]+")
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def space_cuts(text: str) -> list[str]:
-    """Cuts before each run of ASCII white space that follows something else.
+class WordCuts:
+    """The runs between ASCII white space, for tokenizers that drop white space."""
 
-    Byte-level tokenizers end a piece there in any case.
-    """
-    return [text] if _UNSURE.search(text) else _SPACED.findall(text)
+    whole = False
 
+    def bytes(self, raw: np.ndarray) -> np.ndarray:
+        """Where a fragment begins, but for the beginnings of texts."""
+        inside = ~_BREAK[raw]
+        out = inside.copy()
+        out[1:] &= ~inside[:-1]
+        return out
 
-def word_cuts(text: str) -> list[str]:
-    """The runs between ASCII white space, for tokenizers that drop white space."""
-    return _WORDS.findall(text)
+    def odd(self, text: str) -> list[str] | None:
+        """No text must be cut in another way."""
+        return None
 
 
 class ForcedBoundaries:
@@ -75,21 +75,30 @@ class ForcedBoundaries:
         self.table = (~inside & (space | printable)).reshape(-1)
         self.specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
 
-    def __call__(self, text: str) -> list[str]:
-        if not text:
-            return []
-        parts = self.specials.split(text) if self.specials and self.specials.search(text) else [text]
+    whole = True
+
+    def bytes(self, raw: np.ndarray) -> np.ndarray:
+        """Where a fragment begins, but for the beginnings of texts."""
+        out = np.zeros(len(raw), dtype=bool)
+        b = raw.astype(np.uint16)
+        out[1:] = self.table[(b[:-1] << 8) | b[1:]]
+        return out
+
+    def odd(self, text: str) -> list[str] | None:
+        """The fragments of a text that holds special tokens."""
+        if not self.specials or not self.specials.search(text):
+            return None
         out: list[str] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(part)
-            elif part:
-                raw = part.encode()
-                b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
-                at = (np.flatnonzero(self.table[(b[:-1] << 8) | b[1:]]) + 1).tolist()
-                out += [raw[i:j].decode() for i, j in zip([0, *at], [*at, len(raw)])]
+        for k, part in enumerate(self.specials.split(text)):
+            out += [part] if k % 2 else self(part)
         return out
 
+    def __call__(self, text: str) -> list[str]:
+        """The fragments of a text without special tokens."""
+        raw = text.encode()
+        at = np.flatnonzero(self.bytes(np.frombuffer(raw, np.uint8))).tolist()
+        return [raw[i:j].decode() for i, j in zip([0, *at], [*at, len(raw)])] if raw else []
+
 
 #: A piece that a byte-level tokenizer never splits before merging, and marks behind it that it splits off.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -115,52 +124,83 @@ class FragmentEncoder:
             plain = [t for t in self.token_bytes if t is not None]
             self.cut = ForcedBoundaries(plain, specials)
         else:
-            self.cut = {"space": space_cuts, "words": word_cuts}[cuts]
+            self.cut = {"words": WordCuts}[cuts]()
         self.lower = cuts == "words"
         self.bulk = BatchBPE(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, list[int]] = {"": []}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.cut(t) for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        long: dict[str, bytes] = {}
-        if new:
-            self._learn(new, long)
-        if long:
-            get = lambda f: long[f] if f in long else self.known[f]
+        raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
+        if not len(raw):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        begins = self.cut.bytes(raw)
+        inner = offsets[:-1][np.diff(offsets) > 0]
+        begins[inner] = True if self.cut.whole else ~_BREAK[raw[inner]]
+        for k, text in enumerate(texts):
+            odd = self.cut.odd(text)
+            if odd is not None and odd:
+                a = int(offsets[k])
+                begins[a : offsets[k + 1]] = False
+                begins[a + np.cumsum([0, *(len(f.encode()) for f in odd[:-1])])] = True
+        starts = np.flatnonzero(begins)
+        if self.cut.whole:
+            ends = np.append(starts[1:], len(raw))
         else:
-            get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), self.kind) for p in parts]
-
-    def _learn(self, new: list[str], long: dict[str, bytes]) -> None:
+            inside = ~_BREAK[raw]
+            stops = inside.copy()
+            stops[:-1] &= ~inside[1:]
+            stops[inner[1:] - 1] |= inside[inner[1:] - 1]
+            ends = np.flatnonzero(stops) + 1
+        hashes = span_hashes(raw, starts, ends - starts)
+        unique, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_ENTRIES or len(self.ids) > CACHE_IDS:
+            self._forget()
+        keys = unique.tolist()
+        new = [k for k, h in enumerate(keys) if h not in self.known]
+        if new:
+            whole, place = raw.tobytes(), at[new]
+            self._learn([whole[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist())], [keys[k] for k in new])
+        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        size = self.size[slot]
+        last = np.cumsum(size)
+        out = self.ids[np.repeat(self.first[slot] - (last - size), size) + np.arange(last[-1] if len(last) else 0)]
+        edge = np.concatenate([[0], last])[np.searchsorted(starts, offsets)].tolist()
+        return [out[a:b] for a, b in zip(edge, edge[1:])]
+
+    def _learn(self, new: list[str], keys: list[int]) -> None:
+        """Adds the ids of fragments and where they stand."""
+        found: list = [None] * len(new)
         others, names, pieces, ends = [], [], [], []
         plain = _PLAIN.fullmatch
-        for f in new:
+        for n, f in enumerate(new):
             m = plain(f)
             if m:
                 word, mark = m.groups()
-                raw = (word.lower() if self.lower else word).encode()
-                if len(raw) <= WIDEST and len(mark) < 4:
-                    names.append(f)
-                    pieces.append(raw)
+                piece = (word.lower() if self.lower else word).encode()
+                if len(piece) <= WIDEST and len(mark) < 4:
+                    names.append(n)
+                    pieces.append(piece)
                     ends.append(mark)
                     continue
-            others.append(f)
+            others.append(n)
         for mark in set(ends).difference(self.marks):
-            self.marks[mark] = self._ids(self.tokenizer.encode(mark, add_special_tokens=False))
-        for f, ids, mark in zip(names, self.bulk.encode(pieces), ends):
-            self.known[f] = ids.astype(self.kind).tobytes() + self.marks[mark]
+            self.marks[mark] = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        for n, ids, mark in zip(names, self.bulk.encode(pieces), ends):
+            found[n] = np.append(ids, self.marks[mark]) if mark else ids
         for k in range(0, len(others), 4096):
             some = others[k : k + 4096]
-            for f, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (self.known if len(f) <= CACHED_CHARS else long)[f] = self._ids(e)
-
-    def _ids(self, encoding) -> bytes:
-        return np.array(encoding.ids, dtype=self.kind).tobytes()
+            for n, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)):
+                found[n] = e.ids
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        self.known.update(zip(keys, range(len(self.size), len(self.size) + len(size))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *(np.asarray(x, dtype=np.uint32) for x in found)])
 
 
 def byte_vocabulary(path: str) -> tuple[list[bytes | None], list[str]]:

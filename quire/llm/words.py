@@ -79,10 +79,14 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     stops[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
     lengths = np.flatnonzero(stops) + 1 - starts
-    letters = LOWER[raw]
+    return span_hashes(LOWER[raw], starts, lengths), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def span_hashes(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
     sums = lengths.astype(np.uint64)
     some, at = np.arange(len(starts)), starts
-    for place in range(min(int(lengths.max()), len(_TABLE))):
+    for place in range(min(int(lengths.max(initial=0)), len(_TABLE))):
         if place:
             on = lengths[some] > place
             some, at = some[on], at[on]
@@ -91,7 +95,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         rest = letters[starts[w] + len(_TABLE) : starts[w] + lengths[w]]
         place = np.arange(len(rest), dtype=np.uint64) * np.uint64(_BASE)
         sums[w : w + 1] += mix(_TABLE[0][rest] + mix(place)).sum(dtype=np.uint64)
-    return mix(sums), np.searchsorted(offsets, starts, side="right") - 1
+    return mix(sums)
 
 
 def polynomial(raw: np.ndarray, size: int) -> np.ndarray:

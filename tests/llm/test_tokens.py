@@ -30,7 +30,7 @@ def random_texts(n=1500, seed=1):
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("path", "cuts"), [(BYTE, "forced"), (BYTE, "space"), (WORD, "words")])
+@pytest.mark.parametrize(("path", "cuts"), [(BYTE, "forced"), (WORD, "words")])
 def test_fragments_give_the_librarys_ids(path, cuts):
     texts = [t or "" for t in ODD_TEXTS] + random_texts()
     want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
@@ -45,7 +45,7 @@ def test_bulk_merges(sf):
     import pyarrow.parquet as pq
 
     texts = pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
-    for path, cuts in ((BYTE, "forced"), (BYTE, "space"), (WORD, "words")):
+    for path, cuts in ((BYTE, "forced"), (WORD, "words")):
         want = [e.ids for e in library(path).encode_batch(texts, add_special_tokens=False)]
         assert [ids.tolist() for ids in FragmentEncoder(path, cuts).encode(texts)] == want
 
