@@ -15,10 +15,12 @@ parts of it.  A set with too few good partitions also has its ``k + 1`` smallest
 shingles as signatures.
 
 Frequent signatures.  A signature is cold if at most ``SHARED`` rows have it: the pairs
-of its documents are candidates.  A set with ``k // 2 + 1`` good partitions all of whose
-signatures are cold has met every partner there already.  Only sets with too few
-of these go on, and only with their frequent signatures.  Most of them are members of
-large groups of near copies: the member that shares most with the group is
+of its documents are candidates.  A set gives the signatures of its partitions, in a
+fixed order, until a few more than ``k // 2 + 1`` good ones are passed.  If so many of
+these have cold signatures only, the set is settled: of two settled sets, the one that
+ends first meets the other in a cold signature.  Sets that are not settled are compared
+with all that share a frequent signature.  Most of them are members of large groups
+of near copies: the member that shares most with its group is
 compared with all others first, and only documents that this leaves in other
 components are compared with the rest.
 
@@ -36,7 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import discard, scope, table, texts_of, written
@@ -50,6 +52,8 @@ PERCENT = 75
 SHARED = 8
 #: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
 PARTS = 2
+#: Sets are fetched for the pairs in so many parts.
+SET_PARTS = 8
 #: Bits of a sketch.
 SKETCH = 512
 #: Places of the bit map that leaves most signatures which are not frequent out of the second shuffle.
@@ -108,10 +112,10 @@ def band_limits(sizes: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray
     return (100 - percent) * (sizes + top) // (100 + percent)
 
 
-def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, their sets, their partitions, whether these are good, and the number of good ones of each set.
+def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, need: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, their sets, their partitions, whether these are good, and the number of good ones passed by each set.
 
-    ``value, of``: elements and their sets; ``band``: of each set.
+    ``value, of``: elements and their sets; ``band, need``: of each set.
     """
     upper = (2 << band) - 1
     parts = np.maximum(upper // 6, (100 - percent) * upper // (100 + percent) + 1) + 1
@@ -125,15 +129,19 @@ def partition_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, sa
     total = total.reshape(-1, 3)
     owner = np.repeat(np.arange(len(parts)), parts)
     good = full.sum(axis=1) >= 2
+    seen = np.concatenate([[0], np.cumsum(good)])
+    most = need + need // 8 + 2
+    emit = seen[:-1] - seen[base[:-1]][owner] < most[owner]
+    passed = np.minimum(seen[base[1:]] - seen[base[:-1]], most)
     place = np.arange(base[-1]) - base[owner]
     out, where = [], []
     for p, (x, y) in enumerate(_PAIRS):
-        has = np.flatnonzero(full[:, x] | full[:, y])
+        has = np.flatnonzero(emit & (full[:, x] | full[:, y]))
         label = (place[has] * 3 + p) * 64 + band[owner[has]]
         out.append(mix(total[has, x] * np.uint64(0xD1342543DE82EF95) + mix(total[has, y] + label.astype(np.uint64)) + np.uint64(salt)))
         where.append(has)
     where = np.concatenate(where)
-    return np.concatenate(out), owner[where], place[where], good[where], np.bincount(owner[good], minlength=len(parts))
+    return np.concatenate(out), owner[where], place[where], good[where], passed
 
 
 def single_signatures(value: np.ndarray, of: np.ndarray, band: np.ndarray, need: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +176,9 @@ def signatures(value: np.ndarray, of: np.ndarray, n_sets: int, percent: int) ->
             v, o = value[take], index[of[take]]
             salt = 0x9E3779B97F4A7C15 ^ (level << 8)
             if level == 1:
-                sig, who, place, good, n_good = partition_signatures(v, o, band[ids], salt, percent)
-                spare = n_good - (k[ids] // 2 + 1)
+                need = k[ids] // 2 + 1
+                sig, who, place, good, passed = partition_signatures(v, o, band[ids], need, salt, percent)
+                spare = passed - need
                 yield sig, ids[who], band[ids[who]], np.where(good, place, -1), spare[who]
                 reach[ids[spare >= 0]] = False
             else:
@@ -177,52 +186,104 @@ def signatures(value: np.ndarray, of: np.ndarray, n_sets: int, percent: int) ->
                 yield sig, ids[who], band[ids[who]], np.full(len(sig), -1), np.full(len(sig), -1)
 
 
-def signature_rows(docs: DataFrame, size: int, percent: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """``sig long, doc_id long``; of ``parts`` equal parts of all signatures, one."""
+class Passed:
+    """Which rows of a signature a task need not send: it has sent ``most`` others.
+
+    Of each signature in a table of fixed size the rows sent are counted; a signature that
+    has lost its place to another is counted afresh.
+    """
+
+    def __init__(self, most: int, places: int = 1 << 18):
+        self.most, self.sig, self.sent = most, np.zeros(places, np.uint64), np.zeros(places, np.int64)
+
+    def keep(self, sig: np.ndarray) -> np.ndarray:
+        """Positions of the rows to send."""
+        order = np.argsort(sig, kind="stable")
+        ranked = sig[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(first, append=len(sig))
+        place = (ranked[first] % np.uint64(len(self.sig))).astype(np.int64)
+        before = np.where(self.sig[place] == ranked[first], self.sent[place], 0)
+        number = np.arange(len(sig)) - np.repeat(first, size) + np.repeat(before, size)
+        self.sig[place], self.sent[place] = ranked[first], before + size
+        return order[number < self.most]
+
+
+def signature_rows(docs: DataFrame, size: int, percent: int, part: int = 0, parts: int = 1, most: int = SHARED) -> DataFrame:
+    """``sig long, doc_id long``; of ``parts`` equal parts of all signatures, one.
+
+    Tasks leave out most rows of signatures with over ``most + 1``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = Passed(most + 1)
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
                 value, of = _sets(batch.column(1), a, b, size)
                 for sig, who, *_ in signatures(value, of, b - a, percent):
-                    on = sig % np.uint64(parts) == part
+                    on = np.flatnonzero(sig % np.uint64(parts) == part)
+                    on = on[passed.keep(sig[on])]
                     yield pa.RecordBatch.from_arrays([pa.array(sig[on].view(np.int64)), pa.array(doc[a:b][who[on]])], ["sig", "doc_id"])
 
     return docs.mapInArrow(run, "sig long, doc_id long")
 
 
 def shared_signatures(rows: DataFrame, most: int = SHARED) -> DataFrame:
-    """``sig, n, docs array<long>`` of the signatures that several documents have.
-
-    Of a signature with more than ``most`` rows only ``most + 1`` are sent on from each
-    input partition and counted (``n``), however many there are.
-    """
-    by = Window.partitionBy("sig").orderBy("doc_id")
-    few = rows.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= most + 1)
-    found = few.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.collect_list("doc_id").alias("docs"))
-    return found.filter((F.col("n") > most) | (F.col("low") != F.col("high"))).select("sig", "n", F.array_distinct("docs").alias("docs"))
-
-
-def cold_pairs(groups: DataFrame, most: int = SHARED) -> DataFrame:
-    """``a, b``: the pairs of documents of signatures with ``most`` rows at most; ``a < b``."""
-    each = groups.filter(F.col("n") <= most).select(F.explode("docs").alias("b"), "docs")
-    return each.select(F.explode(F.filter("docs", lambda x: x < F.col("b"))).alias("a"), "b").distinct()
-
+    """``sig, a, b``: the pairs of documents of cold signatures (``sig`` null), and the frequent signatures (``a, b`` null)."""
+
+    def groups(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(edge, append=len(sig))
+        frequent = sig[edge[size > most]]
+        each = np.repeat(size, size)
+        cold = np.flatnonzero((each > 1) & (each <= most))
+        sig, doc = sig[cold], doc[cold]
+        out = [np.zeros((0, 2), np.int64)]
+        for step in range(1, most):
+            at = np.flatnonzero(sig[step:] == sig[:-step]) if len(sig) > step else []
+            if not len(at):
+                break
+            two = np.stack([doc[at], doc[at + step]], axis=1)
+            out.append(np.sort(two[two[:, 0] != two[:, 1]], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        rest = pa.nulls(len(frequent), pa.int64())
+        cols = [[pa.nulls(len(pairs), pa.int64()), pa.array(frequent)], [pa.array(pairs[:, 0].copy()), rest], [pa.array(pairs[:, 1].copy()), rest]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["sig", "a", "b"])
 
-def frequent_map(groups: DataFrame, most: int = SHARED) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            sig, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            held.append((sig, doc))
+            size += len(sig)
+            if size < 500_000:
+                continue
+            sig, doc = (np.concatenate(c) for c in zip(*held))
+            last = int(np.searchsorted(sig, sig[-1]))  # sorted
+            if last:
+                yield groups(sig[:last], doc[:last])
+            held = [(sig[last:][: most + 1], doc[last:][: most + 1])]  # enough to see that it is frequent
+            size = len(held[0][0])
+        if size:
+            yield groups(*(np.concatenate(c) for c in zip(*held)))
+
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+
+
+def frequent_map(frequent: DataFrame) -> np.ndarray:
     """A bit map of frequent signatures, of fixed size: what it lacks is not frequent."""
-    hot = groups.filter(F.col("n") > most)
     slot, bit = F.pmod("sig", F.lit(_SLOTS)), F.expr("shiftleft(1L, cast(pmod(shiftright(sig, 20), 64) as int))")
-    found = hot.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()  # _SLOTS rows at most
+    found = frequent.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()  # _SLOTS rows at most
     out = np.zeros(_SLOTS, dtype=np.int64)
     out[found["slot"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
     return out.view(np.uint64)
 
 
-def frequent_rows(docs: DataFrame, groups: DataFrame, size: int, percent: int, most: int = SHARED) -> DataFrame:
-    """``sig, doc_id``: the frequent signatures of those sets that have too few cold partitions."""
-    told = docs.sparkSession.sparkContext.broadcast(frequent_map(groups, most))
+def frequent_rows(docs: DataFrame, frequent: DataFrame, size: int, percent: int) -> DataFrame:
+    """``sig, doc_id, open``: frequent signatures that a set has which is not settled (``open``), with all documents."""
+    told = docs.sparkSession.sparkContext.broadcast(frequent_map(frequent))
     names = ["sig", "doc_id", "band", "place", "spare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +298,13 @@ def frequent_rows(docs: DataFrame, groups: DataFrame, size: int, percent: int, m
                     cols = [sig[on].view(np.int64), doc[a:b][who[on]], *(c[on] for c in rest)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    hot = groups.filter(F.col("n") > most).select("sig")
-    rows = written(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)).join(hot, "sig"), "frequent")
+    rows = written(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)).join(frequent, "sig"), "frequent")
     taken = F.count_distinct(F.when(F.col("place") >= 0, F.col("place")))
-    short = rows.groupBy("doc_id", "band", "spare").agg(taken.alias("taken")).filter(F.col("taken") > F.col("spare")).select("doc_id", "band").distinct()
-    out = written(rows.join(short, ["doc_id", "band"], "left_semi").select("sig", "doc_id").distinct(), "frequent-rows")
+    short = rows.groupBy("doc_id", "band", "spare").agg(taken.alias("taken")).filter(F.col("taken") > F.col("spare")).select("doc_id", "band", F.lit(True).alias("open")).distinct()
+    marked = rows.select("sig", "doc_id", "band").join(short, ["doc_id", "band"], "left").groupBy("sig", "doc_id").agg(F.max(F.coalesce("open", F.lit(False))).alias("open"))
+    marked = written(marked, "marked")
     discard(rows)
-    return out
+    return written(marked.join(marked.filter("open").select("sig").distinct(), "sig", "left_semi"), "frequent-rows")
 
 
 def may_link(x: str, y: str, percent: int) -> F.Column:
@@ -268,11 +329,13 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    links = joined.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
-    out = written(links, "links")
+    out = []
+    for part in range(SET_PARTS):
+        mine = F.pmod(F.xxhash64("a"), F.lit(SET_PARTS)) == part
+        joined = pairs.select("a", "b").filter(mine).join(left.filter(mine), "a").join(right, "b")
+        out.append(written(joined.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct(), "links"))
     discard(sets)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def linked(pairs: DataFrame, edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -311,16 +374,16 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         own = firsts.select(F.col("a").alias("doc_id")).distinct()
         reps = written(docs.join(own, "doc_id", "left_semi"), "firsts-texts")
         info = written(live.join(own, "doc_id", "left_semi").select("doc_id", "n_shingles", *_WORDS_OF).distinct(), "info")
-        groups = reduce(DataFrame.unionByName, [written(shared_signatures(signature_rows(reps, size, percent, part, PARTS), shared), "groups") for part in range(PARTS)])
-        cold = written(possible(cold_pairs(groups, shared), info, percent), "pairs")
-        hot = frequent_rows(reps, groups, size, percent, shared)
-        edges = linked(cold, edges, reps, size, percent)
+        groups = reduce(DataFrame.unionByName, [written(shared_signatures(signature_rows(reps, size, percent, part, PARTS, shared), shared), "groups") for part in range(PARTS)])
+        cold = groups.filter(F.col("sig").isNull()).select("a", "b").distinct()
+        edges = linked(written(possible(cold, info, percent), "pairs"), edges, reps, size, percent)
+        hot = frequent_rows(reps, groups.filter(F.col("sig").isNotNull()).select("sig"), size, percent)
         # the member of each frequent signature that shares most comes first
         weight = hot.groupBy("sig").count()
         score = hot.join(weight, "sig").groupBy("doc_id").agg(F.sum("count").alias("score"))
-        leaders = hot.join(score, "doc_id").groupBy("sig").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("leader"))
-        leaders = written(leaders, "leaders")
-        led = hot.join(leaders, "sig").filter(F.col("doc_id") != F.col("leader"))
+        leaders = hot.join(score, "doc_id").groupBy("sig").agg(F.max_by(F.struct(F.col("doc_id").alias("leader"), F.col("open").alias("leads")), F.struct("score", -F.col("doc_id"))).alias("l"))
+        leaders = written(leaders.select("sig", "l.*"), "leaders")
+        led = hot.join(leaders, "sig").filter((F.col("doc_id") != F.col("leader")) & (F.col("open") | F.col("leads")))
         led = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         edges = linked(written(possible(led, info, percent), "led"), edges, reps, size, percent)
         # documents outside their leader's component, with all others
@@ -329,9 +392,9 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         centre = _named(leaders, names, "leader", "centre").select("sig", "centre")
         outside = written(members.join(centre, "sig").filter(F.col("own") != F.col("centre")).drop("centre"), "outside")
         met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.own") != F.col("y.own")) & may_link("x", "y", percent)
-        rest = outside.alias("x").join(members.alias("y"), met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        rest = written(rest, "rest")
-        edges = edges.unionByName(verified(rest, reps, size, percent))
+        some = [(outside.filter("open"), members), (outside.filter("not open"), members.filter("open"))]
+        rest = [x.alias("x").join(y.alias("y"), met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")) for x, y in some]
+        edges = edges.unionByName(verified(written(rest[0].union(rest[1]).distinct(), "rest"), reps, size, percent))
         names = keep(written(components(edges), "components"))
     return _named(sizes.select("doc_id", "n_shingles"), names, "doc_id", "component_id")
 
