@@ -6,12 +6,13 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"^([-^]?)tag:(.+)$", re.IGNORECASE)
 TEXT_COLUMNS = ("title", "sitename", "status")
-SORTABLE = frozenset({"id", "title", "sitename", "length", "status", "last_update"})
+#: The columns a list can be sorted by.
+SORTABLE = ("id", "last_update", "general_lastup", "last_check_date", "title", "author", "sitename", "novel_type", "tags", "general_all_no", "episodes", "length", "average_length", "status", "actions", "frozen", "new_arrivals")
 STATES = {"frozen": lambda: F.col("frozen"), "nonfrozen": lambda: ~F.col("frozen"), "finished": lambda: F.coalesce(F.col("finished"), F.lit(False))}
 
 
@@ -58,8 +59,9 @@ def page(works: DataFrame, by: str, start: int, length: int, descending: bool =
     """Rows ``start`` to ``start + length`` in the order of a column, then of ``id``; all from ``start`` if ``length`` is 0 or less."""
     if by not in SORTABLE:
         raise ValueError(f"cannot sort by {by}")
-    key = F.col(by)
-    # null counts as the least value
+    kind = dict(works.dtypes)[by]
+    # null counts as 0, or as the least value where there is no 0
+    key = F.coalesce(F.col(by), F.lit(0)) if kind in ("int", "bigint", "double") else F.col(by)
     order = works.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), "id").offset(start)
     return order.limit(length) if length > 0 else order
 
@@ -85,3 +87,92 @@ def resolved(targets: DataFrame, works: DataFrame) -> DataFrame:
     by_title = targets.join(works.select("id", "title"), F.col("target") == F.col("title")).select("target", F.lit(2).alias("rank"), "id")
     best = by_id.unionByName(by_title).groupBy("target").agg(F.min(F.struct("rank", "id")).alias("best"))
     return targets.distinct().join(best, "target", "left").select("target", F.col("best.id").alias("id"))
+
+
+def looked_up(targets: DataFrame, works: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``target, id``: an alias, an address, a code at the end of an address, an id, or an exact title; the first that fits.
+
+    ``aliases``: ``alias, id``.  Addresses are compared without case and last slash.
+    """
+    t = targets.distinct().select("target", F.rtrim(F.lower("target"), F.lit("/")).alias("low"))
+    w = works.select("id", "title", F.rtrim("toc_url", F.lit("/")).alias("address"))
+    found = [
+        t.join(aliases, t["target"] == aliases["alias"]).select("target", F.lit(1).alias("rank"), "id"),
+        t.join(w, F.col("low") == F.col("address")).select("target", F.lit(2).alias("rank"), "id"),
+        t.filter(F.col("low").rlike(r"^n\d+[a-z]+$")).join(w.withColumn("code", F.substring_index("address", "/", -1)), F.col("low") == F.col("code")).select("target", F.lit(3).alias("rank"), "id"),
+        t.join(w, F.col("target") == F.col("id").cast("string")).select("target", F.lit(4).alias("rank"), "id"),
+        t.join(w, F.col("target") == F.col("title")).select("target", F.lit(5).alias("rank"), "id"),
+    ]
+    best = reduce(DataFrame.unionByName, found).groupBy("target").agg(F.min(F.struct("rank", "id")).alias("best"))
+    return t.select("target").join(best, "target", "left").select("target", F.col("best.id").alias("id"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found; false for a pattern that is none."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.lit(False)
+    return F.coalesce(text.rlike(pattern), F.lit(False))
+
+
+def contains_any(text: Column, needles: list[str]) -> Column:
+    return reduce(or_, (F.contains(F.lower(text), F.lit(n.lower())) for n in needles), F.lit(False))
+
+
+def library_filter(words: str) -> Column:
+    """Title or author contain the words as a whole; all works without words."""
+    low = F.lit(words.strip().lower())
+    return F.lit(True) if not words.strip() else F.contains(F.lower("title"), low) | F.contains(F.lower("author"), low)
+
+
+def setting(forced: Column, own: Column, valid: Column, fallback: Column, built_in: Column) -> Column:
+    """The forced value, else the work's own if it has the right type, else the default, else the built-in one."""
+    return F.coalesce(forced, F.when(valid, own), fallback, built_in)
+
+
+def sorted_ids(asked: DataFrame, works: DataFrame, order: list[Column]) -> DataFrame:
+    """``id, position``: the asked ids that are stored, in the order of the list."""
+    found = works.join(asked.distinct(), "id", "left_semi")
+    return found.select("id", F.row_number().over(Window.orderBy(*order, "id")).cast("bigint").alias("position"))
+
+
+def update_places(asked: DataFrame, works: DataFrame, by: str) -> DataFrame:
+    """``id, place``: newest first, a missing time counts as year 1, works that are not stored last."""
+    known = asked.join(works.select("id", F.col(by).alias("_at"), F.lit(True).alias("_stored")), "id", "left")
+    key = F.coalesce("_at", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))
+    return known.select("id", F.row_number().over(Window.orderBy(F.coalesce("_stored", F.lit(False)).desc(), key.desc(), "id")).cast("bigint").alias("place"))
+
+
+def library_order(works: DataFrame, by: str) -> DataFrame:
+    """``updated`` and ``episodes`` descending, ``title`` ascending."""
+    if by == "title":
+        return works.orderBy(F.lower("title"), "id")
+    return works.orderBy(F.col({"updated": "last_update", "episodes": "episodes"}[by]).desc_nulls_last(), "id")
+
+
+def without_first(chapters: DataFrame, n: int) -> DataFrame:
+    """Chapters of each work without the first ``n``; a work that has no more keeps its last one."""
+    by = Window.partitionBy("work")
+    numbered = chapters.withColumn("_n", F.row_number().over(by.orderBy("position"))).withColumn("_all", F.count(F.lit(1)).over(by))
+    return numbered.filter(F.when(F.col("_all") > n, F.col("_n") > n).otherwise(F.col("_n") == F.col("_all"))).drop("_n", "_all")
+
+
+def first_not_blank(*found: Column) -> Column:
+    """The first result that has more than white space, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in found))
+
+
+def missing_ahead(chapters: DataFrame, read: int, ahead: int) -> DataFrame:
+    """Of the ``ahead`` chapters after the first ``read`` of each work those that are not ``stored``."""
+    n = F.row_number().over(Window.partitionBy("work").orderBy("position"))
+    return chapters.withColumn("_n", n).filter((F.col("_n") > read) & (F.col("_n") <= read + ahead) & ~F.col("stored")).drop("_n")
+
+
+def merged_catalogues(master: DataFrame, nested: DataFrame) -> DataFrame:
+    """One row for each address (or id without one): the master's, then the newest, then by title and id."""
+    both = master.withColumn("_nested", F.lit(0)).unionByName(nested.withColumn("_nested", F.lit(1)))
+    both = both.withColumn("_key", F.coalesce(F.nullif("toc_url", F.lit("")), F.col("id").cast("string")))
+    age = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00")) - F.col("last_update")
+    first = both.groupBy("_key").agg(F.min(F.struct("_nested", age.alias("_age"), "title", "id", *(c for c in master.columns if c not in ("title", "id")))).alias("_row"))
+    return first.select(*(F.col("_row")[c].alias(c) for c in master.columns))

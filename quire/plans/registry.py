@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import catalogue as C
 from quire.operators import changes, search
+from quire.plans.base import FOUND as _FOUND
+from quire.plans.base import query as _query
 from quire.sources.tables import chapters, table, works
 from quire.streaming import tasks
 
@@ -18,15 +20,6 @@ _WORKS = """WITH works AS (SELECT d.doc_id AS id, split_part(d.text, chr(10), 1)
  coalesce(l.toxic = 1, false) AS frozen, l.quality = 1 AS finished FROM documents d LEFT JOIN labels l USING (doc_id)),
  listed AS (SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN frozen THEN 'frozen' END, CASE WHEN finished THEN 'finished' END), ''), 'serialising') AS status FROM works)
 """
-_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def _query(sql: str | None):
-    def add(f):
-        _FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
@@ -280,10 +273,14 @@ def cache_hits(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quire.plans import conversion, extraction, listing, updates  # noqa: F401  (they register their queries)
+
     return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from quire.plans import conversion, extraction, listing, updates  # noqa: F401  (they register their queries)
+
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
 
 

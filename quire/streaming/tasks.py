@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,19 @@ def store_arrivals(batch: DataFrame, path: str, keys: list[str]) -> None:
     if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+#: The states a task may go to from each state; a new task is queued.
+NEXT = {"queued": ("running", "canceled"), "running": ("completed", "failed", "canceled"), "failed": ("queued",)}
+
+
+def allowed(before: Column, after: Column) -> Column:
+    """Whether a task may go from one state (null: none yet) to another."""
+    out = F.when(before.isNull(), after == "queued")
+    for state, to in NEXT.items():
+        out = out.when(before == state, after.isin(*to))
+    return out.otherwise(False)
+
+
+def may_retry(state: Column, retries: Column, limit: Column) -> Column:
+    return (state == "failed") & (retries < limit)
