@@ -1,0 +1,298 @@
+"""Queries that convert texts; inputs are whole texts with forms added that the functions must find."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions import japanese as J
+from quire.functions import text as T
+from quire.plans.base import RECORDS, query
+from quire.sources.tables import records, table
+
+_D = "FROM documents"
+
+
+def _texts(spark, d, *added):
+    """``doc_id, text``: the texts with columns or strings behind them."""
+    parts = [a if not isinstance(a, str) else F.lit(a) for a in added]
+    return table(spark, d, "documents").select("doc_id", F.concat("text", *parts).alias("text")) if parts else table(spark, d, "documents").select("doc_id", "text")
+
+
+def _out(df, f):
+    return df.select("doc_id", f(F.col("text")).alias("text"))
+
+
+def _run(sign, n=None):
+    return F.expr(f"repeat('{sign}', {n or 'cast(doc_id % 9 + 1 AS int)'})")
+
+
+@query(f"SELECT doc_id, regexp_replace(text || ' 　' || chr(9), '[ 　\\t]+(\\n|$)', '\\1', 'g') AS text {_D}")
+def trimmed_lines(spark, d):
+    return _out(_texts(spark, d, " 　\t"), J.trimmed_lines)
+
+
+@query(f"SELECT doc_id, text || 'ガパー「ア」ヴ' AS text {_D}")
+def full_width_kana(spark, d):
+    return _out(_texts(spark, d, "ｶﾞﾊﾟｰ｢ｱ｣ｳﾞ"), J.full_width_kana)
+
+
+_HALF = "-=+/*《》%$#&!?<>()|,._;:[]{}"
+_FULL = "－＝＋／＊≪≫％＄＃＆！？〈〉（）｜，．＿；：［］｛｝"
+
+
+@query(f"""SELECT doc_id, translate(replace(replace(text, '"', ''), '''', ''), '{_HALF}', '{_FULL}') || '〝a〟' AS text {_D}""")
+def full_width_symbols(spark, d):
+    plain = F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit("'"), F.lit(""))
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit('"a"')).alias("text")), J.full_width_symbols)
+
+
+@query(f"SELECT doc_id, text || 'x' || CASE n WHEN 1 THEN '！' WHEN 2 THEN '［＃縦中横］!!［＃縦中横終わり］' WHEN 3 THEN '［＃縦中横］!!!［＃縦中横終わり］' ELSE repeat('［＃縦中横］!!［＃縦中横終わり］', ((n + 1) // 2)::INTEGER) END || 'y［＃縦中横］!?［＃縦中横終わり］' AS text FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents)")
+def upright_marks(spark, d):
+    return _out(_texts(spark, d, "x", _run("！"), "y！？"), J.upright_marks)
+
+
+@query(f"SELECT doc_id, text || 'x' || repeat('…', (n + n % 2)::INTEGER) || '」。y' AS text FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents)")
+def even_ellipses(spark, d):
+    return _out(_texts(spark, d, "x", _run("…"), "。」。　y"), J.even_ellipses)
+
+
+@query(f"SELECT doc_id, text || '→←' AS text {_D}")
+def arrows(spark, d):
+    return _out(_texts(spark, d, "⇒⇐"), J.arrows)
+
+
+@query("SELECT doc_id, repeat('　', ((n + 1) // 2)::INTEGER) || regexp_replace(text, '\\s+', '_', 'g') AS text FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents)")
+def head_spaces(spark, d):
+    one_line = F.regexp_replace("text", r"[\t\n\f\r ]+", "_")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(_run(" "), one_line).alias("text")), J.head_spaces)
+
+
+@query(f"SELECT doc_id, text || '※［＃米印、1-2-8］※［＃始め二重山括弧］※［＃終わり二重山括弧］' AS text {_D}")
+def reference_marks(spark, d):
+    return _out(_texts(spark, d, "※≪≫"), lambda t: J.notes_shown(J.notes_hidden(t)))
+
+
+@query(f"SELECT doc_id, replace(replace(text, 'I', 'i'), 'V', 'v') || ' Ⅱ,Ⅷ・Ⅸ。' AS text FROM (SELECT doc_id, translate(text, 'ivx', 'abc') AS text {_D})")
+def roman_numerals(spark, d):
+    plain = F.translate(F.translate("text", "ivx", "abc"), "IV", "iv")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit(" II,VIII・IX。")).alias("text")), J.roman_numerals)
+
+
+@query(f"SELECT doc_id, replace(replace(text, chr(10), '。'), chr(9), '。') || 'はａｂｃとabcdefghとab cd' AS text FROM (SELECT doc_id, regexp_replace(text, '[A-Za-z_0-9]', '漢', 'g') AS text {_D})")
+def letter_widths(spark, d):
+    plain = F.regexp_replace(F.regexp_replace("text", "[A-Za-z_0-9]", "漢"), "[\\n\\t]", "。")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit("はabcとabcdefghとab cd")).alias("text")), J.letters)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') || 'x' || CASE WHEN length(doc_id::VARCHAR) = 2 THEN '［＃縦中横］' || doc_id || '［＃縦中横終わり］' ELSE translate(doc_id::VARCHAR, '0123456789', '０１２３４５６７８９') END AS text {_D}")
+def digit_widths(spark, d):
+    plain = F.regexp_replace("text", "[0-9]", "#")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit("x"), F.col("doc_id").cast("string")).alias("text")), J.full_width_digits)
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9]', '#', 'g'), ',', ';', 'g') || translate(doc_id::VARCHAR, '0123456789', '〇一二三四五六七八九') || 'と1,000と一・五' AS text {_D}")
+def kanji_digits(spark, d):
+    plain = F.translate(F.regexp_replace("text", "[0-9]", "#"), ",", ";")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.col("doc_id").cast("string"), F.lit("と1,000と1.5")).alias("text")), lambda t: J.kanji_digits(J.decimals(t)))
+
+
+@query("SELECT o_orderkey AS work, o_orderkey AS value FROM orders")
+def kanji_values(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), J.kanji_value(J.kanji_with_units(F.col("o_orderkey"))).cast("bigint").alias("value"))
+
+
+_FOUR = "(CASE {d}3 WHEN '0' THEN '' WHEN '1' THEN CASE WHEN big THEN '一千' ELSE '千' END ELSE translate({d}3, '23456789', '二三四五六七八九') || '千' END || CASE {d}2 WHEN '0' THEN '' WHEN '1' THEN '百' ELSE translate({d}2, '23456789', '二三四五六七八九') || '百' END || CASE {d}1 WHEN '0' THEN '' WHEN '1' THEN '十' ELSE translate({d}1, '23456789', '二三四五六七八九') || '十' END || CASE {d}0 WHEN '0' THEN '' ELSE translate({d}0, '123456789', '一二三四五六七八九') END)"
+
+
+@query("WITH n AS (SELECT o_orderkey AS work, o_orderkey * 1009 AS v FROM orders), p AS (SELECT work, v, v >= 10000 AS big, lpad(v::VARCHAR, 12, '0') AS s FROM n), q AS (SELECT *, " + ", ".join(f"substr(s, {12 - 4 * g - k}, 1) AS {x}{k}" for g, x in enumerate("abc") for k in range(4)) + " FROM p) SELECT work, CASE WHEN v = 0 THEN '〇' ELSE CASE WHEN v >= 100000000 THEN " + _FOUR.format(d="c") + " || '億' ELSE '' END || CASE WHEN v // 10000 % 10000 > 0 THEN " + _FOUR.format(d="b") + " || '万' ELSE '' END || " + _FOUR.format(d="a") + " END AS numeral FROM q")
+def kanji_numerals(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), J.kanji_with_units(F.col("o_orderkey") * 1009).alias("numeral"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '[0-9/]', '#', 'g') || '三分の二と二〇二四年〇一月〇五日と2024/13/45' AS text {_D}")
+def fractions_and_dates(spark, d):
+    plain = F.regexp_replace("text", "[0-9/]", "#")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit("２/３と2024/1/5と2024/13/45")).alias("text")), J.fractions_and_dates)
+
+
+@query(f"SELECT doc_id, text || 'ｖｅｒ１・０１と五十と３㎞' AS text {_D}")
+def digits_near_letters(spark, d):
+    return _out(_texts(spark, d, "ｖｅｒ一・〇一と五十と三㎞"), J.digits_near_letters)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '[!?]', '.', 'g') || 'あ！　い？」う！　え！☆！　お' AS text {_D}")
+def space_after_marks(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[!?]", "."), F.lit("あ！い？」う！。え！☆！ お")).alias("text")), J.space_after_marks)
+
+
+@query("SELECT doc_id, text || 'あ' || CASE WHEN n < 3 THEN repeat('・', n::INTEGER) ELSE repeat('……', ((n + 5) // 6)::INTEGER) END || 'い―・・・' AS text FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents)")
+def ellipses(spark, d):
+    return _out(_texts(spark, d, "あ", _run("・"), "い―・・・"), J.ellipses)
+
+
+@query("SELECT doc_id, text || 'あ' || CASE WHEN n = 1 THEN 'ー' ELSE repeat('―', n::INTEGER) END AS text FROM (SELECT *, doc_id % 9 + 1 AS n FROM documents)")
+def long_dashes(spark, d):
+    return _out(_texts(spark, d, "あ", _run("ー")), J.long_marks_to_dashes)
+
+
+@query(f"SELECT doc_id, text || '［＃濁点］あ［＃濁点終わり］い' AS text {_D}")
+def voiced_marks(spark, d):
+    return _out(_texts(spark, d, "あ゛い"), J.voiced_marks)
+
+
+@query(f"SELECT doc_id, text || '漢字二漢字とアニメ' AS text {_D}")
+def kana_two(spark, d):
+    return _out(_texts(spark, d, "漢字ニ漢字とアニメ"), J.kana_two)
+
+
+@query(f"SELECT doc_id, text || '「ああ。いい」「う' || chr(10) || '『え" + "お" + f"』' AS text {_D}")
+def joined_brackets(spark, d):
+    return _out(_texts(spark, d, "「ああ。\n　いい」「う\n『え\nお』"), J.joined_brackets)
+
+
+@query(f"SELECT doc_id, text || 'あ、い' || chr(10) || '　「う' AS text {_D}")
+def joined_lines(spark, d):
+    return _out(_texts(spark, d, "あ、\n　い\n　「う"), J.joined_lines)
+
+
+@query(f"SELECT doc_id, text || chr(10) || '［＃二分アキ］「あ' || chr(10) || '　い' AS text FROM (SELECT doc_id, replace(text, '(', '<') AS text {_D})")
+def bracket_indents(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.translate("text", "(", "<"), F.lit("\n　「あ\n　い")).alias("text")), J.bracket_indents)
+
+
+@query("SELECT doc_id, '　' || replace(x, chr(10), chr(10) || '　') AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z]*\\n[^A-Za-z]*', chr(10), 'g'), '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g') || 'a' AS x FROM documents)")
+def indented_lines(spark, d):
+    plain = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]*\n[^A-Za-z]*", "\n"), r"^[^A-Za-z]+|[^A-Za-z]+$", "")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit("a")).alias("text")), J.indented)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') || 'あ' || chr(10) || chr(10) || '　　　― ［＃縦中横］12［＃縦中横終わり］ ―' || chr(10) || chr(10) || 'い' AS text {_D}")
+def chapter_lines(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[0-9]", "#"), F.lit("あ\n－12－\nい")).alias("text")), J.chapter_lines)
+
+
+@query(f"SELECT doc_id, replace(text, '*', '+') || 'あ' || chr(10) || chr(10) || '　　　　◇◆◇' || chr(10) || chr(10) || 'い' AS text {_D}")
+def border_lines(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.translate("text", "*", "+"), F.lit("あ\n◇◆◇\nい")).alias("text")), J.border_lines)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '\\n+', chr(10), 'g') || 'あ' || chr(10) || '［＃改頁］' || chr(10) || 'い' AS text {_D}")
+def page_breaks(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", "\\n+", "\n"), F.lit("あ\n" + "\n" * 12 + "い")).alias("text")), J.page_breaks)
+
+
+@query(f"SELECT doc_id, text || '、｜漢字《かんじ》と｜絶対零度《アブソリュート》と［＃傍点］強調［＃傍点終わり］と｜名《な》' AS text FROM (SELECT doc_id, replace(replace(text, '|', ''), '(', '<') AS text {_D})")
+def ruby_readings(spark, d):
+    plain = F.translate(F.replace("text", F.lit("|"), F.lit("")), "(", "<")
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit("、漢字≪かんじ≫と｜絶対零度≪アブソリュート≫と強調≪・・≫と名（な）")).alias("text")), J.ruby)
+
+
+@query(f"SELECT doc_id, text || chr(10) || '［＃改ページ］' || chr(10) || chr(10) || '［＃３字下げ］［＃中見出し］題［＃中見出し終わり］' || chr(10) || 'あ' AS text {_D}")
+def page_headings(spark, d):
+    return _out(_texts(spark, d, "\n［＃改ページ］\n　題　\nあ"), J.headings)
+
+
+@query(f"SELECT doc_id, text || chr(10) || '［＃ここから後書き］' || chr(10) || 'あと' || chr(10) || '［＃ここで後書き終わり］' || chr(10) AS text {_D}")
+def author_comments(spark, d):
+    return _out(_texts(spark, d, "\n" + "*" * 48 + "\nあと"), J.author_comments)
+
+
+@query(f"SELECT doc_id, text || chr(10) || 'い' AS text {_D}")
+def comment_blocks(spark, d):
+    rule = "-" * 55
+    return _out(_texts(spark, d, f"\n{rule}\nあ\n{rule}\nい"), J.without_comment_blocks)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, 'https?://[A-Za-z0-9\\-._~:/?#@!$&*+,;=%]+', '<a href=\"\\0\">\\0</a>', 'g') AS text {_D}")
+def linked_addresses(spark, d):
+    return _out(_texts(spark, d), J.linked)
+
+
+@query(f"SELECT doc_id, text || 'い' AS text, 1 AS pictures {_D}")
+def illustration_notes(spark, d):
+    notes, rest = J.illustrations(F.col("text"))
+    return _texts(spark, d, "［＃挿絵（a.png）入る］\nい").select("doc_id", rest.alias("text"), F.size(notes).alias("pictures"))
+
+
+@query(f"SELECT doc_id, text || chr(10) || 'い' AS text {_D}")
+def site_tags(spark, d):
+    return _out(_texts(spark, d, "【改ページ】<kbr>い"), J.site_tags)
+
+
+@query(f"SELECT doc_id, text || '漢​カタ​ひらA' AS text {_D}")
+def word_separators(spark, d):
+    return _out(_texts(spark, d, "漢カタひらA"), J.word_marks)
+
+
+@query(f"SELECT doc_id, replace(replace(text, 'the', 'THE'), 'THE', 'Le') AS text {_D}")
+def user_replacements(spark, d):
+    return _out(_texts(spark, d), lambda t: J.replaced(t, [("the", "THE"), ("THE", "Le")]))
+
+
+@query(f"SELECT doc_id, text || 'い※［＃縦線］' AS text {_D}")
+def dust_and_bars(spark, d):
+    return _out(_texts(spark, d, "い︎｜"), lambda t: J.bars(J.without_dust(t)))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '\\r?\\n', '<br />', 'g') || '漢字かんじ' AS text {_D}")
+def ruby_tags_removed(spark, d):
+    return _out(_texts(spark, d, "<ruby><rb>漢字</rb><rt>かんじ</rt></ruby>"), lambda t: J.lines_to_breaks(J.without_ruby_tags(t)))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\r\\f　]*\\n[ \\t\\r\\f　]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\r\\f　]+|[ \\t\\r\\f　]+$', '', 'g'), chr(10)) AS text {_D}")
+def blank_lines(spark, d):
+    return _out(_texts(spark, d), J.single_blanks)
+
+
+@query(f"SELECT doc_id, translate(regexp_replace(regexp_replace(text, '\\.{{3,}}', '……', 'g'), '[―—]+', '――', 'g'), '!?~', '！？～') || 'あ！　い……――' AS text FROM (SELECT doc_id, regexp_replace(text, '[!?]', '', 'g') AS text {_D})")
+def vertical_marks(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[!?]", ""), F.lit("あ！い…―")).alias("text")), J.vertical)
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '[0-9A-Za-z]', '字', 'g') || '［＃縦中横］12［＃縦中横終わり］と1234と［＃縦中横］AB［＃縦中横終わり］' AS text {_D}")
+def upright_runs(spark, d):
+    return _out(table(spark, d, "documents").select("doc_id", F.concat(F.regexp_replace("text", "[0-9A-Za-z]", "字"), F.lit("12と1234とAB")).alias("text")), J.upright_runs)
+
+
+@query(f"SELECT doc_id, length(text) AS preamble, '題' AS title, 2 AS level {_D}")
+def heading_sections(spark, d):
+    rows = _texts(spark, d, "［＃中見出し］題［＃中見出し終わり］\n本文")
+    s = F.transform(F.array(J.heading_levels(F.col("text"))), lambda x: x)[0]
+    return rows.select("doc_id", F.length(F.element_at(s, 1)["body"]).cast("bigint").alias("preamble"), F.element_at(s, -1)["title"].alias("title"), F.element_at(s, -1)["level"].alias("level"))
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(c, '[A-Za-z]') THEN 'letter' WHEN regexp_matches(c, '[0-9]') THEN 'digit' WHEN regexp_matches(c, '[()]') THEN 'bracket' WHEN regexp_matches(c, '\\s') THEN 'space' ELSE 'other' END AS class, '漢字' AS base FROM (SELECT doc_id, substr(text, 1, 1) AS c {_D})")
+def character_classes(spark, d):
+    return table(spark, d, "documents").select("doc_id", J.character_class(F.substring("text", 1, 1)).alias("class"), J.reading_base(F.concat("text", F.lit("の漢字"))).alias("base"))
+
+
+@query(f"SELECT doc_id, text || '鷗と※（二の字点）' AS text {_D}")
+def external_characters(spark, d):
+    return _out(_texts(spark, d, "※［＃「區＋鳥」、U+9DD7］と※［＃二の字点、1-2-22］"), J.external_characters)
+
+
+@query(f"SELECT doc_id, 2 AS brackets, 1 AS long, 7 AS most, 8 AS all {_D}".replace("AS all", 'AS "all"'))
+def bracket_newlines(spark, d):
+    rows = _texts(spark, d, "「あ\nい」「" + "う\n" * 7 + "」")
+    return rows.select("doc_id", J.bracket_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"SELECT doc_id, 1 AS open, 2 AS lost {_D}")
+def unclosed_brackets(spark, d):
+    return _texts(spark, d, "」「あ」」「い").select("doc_id", J.unclosed(F.col("text")).alias("c")).select("doc_id", "c.*")
+
+
+@query(None)
+def converted_texts(spark, d):
+    return J.converted(_texts(spark, d), "text")
+
+
+@query(RECORDS + "SELECT id, 'N ' || title || ' (短編)' AS title FROM records WHERE novel_type = 2")
+def decorated_titles(spark, d):
+    rows = records(spark, d).filter("novel_type = 2")
+    return rows.select("id", T.decorated_title(F.col("title"), "N $t ($nt)", {"nt": F.lit("短編"), "s": T.reverse_time(F.col("last_update").cast("timestamp"))}).alias("title"))
+
+
+@query(RECORDS + "SELECT id, left('[' || author || '] ' || regexp_replace(translate(title, '\\/:*?\"<>|.`', '￥／：＊？”〈〉｜．｀'), '[\\x00-\\x1f]', '', 'g'), 80) || '.txt' AS name FROM records")
+def output_names(spark, d):
+    return records(spark, d).select("id", T.output_name(F.col("author"), F.col("title")).alias("name"))

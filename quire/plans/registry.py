@@ -188,11 +188,9 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", found.alias("href")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("times"))
 
 
-_STRIPPED = "html"
-for _p in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
-    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_p}', ' ', 'g')"
-for _a, _b in T.ENTITIES:
-    _STRIPPED = "replace({}, '{}', '{}')".format(_STRIPPED, _a, _b.replace("'", "''"))
+_STRIPPED = "regexp_replace(html, '(?i)<script\\b[^>]*>(?s:.*?)</script\\s*>|<style\\b[^>]*>(?s:.*?)</style\\s*>|<!--(?s:.*?)-->|<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("#160", " "), ("amp", "&")):
+    _STRIPPED = f"replace({_STRIPPED}, '&{_entity};', '{_sign}')"
 
 
 @_query(f"SELECT page_id, trim(regexp_replace({_STRIPPED}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS text FROM pages")
@@ -200,8 +198,8 @@ def html_texts(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@_query(_WORKS + f"""SELECT id, left(translate(regexp_replace(title, '[\\x00-\\x1f]', '', 'g'), '{T.UNSAFE}', '{T.SAFE}'), 80) AS file_name,
- regexp_replace(title, '[^0-9 \\n.,!?]', '●', 'g') AS masked, translate(sitename, '{T.HALF}', '{T.KANJI}') AS kanji FROM works""")
+@_query(_WORKS + """SELECT id, left(translate(regexp_replace(title, '[\\x00-\\x1f]', '', 'g'), '\\/:*?"<>|.`', '￥／：＊？”〈〉｜．｀'), 80) AS file_name,
+ regexp_replace(title, '[^0-9 \\n.,!?]', '●', 'g') AS masked, translate(sitename, '0123456789', '〇一二三四五六七八九') AS kanji FROM works""")
 def title_forms(spark, d):
     title = F.col("title")
     return works(spark, d).select("id", T.file_name(title).alias("file_name"), T.masked(title).alias("masked"), T.kanji_digits(F.col("sitename")).alias("kanji"))
