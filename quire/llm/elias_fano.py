@@ -33,6 +33,8 @@ BLOCK_IDS = 1 << 20
 #: Bytes of text that one output task handles, about.
 TASK_BYTES = 32 << 20
 SAMPLE = 64
+#: Parts whose sums are broadcast, at most.
+BROADCAST_PARTS = 1_000_000
 
 BLOCKS = "part int, block int, part_start long, n_docs int, n_ids long, doc_ids binary, data binary"
 
@@ -216,7 +218,8 @@ def _placed(spark: SparkSession, out: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(out)
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     first = sums.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_first"))
-    placed = blocks.join(first, "part")
+    # 16 bytes a part; beyond the bound blocks and parts are shuffled
+    placed = blocks.join(F.broadcast(first) if sums.count() <= BROADCAST_PARTS else first, "part")
     return placed.select("n_docs", "doc_ids", "data", (F.col("part_first") + F.col("part_start")).alias("first_id"))
 
 

@@ -53,7 +53,7 @@ SHARED = 8
 #: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
 PARTS = 2
 #: Sets are fetched for the pairs in so many parts.
-SET_PARTS = 8
+SET_PARTS = 2
 #: Bits of a sketch.
 SKETCH = 512
 #: Places of the bit map that leaves most signatures which are not frequent out of the second shuffle.
@@ -331,8 +331,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     common = F.size(F.array_intersect("sa", "sb"))
     out = []
     for part in range(SET_PARTS):
-        mine = F.pmod(F.xxhash64("a"), F.lit(SET_PARTS)) == part
-        joined = pairs.select("a", "b").filter(mine).join(left.filter(mine), "a").join(right, "b")
+        mine = F.pmod(F.xxhash64("b"), F.lit(SET_PARTS)) == part
+        joined = pairs.select("a", "b").filter(mine).join(right.filter(mine), "b").join(left, "a")
         out.append(written(joined.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct(), "links"))
     discard(sets)
     return reduce(DataFrame.unionByName, out)

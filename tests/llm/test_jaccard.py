@@ -12,12 +12,6 @@ from tests.llm.cases import clashing, docs, empty_docs, odd_docs
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.fixture(autouse=True)
-def few_parts(monkeypatch):
-    """Small tables need no parts."""
-    monkeypatch.setattr(jaccard, "SET_PARTS", 2)
-
-
 def shingle_set(text):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
