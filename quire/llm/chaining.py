@@ -30,17 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, table, texts_of, written
+from quire.llm._common import discard, scope, table, texts_of, written
 from quire.llm.words import _powers, mix, shingles_in_order, slices, text_bytes, words
 
 K, WINDOW = 5, 6
 #: A chain has so many matching words before it is aligned; a passage so many words and such a share of equal ones.
 CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 8, 40, 0.8
-#: Cost of each word of a gap, and words beyond a chain that the extension may look at.
-GAP_COST, REACH = 0.3, 400
+#: Cost of each word of a gap; an extension ends when its score falls so far below its best.
+GAP_COST, DROP = 0.3, 8
+#: Words beyond a chain that are fetched at first; chains that go on beyond them are aligned in whole texts.
+REACH = 400
 #: Words of the spans of seeds, at least; at most twice as many.
 SPANS = (10, 20, PASSAGE_WORDS)
-_GAP_CELLS = 40_000
+#: Words next to the diagonal that the first, narrowest alignment of a gap looks at.
+_BAND = 64
 
 PASSAGES = "doc_id long, start int, length int, source_id long, source_start int, source_length int, matches int, text_hash long"
 
@@ -288,56 +291,100 @@ def word_arrays(docs: DataFrame) -> DataFrame:
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that the best alignment of two short stretches has in common."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) * len(b) > _GAP_CELLS:
-        m = min(len(a), len(b))
-        return int((a[:m] == b[:m]).sum())
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        up = np.maximum(row[1:], row[:-1] + (b == x))
-        row[1:] = np.maximum.accumulate(up)
-    return int(row[-1])
-
-
-def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two stretches go on alike, and how many words agree there."""
+    """Words that the best alignment of two stretches has in common.
+
+    Beginnings and ends that are equal are set aside; the rest is aligned in a band about
+    the diagonal, which is widened until twice as wide a band finds no more.
+    """
     m = min(len(a), len(b))
     if not m:
-        return 0, 0
-    same = a[:m] == b[:m]
-    score = np.cumsum(np.where(same, 1, -2))
-    drop = np.flatnonzero(score < np.maximum.accumulate(np.maximum(score, 0)) - 8)
-    if len(drop):
-        score = score[: drop[0]]
-    at = int(np.argmax(score)) if len(score) else 0
-    return (at + 1, int(same[: at + 1].sum())) if len(score) and score[at] > 0 else (0, 0)
-
-
-def aligned(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Start and length in both texts and equal words of a chain; positions are within ``a`` and ``b``."""
+        return 0
+    unlike = np.flatnonzero(a[:m] != b[:m])
+    head = int(unlike[0]) if len(unlike) else m
+    a, b = a[head:], b[head:]
+    m -= head
+    unlike = np.flatnonzero(a[len(a) - m :][::-1] != b[len(b) - m :][::-1])
+    tail = int(unlike[0]) if len(unlike) else m
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return head + tail
+    band, found = _BAND, -1
+    while True:
+        more = _in_band(a, b, band)
+        if more == found or band >= max(len(a), len(b)):
+            return head + tail + more
+        band, found = 2 * band, more
+
+
+def _in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The longest common subsequence of places that are at most ``band`` (beside the difference in length) off the diagonal."""
+    skew = len(b) - len(a)
+    low, high = min(0, skew) - band, max(0, skew) + band  # of b's place less a's
+    row = np.zeros(high - low + 2, dtype=np.int32)  # by diagonal; the last cell is none
+    padded = np.zeros(len(b) + len(a) + 2 * (high - low) + 4, dtype=b.dtype)
+    valid = np.zeros(len(padded), dtype=bool)
+    shift = -low
+    padded[shift : shift + len(b)] = b
+    valid[shift : shift + len(b)] = True
+    width = high - low + 1
+    for i, x in enumerate(a):
+        at = slice(i, i + width)
+        met = (padded[at] == x) & valid[at]
+        row[:-1] = np.maximum.accumulate(np.maximum(row[:-1] + met, row[1:]))
+    return int(row[:-1].max())
+
+
+def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
+    """How far two stretches go on alike, how many words agree there, and whether a stretch ended before the score fell.
+
+    They are read in blocks.
+    """
+    m = min(len(a), len(b))
+    start, score, best, end, equal, agreed, ran = 0, 0, 0, 0, 0, 0, True
+    while start < m:
+        size = min(m - start, 256)
+        same = a[start : start + size] == b[start : start + size]
+        run = score + np.cumsum(np.where(same, 1, -2))
+        low = np.flatnonzero(run < np.maximum(np.maximum.accumulate(run), best) - DROP)
+        stop = int(low[0]) if len(low) else size
+        if stop and run[:stop].max() > best:
+            at = int(np.argmax(run[:stop]))
+            best, end, agreed = int(run[at]), start + at + 1, equal + int(same[: at + 1].sum())
+        if len(low):
+            ran = False
+            break
+        score, equal, start = int(run[-1]), equal + int(same.sum()), start + size
+    return end, agreed, ran
+
+
+def aligned(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, bool, bool]:
+    """Start and length in both texts and equal words of a chain, and whether it went to the beginning or end of ``a`` or ``b``."""
     equal = 0
     for k, (x, y, n) in enumerate(zip(xs, ys, ns)):
         equal += int((a[x : x + n] == b[y : y + n]).sum())
         if k:
             equal += common_words(a[xs[k - 1] + ns[k - 1] : x], b[ys[k - 1] + ns[k - 1] : y])
     x0, y0, x1, y1 = xs[0], ys[0], xs[-1] + ns[-1], ys[-1] + ns[-1]
-    back, more = extension(a[:x0][::-1], b[:y0][::-1])
-    ahead, still = extension(a[x1:], b[y1:])
-    return x0 - back, x1 - x0 + back + ahead, y0 - back, y1 - y0 + back + ahead, equal + more + still
+    back, more, to_start = extension(a[:x0][::-1], b[:y0][::-1])
+    ahead, still, to_end = extension(a[x1:], b[y1:])
+    return x0 - back, x1 - x0 + back + ahead, y0 - back, y1 - y0 + back + ahead, equal + more + still, to_start, to_end
 
 
-def accepted(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray, least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+def accepted(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray, least: int, identity: float) -> tuple[list[tuple[int, int, int, int, int]], bool, bool]:
     """The alignment of a chain if it is long and alike enough in ``a``; else those of its two sides of the widest gap."""
-    found = aligned(xs, ys, ns, a, b)
-    if found[1] >= least and found[4] >= identity * found[1]:
-        return [found]
-    if len(xs) == 1 or found[1] < least:
-        return []
-    gaps = [xs[k] - xs[k - 1] - ns[k - 1] + ys[k] - ys[k - 1] - ns[k - 1] for k in range(1, len(xs))]
-    cut = 1 + int(np.argmax(gaps))
-    return accepted(xs[:cut], ys[:cut], ns[:cut], a, b, least, identity) + accepted(xs[cut:], ys[cut:], ns[cut:], a, b, least, identity)
+    waiting, out = [(0, len(xs))], []
+    to_start = to_end = False
+    while waiting:
+        i, j = waiting.pop()
+        *found, first, last = aligned(xs[i:j], ys[i:j], ns[i:j], a, b)
+        to_start, to_end = to_start or first, to_end or last
+        if found[1] >= least and found[4] >= identity * found[1]:
+            out.append(tuple(found))
+        elif j - i > 1 and found[1] >= least:
+            gaps = [xs[k] - xs[k - 1] - ns[k - 1] + ys[k] - ys[k - 1] - ns[k - 1] for k in range(i + 1, j)]
+            cut = i + 1 + int(np.argmax(gaps))
+            waiting += [(cut, j), (i, cut)]
+    return out, to_start, to_end
 
 
 def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDENTITY) -> DataFrame:
@@ -357,30 +404,47 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDEN
     discard(anchors)
     named = found.select("doc_id").union(found.select("source_id")).distinct()
     of = written(word_arrays(docs.join(named, "doc_id", "left_semi")), "words")
+    near = written(_aligned(found, of, REACH, least, identity), "near")
+    # chains that go on beyond what was fetched
+    far = near.filter("more").select("doc_id", "source_id").distinct()
+    whole = _aligned(found.join(far, ["doc_id", "source_id"], "left_semi"), of, None, least, identity)
+    rest = near.filter("start IS NOT NULL").join(far, ["doc_id", "source_id"], "left_anti")
+    return rest.unionByName(whole.filter("start IS NOT NULL")).drop("more").distinct()
+
+
+def _aligned(found: DataFrame, of: DataFrame, reach: int | None, least: int, identity: float) -> DataFrame:
+    """:data:`PASSAGES` and ``more``, with no more than ``reach`` words of the texts beyond a chain; ``more``: it goes on there.
+
+    A chain that gives no passage but goes on has a row without a start.
+    """
     low, high = F.element_at("xs", 1), F.element_at("xs", -1) + F.element_at("ns", -1)
     s_low, s_high = F.element_at("ys", 1), F.element_at("ys", -1) + F.element_at("ns", -1)
-    cut = found.select("*", F.greatest(F.lit(0), low - REACH).alias("from"), (high + REACH).alias("to"), F.greatest(F.lit(0), s_low - REACH).alias("s_from"), (s_high + REACH).alias("s_to"))
-    part = cut.join(of, "doc_id").withColumn("a", F.slice("words", F.col("from") + 1, F.col("to") - F.col("from"))).drop("words")
+    none, size = F.lit(0), F.lit(2**31 - 1)
+    edges = [none, size, none, size] if reach is None else [F.greatest(none, low - reach), high + reach, F.greatest(none, s_low - reach), s_high + reach]
+    cut = found.select("*", *(e.alias(n) for e, n in zip(edges, ("from", "to", "s_from", "s_to"))))
+    part = cut.join(of, "doc_id").withColumn("a", F.slice("words", F.col("from") + 1, F.col("to") - F.col("from"))).withColumn("cut_a", F.col("to") < F.size("words")).drop("words")
     source = of.select(F.col("doc_id").alias("source_id"), F.col("words").alias("s_words"))
     both = part.join(source, "source_id").withColumn("b", F.slice("s_words", F.col("s_from") + 1, F.col("s_to") - F.col("s_from")))
-    both = both.select("doc_id", "source_id", "xs", "ys", "ns", "from", "s_from", "a", "b", "text_hash")
+    both = both.select("doc_id", "source_id", "xs", "ys", "ns", "from", "s_from", "a", "b", "text_hash", (F.col("cut_a") | (F.col("s_to") < F.size("s_words"))).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             a_of, b_of = batch.column(7), batch.column(8)
-            for k, r in enumerate(batch.select([0, 1, 2, 3, 4, 5, 6, 9]).to_pylist()):
+            for k, r in enumerate(batch.select([0, 1, 2, 3, 4, 5, 6, 9, 10]).to_pylist()):
                 a, b = a_of[k].values.to_numpy(zero_copy_only=False), b_of[k].values.to_numpy(zero_copy_only=False)
                 xs, ys = [x - r["from"] for x in r["xs"]], [y - r["s_from"] for y in r["ys"]]
                 if xs[-1] + r["ns"][-1] > len(a) or ys[-1] + r["ns"][-1] > len(b):
                     continue  # of another text with this id
-                for x, n, y, m, equal in accepted(xs, ys, r["ns"], a, b, least, identity):
-                    out.append((r["doc_id"], r["from"] + x, n, r["source_id"], r["s_from"] + y, m, equal, r["text_hash"]))
+                some, to_start, to_end = accepted(xs, ys, r["ns"], a, b, least, identity)
+                more = (to_start and (r["from"] > 0 or r["s_from"] > 0)) or (to_end and r["cut"])
+                for x, n, y, m, equal in some or ([(None,) * 5] if more else []):
+                    out.append((r["doc_id"], x if x is None else r["from"] + x, n, r["source_id"], y if y is None else r["s_from"] + y, m, equal, r["text_hash"], more))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in PASSAGES.split(", ")])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [*(c.split()[0] for c in PASSAGES.split(", ")), "more"])
 
-    return both.mapInArrow(run, PASSAGES).distinct()
+    return both.mapInArrow(run, PASSAGES + ", more boolean")
 
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -409,16 +473,20 @@ def remove_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float
     Columns stay as they are; where a text changes, ``n_chars`` (if there is one) is
     its new length.  A text of which nothing is left goes.
     """
-    spans = passages(docs, least, identity).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    spans = written(spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans"), "spans")
-    joined = docs.join(spans, (docs["doc_id"].cast("long") == spans["_doc"]) & (F.xxhash64(docs["text"]) == spans["_hash"]), "left").drop("_doc", "_hash")
+    spans = passages(docs, least, identity).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     names = docs.columns
+    with scope() as keep:
+        spans = keep(written(spans, "spans"))
+    packed = docs.select(F.struct(*(docs[n] for n in names)).alias("row"))
+    met = (F.col("row.doc_id").cast("long") == spans["doc_id"]) & (F.xxhash64(F.col("row.text")) == spans["text_hash"])
+    joined = packed.join(spans, met, "left").select("row", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cut = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+            rows = batch.column(0)
+            texts, cut = rows.field("text").to_pylist(), batch.column(1).to_pylist()
             new = [without(t, [(s["start"], s["length"]) for s in c]) if c else t for t, c in zip(texts, cut)]
-            cols = [batch.column(n) for n in names]
+            cols = [rows.field(n) for n in names]
             cols[names.index("text")] = pa.array(new, pa.string())
             if "n_chars" in names:
                 at = names.index("n_chars")
@@ -427,7 +495,7 @@ def remove_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float
             keep = pa.array([not c or bool(t.strip()) for t, c in zip(new, cut)])
             yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
 
-    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

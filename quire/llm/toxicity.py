@@ -8,12 +8,13 @@ is run along the trie; where both accept, the word is a term or a misspelling of
 one.  Words that clean documents use are exceptions and only count as themselves.
 
 Each hit is then looked at in a window of words around it: inside quotation marks
-or near a reporting word it is quoted, near a form of address it is aimed at
-someone.  A logistic regression over the summed weights gives the score.
+or near a word that stands by hits in clean documents it is quoted, near a word that stands by
+hits in toxic ones it is aimed at someone; both kinds of words are learned.  A logistic
+regression over the summed weights gives the score.
 
-Lexicon and regression are fitted on a bounded sample of labelled rows
-(``SAMPLE_ROWS`` of each class); scoring reads every text as a whole and needs no
-shuffle.
+Lexicon, cues and regression are fitted on a bounded sample of labelled rows
+(``SAMPLE_ROWS`` of each class), the lexicon on three quarters of it, the others on the
+rest; scoring reads every text as a whole and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -31,41 +32,46 @@ from quire.llm._common import table, texts_of, written
 
 #: Labelled rows of each class that the model may be fitted on.
 SAMPLE_ROWS = 8000
-#: Terms that :func:`covering` takes, and exceptions to the lexicon, at most.
-LEXICON, EXCEPTIONS = 3000, 50_000
 #: A term stands in so many toxic documents of the sample at least, with such log-odds.
 LEAST_DOCS, LEAST_ODDS = 3, 2.0
-#: A toxic document with so many terms of the lexicon asks for no more.
-COVER = 3
 THRESHOLD = 0.3
 #: Words on either side of a hit that set its context.
 WINDOW = 6
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Words that report speech, and forms of address, in the tables' languages.
-REPORTING = frozenset("said says called calling wrote word words term terms quote quoted sagte sagt schrieb wort wörter begriff zitat dit écrit mot mots terme citation dijo dice escribió palabra palabras término cita".split())
-ADDRESS = frozenset("you your youre yourself du dich dir dein deine sie ihr euch tu te toi ton vous votre usted ustedes vosotros ti".split())
-QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»|‘[^’\n]{1,300}’")
+#: A cue stands near hits in so many documents of one class at least, with such log-odds.
+CUE_DOCS, CUE_ODDS = 5, 1.0
+
+#: Letters, with digits and marks that stand for letters inside.
+WORD = re.compile(r"[^\W\d_]+(?:[\d*@$!]+[^\W\d_]+)*")
+QUOTES = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‘[^’\n]+’")
 
 FEATURES = 7
+#: Shorter terms count as they are only.
+LEAST_LETTERS = 5
 
 
 def tolerance(length: int) -> int:
-    """Edits that a word of this length may be from a term."""
-    return 0 if length < 5 else 1
+    """Edits that a word of this length may be from a term of ``LEAST_LETTERS`` or more."""
+    return 0 if length < LEAST_LETTERS - 1 else 1
+
+
+def shorter(word: str) -> list[str]:
+    """The word without each of its letters."""
+    return [word[:k] + word[k + 1 :] for k in range(len(word))]
 
 
 class Trie:
     """Terms by letters; a node is a dictionary, a term's number stands under ''.
 
-    One edit leaves the first half of a word or its second half as it was, so a word
-    whose halves neither begin nor end a term is near none (:meth:`may`).
+    A word one edit from a term equals it or shares a form of it that lacks one letter
+    (:meth:`may`), so the automaton runs for few words.
     """
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
         self.numbers = {t: n for n, t in enumerate(terms)}
-        self.begins = {t[:k] for t in terms for k in range(len(t) + 1)}
+        self.lengths = [len(t) for t in terms]
+        self.forms = {f for t in terms for f in (t, *shorter(t))}
         self.ends = {t[k:] for t in terms for k in range(len(t) + 1)}
         for n, term in enumerate(terms):
             node = self.root
@@ -74,9 +80,22 @@ class Trie:
             node[""] = n
 
     def may(self, word: str) -> bool:
-        """False only for words that are more than one edit from every term."""
-        half = len(word) // 2
-        return word[:half] in self.begins or word[half:] in self.ends
+        """False only for words that are more than one edit, or one swap, from every term."""
+        return word in self.forms or not self.forms.isdisjoint(shorter(word))
+
+    def swapped(self, word: str) -> tuple[int, int] | None:
+        """The first term that two neighbouring letters in each other's place give, as one edit."""
+        found = [self.numbers[w] for k in range(len(word) - 1) if (w := word[:k] + word[k + 1] + word[k] + word[k + 2 :]) in self.numbers]
+        return (1, min(found)) if found else None
+
+    def nearest(self, word: str, edits: int) -> tuple[int, int] | None:
+        """As :meth:`within`, a swap counting as one edit."""
+        if edits == 0:
+            return self.within(word, 0)
+        if edits < 2 and not self.may(word):
+            return None
+        found = self.within(word, edits) or self.swapped(word)
+        return found if found and (found[0] == 0 or self.lengths[found[1]] >= LEAST_LETTERS) else None
 
     def within(self, word: str, edits: int) -> tuple[int, int] | None:
         """The nearest term as (edits, number), the smaller number first; None if none is near.
@@ -88,8 +107,6 @@ class Trie:
         if edits == 0:
             n = self.numbers.get(word)
             return None if n is None else (0, n)
-        if edits < 2 and not self.may(word):
-            return None
         end = 1 << len(word)
         masks: dict[str, int] = {}
         open_ends = end
@@ -136,6 +153,8 @@ class Model:
     weights: list[float] = field(default_factory=list)
     exceptions: frozenset[str] = frozenset()
     beta: list[float] = field(default_factory=lambda: [-3.0] + [0.0] * (FEATURES - 1))
+    quoting: frozenset[str] = frozenset()
+    aiming: frozenset[str] = frozenset()
 
 
 class Scorer:
@@ -146,11 +165,11 @@ class Scorer:
 
     def hits(self, words: list[str]) -> dict[str, tuple[int, int]]:
         """The words that are terms or near one, with the edits and the term."""
-        if len(self.known) > 100_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         for w in set(words).difference(self.known):
             edits = 0 if w in self.model.exceptions else tolerance(len(w))
-            self.known[w] = self.trie.within(w, edits)
+            self.known[w] = self.trie.nearest(w, edits)
         get = self.known.__getitem__
         return {w: h for w in set(words) if (h := get(w))}
 
@@ -173,10 +192,10 @@ class Scorer:
             while opened < len(spans) and spans[opened][1] <= m.start():
                 opened += 1
             inside = opened < len(spans) and spans[opened][0] <= m.start()
-            if inside or any(w in REPORTING for w in near):
+            if inside or not self.model.quoting.isdisjoint(near):
                 quoted += weight
                 weight *= 0.3
-            if any(w in ADDRESS for w in near):
+            if not self.model.aiming.isdisjoint(near):
                 aimed += weight
             if h[0]:
                 fuzzy += weight
@@ -186,6 +205,12 @@ class Scorer:
         share = 100 * (exact + fuzzy) / len(words)
         return [1.0, *(float(np.log1p(x)) for x in (exact, fuzzy, most, quoted, aimed, share))]
 
+    def neighbours(self, text: str) -> set[str]:
+        """The words in the windows of all hits."""
+        words = WORD.findall(text.lower())
+        found = self.hits(words)
+        return {w for k, word in enumerate(words) if word in found for w in words[max(0, k - WINDOW) : k + WINDOW + 1] if w not in found}
+
     def score(self, text: str) -> float:
         z = sum(b * x for b, x in zip(self.model.beta, self.features(text)))
         return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, z)))))
@@ -205,33 +230,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return beta.tolist()
 
 
-def covering(docs: list[np.ndarray], clean_share: list[float]) -> list[int]:
-    """Terms in the order they are taken, for a short lexicon; :func:`fit` takes all.
-
-    ``docs``: the terms of each toxic document; ``clean_share``: log of the share of
-    clean documents that have a term.
-    """
-    counts = np.bincount(np.concatenate([*docs, np.zeros(0, np.int64)]), minlength=len(clean_share))
-    holders: list[list[int]] = [[] for _ in clean_share]
-    for d, terms in enumerate(docs):
-        for t in terms.tolist():
-            holders[t].append(d)
-    open_to = [COVER] * len(docs)
-    out: list[int] = []
-    while len(out) < LEXICON and len(counts):
-        t = int(counts.argmax())
-        if counts[t] < LEAST_DOCS:
-            break
-        if np.log((counts[t] + 0.5) / (len(docs) + 1)) - clean_share[t] >= LEAST_ODDS:
-            out.append(t)
-            for d in holders[t]:
-                open_to[d] -= 1
-                if open_to[d] == 0:
-                    counts[docs[d]] -= 1
-        counts[t] = -len(docs)
-    return out
-
-
 def held_out(doc_id) -> F.Column:
     """Whether a row is kept from training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -277,12 +275,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     def misleading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model.terms)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if trie.within(w, tolerance(len(w)))], pa.string())], ["term"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if trie.nearest(w, tolerance(len(w)))], pa.string())], ["term"])
 
     clean = counts.filter((F.col("all") - F.col("bad") >= 2) & (F.col("odds") < 1))
-    near = clean.select("term").mapInArrow(misleading, "term string").orderBy("term").limit(EXCEPTIONS).collect()
+    near = clean.select("term").mapInArrow(misleading, "term string").collect()  # words of the bounded sample
     model.exceptions = frozenset(r["term"] for r in near)
 
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # the empty word counts the documents with hits
+                found = scorer.neighbours(text)
+                found = [*found, ""] if found else []
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["word", "toxic"])
+
+    by_word = learn.mapInArrow(neighbours, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).filter(F.col("all") >= CUE_DOCS)
+    seen = {r["word"]: (r["bad"], r["all"] - r["bad"]) for r in by_word.collect()}
+    hit_bad, hit_good = seen.pop("", (0, 0))
+    lean = {w: np.log((b + 0.5) / (hit_bad + 1)) - np.log((g + 0.5) / (hit_good + 1)) for w, (b, g) in seen.items()}
+    model.quoting = frozenset(w for w, x in lean.items() if x <= -CUE_ODDS and seen[w][1] >= CUE_DOCS)
+    model.aiming = frozenset(w for w, x in lean.items() if x >= CUE_ODDS and seen[w][0] >= CUE_DOCS)
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:

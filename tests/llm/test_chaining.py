@@ -46,7 +46,7 @@ def test_minima_cover_every_window():
 def test_common_words():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([2, 9, 3, 5])
     assert chaining.common_words(a, b) == 3
-    assert chaining.extension(np.array([1, 2, 3, 9, 5, 6, 7]), np.array([1, 2, 3, 4, 5, 6, 7])) == (7, 6)
+    assert chaining.extension(np.array([1, 2, 3, 9, 5, 6, 7]), np.array([1, 2, 3, 4, 5, 6, 7])) == (7, 6, True)
 
 
 def planted(seed):

@@ -76,14 +76,11 @@ def test_odd_rows_and_no_labels(spark):
     assert toxicity.clean_documents(table, model()).count() == table.count()
 
 
-def test_covering_leaves_out_what_only_stands_with_stronger_terms():
-    # 0 to 2 are in all documents, 3 in some of these, 4 in documents of its own
-    import numpy as np
-
-    docs_of = [np.array([0, 1, 2, 3])] * 20 + [np.array([0, 1, 2])] * 20 + [np.array([4])] * 5
-    assert toxicity.covering(docs_of, [-8.0] * 5) == [0, 1, 2, 4]
-    assert toxicity.covering(docs_of, [-8.0, 0.0, -8.0, -8.0, -8.0]) == [0, 2, 3, 4]
-    assert toxicity.covering([], []) == []
+def test_disguised_terms():
+    scorer = toxicity.Scorer(toxicity.Model(["idiot", "worthless"], [5.0, 5.0]))
+    for word in ("idiot", "idoit", "id1ot", "idot", "idiiot", "w0rthless", "i*iot"):
+        assert word in scorer.hits(toxicity.WORD.findall(f"you {word}, he said")), word
+    assert not scorer.hits(["idea", "worth", "patriot"])
 
 
 def test_every_term_that_meets_the_odds_is_taken(spark):
