@@ -67,7 +67,9 @@ class Queues:
                 done += 8 * len(part)
                 yield part
             elif self.waiting.get(symbol):
-                part = self.waiting[symbol].pop(0)
+                # all that wait, in order: what they push on follows all of them in any case
+                part = np.concatenate(self.waiting[symbol])
+                self.waiting[symbol] = []
                 self.size -= len(part)
                 yield part
             else:

@@ -36,7 +36,7 @@ from quire.llm.words import mix, polynomial, text_bytes
 SIZE = 50
 #: Bytes of the substrings whose smallest hash is the minimizer.
 GRAM = 16
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 
 
 def stretches(raw: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +124,11 @@ def string_owners(parts: list[bytes], owner: np.ndarray, size: int, limit: int =
     text = raw[: int(lengths.sum()) + len(parts)].astype(np.uint16) + 2
     text[start[1:] - 1] = 1
     text[-1] = 0
-    valid = np.zeros(len(text) + 1, dtype=np.int64)
+    valid = np.zeros(len(text) + 1, dtype=np.int32)
     np.add.at(valid, start, 1)
     np.add.at(valid, start + lengths - size + 1, -1)
     inside = np.cumsum(valid[:-1]) > 0
-    of = np.repeat(np.arange(len(parts)), lengths + 1)
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), lengths + 1)
     order = induced_order(text, size, limit)
     order = order[inside[order]]
     eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
