@@ -375,6 +375,7 @@ def ruby(text: Column, brackets: bool = True, large: bool = False) -> Column:
     text = F.regexp_replace(text, "｜([^｜≪≫（）《》\\n]+)≪([^≪≫\\n]+)≫", f"{_MARK}$1《$2》")
     text = F.regexp_replace(text, f"(?<![{base}{_MARK}])([{base}]+)≪([{kana}][{kana} 　]{{0,19}})≫", f"{_MARK}$1《$2》")
     if brackets:
+        text = F.regexp_replace(text, f"｜([^｜≪≫（）《》\\n]+)（([{kana}]{{1,20}})）", f"{_MARK}$1《$2》")
         text = F.regexp_replace(text, f"(?<![{base}{_MARK}])([{base}]+)（([{kana}]{{1,20}})）", f"{_MARK}$1《$2》")
     text = F.regexp_replace(text, "｜([≪（])", "$1")
     if large:

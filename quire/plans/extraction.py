@@ -1,0 +1,141 @@
+"""Queries that find rows and values in stored pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import rules as R
+from quire.plans.base import query
+from quire.sources import bytes as B
+from quire.sources.tables import table
+
+_LINK = r'<li><a href="([^"]*)">([^<]*)</a></li>'
+_FOUND = "WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2)) AS subtitle, generate_subscripts(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1), 1) AS n FROM pages), f AS (SELECT page_id, href, trim(subtitle) AS subtitle, n FROM m WHERE href <> '' AND trim(subtitle) <> '' QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY n) = 1), r AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n)::INTEGER AS position, href, subtitle FROM f) "
+
+
+@query(_FOUND + "SELECT page_id, position, position::VARCHAR AS index, href, subtitle FROM r")
+def rule_regex(spark, d):
+    return R.regex_rows(table(spark, d, "pages"), "page_id", R.RegexRule(_LINK)).select("page_id", "position", "index", "href", "subtitle")
+
+
+@query(_FOUND + "SELECT page_id, position, href, subtitle FROM r")
+def rule_selector(spark, d):
+    return R.selector_rows(table(spark, d, "pages"), "page_id", R.SelectorRule("nav li > a")).groupBy("page_id", "href").agg(F.min(F.struct("position", "subtitle")).alias("r")).select("page_id", "href", "r.subtitle", F.row_number().over(_by_page()).alias("position"))
+
+
+def _by_page():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("page_id").orderBy("r.position")
+
+
+@query("SELECT page_id, '/a' || page_id AS href, 'x' || page_id AS subtitle, 1 AS position FROM pages UNION ALL SELECT page_id, '/b', 'y', 2 FROM pages")
+def rule_json_path(spark, d):
+    item = lambda h, t: F.concat(F.lit('{"path":"'), h, F.lit('","name":"'), t, F.lit('"}'))
+    key = F.col("page_id").cast("string")
+    script = F.concat(F.lit('<script type="application/json">{"toc":{"items":['), item(F.concat(F.lit("/a"), key), F.concat(F.lit("x"), key)), F.lit(","), item(F.lit("/b"), F.lit("y")), F.lit("]}}</script>"))
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", script).alias("html"))
+    rule = R.JsonRule("toc.items", "path", "name", r"(?s)<script type=\"application/json\">(.*?)</script>")
+    return R.json_rows(pages, "page_id", rule).select("page_id", "href", "subtitle", "position")
+
+
+@query(_FOUND + "SELECT page_id, position, href FROM r UNION ALL SELECT page_id, 1, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM r)")
+def contents_by_priority(spark, d):
+    pages = table(spark, d, "pages")
+    whole = pages.select("page_id", F.lit(1).alias("position"), F.col("url").alias("href"))
+    none = R.regex_rows(pages, "page_id", R.RegexRule("<dl><dt>([^<]*)</dt><dd>([^<]*)</dd></dl>"))
+    links = R.regex_rows(pages, "page_id", R.RegexRule(_LINK))
+    return R.by_priority([none.select("page_id", "position", "href"), links.select("page_id", "position", "href"), whole], "page_id")
+
+
+@query("SELECT page_id, 'https://example.org/list?p=' || n AS href FROM (SELECT page_id, unnest(generate_series(2, page_id % 5)) AS n FROM pages WHERE page_id % 5 >= 2)")
+def page_sources(spark, d):
+    last = F.concat("html", F.lit('<a href="?p='), (F.col("page_id") % 5).cast("string"), F.lit('">last</a>'))
+    return table(spark, d, "pages").select("page_id", last.alias("html")).select("page_id", F.explode(R.page_range(r'href="\?p=(\d+)"', "https://example.org/list?p={page}")).alias("href"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<meta name=\"x\" content=\"([^\"]*)\"', 1), ''), nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '')) AS content FROM pages")
+def content_extraction(spark, d):
+    from quire.operators.catalogue import first_not_blank
+
+    found = [F.get_json_object("html", "$.body"), F.regexp_extract("html", '<meta name="x" content="([^"]*)"', 1), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)]
+    return table(spark, d, "pages").select("page_id", first_not_blank(*found).alias("content"))
+
+
+@query("SELECT page_id, nullif(trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), chr(10), ' ')), '') AS title FROM pages")
+def selector_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", R.selector_value(F.col("html"), "title").alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN strpos(t, ', ') > 0 THEN trim(left(t, strpos(t, ', ') - 1)) ELSE trim(t) END AS title, coalesce(CASE WHEN strpos(t, ', ') > 0 THEN nullif(trim(substr(t, strpos(t, ', ') + 2)), '') END, nullif(regexp_extract(t, '^([A-Z][a-z]+)', 1), '')) AS author FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)")
+def title_author_split(spark, d):
+    first = F.substring_index("text", "\n", 1)
+    title, author = R.split_title(first, ", ", "^([A-Z][a-z]+)")
+    return table(spark, d, "documents").select("doc_id", title.alias("title"), author.alias("author"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(split_part(url, '/', 3) || '  x  ', '(?i)(^|\\s)site:\\S*', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM pages")
+def cleaned_queries(spark, d):
+    raw = F.concat(F.element_at(F.split("url", "/"), 3), F.lit("%20 site:example.org x  "))
+    return table(spark, d, "pages").select("page_id", T.cleaned_query(raw).alias("query"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/top' AS rooted, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || 'next' AS beside, 'https://o.example/' AS whole, regexp_extract(url, '^([a-z]+):', 1) || '://cdn.example/x' AS other FROM pages")
+def resolved_urls(spark, d):
+    base = F.col("url")
+    of = lambda h: T.resolved_url(F.lit(h), base)
+    return table(spark, d, "pages").select("page_id", of("/top").alias("rooted"), of("next").alias("beside"), of("https://o.example/").alias("whole"), of("//cdn.example/x").alias("other"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(split_part(url, '/', 3)), '(^|\\.)example\\.org$') THEN 'org' WHEN regexp_matches(lower(split_part(url, '/', 3)), '(^|\\.)example\\.net$') THEN 'net' END AS site, regexp_replace(regexp_replace(url, '[?&](utm_source|ref)=[^&]*', '', 'g'), '#.*$', '') AS url FROM pages")
+def normalised_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", R.site_of(F.col("url"), {"org": ["example.org"], "net": ["example.net"]}).alias("site"), R.plain_url(F.col("url")).alias("url"))
+
+
+@query("SELECT user_id AS site, max_by(event_type, ts) AS selector FROM events WHERE value > 5 GROUP BY user_id HAVING max_by(event_type, ts) NOT IN ('view', 'click')")
+def broken_rules(spark, d):
+    e = table(spark, d, "events")
+    history = e.select(F.col("user_id").alias("site"), F.col("event_type").alias("selector"), F.col("ts").alias("at"), F.when(F.col("value") > 5, 1).otherwise(0).alias("rows"))
+    now = e.select(F.col("user_id").alias("site"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("selector"), F.lit(1).alias("rows")).distinct()
+    return R.broken_rules(history, now)
+
+
+@query("SELECT page_id, html AS text FROM pages")
+def decoded_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", B.decoded(F.encode("html", "UTF-8"), F.lit("text/html; charset=utf-8")).alias("text"))
+
+
+@query("SELECT page_id, page_id || chr(10) || 'line' AS unescaped, 'a\\q' AS kept FROM pages")
+def json_unescaped(spark, d):
+    return table(spark, d, "pages").select("page_id", T.json_unescaped(F.concat(F.col("page_id").cast("string"), F.lit("\\nline"))).alias("unescaped"), T.json_unescaped(F.lit("a\\q")).alias("kept"))
+
+
+@query("SELECT page_id, '<p>' || page_id || '</p><br /><hr /><ruby>漢字<rt>かんじ</rt></ruby>' AS xhtml FROM pages")
+def xhtml_pieces(spark, d):
+    return table(spark, d, "pages").select("page_id", T.xhtml(F.concat(F.lit("<P class='x'>"), F.col("page_id").cast("string"), F.lit("</P><BR><hr/>｜漢字《かんじ》"))).alias("xhtml"))
+
+
+@query("SELECT page_id, page_id || chr(10) || '漢字(かんじ)&' AS text FROM pages")
+def reader_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", T.reader_text(F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>&amp;<br>"))).alias("text"))
+
+
+@query("SELECT page_id, page_id || chr(10) || '｜漢字《かんじ》［＃太字］b［＃太字終わり］［＃挿絵（a.png）入る］' AS text FROM pages")
+def aozora_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_to_aozora(F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit('</p><ruby>漢字<rt>かんじ</rt></ruby><b>b</b><img alt="x" src="a.png">'))).alias("text"))
+
+
+@query("SELECT doc_id, 'https://example.org/' || doc_id AS url FROM documents")
+def source_addresses(spark, d):
+    head = F.concat(F.lit("底本URL：https://example.org/"), F.col("doc_id").cast("string"), F.lit("\n"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(head, "text")).otherwise(F.concat("text", F.lit("\n"), F.replace(head, F.lit("底本URL"), F.lit("掲載"))))
+    return table(spark, d, "documents").select("doc_id", B.source_address(text).alias("url"))
+
+
+@query("SELECT conv_id AS work, count(*) AS sections, string_agg(DISTINCT role, ' ' ORDER BY role) AS titles FROM conversations GROUP BY conv_id")
+def aozora_round_trip(spark, d):
+    chapters = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("work")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("body")))).alias("s"))
+    text = chapters.select("work", B.aozora_text(F.lit("題"), F.lit("作者"), F.col("s"), F.lit("https://example.org/")).alias("text"))
+    read = text.select("work", B.aozora_sections(F.col("text")).alias("a"))
+    return read.select("work", F.size("a.parts").cast("bigint").alias("sections"), F.array_join(F.array_sort(F.array_distinct(F.transform("a.parts", lambda p: p["title"]))), " ").alias("titles"))

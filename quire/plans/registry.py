@@ -87,8 +87,7 @@ def tag_edits(spark, d):
 
 @_query(_WORKS + "SELECT id FROM works WHERE id NOT IN (SELECT id FROM works WHERE list_contains(tags, 'en'))")
 def tag_complement(spark, d):
-    all_works = works(spark, d)
-    return all_works.select("id").join(all_works.filter(F.array_contains("tags", "en")).select("id"), "id", "left_anti")
+    return works(spark, d).filter(~F.coalesce(F.array_contains("tags", "en"), F.lit(False))).select("id")
 
 
 @_query(_WORKS + """, t(target) AS (VALUES ('https://example.com/a'), ('n1234ab'), ('17'), ('999999999999'), ('Is'), (''))

@@ -320,3 +320,13 @@ def last_tasks(spark, d):
 @query("SELECT event_id, lpad(base36, 4, '0') AS name FROM (SELECT event_id, array_to_string(list_transform([46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', (((2091149000 - floor(epoch(ts))::BIGINT) // 600) // p % 36 + 1)::INTEGER, 1)), '') AS base36 FROM events)")
 def reversed_times(spark, d):
     return table(spark, d, "events").select("event_id", T.reverse_time(F.col("ts").cast("timestamp")).alias("name"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'view' THEN '.' ELSE event_type END AS status FROM events WHERE event_type <> 'signup'),
+ a AS (SELECT *, CASE WHEN status = '.' AND lag(status) OVER w = '.' THEN 0 ELSE 1 END AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ b AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT * FROM (SELECT user_id AS task, run::BIGINT AS run, min(status) AS status, count(*) AS times FROM b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task ORDER BY run DESC) <= 60""")
+def console_history(spark, d):
+    kind = F.col("event_type")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("task"), "ts", "event_id", F.when(kind == "view", ".").otherwise(kind).alias("status"), (kind == "signup").alias("no_history"))
+    return tasks.console(rows)

@@ -15,7 +15,19 @@ def merged_messages(events: DataFrame, keep: int = 60) -> DataFrame:
     """Runs of equal messages of a task as one, with their number; the last ``keep`` of each task."""
     by = Window.partitionBy("task").orderBy("ts", "event_id")
     changed = F.coalesce((F.col("status") != F.lag("status").over(by)).cast("int"), F.lit(1))
-    runs = events.withColumn("changed", changed).withColumn("run", F.sum("changed").over(by))
+    return _last_runs(events.withColumn("changed", changed), by, keep)
+
+
+def console(events: DataFrame, keep: int = 60) -> DataFrame:
+    """The last ``keep`` messages of a task: dots that follow each other are one growing message, those marked ``no_history`` go."""
+    by = Window.partitionBy("task").orderBy("ts", "event_id")
+    shown = events.filter(~F.coalesce("no_history", F.lit(False)))
+    again = (F.col("status") == ".") & (F.lag("status").over(by) == ".")
+    return _last_runs(shown.withColumn("changed", F.when(again, 0).otherwise(1)), by, keep)
+
+
+def _last_runs(events: DataFrame, by, keep: int) -> DataFrame:
+    runs = events.withColumn("run", F.sum("changed").over(by))
     merged = runs.groupBy("task", "run").agg(F.first("status").alias("status"), F.count(F.lit(1)).alias("times"))
     newest = F.row_number().over(Window.partitionBy("task").orderBy(F.col("run").desc()))
     return merged.withColumn("rank", newest).filter(F.col("rank") <= keep).select("task", "run", "status", "times")
