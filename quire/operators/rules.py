@@ -290,3 +290,15 @@ def broken_rules(history: DataFrame, now: DataFrame) -> DataFrame:
     """``site, selector``: the last selector of each site that had rows and has none now; ``history``: ``site, selector, at, rows``."""
     last = history.filter("rows > 0").groupBy("site").agg(F.max_by("selector", "at").alias("selector"))
     return last.join(now.filter("rows > 0").select("site", "selector"), ["site", "selector"], "left_anti")
+
+
+def script_state(pages: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """``key`` and the named values of ``(function(a,b){return {name:a}})(1,2)`` in a page's script, as their types."""
+    found = F.regexp_extract("html", r"(?s)\(function\(([\w,$ ]*)\)\s*\{\s*return\s*(\{.*?\})\s*\}\)\((.*?)\)\s*</script>", 0)
+    part = lambda k: F.regexp_extract(found, r"(?s)\(function\(([\w,$ ]*)\)\s*\{\s*return\s*(\{.*?\})\s*\}\)\((.*?)\)\s*</script>", k)
+    arguments = F.split(part(1), r"\s*,\s*")
+    values = F.from_json(F.concat(F.lit("["), part(3), F.lit("]")), "array<string>")
+    of = F.map_from_arrays(arguments, values)
+    rows = pages.select(key, of.alias("of"), part(2).alias("body"))
+    value = lambda n: F.try_element_at("of", F.regexp_extract("body", rf"\b{n}\s*:\s*([\w$]+)", 1))
+    return rows.select(key, *(value(n).try_cast(kind).alias(n) for n, kind in names.items()))

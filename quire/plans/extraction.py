@@ -139,3 +139,83 @@ def aozora_round_trip(spark, d):
     text = chapters.select("work", B.aozora_text(F.lit("題"), F.lit("作者"), F.col("s"), F.lit("https://example.org/")).alias("text"))
     read = text.select("work", B.aozora_sections(F.col("text")).alias("a"))
     return read.select("work", F.size("a.parts").cast("bigint").alias("sections"), F.array_join(F.array_sort(F.array_distinct(F.transform("a.parts", lambda p: p["title"]))), " ").alias("titles"))
+
+
+@query("SELECT doc_id, len(list_filter(range(len(l)), lambda i: i % 5 = 0)) AS removed, 1 AS added FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents)")
+def line_diffs(spark, d):
+    from quire.functions.diff import line_diff
+
+    lines = F.split("text", "\n")
+    # every line made different, so that there is one shortest way
+    marked = F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(" "), x))
+    kept = F.concat(F.filter(marked, lambda x, i: i % 5 != 0), F.array(F.lit("added")))
+    rows = table(spark, d, "documents").select("doc_id", line_diff(F.array_join(marked, "\n"), F.array_join(kept, "\n")).alias("diff"))
+    count = lambda sign: F.size(F.filter("diff", lambda x: x.startswith(sign))).cast("bigint")
+    return rows.select("doc_id", count("-").alias("removed"), count("+").cast("int").alias("added"))
+
+
+_TITLE = "regexp_replace(trim(regexp_replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '[', ''), ']', ''), '|', ''), '@', ''), '[\\s\\v]+', ' ', 'g')), '/', '', 'g')"
+
+
+@query(f"SELECT doc_id, trim({_TITLE}) || '語' AS title, '書籍化！ コミカライズ' AS tags FROM documents")
+def promotion_tags(spark, d):
+    from quire.functions import titles
+
+    first = F.translate(F.regexp_replace(F.substring_index("text", "\n", 1), r"[\t\f\r\u000b]", " "), "[]|@/", "")
+    title, tags = titles.without_promotions(F.concat(F.lit("【書籍化！】"), titles.folded(first), F.lit("語【コミカライズ】")))
+    return table(spark, d, "documents").select("doc_id", title.alias("title"), F.array_join(tags, " ").alias("tags"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 3 = 1 THEN 'n' || doc_id ELSE left('n' || doc_id || ' ' || left(translate(regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x1f]', '', 'g'), '\\/:*?\"<>|.`', '￥／：＊？”〈〉｜．｀'), 80), 80) END AS name FROM documents")
+def storage_titles(spark, d):
+    from quire.functions import titles
+
+    i = F.col("doc_id")
+    code = F.concat(F.lit("n"), i.cast("string"))
+    stored, first = F.when(i % 3 == 0, "kept").otherwise(""), F.substring_index("text", "\n", 1)
+    name = F.when(i % 3 == 2, titles.storage_title(stored, code, first, True)).otherwise(titles.storage_title(stored, code, first, False))
+    return table(spark, d, "documents").select("doc_id", name.alias("name"))
+
+
+@query("SELECT o_orderkey AS work, CASE WHEN o_orderkey % 3 = 2 AND count(l_orderkey) > 1 THEN 1 ELSE o_orderkey % 3 END AS kind FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def work_kinds(spark, d):
+    from quire.functions import titles
+
+    n = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n"))
+    return n.select(F.col("o_orderkey").alias("work"), titles.work_kind(F.col("o_orderkey") % 3, F.col("n")).alias("kind"))
+
+
+@query("SELECT page_id, 1 AS position, regexp_extract(html, '<title>([^<]*)</title>', 1) AS subtitle, url AS href FROM pages WHERE NOT regexp_matches(html, '<li><a href=\"[^\"]+\">[^<]+</a></li>')")
+def single_chapter_works(spark, d):
+    pages = table(spark, d, "pages")
+    chapters = R.regex_rows(pages, "page_id", R.RegexRule(_LINK)).select("page_id").distinct()
+    return pages.join(chapters, "page_id", "left_anti").select("page_id", F.lit(1).alias("position"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("subtitle"), F.col("url").alias("href"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, length(html) AS length, CASE WHEN regexp_matches(html, '<li>') THEN 1 ELSE 2 END AS kind FROM pages")
+def work_information(spark, d):
+    title, lang = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", 'lang="([a-z]+)"', 1)
+    return table(spark, d, "pages").select("page_id", title.alias("title"), lang.alias("lang"), F.length("html").cast("bigint").alias("length"), F.when(F.contains("html", F.lit("<li>")), 1).otherwise(2).alias("kind"))
+
+
+@query("SELECT page_id, split_part(url, '/', 3) AS site, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, url, page_id % 300 AS episodes FROM pages WHERE split_part(url, '/', 3) LIKE '%.org'")
+def search_results(spark, d):
+    row = F.concat("html", F.lit("全"), (F.col("page_id") % 300).cast("string"), F.lit("話"))
+    site = F.element_at(F.split("url", "/"), 3)
+    rows = table(spark, d, "pages").select("page_id", site.alias("site"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), "url", F.regexp_extract(row, r"(\d+)\s*(話|部分)", 1).cast("bigint").alias("episodes"))
+    return rows.filter(F.col("site").endswith(".org"))
+
+
+@query("SELECT split_part(url, '/', 3) AS domain, count(*) AS pages, CASE WHEN split_part(url, '/', 3) LIKE '%.org' THEN 0 WHEN split_part(url, '/', 3) LIKE '%.net' THEN 1 ELSE 2 END AS place FROM pages GROUP BY ALL")
+def site_definitions(spark, d):
+    domain = F.element_at(F.split("url", "/"), 3)
+    order = F.create_map(F.lit("org"), F.lit(0), F.lit("net"), F.lit(1))
+    counted = table(spark, d, "pages").groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
+    return counted.withColumn("place", F.coalesce(F.try_element_at(order, F.element_at(F.split("domain", "[.]"), -1)), F.lit(2))).orderBy("place", "domain")
+
+
+@query("SELECT page_id, 'p' || page_id AS title, page_id AS page, '章' AS chapter FROM pages")
+def script_state(spark, d):
+    script = F.concat(F.lit("<script>(function(a,b,c){return {title:a,page:b,chapter:c}})(\"p"), F.col("page_id").cast("string"), F.lit("\","), F.col("page_id").cast("string"), F.lit(",\"章\")</script>"))
+    rows = table(spark, d, "pages").select("page_id", F.concat("html", script).alias("html"))
+    return R.script_state(rows, "page_id", {"title": "string", "page": "bigint", "chapter": "string"})
