@@ -52,8 +52,6 @@ PERCENT = 75
 SHARED = 8
 #: Signatures are shuffled in so many parts, one after the other, to bound the disk space of a shuffle.
 PARTS = 2
-#: Sets are fetched for the pairs in so many parts.
-SET_PARTS = 2
 #: Bits of a sketch.
 SKETCH = 512
 #: Places of the bit map that leaves most signatures which are not frequent out of the second shuffle.
@@ -92,20 +90,6 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def shingle_arrays(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id, shingles array<long>``: the distinct shingle hashes of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                value, of = _sets(batch.column(1), a, b, size)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b - a))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
-
-
 def band_limits(sizes: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
     """The most differences that a set and a partner of the band can have."""
     top = np.minimum((2 << band) - 1, sizes * 100 // percent)
@@ -323,19 +307,28 @@ def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link, by their texts in ``docs``."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_arrays(docs.join(named, "doc_id", "left_semi"), size), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = []
-    for part in range(SET_PARTS):
-        mine = F.pmod(F.xxhash64("b"), F.lit(SET_PARTS)) == part
-        joined = pairs.select("a", "b").filter(mine).join(right.filter(mine), "b").join(left, "a")
-        out.append(written(joined.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct(), "links"))
-    discard(sets)
-    return reduce(DataFrame.unionByName, out)
+    """Those of the written pairs ``(a, b)`` that link, by their texts in ``docs``.
+
+    Texts travel, not sets: they are shorter and compress.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column(2)):
+                sides = []
+                for column in (2, 3):
+                    value, of = _sets(batch.column(column), start, stop, size)
+                    edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=stop - start))]).tolist()
+                    sides.append([value[x:y] for x, y in zip(edge, edge[1:])])
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
+                link = [c * 100 >= (len(x) + len(y) - c) * percent for x, y, c in zip(*sides, common)]
+                yield batch.select([0, 1]).slice(start, stop - start).filter(pa.array(link, pa.bool_()))
+
+    texts = docs.select("doc_id", "text")
+    first = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    second = texts.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
+    return written(joined.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def linked(pairs: DataFrame, edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
