@@ -122,3 +122,38 @@ def test_passage_pieced_together_from_earlier_documents(spark):
 
 def test_passage_of_overlapping_pieces(spark):
     assert whole_again(spark, [(a, a + 35) for a in range(0, 1165, 15)], 1200) >= 0.98
+
+
+def test_a_copy_whose_pieces_stand_in_earlier_documents(spark):
+    r = random.Random(21)
+    p, q = ([f"w{r.randrange(10**6)}" for _ in range(35)] for _ in range(2))
+    table = docs(spark, [" ".join(p), " ".join(q), " ".join(p + q), " ".join(p + q)], first=1)
+    found = {(x.doc_id, x.source_id) for x in chaining.passages(table).collect()}
+    assert (4, 3) in found
+
+
+def test_columns_named_like_those_within(spark):
+    r = random.Random(22)
+    p = " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
+    table = clashing(docs(spark, [p + " end", "start " + p]), "_spans", "_doc", "_hash", "spans", "row", "text_hash")
+    got = chaining.remove_passages(table)
+    assert got.columns == table.columns
+    assert {x.doc_id: x.text for x in got.collect()} == {0: p + " end", 1: "start"}
+
+
+def test_very_many_cuts():
+    n = 1200
+    a, b = np.arange(20 * n), np.arange(20 * n) + 10**6
+    xs = list(range(0, 20 * n, 20))
+    for x in xs:
+        b[x : x + 5] = a[x : x + 5]
+    assert chaining.accepted(xs, xs, [5] * n, a, b, 40, 0.8)[0] == []
+
+
+def test_a_passage_that_goes_on_far_beyond_its_chain(spark):
+    r = random.Random(23)
+    p = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    # every fifth word changed: most of the text has no seed of its own
+    other = [w if k < 100 or k % 12 else f"x{k}" for k, w in enumerate(p)]
+    found = chaining.passages(docs(spark, [" ".join(p), " ".join(other)])).collect()
+    assert found and max(x.length for x in found) > 2900
