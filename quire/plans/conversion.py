@@ -72,9 +72,9 @@ def reference_marks(spark, d):
     return _out(_texts(spark, d, "※≪≫"), lambda t: J.notes_shown(J.notes_hidden(t)))
 
 
-@query(f"SELECT doc_id, replace(replace(text, 'I', 'i'), 'V', 'v') || ' Ⅱ,Ⅷ・Ⅸ。' AS text FROM (SELECT doc_id, translate(text, 'ivx', 'abc') AS text {_D})")
+@query(f"SELECT doc_id, translate(text, 'ivxIVX', 'abcABC') || ' Ⅱ,Ⅷ・Ⅸ。' AS text {_D}")
 def roman_numerals(spark, d):
-    plain = F.translate(F.translate("text", "ivx", "abc"), "IV", "iv")
+    plain = F.translate("text", "ivxIVX", "abcABC")
     return _out(table(spark, d, "documents").select("doc_id", F.concat(plain, F.lit(" II,VIII・IX。")).alias("text")), J.roman_numerals)
 
 
