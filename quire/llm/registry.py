@@ -14,15 +14,16 @@ from quire.llm.jaccard import op9_ngram_jaccard
 from quire.llm.katz import op5_katz_backoff
 from quire.llm.kd_search import op6_kd_search
 from quire.llm.packing import op8_packing
+from quire.llm.phrases import OP13_SQL, op13_suffix_phrases
 from quire.llm.suffixes import op7_suffix_dedup
 from quire.llm.toxicity import op3_toxicity
 from quire.llm.wu_manber import OP12_SQL, op12_wu_manber
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_collision_search, op2_chained_passages, op3_toxicity, op4_forced_bpe, op5_katz_backoff, op6_kd_search, op7_suffix_dedup, op8_packing, op9_ngram_jaccard, op10_elias_fano, op12_wu_manber]
+    found = [op1_collision_search, op2_chained_passages, op3_toxicity, op4_forced_bpe, op5_katz_backoff, op6_kd_search, op7_suffix_dedup, op8_packing, op9_ngram_jaccard, op10_elias_fano, op12_wu_manber, op13_suffix_phrases]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_wu_manber": OP12_SQL}
+    return {"op12_wu_manber": OP12_SQL, "op13_suffix_phrases": OP13_SQL}
