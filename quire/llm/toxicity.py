@@ -71,6 +71,7 @@ class Trie:
         self.root: dict = {}
         self.numbers = {t: n for n, t in enumerate(terms)}
         self.lengths = [len(t) for t in terms]
+        self.longest = max(self.lengths, default=0)
         self.forms = {f for t in terms for f in (t, *shorter(t))}
         self.ends = {t[k:] for t in terms for k in range(len(t) + 1)}
         for n, term in enumerate(terms):
@@ -89,7 +90,9 @@ class Trie:
         return (1, min(found)) if found else None
 
     def nearest(self, word: str, edits: int) -> tuple[int, int] | None:
-        """As :meth:`within`, a swap counting as one edit."""
+        """As :meth:`within`, a swap counting as one edit; words too long for any term are left before any form is made."""
+        if len(word) > self.longest + edits:
+            return None
         if edits == 0:
             return self.within(word, 0)
         if edits < 2 and not self.may(word):

@@ -122,3 +122,14 @@ def test_scores_do_not_rise_when_the_clean_class_is_thinned(spark):
     for text in (texts[1].replace("wretch", "calma"), "calma wretch " + " ".join(["calma"] * 18)):
         z = [sum(b * x for b, x in zip(s.model.beta, s.features(text))) for s in (whole, thinned)]
         assert abs(z[0] - z[1]) < 1.5, z
+
+
+def test_very_long_words_make_no_forms(spark):
+    import tracemalloc
+
+    scorer = toxicity.Scorer(model())
+    long = "abcde" * 40_000
+    tracemalloc.start()
+    assert scorer.score(f"{long} you idiot {long}") > scorer.score(long)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
