@@ -28,7 +28,7 @@ from quire.llm.words import mix, text_bytes
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE, INSIDE = 2_000_000, 80
 #: Bytes of texts in a shard's suffix array; a piece without any break is never cut.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 #: Bits of the filter that goes to every task, whatever the size of the corpus.
 FILTER_BITS = 1 << 26
 
@@ -154,7 +154,7 @@ def shard_counts(langs: pa.Array, texts: pa.Array, shortest: int, longest: int,
     names = langs.dictionary_encode()
     code = names.indices.to_numpy()[words.rows]
     lang = lang_hashes(names.dictionary)[code]
-    stops = np.cumsum(BREAK[raw])[words.raw_starts]
+    stops = np.cumsum(BREAK[raw], dtype=np.int32)[words.raw_starts]
     breaks = np.ones(len(words), dtype=bool)
     breaks[1:] = (stops[1:] != stops[:-1]) | (words.rows[1:] != words.rows[:-1])
     if shortest == 1:

@@ -42,7 +42,7 @@ class Words:
         kept = inside.copy()
         kept[1:] |= inside[:-1]
         self.letters = np.where(inside, lower, 32)[kept].astype(np.uint8)
-        self.starts = (np.cumsum(kept) - 1)[self.raw_starts] if len(raw) else self.raw_starts
+        self.starts = np.cumsum(kept, dtype=np.int32)[self.raw_starts].astype(np.int64) - 1
 
     def __len__(self) -> int:
         return len(self.starts)
