@@ -270,13 +270,13 @@ def cache_hits(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quire.plans import conversion, extraction, listing, updates  # noqa: F401  (they register their queries)
+    from quire.plans import conversion, extraction, listing, stores, updates  # noqa: F401  (they register their queries)
 
     return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.plans import conversion, extraction, listing, updates  # noqa: F401  (they register their queries)
+    from quire.plans import conversion, extraction, listing, stores, updates  # noqa: F401  (they register their queries)
 
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
 
