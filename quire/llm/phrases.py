@@ -5,11 +5,11 @@ words, ranks all suffixes by prefix doubling as far as phrases go, and reads the
 counts of n-grams from the intervals of equal prefixes (LCP intervals); counts of
 all shards are merged by language and phrase.
 
-A phrase is as rare as its rarest word or pair at least, so the levels are counted
-one after the other: words, pairs of frequent words, and longer runs all of whose pairs
-are frequent.  Shards know the frequent ones of the level before by a Bloom filter of
-fixed size, which lets a few rare ones through and none of the frequent ones out;
-the merged counts decide.
+A phrase is as rare as its rarest word or pair at least, so the corpus is read three
+times: for words, for the hashes of pairs of frequent words, and for phrases all of whose
+pairs are frequent.  Shards know what is frequent by a Bloom filter of fixed size, which
+lets a few rare ones through and leaves none of the frequent ones out; the merged
+counts of words and phrases decide.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ FILTER_BITS = 1 << 26
 
 BREAK = byte_set((0x0A, 0x0D), *((b, b) for b in b".,;:!?"))
 APART = BREAK | byte_set((0x20, 0x20), (0x09, 0x09))
-COUNTS = "lang string, phrase string, n int, count long"
+COUNTS, KEYS = "lang string, phrase string, count long", "key long, count long"
 _PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407], dtype=np.uint64)
 
 
@@ -69,29 +69,34 @@ class BloomFilter:
         return out
 
 
-def bloom_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """The words of a filter of the rows ``lang, phrase``; ``bits / 8`` bytes however many there are."""
+def bloom_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The words of a filter of the hashes ``key``; ``bits / 8`` bytes however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(*text_bytes(batch.column(1)), byte_set((0x20, 0x20)))
-            count = np.bincount(words.rows, minlength=batch.num_rows)
-            first = np.cumsum(count) - count
-            lang = lang_hashes(batch.column(0))
-            for n in np.unique(count[count > 0]).tolist():
-                rows = np.flatnonzero(count == n)
-                at = np.concatenate(BloomFilter.places(phrase_hash(words.hashes, first[rows], n, lang[rows]), bits))
-                slot, of = np.unique(at >> 6, return_inverse=True)
-                value = np.zeros(len(slot), dtype=np.uint64)
-                np.bitwise_or.at(value, of, np.uint64(1) << (at & 63).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(value.view(np.int64))], ["slot", "value"])
-
-    found = phrases.select("lang", "phrase").mapInArrow(run, "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()
+            at = np.concatenate(BloomFilter.places(batch.column(0).to_numpy().view(np.uint64), bits))
+            slot, of = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(slot), dtype=np.uint64)
+            np.bitwise_or.at(value, of, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(value.view(np.int64))], ["slot", "value"])
+
+    found = keys.select("key").mapInArrow(run, "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[found["slot"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
     return out
 
 
+def word_keys(words: DataFrame) -> DataFrame:
+    """``key``: the hashes of the rows ``lang, phrase`` of one word each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = Words(*text_bytes(batch.column(1)), np.zeros(256, dtype=bool)).hashes
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(hashes, np.arange(len(hashes)), 1, lang_hashes(batch.column(0))).view(np.int64))], ["key"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "key long")
+
+
 def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of a sequence of word ids in order, and the common prefix of each with the one before, both up to ``depth`` words.
 
@@ -142,10 +147,10 @@ def _left(breaks: np.ndarray) -> np.ndarray:
     return np.repeat(ends, ends - begins) - np.arange(n)
 
 
-def shard_counts(langs: pa.Array, texts: pa.Array, shortest: int, longest: int, known: BloomFilter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams of some texts; with ``known``, only of those whose parts of ``shortest - 1`` words it has.
+def shard_counts(langs: pa.Array, texts: pa.Array, shortest: int, longest: int, known: BloomFilter | None, part: int, as_keys: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of some texts; with ``known``, only of those all of whose ``part`` words in a row it has.
 
-    For words also the number of all words, as the phrase "".
+    Rows of :data:`KEYS` or of :data:`COUNTS`; with words also the number of all words, as the phrase "".
     """
     raw, offsets = text_bytes(texts)
     words = Words(raw, offsets, APART)
@@ -160,11 +165,10 @@ def shard_counts(langs: pa.Array, texts: pa.Array, shortest: int, longest: int,
     if shortest == 1:
         total = np.bincount(code, minlength=len(names.dictionary))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(some)), pa.array([""] * len(some)), pa.array(np.zeros(len(some), np.int32)), pa.array(total[some])], ["lang", "phrase", "n", "count"])
+        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(some)), pa.array([""] * len(some)), pa.array(total[some])], ["lang", "phrase", "count"])
     whole = _left(breaks)
     if known is not None:
         # a part that is not frequent ends a piece: the next one begins at its second word
-        part = shortest - 1
         at = np.flatnonzero(whole >= part)
         rare = at[~known.has(phrase_hash(words.hashes, at, part, lang[at]))]
         if part == 1:
@@ -181,9 +185,13 @@ def shard_counts(langs: pa.Array, texts: pa.Array, shortest: int, longest: int,
         first = kept[at]
         for a in range(0, len(first), 1 << 18):
             begin = first[a : a + (1 << 18)]
+            many = pa.array(count[a : a + len(begin)])
+            if as_keys:
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_hash(words.hashes, begin, n, lang[begin]).view(np.int64)), many], ["key", "count"])
+                continue
             last = begin + n - 1
             phrase = strings(words.letters, words.starts[begin], words.starts[last] + words.lengths[last] - words.starts[begin])
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[begin])), phrase, pa.array(np.full(len(begin), n, np.int32)), pa.array(count[a : a + len(begin)])], ["lang", "phrase", "n", "count"])
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code[begin])), phrase, many], ["lang", "phrase", "count"])
 
 
 def pieces_of(text: bytes, size: int) -> Iterator[bytes]:
@@ -198,8 +206,11 @@ def pieces_of(text: bytes, size: int) -> Iterator[bytes]:
     yield text[a:]
 
 
-def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.ndarray | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``lang, phrase, n, f`` of all phrases of ``texts`` (``lang``, ``text``) that stand there ``least`` times, and of "" (all words)."""
+def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.ndarray | None = None, part: int = 1, as_keys: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``lang, phrase, f`` of all phrases of ``texts`` (``lang``, ``text``) that stand there ``least`` times, and of "" (all words).
+
+    With ``as_keys`` ``key, f``.  Shuffled are the counts of each shard.
+    """
     held = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +220,7 @@ def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.
 
         def shard() -> Iterator[pa.RecordBatch]:
             langs, rows = (pa.chunked_array(c, pa.string()).combine_chunks() for c in zip(*some))
-            yield from shard_counts(langs, rows, shortest, longest, filter_)
+            yield from shard_counts(langs, rows, shortest, longest, filter_, part, as_keys)
 
         for batch in batches:
             begin, ends = 0, np.cumsum(np.diff(text_bytes(batch.column(1))[1]))
@@ -217,8 +228,8 @@ def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.
                 before = int(ends[begin - 1]) if begin else 0
                 stop = int(np.searchsorted(ends, before + shard_bytes - size, side="right"))
                 if stop > begin:
-                    part = batch.slice(begin, stop - begin)
-                    some.append((part.column(0), part.column(1)))
+                    taken = batch.slice(begin, stop - begin)
+                    some.append((taken.column(0), taken.column(1)))
                     size += int(ends[stop - 1]) - before
                     begin = stop
                 elif some:
@@ -232,8 +243,10 @@ def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.
         if some:
             yield from shard()
 
-    found = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("f"))
-    return found.filter((F.col("f") >= least) | (F.col("n") == 0))
+    if as_keys:
+        return texts.mapInArrow(run, KEYS).groupBy("key").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
+    found = texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
+    return found.filter((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, scale: int = SCALE, inside: int = INSIDE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -247,14 +260,15 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, scale: int = SC
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with scope() as keep:
-        words = written(counts(texts, 1, 1, least, None, shard_bytes), "words")
-        pairs = written(counts(texts, 2, 2, least, bloom_filter(words.filter("n = 1")), shard_bytes), "pairs")
-        longer = written(counts(texts, 3, LONGEST, least, bloom_filter(pairs), shard_bytes), "longer")
-        return keep(written(ranked(words.unionByName(pairs).unionByName(longer), top, scale, inside), "phrases"))
+        words = written(counts(texts, 1, 1, least, shard_bytes=shard_bytes), "words")
+        pairs = written(counts(texts, 2, 2, least, bloom_filter(word_keys(words.filter("phrase <> ''"))), 1, True, shard_bytes), "pairs")
+        longer = written(counts(texts, 2, LONGEST, least, bloom_filter(pairs), 2, False, shard_bytes), "longer")
+        return keep(written(ranked(words.unionByName(longer), top, scale, inside), "phrases"))
 
 
 def ranked(found: DataFrame, top: int, scale: int, inside: int) -> DataFrame:
-    """The result of :func:`phrases` from the frequent n-grams ``lang, phrase, n, f`` of all lengths."""
+    """The result of :func:`phrases` from the frequent n-grams ``lang, phrase, f`` of all lengths, and "" (all words)."""
+    found = found.withColumn("n", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
     total, known = found.filter("n = 0").select("lang", F.col("f").alias("all")), found.filter("n > 0")
     candidates = known.filter("n > 1")
 
