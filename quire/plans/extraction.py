@@ -154,6 +154,20 @@ def line_diffs(spark, d):
     return rows.select("doc_id", count("-").alias("removed"), count("+").cast("int").alias("added"))
 
 
+@query("""WITH l AS (SELECT page_id, string_split(replace(replace(html, chr(10), ' '), chr(13), ''), '<') AS l FROM pages),
+ p AS (SELECT b.page_id, a.l AS a, b.l AS b FROM l b JOIN l a ON a.page_id = b.page_id - 1),
+ k AS (SELECT page_id, len(a) AS n, len(b) AS m, list_reduce(a, lambda row, x: list_reduce(range(1, len(b) + 1), lambda t, j: list_append(t, greatest(t[len(t)], row[j], coalesce(row[j - 1], 0) + CASE WHEN b[j] = x THEN 1 ELSE 0 END)), []::BIGINT[]), list_transform(b, lambda x: 0::BIGINT))[len(b)] AS kept FROM p)
+SELECT page_id, kept, n - kept AS removed, m - kept AS added FROM k""")
+def page_diffs(spark, d):
+    from quire.functions.diff import line_counts
+
+    text = F.translate(F.regexp_replace("html", "\n", " "), "<\r", "\n")
+    pages = table(spark, d, "pages").select("page_id", text.alias("new"))
+    # every page against the one before
+    pairs = pages.join(pages.select((F.col("page_id") + 1).alias("page_id"), F.col("new").alias("old")), "page_id")
+    return pairs.select("page_id", line_counts(F.col("old"), F.col("new")).alias("n")).select("page_id", "n.*")
+
+
 _TITLE = "regexp_replace(trim(regexp_replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '[', ''), ']', ''), '|', ''), '@', ''), '[\\s\\v]+', ' ', 'g')), '/', '', 'g')"
 
 

@@ -120,29 +120,6 @@ def test_shrink_and_notification(spark):
     assert one(spark, S.shrink(F.lit(5), F.lit(3), F.col("c0")), "freeze") == "freeze" and one(spark, S.shrink(F.lit(5), F.lit(3), F.col("c0")), "x") == "cancel"
 
 
-def test_shortest_edits():
-    import random
-
-    from quire.functions.diff import edits, hunks
-
-    r = random.Random(5)
-    for _ in range(200):
-        a = [r.choice("abcd") for _ in range(r.randrange(12))]
-        b = [r.choice("abcd") for _ in range(r.randrange(12))]
-        found = edits(a, b)
-        assert [a[x] for sign, x, _ in found if sign != "+"] == a and [b[y] for sign, _, y in found if sign != "-"] == b
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(max(row[j] + (x == y), row[j + 1], new[-1]))
-            row = new
-        assert sum(sign == "=" for sign, _, _ in found) == row[-1]
-    text = "\n".join(map(str, range(20)))
-    assert hunks(text, text.replace("\n10\n", "\nten\n")) == ["@@ 8 8 @@", " 7", " 8", " 9", "-10", "+ten", " 11", " 12", " 13"]
-    assert hunks(text, text) == []
-
-
 @pytest.mark.parametrize(
     ("title", "want", "tags"),
     [
