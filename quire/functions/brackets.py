@@ -50,30 +50,42 @@ def bracket_scan(text: Column, opening: str, closing: str, depth: int = DEPTH) -
     return run(text)
 
 
-def joined_inside(text: Column, opening: str, closing: str) -> Column:
-    """The text with the lines inside each outermost pair joined.
+def joined_inside(text: Column, opening: str, closing: str, lines: int | None = None, length: int | None = None) -> Column:
+    """The text with the lines inside each outermost pair joined, but for pairs of so many line ends or, joined, so many characters.
 
     A line end behind dots or a dash becomes a full stop, full spaces at the beginning of a joined line go.
     """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else join(t, opening, closing) for t in texts], dtype=object)
+        return pd.Series([None if t is None else join(t, opening, closing, lines, length) for t in texts], dtype=object)
 
     return run(text)
 
 
-def join(text: str, opening: str, closing: str) -> str:
+def join(text: str, opening: str, closing: str, lines: int | None = None, length: int | None = None) -> str:
     out, end = [], 0
     for first, last in scan(text, opening, closing)[0]:
         inner = text[first : last + 1]
         if "\n" in inner:
-            inner = "".join(line.lstrip("　") for line in re.sub(r"([…―])\n", "\\1。\n", inner).split("\n"))
+            one = "".join(line.lstrip("　") for line in re.sub(r"([…―])\n", "\\1。\n", inner).split("\n"))
+            if (lines is None or inner.count("\n") < lines) and (length is None or len(one) < length):
+                inner = one
         out += [text[end:first], inner]
         end = last + 1
     return "".join(out) + text[end:]
 
 
+def line_ends_inside(text: Column, opening: str, closing: str) -> Column:
+    """For each outermost pair the number of line ends in it."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[t.count("\n", a, b) for a, b in scan(t, opening, closing)[0]] if t else [] for t in texts], dtype=object)
+
+    return run(text)
+
+
 def context(text: Column, at: Column) -> Column:
     """The character at a place with what stands around it, on one line."""
     around = F.substr(text, F.greatest(at - (SHOWN - 1), F.lit(1)), F.least(at, F.lit(SHOWN)) + 1 + SHOWN)

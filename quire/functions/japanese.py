@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import brackets
+
 #: Digits, units, and characters with their other widths, in the same order.
 KANJI, DIGITS, FULL_DIGITS = "〇一二三四五六七八九", "0123456789", "０１２３４５６７８９"
 PLACES, UNITS = ("", "十", "百", "千"), ("", "万", "億", "兆", "京")
@@ -36,6 +38,23 @@ def _pieces(text: Column, inside: str) -> Column:
     return F.split(text, f"(?<=[{inside}])(?=[^{inside}])|(?<=[^{inside}])(?=[{inside}])")
 
 
+def _near_letters(text: Column, inside: str, change) -> Column:
+    """The text with ``change`` applied to each run of the class behind a full-width letter, or before one or a sign of measure."""
+    letter = "Ａ-Ｚａ-ｚ"
+    run = f"(?<=[{letter}])[{inside}]++|(?<![{inside}])[{inside}]++(?=[{letter}％㎜㎝㎞㎎㎏㏄㎡㎥])"
+    marked = F.regexp_replace(text, run, f"{_MARK}$0{_MARK}")
+    return F.array_join(F.transform(F.split(marked, _MARK), lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")
+
+
+def _with_neighbours(lines: Column, change) -> Column:
+    """``change`` of each line, the one before and the one behind it (null at the ends)."""
+    some = F.greatest(F.size(lines) - 1, F.lit(0))
+    none = F.array(F.lit(None).cast("string"))
+    near = F.arrays_zip(lines.alias("own"), F.concat(none, F.slice(lines, F.lit(1), some)).alias("before"), F.concat(F.slice(lines, F.lit(2), some), none).alias("after"))
+    kind = "array<struct<own:string,before:string,after:string>>"
+    return F.transform(near.cast(kind), lambda x: change(x["own"], x["before"], x["after"]))
+
+
 def _each_run(text: Column, inside: str, change) -> Column:
     """The text with ``change`` applied to each run of the class."""
     return F.array_join(F.transform(_pieces(text, inside), lambda p: F.when(p.rlike(f"^[{inside}]"), change(p)).otherwise(p)), "")
@@ -141,12 +160,7 @@ def shown(text: Column) -> Column:
 
 def numbers(text: Column, zeros: int | None = None) -> Column:
     """Digits as Kanji, with units if they end in so many zeros; those with commas stay, those near letters are full width."""
-    pieces = _pieces(text, "0-9０-９・～")
-
-    def near(p: Column, i: Column) -> Column:
-        before, after = F.coalesce(F.get(pieces, i - 1), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))
-        by_letters = before.rlike("[Ａ-Ｚａ-ｚ]$") | after.rlike("^[Ａ-Ｚａ-ｚ％㎜㎝㎞㎎㎏㏄㎡㎥]")
-        return F.when(p.rlike("^[0-9０-９・～]") & by_letters, hidden(F.translate(p, DIGITS, FULL_DIGITS))).otherwise(p)
+    near = _near_letters(text, "0-9０-９・～", lambda p: hidden(F.translate(p, DIGITS, FULL_DIGITS)))
 
     def change(p: Column) -> Column:
         plain = F.translate(p, DIGITS + FULL_DIGITS, KANJI + KANJI)
@@ -155,7 +169,7 @@ def numbers(text: Column, zeros: int | None = None) -> Column:
             plain = F.when((F.length(p) <= 20) & ascii_.rlike(f"^[1-9][0-9]*0{{{zeros},}}$"), kanji_with_units(ascii_.try_cast("decimal(38,0)"))).otherwise(plain)
         return F.when(p.rlike("[,，]"), F.when(p.rlike("[0-9]"), hidden(F.translate(p, "，", ","))).otherwise(p)).otherwise(plain)
 
-    return _each_run(F.array_join(F.transform(pieces, near), ""), "0-9０-９,，", change)
+    return _each_run(near, "0-9０-９,，", change)
 
 
 def all_letters(text: Column) -> Column:
@@ -260,15 +274,7 @@ def fractions_and_dates(text: Column, fractions: bool = True, dates: bool = True
 
 def digits_near_letters(text: Column) -> Column:
     """Kanji digits beside full-width letters, or before signs of measure, as full-width digits."""
-    inside = KANJI + "・～"
-    pieces = _pieces(text, inside)
-
-    def change(p: Column, i: Column) -> Column:
-        before, after = F.coalesce(F.get(pieces, i - 1), F.lit("")), F.coalesce(F.get(pieces, i + 1), F.lit(""))
-        near = before.rlike("[Ａ-Ｚａ-ｚ]$") | after.rlike("^[Ａ-Ｚａ-ｚ％㎜㎝㎞㎎㎏㏄㎡㎥]")
-        return F.when(p.rlike(f"^[{inside}]") & near, F.translate(p, KANJI, FULL_DIGITS)).otherwise(p)
-
-    return F.array_join(F.transform(pieces, change), "")
+    return _near_letters(text, KANJI + "・～", lambda p: F.translate(p, KANJI, FULL_DIGITS))
 
 
 def space_after_marks(text: Column) -> Column:
@@ -327,16 +333,15 @@ def chapter_lines(text: Column, hide: bool = False) -> Column:
     def is_one(x: Column) -> Column:
         return x.rlike(line)
 
-    def change(x: Column, i: Column) -> Column:
+    def change(x: Column, before: Column, after: Column) -> Column:
         dash = F.regexp_extract(x, line, 1).rlike("^[―－\\-]")
         top, bottom = F.when(dash, "― ").otherwise(F.regexp_extract(x, line, 1)), F.when(dash, " ―").otherwise(F.regexp_extract(x, line, 3))
         number = full_width_digits(F.translate(F.regexp_extract(x, line, 2), FULL_DIGITS, DIGITS))
         number = hidden(number) if hide else number
-        before, after = F.get(lines, i - 1), F.get(lines, i + 1)
         blank = lambda c: c.isNull() | c.rlike("^[ 　\\t]*$")
         return F.when(is_one(x), F.concat(F.when(blank(before), "").otherwise("\n"), F.lit("　　　"), F.translate(top, "<>", "〈〉"), number, F.translate(bottom, "<>", "〈〉"), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
 
-    return F.array_join(F.transform(lines, change), "\n")
+    return F.array_join(_with_neighbours(lines, change), "\n")
 
 
 def border_lines(text: Column) -> Column:
@@ -344,8 +349,8 @@ def border_lines(text: Column) -> Column:
     lines = F.split(text, "\n")
     blank = lambda c: c.isNull() | c.rlike("^[ 　\\t]*$")
     border = lambda c: c.rlike(f"^[ 　\\t]*[{BORDERS}]+[ 　\\t{BORDERS}]*$")
-    change = lambda x, i: F.when(border(x), F.concat(F.when(blank(F.get(lines, i - 1)), "").otherwise("\n"), F.lit("　　　　"), F.regexp_replace(x, "^[ 　\\t]*", ""), F.when(blank(F.get(lines, i + 1)), "").otherwise("\n"))).otherwise(x)
-    return F.array_join(F.transform(lines, change), "\n")
+    change = lambda x, before, after: F.when(border(x), F.concat(F.when(blank(before), "").otherwise("\n"), F.lit("　　　　"), F.regexp_replace(x, "^[ 　\\t]*", ""), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
+    return F.array_join(_with_neighbours(lines, change), "\n")
 
 
 def page_breaks(text: Column, lines: int = 10) -> Column:
@@ -498,46 +503,22 @@ def single_blanks(text: Column) -> Column:
 
 
 def joined_brackets(text: Column) -> Column:
-    """Lines within outermost brackets joined, but for those with very many lines or characters.
-
-    The pairs are found by the depth of each character: a running sum over the text.
-    """
-    return _joined_within(_joined_within(text, "「", "」"), "『", "』")
-
-
-def _joined_within(text: Column, opening: str, closing: str) -> Column:
-    pieces = F.split(text, f"(?=[{opening}{closing}])|(?<=[{opening}{closing}])")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
-
-    def joined(run: Column) -> Column:
-        one = F.regexp_replace(F.regexp_replace(run, "([…―])\\n", "$1。\n"), "\\n　*", "")
-        lines = F.length(run) - F.length(F.replace(run, F.lit("\n"), F.lit("")))
-        return F.when((lines >= BRACKET_LINES) | (F.length(one) >= BRACKET_LENGTH), run).otherwise(one)
-
-    def state(done: Column, inner: Column, depth: Column) -> Column:
-        return F.struct(done.alias("done"), inner.alias("open"), depth.alias("depth"))
-
-    def read(s: Column, p: Column) -> Column:
-        more = F.concat(s["open"], p)
-        closes = F.when(s["depth"] == 1, state(F.concat(s["done"], joined(more)), F.lit(""), F.lit(0))).otherwise(state(s["done"], more, s["depth"] - 1))
-        plain = F.when(s["depth"] > 0, state(s["done"], more, s["depth"])).otherwise(state(F.concat(s["done"], p), s["open"], s["depth"]))
-        return F.when(p == opening, state(s["done"], more, s["depth"] + 1)).when((p == closing) & (s["depth"] > 0), closes).otherwise(plain)
-
-    return F.aggregate(pieces, start, read, lambda s: F.concat(s["done"], s["open"]))
+    """Lines within outermost brackets joined, but for those with very many lines or characters."""
+    for opening, closing in ("「」", "『』"):
+        text = brackets.joined_inside(text, opening, closing, BRACKET_LINES, BRACKET_LENGTH)
+    return text
 
 
 def bracket_counts(text: Column, opening: str = "「", closing: str = "」") -> Column:
-    """Brackets, those of :data:`BRACKET_LINES` lines or more, and the most and all lines in them; outermost pairs."""
-    found = F.regexp_extract_all(text, F.lit(f"{opening}[^{opening}{closing}]*{closing}"), F.lit(0))
-    lines = F.transform(found, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
-    return F.struct(F.size(found).alias("brackets"), F.size(F.filter(lines, lambda n: n >= BRACKET_LINES)).alias("long"), F.coalesce(F.array_max(lines), F.lit(0)).alias("most"), F.aggregate(lines, F.lit(0), lambda a, n: a + n).alias("all"))
+    """Outermost pairs, those of :data:`BRACKET_LINES` line ends or more, and the most and all line ends in them."""
+    lines = brackets.line_ends_inside(text, opening, closing)
+    return F.struct(F.size(lines).alias("brackets"), F.size(F.filter(lines, lambda n: n >= BRACKET_LINES)).alias("long"), F.coalesce(F.array_max(lines), F.lit(0)).alias("most"), F.aggregate(lines, F.lit(0), lambda a, n: a + n).alias("all"))
 
 
 def unclosed(text: Column, opening: str = "「", closing: str = "」") -> Column:
     """What is left of the brackets when all pairs are gone: how many of each kind."""
-    signs = F.regexp_replace(text, f"[^{opening}{closing}]", "")
-    depth = F.aggregate(F.split(signs, ""), F.struct(F.lit(0).alias("open"), F.lit(0).alias("lost")), lambda s, c: F.when(c == opening, F.struct((s["open"] + 1).alias("open"), s["lost"].alias("lost"))).when((c == closing) & (s["open"] > 0), F.struct((s["open"] - 1).alias("open"), s["lost"].alias("lost"))).when(c == closing, F.struct(s["open"].alias("open"), (s["lost"] + 1).alias("lost"))).otherwise(s))
-    return depth
+    found = brackets.bracket_scan(text, opening, closing)
+    return F.struct(F.size(found["unclosed"]).alias("open"), F.size(found["unopened"]).alias("lost"))
 
 
 def converted(df: DataFrame, column: str, kind: str = "body", settings: dict | None = None, pairs: list[tuple[str, str]] = (), before=None, after=None) -> DataFrame:

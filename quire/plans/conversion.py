@@ -271,15 +271,25 @@ def external_characters(spark, d):
     return _out(_texts(spark, d, "※［＃「區＋鳥」、U+9DD7］と※［＃二の字点、1-2-22］"), J.external_characters)
 
 
-@query(f"SELECT doc_id, 2 AS brackets, 1 AS long, 7 AS most, 8 AS all {_D}".replace("AS all", 'AS "all"'))
+_SIGNS = "SELECT page_id, list_filter(string_split(html, ''), lambda c: c IN ('<', '>', chr(10))) AS signs FROM pages"
+
+
+# the tags of stored pages as brackets, some of which are never closed
+@query(f"""WITH s AS ({_SIGNS}),
+ r AS (SELECT page_id, list_reduce(signs, lambda a, c: CASE WHEN c = '<' THEN {{'stack': list_append(a.stack, a.lines), 'lines': a.lines, 'inside': a.inside}}
+  WHEN c = '>' AND len(a.stack) > 0 THEN {{'stack': a.stack[:-2], 'lines': a.lines, 'inside': CASE WHEN len(a.stack) = 1 THEN list_append(a.inside, a.lines - a.stack[-1]) ELSE a.inside END}}
+  WHEN c = '>' THEN a ELSE {{'stack': a.stack, 'lines': a.lines + 1, 'inside': a.inside}} END, {{'stack': []::INTEGER[], 'lines': 0::INTEGER, 'inside': []::INTEGER[]}}).inside AS n FROM s)
+SELECT page_id, len(n)::INTEGER AS brackets, len(list_filter(n, lambda x: x >= 7))::INTEGER AS long, coalesce(list_max(n), 0) AS most, coalesce(list_sum(n), 0)::INTEGER AS "all" FROM r""")
 def bracket_newlines(spark, d):
-    rows = _texts(spark, d, "「あ\nい」「" + "う\n" * 7 + "」")
-    return rows.select("doc_id", J.bracket_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    rows = table(spark, d, "pages").select("page_id", J.bracket_counts(F.col("html"), "<", ">").alias("c"))
+    return rows.select("page_id", "c.*")
 
 
-@query(f"SELECT doc_id, 1 AS open, 2 AS lost {_D}")
+@query(f"""WITH s AS ({_SIGNS}),
+ r AS (SELECT page_id, list_reduce(signs, lambda a, c: CASE WHEN c = '<' THEN {{'open': a.open + 1, 'lost': a.lost}} WHEN c = '>' AND a.open > 0 THEN {{'open': a.open - 1, 'lost': a.lost}} WHEN c = '>' THEN {{'open': a.open, 'lost': a.lost + 1}} ELSE a END, {{'open': 0::INTEGER, 'lost': 0::INTEGER}}) AS n FROM s)
+SELECT page_id, n.open AS open, n.lost AS lost FROM r""")
 def unclosed_brackets(spark, d):
-    return _texts(spark, d, "」「あ」」「い").select("doc_id", J.unclosed(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return table(spark, d, "pages").select("page_id", J.unclosed(F.col("html"), "<", ">").alias("c")).select("page_id", "c.*")
 
 
 @query(None)

@@ -177,3 +177,9 @@ def test_joined_and_context(spark):
     assert one(spark, brackets.context(F.col("t"), F.lit(20)), t=text) == text[5:36]
     row = one(spark, brackets.bracket_scan(F.col("t"), "(", ")"), t=")(a)(")
     assert ([tuple(p) for p in row.pairs], row.unclosed, row.unopened) == ([(1, 3)], [4], [0])
+
+
+def test_brackets_in_an_open_one_are_joined():
+    assert brackets.join("「a\n「b\nc」d", "「", "」") == "「a\n「bc」d"
+    long = "「" + "う\n" * 7 + "」"
+    assert brackets.join(long, "「", "」", lines=7) == long and brackets.join("「" + "う" * 398 + "\n」", "「", "」", length=400).count("\n") == 1
