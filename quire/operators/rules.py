@@ -245,14 +245,29 @@ def by_priority(sources: list[DataFrame], key: str) -> DataFrame:
     return ranked.join(best, [key, "_rank"], "left_semi").drop("_rank")
 
 
-def page_range(pattern: str, template: str) -> Column:
-    """Addresses of pages 2 to the largest number that the pattern's group finds; ``{page}`` in the template."""
-    numbers = F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x: x.try_cast("int"))
-    most = F.coalesce(F.array_max(numbers), F.lit(1))
-    pages = F.when(most >= 2, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>"))
+#: Pages of a list of contents that are followed.
+MOST_PAGES = 1000
+
+
+def _last_page(pattern: str) -> Column:
+    """The largest number that the pattern's group finds; one of over 18 digits counts as the largest there is."""
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    numbers = F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x: F.when(F.length(digits(x)) > 18, F.lit(2**62)).otherwise(digits(x).try_cast("bigint")))
+    return F.coalesce(F.array_max(numbers), F.lit(1))
+
+
+def page_range(pattern: str, template: str, most: int = MOST_PAGES) -> Column:
+    """Addresses of pages 2 to the largest number that the pattern's group finds, or to ``most``; ``{page}`` in the template."""
+    last = F.least(_last_page(pattern), F.lit(most)).cast("int")
+    pages = F.when(last >= 2, F.sequence(F.lit(2), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(pages, lambda n: F.replace(F.lit(template), F.lit("{page}"), n.cast("string")))
 
 
+def too_many_pages(pattern: str, most: int = MOST_PAGES) -> Column:
+    """Whether a page names more pages than :func:`page_range` gives."""
+    return _last_page(pattern) > most
+
+
 def split_title(text: Column, delimiter: str, author_pattern: str) -> tuple[Column, Column]:
     """Title and author: what stands before and after the first delimiter; else the author that the pattern finds."""
     at = F.instr(text, F.lit(delimiter))
@@ -296,9 +311,14 @@ def script_state(pages: DataFrame, key: str, names: dict[str, str]) -> DataFrame
     """``key`` and the named values of ``(function(a,b){return {name:a}})(1,2)`` in a page's script, as their types."""
     found = F.regexp_extract("html", r"(?s)\(function\(([\w,$ ]*)\)\s*\{\s*return\s*(\{.*?\})\s*\}\)\((.*?)\)\s*</script>", 0)
     part = lambda k: F.regexp_extract(found, r"(?s)\(function\(([\w,$ ]*)\)\s*\{\s*return\s*(\{.*?\})\s*\}\)\((.*?)\)\s*</script>", k)
-    arguments = F.split(part(1), r"\s*,\s*")
+    arguments = F.split(F.trim(part(1)), r"\s*,\s*")
     values = F.from_json(F.concat(F.lit("["), part(3), F.lit("]")), "array<string>")
-    of = F.map_from_arrays(arguments, values)
-    rows = pages.select(key, of.alias("of"), part(2).alias("body"))
-    value = lambda n: F.try_element_at("of", F.regexp_extract("body", rf"\b{n}\s*:\s*([\w$]+)", 1))
+    rows = pages.select(key, arguments.alias("arguments"), values.alias("values"), part(2).alias("body"))
+
+    def value(name: str) -> Column:
+        """What stands in the place of the name's argument; of arguments with one name the last counts."""
+        argument = F.nullif(F.regexp_extract("body", rf"\b{name}\s*:\s*([\w$]+)", 1), F.lit(""))
+        from_end = F.array_position(F.reverse("arguments"), argument)
+        return F.when(from_end > 0, F.get("values", (F.size("arguments") - from_end).cast("int")))
+
     return rows.select(key, *(value(n).try_cast(kind).alias(n) for n, kind in names.items()))

@@ -168,6 +168,30 @@ def page_diffs(spark, d):
     return pairs.select("page_id", line_counts(F.col("old"), F.col("new")).alias("n")).select("page_id", "n.*")
 
 
+_SPACED = "trim(regexp_replace({0}, '[\\s\\v　]+', ' ', 'g'))"
+# a title's separators: of several together the last stays, at the ends none does
+_PARTS = "regexp_replace(regexp_replace(regexp_replace(title, '[ \\t\\r\\f\\v]*[|｜／/・\\-—–―~〜:：;；][ \\t\\r\\f\\v]*((?:[|｜／/・\\-—–―~〜:：;；][ \\t\\r\\f\\v]*)*)([|｜／/・\\-—–―~〜:：;；][ \\t\\r\\f\\v]*)', '\\2', 'g'), '^[ \\t\\r\\f\\v]*[|｜／/・\\-—–―~〜:：;；]+[ \\t\\r\\f\\v]*', ''), '[ \\t\\r\\f\\v]*[|｜／/・\\-—–―~〜:：;；]+[ \\t\\r\\f\\v]*$', '')"
+
+
+@query(f"""WITH r AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, 'author' || (doc_id % 97) AS author FROM documents), c AS (SELECT *, {_SPACED.format(_PARTS)} AS clean FROM r),
+ t AS (SELECT id, CASE WHEN id % 8 = 0 THEN {_SPACED.format("title")} WHEN clean = '' THEN NULL ELSE clean END AS title, id % 8 AS k, author, title AS raw FROM c)
+SELECT id, title, CASE WHEN k = 0 THEN author || CASE WHEN id % 3 = 0 THEN '＠書籍版発売中！' ELSE '' END ELSE author END AS author,
+ array_to_string(CASE WHEN k = 0 THEN [] ELSE [['書籍化決定'], ['コミカライズ連載中'], ['受賞', '重版！'], ['限定特典'], ['アニメ化！'], ['第3巻 発売'], []][k] || CASE WHEN id % 3 = 0 THEN ['書籍版発売中！'] ELSE [] END END, '、') AS tags FROM t WHERE title IS NOT NULL""")
+def normalised_entries(spark, d):
+    from quire.functions import titles
+    from quire.sources.tables import records
+
+    title, k = F.col("title"), F.col("id") % 8
+    rows = records(spark, d).select("id", "title", "author")
+    shown = F.when(k == 1, F.concat(F.lit("（書籍化決定）"), title)).when(k == 2, F.concat(title, F.lit("「コミカライズ連載中」"))).when(k == 3, F.concat(F.lit("〈受賞＋重版！〉"), title)).when(k == 4, F.concat(title, F.lit("〖限定特典〗"))).when(k == 5, F.concat(F.lit("アニメ化！／"), title)).when(k == 6, F.concat(title, F.lit("(第3巻 発売)"))).otherwise(title)
+    by = F.concat("author", F.when(F.col("id") % 3 == 0, "＠書籍版発売中！").otherwise(""))
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    entries = rows.select("id", shown.alias("title"), by.alias("author"), none.alias("title_raw_latest"), none.alias("title_original"), none.alias("author_original"), empty.alias("promo_tags"), empty.alias("promo_tags_title"), empty.alias("promo_tags_author"), (title == "").alias("untitled"))
+    found = titles.normalised_entries(entries, F.col("id") % 8 != 0, titles.keywords(F.lit("限定特典, 特別版"), none))
+    return found.select("id", "title", "author", F.array_join("promo_tags", "、").alias("tags"))
+
+
 _TITLE = "regexp_replace(trim(regexp_replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '[', ''), ']', ''), '|', ''), '@', ''), '[\\s\\v]+', ' ', 'g')), '/', '', 'g')"
 
 

@@ -129,6 +129,18 @@ def test_shrink_and_notification(spark):
         ("作者＠書籍版発売中！", "作者", ["書籍版発売中！"]),
         ("ハズレ枠の【状態異常スキル】で", "ハズレ枠の【状態異常スキル】で", []),
         (None, "", []),
+        ("作品（書籍化決定）", "作品", ["書籍化決定"]),
+        ("『作品』「コミカライズ連載中」", "『作品』", ["コミカライズ連載中"]),
+        ("作品 (書籍化)", "作品", ["書籍化"]),
+        ("作品〈書籍化〉", "作品", ["書籍化"]),
+        ("〖受賞＋重版！〗作品｟新連載｠", "作品", ["新連載", "受賞", "重版！"]),
+        ("【書籍化＆本編】作品", "作品", ["書籍化＆本編"]),
+        ("作品／アニメ化！／続き", "作品続き", ["アニメ化！"]),
+        ("新連載 | 作品 - 一 // 二", "作品 - 一/ 二", ["新連載"]),
+        ("作者＠一人＠書籍版発売中！", "作者＠一人", ["書籍版発売中！"]),
+        ("「「書籍化」」作品", "」作品", ["「書籍化"]),
+        ("【" + "あ" * 200 + "書籍化】作品", "【" + "あ" * 200 + "書籍化】作品", []),
+        ("【第3巻】【第3巻】作品", "作品", ["第3巻"]),
     ],
 )
 def test_promotions(spark, title, want, tags):
@@ -137,3 +149,35 @@ def test_promotions(spark, title, want, tags):
     df = spark.createDataFrame([(title,)], "t string")
     rest, found = without_promotions(F.col("t"))
     assert tuple(df.select(rest, found).first()) == (want, tags)
+
+
+def test_entries_are_normalised_from_their_originals(spark):
+    from quire.functions import titles
+
+    schema = "id int, title string, author string, title_raw_latest string, title_original string, author_original string, promo_tags array<string>, promo_tags_title array<string>, promo_tags_author array<string>"
+    rows = [(1, "【書籍化！】題【アニメ化！】", "筆者【受賞】", "【書籍化！】題【アニメ化！】", None, None, ["古い"], ["古い"], ["古い"]), (2, "題", None, None, "【特典】題", None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    more = titles.keywords(F.lit("特典,\n 別 "), F.lit(None).cast("string"), F.lit("特典"))
+    once = titles.normalised_entries(df, F.lit(True), more)
+    got = {r.id: r for r in once.collect()}
+    assert (got[1].title, got[1].author, got[1].promo_tags, got[1].promo_tags_author, got[1].updated) == ("題", "筆者", ["書籍化！", "アニメ化！", "受賞"], ["受賞"], True)
+    assert (got[1].title_original, got[1].author_original) == ("【書籍化！】題【アニメ化！】", "筆者【受賞】")
+    assert (got[2].title, got[2].author, got[2].promo_tags, got[2].updated) == ("題", "", ["特典"], True)
+    again = titles.normalised_entries(once.drop("updated"), F.lit(True), more)
+    assert [r.updated for r in again.collect()] == [False, False]
+    back = {r.id: r for r in titles.normalised_entries(once.drop("updated"), F.lit(None).cast("boolean"), more).collect()}
+    assert (back[1].title, back[1].author, back[1].promo_tags, back[2].title) == ("【書籍化！】題【アニメ化！】", "筆者【受賞】", [], "【特典】題")
+    assert spark.range(1).select(more.alias("k")).first().k == ["特典", "別"]
+
+
+def test_pages_without_a_script_and_hostile_page_numbers(spark):
+    from quire.operators import rules as R
+
+    state = "<script>(function({0}){{return {{title:{1},page:b}}}})({2})</script>"
+    pages = [(1, "no script"), (2, state.format("a,b", "a", '"t",7')), (3, state.format("a,b", "a", '"t"')), (4, state.format("a,b,a", "a", '"first",8,"last"')), (5, None), (6, state.format("a,b", "z", '"t",9,10')), (7, state.format("a,b", "a", "not json"))]
+    got = R.script_state(spark.createDataFrame(pages, "id int, html string"), "id", {"title": "string", "page": "bigint"})
+    assert sorted(map(tuple, got.collect())) == [(1, None, None), (2, "t", 7), (3, "t", None), (4, "last", 8), (5, None, None), (6, None, 9), (7, None, None)]
+    rows = [(1, "p=3 p=2"), (2, "p=2000000000"), (3, "p=99999999999999999999999999999999999999999999"), (4, "none"), (5, None), (6, "p=5")]
+    df = spark.createDataFrame(rows, "id int, html string").select("id", R.page_range(r"p=(\d+)", "/{page}", 5).alias("pages"), R.too_many_pages(r"p=(\d+)", 5).alias("more"))
+    got = {r.id: (len(r.pages), r.more) for r in df.collect()}
+    assert got == {1: (2, False), 2: (4, True), 3: (4, True), 4: (0, False), 5: (0, False), 6: (4, False)}
