@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import brackets
+from quire.functions.separators import separated
 
 #: Digits, units, and characters with their other widths, in the same order.
 KANJI, DIGITS, FULL_DIGITS = "〇一二三四五六七八九", "0123456789", "０１２３４５６７８９"
@@ -149,13 +150,18 @@ _SIGNS = DIGITS + FULL_DIGITS + ".,!?'\"&:;-_"
 _PRIVATE = "".join(chr(0xE000 + k) for k in range(len(_SIGNS)))
 
 
+#: All signs of an address, and private ones that stand for them.
+_ADDRESS = "".join(map(chr, range(0x20, 0x7F)))
+_PRIVATE_ADDRESS = "".join(chr(0xE100 + k) for k in range(len(_ADDRESS)))
+
+
 def hidden(text: Column) -> Column:
     """Digits and signs kept from later steps; :func:`shown` ends it."""
     return F.translate(text, _SIGNS, _PRIVATE)
 
 
 def shown(text: Column) -> Column:
-    return F.translate(text, _PRIVATE, _SIGNS)
+    return F.translate(text, _PRIVATE + _PRIVATE_ADDRESS, _SIGNS + _ADDRESS)
 
 
 def numbers(text: Column, zeros: int | None = None) -> Column:
@@ -164,12 +170,10 @@ def numbers(text: Column, zeros: int | None = None) -> Column:
 
     def change(p: Column) -> Column:
         plain = F.translate(p, DIGITS + FULL_DIGITS, KANJI + KANJI)
-        if zeros is not None:
-            ascii_ = F.translate(p, FULL_DIGITS, DIGITS)
-            plain = F.when((F.length(p) <= 20) & ascii_.rlike(f"^[1-9][0-9]*0{{{zeros},}}$"), kanji_with_units(ascii_.try_cast("decimal(38,0)"))).otherwise(plain)
         return F.when(p.rlike("[,，]"), F.when(p.rlike("[0-9]"), hidden(F.translate(p, "，", ","))).otherwise(p)).otherwise(plain)
 
-    return _each_run(near, "0-9０-９,，", change)
+    text = _each_run(near, "0-9０-９,，", change)
+    return text if zeros is None else numerals_with_units(text, zeros)
 
 
 def all_letters(text: Column) -> Column:
@@ -248,7 +252,9 @@ def numerals_with_units(text: Column, zeros: int = 0) -> Column:
     def change(run: Column) -> Column:
         value = kanji_value(run)
         digits = value.cast("string")
-        return F.when((F.length(digits) <= 20) & digits.rlike(f"0{{{zeros},}}$"), kanji_with_units(value)).otherwise(run)
+        # a unit needs a number before it
+        counts = ~run.rlike("^[万億兆京]") & (F.length(digits) <= 20) & digits.rlike(f"0{{{zeros},}}$")
+        return F.when(counts, kanji_with_units(value)).otherwise(run)
 
     return _each_run(text, KANJI + "十百千万億兆京", change)
 
@@ -325,8 +331,12 @@ def indented(text: Column, always: bool = False) -> Column:
     return F.when(F.lit(always) | lacks_indents(dashed), plain).otherwise(dashed)
 
 
+#: Stands for the indent of such a line until other lines are indented.
+_DEEP = "［＃深］"
+
+
 def chapter_lines(text: Column, hide: bool = False) -> Column:
-    """Lines that are a number alone, perhaps between dashes, deeply indented with blank lines around."""
+    """Lines that are a number alone, perhaps between dashes, deeply indented with blank lines around; ``hide``: until :func:`deep_lines`."""
     line = f"^[ 　\\t]*([－―<＜〈\\-]*)([0-9０-９{KANJI}]{{1,3}})([－―>＞〉\\-]*)$"
     lines = F.split(text, "\n")
 
@@ -339,17 +349,21 @@ def chapter_lines(text: Column, hide: bool = False) -> Column:
         number = full_width_digits(F.translate(F.regexp_extract(x, line, 2), FULL_DIGITS, DIGITS))
         number = hidden(number) if hide else number
         blank = lambda c: c.isNull() | c.rlike("^[ 　\\t]*$")
-        return F.when(is_one(x), F.concat(F.when(blank(before), "").otherwise("\n"), F.lit("　　　"), F.translate(top, "<>", "〈〉"), number, F.translate(bottom, "<>", "〈〉"), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
+        return F.when(is_one(x), F.concat(F.when(blank(before) | is_one(before), "").otherwise("\n"), F.lit(_DEEP if hide else "　　　"), F.translate(top, "<>", "〈〉"), number, F.translate(bottom, "<>", "〈〉"), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
 
     return F.array_join(_with_neighbours(lines, change), "\n")
 
 
+def deep_lines(text: Column) -> Column:
+    return F.replace(text, F.lit(_DEEP), F.lit("　　　"))
+
+
 def border_lines(text: Column) -> Column:
     """Blank lines around lines of signs, which are indented by four."""
     lines = F.split(text, "\n")
     blank = lambda c: c.isNull() | c.rlike("^[ 　\\t]*$")
     border = lambda c: c.rlike(f"^[ 　\\t]*[{BORDERS}]+[ 　\\t{BORDERS}]*$")
-    change = lambda x, before, after: F.when(border(x), F.concat(F.when(blank(before), "").otherwise("\n"), F.lit("　　　　"), F.regexp_replace(x, "^[ 　\\t]*", ""), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
+    change = lambda x, before, after: F.when(border(x), F.concat(F.when(blank(before) | border(before), "").otherwise("\n"), F.lit("　　　　"), F.regexp_replace(x, "^[ 　\\t]*", ""), F.when(blank(after), "").otherwise("\n"))).otherwise(x)
     return F.array_join(_with_neighbours(lines, change), "\n")
 
 
@@ -363,25 +377,31 @@ def packed_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\n\\n", "\n"), "(?m)(^\\n){3}", "\n\n")
 
 
-def emphasised(text: Column) -> Column:
-    """Dots as reading of a base become emphasis dots."""
-    base = "一-龠Ａ-Ｚａ-ｚA-Za-z"
-    text = F.regexp_replace(text, "｜([^｜≪≫\\n]+)≪[・、]+≫", "［＃傍点］$1［＃傍点終わり］")
-    return F.regexp_replace(text, f"([{base}][{base}　]*)≪[・、]+≫", "［＃傍点］$1［＃傍点終わり］")
+_BASE, _KANA = "一-龠Ａ-Ｚａ-ｚA-Za-z", "ぁ-んァ-ヶーゝゞ・"
+
+
+def emphasised(text: Column, brackets: bool = False) -> Column:
+    """Dots as reading of a base become emphasis dots; with ``brackets`` middle dots in round ones, too."""
+    for reading in ("≪[・、]+≫", *(["（・{1,20}）"] if brackets else [])):
+        text = F.regexp_replace(text, f"｜([^｜≪≫（）\\n]+){reading}", "［＃傍点］$1［＃傍点終わり］")
+        text = F.regexp_replace(text, f"([{_BASE}][{_BASE}　]*){reading}", "［＃傍点］$1［＃傍点終わり］")
+    return text
 
 
 def ruby(text: Column, brackets: bool = True, large: bool = False) -> Column:
-    """Readings: marked with a bar, or in kana behind a base of one kind; dots are emphasis.
+    """Readings: of what a bar marks, else in kana of the letters before; dots are emphasis.
 
-    A bar right before the bracket stands for the bracket itself.
+    A reading may have one space inside: if the base has one as well, its parts are read apart.  One that begins with a space, or
+    ends in two, is none.  A bar right before the bracket stands for the bracket itself.  Round brackets hold readings of
+    up to 20 kana only.
     """
-    base, kana = "一-龠Ａ-Ｚａ-ｚA-Za-z", "ぁ-んァ-ヶーゝゞ・"
-    text = emphasised(text)
-    text = F.regexp_replace(text, "｜([^｜≪≫（）《》\\n]+)≪([^≪≫\\n]+)≫", f"{_MARK}$1《$2》")
-    text = F.regexp_replace(text, f"(?<![{base}{_MARK}])([{base}]+)≪([{kana}][{kana} 　]{{0,19}})≫", f"{_MARK}$1《$2》")
-    if brackets:
-        text = F.regexp_replace(text, f"｜([^｜≪≫（）《》\\n]+)（([{kana}]{{1,20}})）", f"{_MARK}$1《$2》")
-        text = F.regexp_replace(text, f"(?<![{base}{_MARK}])([{base}]+)（([{kana}]{{1,20}})）", f"{_MARK}$1《$2》")
+    text = emphasised(text, brackets)
+    part, kana = f"(?<![{_BASE}{_MARK}])([{_BASE}]+)", f"[{_KANA}]+"
+    for opening, closing, marked in (("≪", "≫", "[^≪≫\\n]+?"), *([("（", "）", f"[{_KANA} 　]{{1,20}}")] if brackets else [])):
+        short = f"(?=[^{closing}]{{1,20}}{closing})"
+        text = F.regexp_replace(text, f"｜([^｜≪≫（）《》\\n]+){opening}(?! )({marked})(?<!  ){closing}", f"{_MARK}$1《$2》")
+        text = F.regexp_replace(text, f"{part}([ 　])([{_BASE}]+){opening}{short}({kana})[ 　]({kana}){closing}", f"{_MARK}$1《$4》$2{_MARK}$3《$5》")
+        text = F.regexp_replace(text, f"{part}{opening}{short}({kana}[ 　]?[{_KANA}]*){closing}", f"{_MARK}$1《$2》")
     text = F.regexp_replace(text, "｜([≪（])", "$1")
     if large:
         text = F.array_join(F.transform(F.split(text, "(?=《)|(?<=》)"), lambda p: F.when(p.startswith("《"), F.translate(p, SMALL_KANA, LARGE_KANA)).otherwise(p)), "")
@@ -393,6 +413,14 @@ def headings(text: Column) -> Column:
     return F.regexp_replace(text, "［＃改ページ］\\n[　\\s]*(?:［＃半字下げ］)?([^\\n]+?)[　 ]*\\n", "［＃改ページ］\n\n［＃３字下げ］［＃中見出し］$1［＃中見出し終わり］\n")
 
 
+def spaced_headings(text: Column) -> Column:
+    """The line after a page break as a middle heading with two blank lines behind it; one behind a foreword is set before that."""
+    title = "[　\\s]*(?:［＃半字下げ］)?([^\\n]+?)[　 ]*\\n"
+    plain = F.regexp_replace(text, f"［＃改ページ］\\n(?!［＃ここから前書き］){title}\\n{{0,2}}", "［＃改ページ］\n\n［＃３字下げ］［＃中見出し］$1［＃中見出し終わり］\n\n\n")
+    fore = "(?s)(［＃改ページ］\\n)(［＃ここから前書き］.+?［＃ここで前書き終わり］\\n)" + title
+    return F.regexp_replace(plain, fore + "(\\n?)", "$1［＃３字下げ］［＃中見出し］$3［＃中見出し終わり］$2\n")
+
+
 def author_comments(text: Column, erase: bool = False) -> Column:
     """Lines of 44 asterisks end a foreword, lines of 48 begin an afterword; each is marked, or goes."""
     fore = "(?ms)(\\A|［＃改ページ］\\n)(.*?)^[*＊]{44}$\\n"
@@ -417,6 +445,12 @@ def linked(text: Column) -> Column:
     return F.regexp_replace(text, "https?://[A-Za-z0-9\\-._~:/?#@!$&*+,;=%]+", '<a href="$0">$0</a>')
 
 
+def hidden_links(text: Column) -> Column:
+    """Addresses as links that later steps do not see; :func:`shown` ends it."""
+    marked = F.regexp_replace(text, "https?://[A-Za-z0-9\\-._~:/?#@!$&*+,;=%]+", f'{_MARK}<a href="$0">$0</a>{_MARK}')
+    return F.array_join(F.transform(F.split(marked, _MARK), lambda p, i: F.when(i % 2 == 1, F.translate(p, _ADDRESS, _PRIVATE_ADDRESS)).otherwise(p)), "")
+
+
 def illustrations(text: Column) -> tuple[Column, Column]:
     """The notes of pictures in order, and the text without them."""
     note = "［＃挿絵（[^）\\n]*）入る］"
@@ -436,16 +470,6 @@ def bars(text: Column) -> Column:
     return F.replace(text, F.lit("｜"), F.lit("※［＃縦線］"))
 
 
-def word_marks(text: Column, mark: str = "​") -> Column:
-    """A mark between runs of Kanji, Katakana and Hiragana that follow each other."""
-    kinds = ("一-龠々", "ァ-ヶー", "ぁ-んゝゞ")
-    for a in kinds:
-        for b in kinds:
-            if a != b:
-                text = F.regexp_replace(text, f"(?<=[{a}])(?=[{b}])", mark)
-    return text
-
-
 def vertical(text: Column) -> Column:
     """Marks for vertical lines: full width, ellipses and dashes in pairs, a space after exclamations."""
     text = F.translate(text, "!?~", "！？～")
@@ -526,21 +550,26 @@ def converted(df: DataFrame, column: str, kind: str = "body", settings: dict | N
 
     ``settings`` (all off or at their usual value where missing): ``join_brackets, join_lines, kanji,
     units, zeros, fractions, dates, dakuten, dashes, half_indent, indent, ruby, large_kana, page_break,
-    keep_words, full_letters``.  ``pairs`` are replaced at the end; ``before`` and ``after`` are functions of
+    keep_words, full_letters, pack, comments, headings, force_indent, separators, char_separators``.  ``pairs`` are replaced at the end; ``before`` and ``after`` are functions of
     a Column and the kind, applied around the steps.
     """
-    usual = {"join_brackets": True, "join_lines": True, "kanji": True, "units": True, "zeros": 3, "half_indent": True, "indent": True, "ruby": True, "ellipses": True}
+    usual = {"join_brackets": True, "join_lines": True, "kanji": True, "units": True, "zeros": 3, "half_indent": True, "indent": True, "ruby": True, "ellipses": True, "pack": True, "comments": True, "headings": True}
     s = usual | (settings or {})
     body = kind in ("body", "textfile")
     titles = kind in ("subtitle", "chapter")
-    steps = [trimmed_lines, *([lambda t: before(t, kind)] if before else []), full_width_kana]
+    steps = [trimmed_lines]
+    if body and s.get("page_break"):
+        steps.append(lambda t: page_breaks(t, s["page_break"]))
+    if s.get("pack") and kind != "story":
+        steps.append(packed_blanks)
+    steps += [*([lambda t: before(t, kind)] if before else []), full_width_kana]
     if s.get("join_brackets"):
         steps.append(joined_brackets)
     if s.get("join_lines"):
         steps.append(joined_lines)
     if kind == "textfile":
         steps.append(without_comment_blocks)
-    steps += [site_tags, roman_numerals, all_letters if s.get("full_letters") else lambda t: letters(t, bool(s.get("keep_words")), True)]
+    steps += [hidden_links, site_tags, roman_numerals, all_letters if s.get("full_letters") else lambda t: letters(t, bool(s.get("keep_words")), True)]
     if body:
         steps.append(lambda t: chapter_lines(t, True))
     steps.append(decimals)
@@ -553,18 +582,21 @@ def converted(df: DataFrame, column: str, kind: str = "body", settings: dict | N
         steps.append(lambda t: fractions_and_dates(t, bool(s.get("fractions")), bool(s.get("dates"))))
     steps += [f for name, f in (("kana_two", kana_two), ("dakuten", voiced_marks), ("dashes", long_marks_to_dashes)) if s.get(name)]
     if not titles:
-        steps.append(border_lines)
+        steps += [trimmed_lines, border_lines]
+    if kind == "textfile":
+        steps += [*([author_comments] if s.get("comments") else []), *([spaced_headings] if s.get("headings") else [])]
     steps += [shown, notes_shown]
     if body:
         steps += [lambda t: bracket_indents(t, bool(s.get("half_indent")))]
         if s.get("indent"):
-            steps.append(indented)
+            steps.append(lambda t: indented(t, bool(s.get("force_indent"))))
+        steps.append(deep_lines)
     if s.get("ruby") and not titles:
         steps.append(lambda t: ruby(t, True, bool(s.get("large_kana"))))
     if s.get("ellipses") and not titles:
         steps.append(ellipses)
     steps += [angle_notes, without_dust]
-    if s.get("page_break"):
-        steps.append(lambda t: page_breaks(t, s["page_break"]))
     steps += [*([lambda t: after(t, kind)] if after else []), lambda t: replaced(t, list(pairs))]
-    return reduce(lambda d, f: d.withColumn(column, f(F.col(column))), steps, df)
+    by = "word" if s.get("separators") else "character" if s.get("char_separators") else None
+    out = reduce(lambda d, f: d.withColumn(column, f(F.col(column))), steps, df)
+    return separated(out, column, by) if body and by else out

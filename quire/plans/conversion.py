@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import japanese as J
+from quire.functions.separators import separated
 from quire.functions import text as T
 from quire.plans.base import RECORDS, query
 from quire.sources.tables import records, table
@@ -219,9 +220,15 @@ def site_tags(spark, d):
     return _out(_texts(spark, d, "【改ページ】<kbr>い"), J.site_tags)
 
 
-@query(f"SELECT doc_id, text || '漢​カタ​ひらA' AS text {_D}")
+_SIGN = "^ +|[^A-Za-z ] +|[^A-Za-z0-9\\x01 (（「『〔【〈《≪〝［]"
+
+
+# letters with the spaces between them are a word
+@query(f"""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '([0-9]+|[A-Za-z][A-Za-z ]*)', '\\1' || chr(1), 'g'), '({_SIGN})([0-9]+\\x01|[A-Za-z][A-Za-z ]*\\x01)', '\\1' || chr(1) || '\\2', 'g'), chr(1), '［＃zws］') AS text FROM documents WHERE NOT regexp_matches(text, '<[^\n]+>')""")
 def word_separators(spark, d):
-    return _out(_texts(spark, d, "漢カタひらA"), J.word_marks)
+    # text with tags, which are not cut, is left to the tests
+    rows = table(spark, d, "documents").select("doc_id", "text").filter(~F.col("text").rlike("<[^\\n]+>"))
+    return separated(rows, "text")
 
 
 @query(f"SELECT doc_id, replace(replace(text, 'the', 'THE'), 'THE', 'Le') AS text {_D}")
