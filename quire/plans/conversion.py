@@ -224,7 +224,7 @@ _SIGN = "^ +|[^A-Za-z ] +|[^A-Za-z0-9\\x01 (（「『〔【〈《≪〝［]"
 
 
 # letters with the spaces between them are a word
-@query(f"""SELECT doc_id, replace(regexp_replace(regexp_replace(text, '([0-9]+|[A-Za-z][A-Za-z ]*)', '\\1' || chr(1), 'g'), '({_SIGN})([0-9]+\\x01|[A-Za-z][A-Za-z ]*\\x01)', '\\1' || chr(1) || '\\2', 'g'), chr(1), '［＃zws］') AS text FROM documents WHERE NOT regexp_matches(text, '<[^\n]+>')""")
+@query(f"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '([0-9]+|[A-Za-z][A-Za-z ]*)', '\\1' || chr(1), 'g'), '([0-9]\\x01 +)([A-Za-z0-9])', '\\1' || chr(1) || '\\2', 'g'), '({_SIGN})([0-9]+\\x01|[A-Za-z][A-Za-z ]*\\x01)', '\\1' || chr(1) || '\\2', 'g'), chr(1), '［＃zws］') AS text FROM documents WHERE NOT regexp_matches(text, '<[^\n]+>')""")
 def word_separators(spark, d):
     # text with tags, which are not cut, is left to the tests
     rows = table(spark, d, "documents").select("doc_id", "text").filter(~F.col("text").rlike("<[^\\n]+>"))
