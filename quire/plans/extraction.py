@@ -106,24 +106,51 @@ def decoded_pages(spark, d):
     return table(spark, d, "pages").select("page_id", B.decoded(F.encode("html", "UTF-8"), F.lit("text/html; charset=utf-8")).alias("text"))
 
 
-@query("SELECT page_id, page_id || chr(10) || 'line' AS unescaped, 'a\\q' AS kept FROM pages")
+@query("SELECT doc_id, md5(text) AS unescaped, 'a\\q' AS kept FROM documents")
 def json_unescaped(spark, d):
-    return table(spark, d, "pages").select("page_id", T.json_unescaped(F.concat(F.col("page_id").cast("string"), F.lit("\\nline"))).alias("unescaped"), T.json_unescaped(F.lit("a\\q")).alias("kept"))
+    # each whole text as it stands inside a JSON string
+    inside = F.regexp_replace(F.to_json(F.struct("text")), '(?s)^\\{"text":"(.*)"\\}$', "$1")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.json_unescaped(inside)).alias("unescaped"), T.json_unescaped(F.lit("a\\q")).alias("kept"))
 
 
-@query("SELECT page_id, '<p>' || page_id || '</p><br /><hr /><ruby>漢字<rt>かんじ</rt></ruby>' AS xhtml FROM pages")
+def _after(text: str, *steps: tuple[str, str, str]) -> str:
+    """SQL that replaces patterns one after the other."""
+    for pattern, to, flags in steps:
+        text = f"regexp_replace({text}, '{pattern}', {to}, '{flags}')"
+    return text
+
+
+_RUBY = "<ruby[^>]*>(?:<rb>)?([^<]*)(?:</rb>)?(?:<rp>[^<]*</rp>)?<rt[^>]*>([^<]*)</rt>(?:<rp>[^<]*</rp>)?</ruby>"
+
+
+def _decoded(text: str) -> str:
+    for entity, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("#160", " "), ("amp", "&")):
+        text = f"replace({text}, '&{entity};', '{sign}')"
+    return text
+
+
+_XHTML = _after("html || '<P class=x>a</P><BR><hr/>｜漢字《かんじ》'", ("\\r\\n?", "chr(10)", "g"), ("<br\\s*/?>", "'<br />'", "gi"), ("<hr\\s*/?>", "'<hr />'", "gi"), ("<(/?)p\\b[^>]*>", "'<\\1p>'", "gi"), ("｜([^《》｜\\n]+)《([^》\\n]+)》", "'<ruby>\\1<rt>\\2</rt></ruby>'", "g"))
+
+
+@query(f"SELECT page_id, {_XHTML} AS xhtml FROM pages")
 def xhtml_pieces(spark, d):
-    return table(spark, d, "pages").select("page_id", T.xhtml(F.concat(F.lit("<P class='x'>"), F.col("page_id").cast("string"), F.lit("</P><BR><hr/>｜漢字《かんじ》"))).alias("xhtml"))
+    return table(spark, d, "pages").select("page_id", T.xhtml(F.concat("html", F.lit("<P class=x>a</P><BR><hr/>｜漢字《かんじ》"))).alias("xhtml"))
+
 
+_READ = _decoded(_after("html || '<p>a</p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>&amp;<br>'", (_RUBY, "'\\1(\\2)'", "gis"), ("<br\\s*/?>|</p>", "chr(10)", "gi"), ("<[^>]*>", "''", "gs")))
 
-@query("SELECT page_id, page_id || chr(10) || '漢字(かんじ)&' AS text FROM pages")
+
+@query("SELECT page_id, " + _after(_READ, ("\\n{3,}", "chr(10) || chr(10)", "g"), ("^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$", "''", "g")) + " AS text FROM pages")
 def reader_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", T.reader_text(F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>&amp;<br>"))).alias("text"))
+    return table(spark, d, "pages").select("page_id", T.reader_text(F.concat("html", F.lit("<p>a</p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>&amp;<br>"))).alias("text"))
+
+
+_MARKED = _after("html || '<p>a</p><ruby>漢字<rt>かんじ</rt></ruby><img alt=\"x\" src=\"a.png\">'", ("\\r?\\n", "''", "g"), ("<br\\s*/?>|</p>", "chr(10)", "gi"), (_RUBY, "'｜\\1《\\2》'", "gis"), *(x for tag, name in (("b", "太字"), ("i", "斜体"), ("s", "取消線")) for x in ((f"<{tag}>", f"'［＃{name}］'", "gi"), (f"</{tag}>", f"'［＃{name}終わり］'", "gi"))), ('<img\\b[^>]*?src="([^"]*)"[^>]*>', "'［＃挿絵（\\1）入る］'", "gi"), ("<[^>]*>", "''", "gs"))
 
 
-@query("SELECT page_id, page_id || chr(10) || '｜漢字《かんじ》［＃太字］b［＃太字終わり］［＃挿絵（a.png）入る］' AS text FROM pages")
+@query(f"SELECT page_id, {_decoded(_MARKED)} AS text FROM pages")
 def aozora_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_to_aozora(F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit('</p><ruby>漢字<rt>かんじ</rt></ruby><b>b</b><img alt="x" src="a.png">'))).alias("text"))
+    return table(spark, d, "pages").select("page_id", T.html_to_aozora(F.concat("html", F.lit('<p>a</p><ruby>漢字<rt>かんじ</rt></ruby><img alt="x" src="a.png">'))).alias("text"))
 
 
 @query("SELECT doc_id, 'https://example.org/' || doc_id AS url FROM documents")

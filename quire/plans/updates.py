@@ -257,10 +257,12 @@ def retry_waits(spark, d):
     return table(spark, d, "events").select("event_id", V.backoff(F.lit(1000), F.col("user_id") % 9 + 1, F.col("event_type") == "error", F.col("event_id") % 1000).alias("wait"))
 
 
-@query("SELECT o_orderkey AS work, 'a b' AS kept, 'c' AS dropped FROM orders")
+@query("""WITH l AS (SELECT l_orderkey AS work, l_linenumber, max(l_returnflag) AS f FROM lineitem GROUP BY ALL)
+SELECT work, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (f = 'R'), '') AS returned, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (f = 'N'), '') AS kept FROM l GROUP BY work""")
 def inverted_maps(spark, d):
-    states = L.inverted(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(1), F.lit("c"), F.lit(0)))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), F.array_join(states[1], " ").alias("kept"), F.array_join(states[0], " ").alias("dropped"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("line")).agg(F.max("l_returnflag").alias("flag"))
+    states = lines.groupBy(F.col("l_orderkey").alias("work")).agg(L.inverted(F.map_from_entries(F.collect_list(F.struct("line", "flag")))).alias("m"))
+    return states.select("work", *(F.coalesce(F.array_join(F.try_element_at("m", F.lit(flag)), " "), F.lit("")).alias(name) for flag, name in (("R", "returned"), ("N", "kept"))))
 
 
 @query("SELECT o_orderkey AS work, 'first_line=' || o_orderkey || ' size=' || o_custkey AS convert FROM orders")
