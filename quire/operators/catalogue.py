@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import numbered
+
 _TAG = re.compile(r"^([-^]?)tag:(.+)$", re.IGNORECASE)
 TEXT_COLUMNS = ("title", "sitename", "status")
 #: The columns a list can be sorted by.
@@ -134,14 +136,14 @@ def setting(forced: Column, own: Column, valid: Column, fallback: Column, built_
 def sorted_ids(asked: DataFrame, works: DataFrame, order: list[Column]) -> DataFrame:
     """``id, position``: the asked ids that are stored, in the order of the list."""
     found = works.join(asked.distinct(), "id", "left_semi")
-    return found.select("id", F.row_number().over(Window.orderBy(*order, "id")).cast("bigint").alias("position"))
+    return numbered(found, "position", *order, "id").select("id", "position")
 
 
 def update_places(asked: DataFrame, works: DataFrame, by: str) -> DataFrame:
     """``id, place``: newest first, a missing time counts as year 1, works that are not stored last."""
     known = asked.join(works.select("id", F.col(by).alias("_at"), F.lit(True).alias("_stored")), "id", "left")
     key = F.coalesce("_at", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))
-    return known.select("id", F.row_number().over(Window.orderBy(F.coalesce("_stored", F.lit(False)).desc(), key.desc(), "id")).cast("bigint").alias("place"))
+    return numbered(known, "place", F.coalesce("_stored", F.lit(False)).desc(), key.desc(), "id").select("id", "place")
 
 
 def library_order(works: DataFrame, by: str) -> DataFrame:
