@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,23 +42,28 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scopes: list[list[DataFrame]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs the tasks it held, not the
     steps before.  The shuffle files of the steps before go as soon as it is written.
+    ``batch_rows``: rows that Python gets at once meanwhile, where rows are large.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _BATCH: spark.conf.get(_BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     if _scopes:
@@ -93,6 +101,14 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _scopes[-1].append(df)
 
 
+def memory_returned() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers stay for the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty); other columns are not read."""
     return docs.select(

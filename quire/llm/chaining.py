@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, scope, table, texts_of, written
+from quire.llm._common import discard, memory_returned, scope, table, texts_of, written
 from quire.llm.words import _powers, mix, shingles_in_order, slices, text_bytes, words
 
 K, WINDOW = 5, 6
@@ -40,6 +40,8 @@ CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 8, 40, 0.8
 GAP_COST, DROP = 0.3, 8
 #: Words beyond a chain that are fetched at first; chains that go on beyond them are aligned in whole texts.
 REACH = 400
+#: Rows with both stretches that a task aligns at once.
+ALIGNED_ROWS = 256
 #: Words of the spans of seeds, at least; at most twice as many.
 SPANS = (10, 20, PASSAGE_WORDS)
 #: Words next to the diagonal that the first, narrowest alignment of a gap looks at.
@@ -52,6 +54,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """``seed long, doc_id long, pos int``: the chosen k-mers of each text, with the word they start at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_returned()
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(batch.column(1)):
@@ -404,7 +407,7 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDEN
     discard(anchors)
     named = found.select("doc_id").union(found.select("source_id")).distinct()
     of = written(word_arrays(docs.join(named, "doc_id", "left_semi")), "words")
-    near = written(_aligned(found, of, REACH, least, identity), "near")
+    near = written(_aligned(found, of, REACH, least, identity), "near", ALIGNED_ROWS)
     # chains that go on beyond what was fetched
     far = near.filter("more").select("doc_id", "source_id").distinct()
     whole = _aligned(found.join(far, ["doc_id", "source_id"], "left_semi"), of, None, least, identity)
@@ -428,6 +431,7 @@ def _aligned(found: DataFrame, of: DataFrame, reach: int | None, least: int, ide
     both = both.select("doc_id", "source_id", "xs", "ys", "ns", "from", "s_from", "a", "b", "text_hash", (F.col("cut_a") | (F.col("s_to") < F.size("s_words"))).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_returned()
         for batch in batches:
             out = []
             a_of, b_of = batch.column(7), batch.column(8)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import table, texts_of, written
+from quire.llm._common import memory_returned, table, texts_of, written
 
 #: Labelled rows of each class that the model may be fitted on.
 SAMPLE_ROWS = 8000
@@ -329,6 +329,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in batches:
             scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        del scorer
+        memory_returned()
 
     scored = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -345,6 +347,8 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
         for batch in batches:
             keep = [scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep))
+        del scorer
+        memory_returned()
 
     return docs.mapInArrow(run, schema)
 
