@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import scope, table, written
+from quire.llm._common import memory_returned, scope, table, written
 from quire.llm.tokens import Words, byte_set, strings
 from quire.llm.words import mix, text_bytes
 
@@ -221,6 +221,7 @@ def counts(texts: DataFrame, shortest: int, longest: int, least: int, known: np.
         def shard() -> Iterator[pa.RecordBatch]:
             langs, rows = (pa.chunked_array(c, pa.string()).combine_chunks() for c in zip(*some))
             yield from shard_counts(langs, rows, shortest, longest, filter_, part, as_keys)
+            memory_returned()
 
         for batch in batches:
             begin, ends = 0, np.cumsum(np.diff(text_bytes(batch.column(1))[1]))
