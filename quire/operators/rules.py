@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -88,6 +88,16 @@ class Element:
     attributes: dict[str, str]
     parent: Element | None
     children: list = field(default_factory=list)
+    #: The element before it among its parent's, its place there from 1, and how many elements it has itself.
+    before: Element | None = None
+    place: int = 1
+    elements: int = 0
+    last: Element | None = None
+
+    def add(self, e: Element) -> None:
+        self.elements += 1
+        e.before, e.place, self.last = self.last, self.elements, e
+        self.children.append(e)
 
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
@@ -107,12 +117,12 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(e)
+        self.at.add(e)
         if tag not in EMPTY_ELEMENTS:
             self.at = e
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.at.add(Element(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
         e = self.at
@@ -132,47 +142,121 @@ def parsed(html: str) -> Element:
     return tree.root
 
 
-def _fits(e: Element, simple: str) -> bool:
-    for kind, name, value in re.findall(r"([#.]?)([\w-]+|\*)|\[([^\]]+)\]", simple):
-        if value:
-            k, _, v = value.partition("=")
-            if k.rstrip("^$*") not in e.attributes or (v and not _compared(e.attributes[k.rstrip("^$*")], k[-1:], v.strip("\"'"))):
+#: One part of a compound selector: a name, ``#id``, ``.class``, ``[attribute]`` or ``:pseudo(argument)``.
+_PART = re.compile(r"""(?P<name>\*|[\w-]+)|\#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)|\[\s*(?P<key>[\w:-]+)\s*(?:(?P<how>[~|^$*]?=)\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\]\s]*))\s*)?\]|:(?P<pseudo>[\w-]+)(?:\((?P<argument>(?:[^()]|\([^()]*\))*)\))?""")
+#: A compound, which brackets and parentheses hold together, or what stands between two.
+_STEP = re.compile(r"""\s*([>+~,])\s*|(\s+)|((?:[^\s>+~,\[(]|\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\))+)""")
+_COMPARED = {
+    "=": lambda have, want: have == want,
+    "^=": lambda have, want: want != "" and have.startswith(want),
+    "$=": lambda have, want: want != "" and have.endswith(want),
+    "*=": lambda have, want: want != "" and want in have,
+    "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+}
+
+
+def _nth(argument: str, place: int) -> bool:
+    """Whether a place is one of ``an+b``, ``odd`` or ``even``."""
+    form = {"odd": "2n+1", "even": "2n"}.get(argument.strip().lower(), argument.replace(" ", "").lower())
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", form)
+    if not m:
+        raise ValueError(f"no places: {argument}")
+    if m.group(3):
+        return place == int(m.group(3))
+    step = int(m.group(1) + "1") if m.group(1) in ("", "+", "-") else int(m.group(1))
+    first = int(m.group(2) or 0)
+    return place == first if step == 0 else (place - first) % step == 0 and (place - first) // step >= 0
+
+
+_PSEUDO = {
+    "first-child": lambda e, _: e.place == 1,
+    "last-child": lambda e, _: e.place == e.parent.elements,
+    "only-child": lambda e, _: e.parent.elements == 1,
+    "nth-child": lambda e, x: _nth(x, e.place),
+    "nth-last-child": lambda e, x: _nth(x, e.parent.elements - e.place + 1),
+    "empty": lambda e, _: not e.children,
+    "not": lambda e, x: not any(_holds(e, way, None) for way in _ways(x)),
+    "is": lambda e, x: any(_holds(e, way, None) for way in _ways(x)),
+}
+
+
+@cache
+def _ways(selector: str) -> list[list[tuple[str, str]]]:
+    """For each selector of a list its compounds from left to right, each with how it follows the one before."""
+    out: list[list[tuple[str, str]]] = [[]]
+    how, end = " ", 0
+    for m in _STEP.finditer(selector.strip()):
+        if m.start() != end:
+            break
+        end = m.end()
+        if m.group(1) and (how != " " or not out[-1]):
+            raise ValueError(f"no selector: {selector}")
+        if m.group(1) == ",":
+            out.append([])
+        elif m.group(3):
+            out[-1].append((how, m.group(3)))
+            how = " "
+        elif m.group(1):
+            how = m.group(1)
+    if how != " " or end != len(selector.strip()) or not all(out):
+        raise ValueError(f"no selector: {selector}")
+    return out
+
+
+@cache
+def _parts(compound: str) -> list[dict[str, str | None]]:
+    found = list(_PART.finditer(compound))
+    if "".join(m.group() for m in found) != compound:
+        raise ValueError(f"no selector: {compound}")
+    return [m.groupdict() for m in found]
+
+
+def _fits(e: Element, compound: str) -> bool:
+    for p in _parts(compound):
+        if p["pseudo"]:
+            if p["pseudo"] not in _PSEUDO:
+                raise ValueError(f"no selector: :{p['pseudo']}")
+            if not _PSEUDO[p["pseudo"]](e, p["argument"] or ""):
                 return False
-        elif kind == "#" and e.attributes.get("id") != name:
+        elif p["key"]:
+            want = next((p[x] for x in "abc" if p[x] is not None), "")
+            if p["key"] not in e.attributes or (p["how"] and not _COMPARED[p["how"]](e.attributes[p["key"]], want)):
+                return False
+        elif p["id"] is not None and e.attributes.get("id") != p["id"]:
             return False
-        elif kind == "." and name not in e.attributes.get("class", "").split():
+        elif p["class"] is not None and p["class"] not in e.attributes.get("class", "").split():
             return False
-        elif not kind and name not in ("*", e.tag):
+        elif p["name"] not in (None, "*", e.tag):
             return False
     return True
 
 
-def _compared(have: str, how: str, want: str) -> bool:
-    return have.startswith(want) if how == "^" else have.endswith(want) if how == "$" else want in have if how == "*" else have == want
+def _holds(e: Element, way: list[tuple[str, str]], top: Element | None) -> bool:
+    """Whether an element fits the last compound and what stands before it those to the left; ``top``: nothing above it counts."""
+    how, compound = way[-1]
+    if e.parent is None or not _fits(e, compound):
+        return False
+    rest = way[:-1]
+    if not rest:
+        return True
+    at = e.before if how in "+~" else e.parent if e is not top else None
+    while at is not None:
+        if _holds(at, rest, top):
+            return True
+        if how in "+>":
+            return False
+        at = at.before if how == "~" else at.parent if at is not top else None
+    return False
 
 
 def selected(root: Element, selector: str) -> list[Element]:
-    """Elements below ``root`` in order; names, ``#id``, ``.class``, ``[attribute]``, descendants, ``>`` and lists."""
-    ways = [re.findall(r">|[^\s>]+", s) for s in selector.split(",")]
-
-    def holds(e: Element, way: list[str]) -> bool:
-        if not _fits(e, way[-1]):
-            return False
-        rest = way[:-1]
-        if not rest:
-            return True
-        direct = rest[-1] == ">"
-        rest = rest[:-1] if direct else rest
-        up = e.parent
-        while up is not None and up is not root.parent:
-            if holds(up, rest):
-                return True
-            if direct:
-                return False
-            up = up.parent
-        return False
+    """Elements below ``root`` in order.
 
-    return [e for e in root.below() if any(holds(e, w) for w in ways)]
+    Names, ``#id``, ``.class``, attributes with all comparisons, ``:not``, ``:is``, ``:nth-child`` and the like; a compound follows
+    another as descendant, child (``>``), next (``+``) or later sibling (``~``); lists.  Others are an error.
+    """
+    return [e for e in root.below() if any(_holds(e, w, root) for w in _ways(selector))]
 
 
 def value_of(e: Element, expression: str) -> str:
