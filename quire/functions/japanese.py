@@ -384,7 +384,7 @@ def emphasised(text: Column, brackets: bool = False) -> Column:
     """Dots as reading of a base become emphasis dots; with ``brackets`` middle dots in round ones, too."""
     for reading in ("≪[・、]+≫", *(["（・{1,20}）"] if brackets else [])):
         text = F.regexp_replace(text, f"｜([^｜≪≫（）\\n]+){reading}", "［＃傍点］$1［＃傍点終わり］")
-        text = F.regexp_replace(text, f"([{_BASE}][{_BASE}　]*){reading}", "［＃傍点］$1［＃傍点終わり］")
+        text = F.regexp_replace(text, f"([{_BASE}][{_BASE}　]*+){reading}", "［＃傍点］$1［＃傍点終わり］")
     return text
 
 
@@ -396,11 +396,11 @@ def ruby(text: Column, brackets: bool = True, large: bool = False) -> Column:
     up to 20 kana only.
     """
     text = emphasised(text, brackets)
-    part, kana = f"(?<![{_BASE}{_MARK}])([{_BASE}]+)", f"[{_KANA}]+"
+    part, kana = f"(?<![{_BASE}{_MARK}])([{_BASE}]++)", f"[{_KANA}]+"
     for opening, closing, marked in (("≪", "≫", "[^≪≫\\n]+?"), *([("（", "）", f"[{_KANA} 　]{{1,20}}")] if brackets else [])):
         short = f"(?=[^{closing}]{{1,20}}{closing})"
         text = F.regexp_replace(text, f"｜([^｜≪≫（）《》\\n]+){opening}(?! )({marked})(?<!  ){closing}", f"{_MARK}$1《$2》")
-        text = F.regexp_replace(text, f"{part}([ 　])([{_BASE}]+){opening}{short}({kana})[ 　]({kana}){closing}", f"{_MARK}$1《$4》$2{_MARK}$3《$5》")
+        text = F.regexp_replace(text, f"{part}([ 　])([{_BASE}]++){opening}{short}({kana})[ 　]({kana}){closing}", f"{_MARK}$1《$4》$2{_MARK}$3《$5》")
         text = F.regexp_replace(text, f"{part}{opening}{short}({kana}[ 　]?[{_KANA}]*){closing}", f"{_MARK}$1《$2》")
     text = F.regexp_replace(text, "｜([≪（])", "$1")
     if large:
