@@ -288,6 +288,7 @@ def word_arrays(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists], ["doc_id", "text_hash", "words"])
+        memory_returned()
 
     one = docs.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return one.mapInArrow(run, "doc_id long, text_hash long, words array<long>")
@@ -410,7 +411,7 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDEN
     near = written(_aligned(found, of, REACH, least, identity), "near", ALIGNED_ROWS)
     # chains that go on beyond what was fetched
     far = near.filter("more").select("doc_id", "source_id").distinct()
-    whole = _aligned(found.join(far, ["doc_id", "source_id"], "left_semi"), of, None, least, identity)
+    whole = written(_aligned(found.join(far, ["doc_id", "source_id"], "left_semi"), of, None, least, identity), "whole", ALIGNED_ROWS)
     rest = near.filter("start IS NOT NULL").join(far, ["doc_id", "source_id"], "left_anti")
     return rest.unionByName(whole.filter("start IS NOT NULL")).drop("more").distinct()
 
@@ -447,6 +448,7 @@ def _aligned(found: DataFrame, of: DataFrame, reach: int | None, least: int, ide
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [*(c.split()[0] for c in PASSAGES.split(", ")), "more"])
+        memory_returned()
 
     return both.mapInArrow(run, PASSAGES + ", more boolean")
 
