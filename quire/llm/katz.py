@@ -1,33 +1,35 @@
 """Operator 5: language-model scores by Katz backoff.
 
-A bigram model with Good-Turing discounts.  A token that its context was seen with
-has its discounted relative frequency; any other has the context's backoff weight
-times its own probability one order lower, where unseen words share what the
-discounts leave.  The weight is what the context's discounts leave, divided by
-the lower-order probability of all words not seen there, so that each context's
-probabilities sum to one over the vocabulary and one unknown word.
+An n-gram model (:data:`ORDER` words) with Good-Turing discounts.  A token that its
+context was seen with has its discounted relative frequency; any other has the
+context's backoff weight times its own probability one order lower, and so on down to
+single words, where unseen words share what the discounts leave.  The weight is what
+the context's discounts leave, divided by the lower-order probability of all words not
+seen there, so that each context's probabilities sum to one over the vocabulary and
+one unknown word.
 
 Counts grow with the corpus and are never gathered in one place:
 
 * Texts become chunks of token numbers with a vocabulary each, written once.
 * Words are dealt by hash; each bucket adds up the chunks' counts and tells every
   chunk those of its own words.
-* Pairs are dealt by hash of the whole pair and counted, which gives the
-  counts-of-counts, and the sums of frequent contexts.
-* For scoring, pairs are dealt by context, so that a bucket has all of a context's
-  counts, its discounts and its weight, and scores the pairs of every document
-  there.  Contexts (and pairs) with more than ``HOT`` of all tokens, so at most
-  ``1 / HOT`` of each, are spread by pair (or scored where they stand) with the
-  sums of the step before, which are broadcast.
-
-What is dealt travels as arrays in few rows; scoring goes in ``ROUNDS`` parts, one
+* Then order by order, each chunk asks for its distinct n-grams, with its training
+  counts and the probabilities of the order below.  They are dealt by context, so that a
+  bucket has all of a context's counts and what its weight divides by, and answers every
+  chunk.  The counts-of-counts of all buckets give the order's discounts, with which
+  the chunks turn answers into probabilities, which the next order asks with.
+  Contexts with more than ``HOT`` of all tokens, so at most ``1 / HOT`` of each order,
+  are spread by n-gram; the buckets' sums for them are added up and broadcast.
+
+What is dealt travels as arrays in few rows; an order goes in ``ROUNDS`` parts, one
 after the other, to bound the disk space of a shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,11 +43,15 @@ from quire.llm.words import mix, slices, text_bytes, words
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
 #: Good-Turing discounts apply to counts up to this one.
 CUTOFF = 5
-#: Share of all training tokens above which a context or a pair is frequent.
+#: Words of the longest n-grams that the query's model has.
+ORDER = 3
+#: Share of all training tokens above which a context is frequent.
 HOT = 1 / 1000
 ROUNDS = 4
 #: Tokens of a chunk and of a bucket, about.
 CHUNK, BUCKET = 1 << 20, 1 << 22
+#: Chunks that Python gets at once.
+CHUNK_ROWS = 4
 
 CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocabulary binary, tokens binary"
 
@@ -133,23 +139,63 @@ class Chunk:
         self.nulls = np.unpackbits(np.frombuffer(row["docs"], np.uint8, count=cut))[:n].astype(bool)
         self.ids = np.frombuffer(row["docs"], "<i8", offset=cut, count=n)
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.doc = np.repeat(np.arange(n), self.lengths)
-        self.learned = ~self.held[self.doc]
+        self.tokens = np.frombuffer(row["tokens"], "<u4")
+        self.learned = np.repeat(~self.held, self.lengths)
+        self.first = np.cumsum(self.lengths) - self.lengths
         if row.get("counts") is not None:
             self.counts = np.frombuffer(row["counts"], "<i8")
+        self.below = np.frombuffer(row["low"], "<f8") if row.get("low") is not None else None
+
+    def low(self, lower: Lower, at: np.ndarray) -> np.ndarray:
+        """The probabilities of some tokens, one order below the one that is asked for."""
+        return lower.probability(self.counts[self.tokens[at]]) if self.below is None else self.below[at]
+
+    @property
+    def doc(self) -> np.ndarray:
+        """The text of each token."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def part(self, part: int, parts: int) -> np.ndarray:
+        """The tokens that follow one part of all words (the first ones follow the start)."""
+        of = ((mix(np.append(self.vocabulary, START)) >> np.uint64(40)) % np.uint64(parts) == part)
+        on = np.empty(len(self.tokens), dtype=bool)
+        on[1:] = of[self.tokens[:-1]]
+        on[self.first] = of[-1]
+        return np.flatnonzero(on)
+
+    def grams(self, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of some tokens' contexts of ``order - 1`` tokens, and of each with its token."""
+        place = at - np.repeat(self.first, self.lengths)[at]
+        for n in range(2, order + 1):
+            back = order - n + 1
+            word = self.vocabulary[self.tokens[np.maximum(at - back, 0)]]
+            context = np.where(place >= back, word if n == 2 else gram_key(context, word), start_of(n))
+        return context, gram_key(context, self.vocabulary[self.tokens[at]])
+
+
+def gram_key(context: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram; it is the context's hash one order higher."""
+    return mix(context * np.uint64(0x9FB21C651E98DF25) + mix(own))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each token's context, and its own."""
-        own = self.vocabulary[self.tokens]
-        context = np.empty_like(own)
-        context[1:] = own[:-1]
-        context[np.cumsum(self.lengths) - self.lengths] = START
-        return context, own
 
+def start_of(order: int) -> np.uint64:
+    """The context of a text's first token."""
+    start = np.array([START])
+    for _ in range(order - 2):
+        start = gram_key(start, np.array([START]))
+    return start[0]
 
-def pair_key(context: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(0x9FB21C651E98DF25) + mix(own))
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; that size comes first."""
+    most = int(values.max(initial=0))
+    size = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    parts = [np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64) for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -218,171 +264,217 @@ def annotated(encoded: DataFrame, counted: DataFrame) -> DataFrame:
     return encoded.join(told, "chunk").mapInArrow(run, CHUNKS + ", counts binary")
 
 
-def pair_counts(chunk_rows: DataFrame, lower: Lower, hot: np.ndarray, most: int, buckets: int) -> DataFrame:
-    """Sums over training pairs by bucket: ``counts_of array<long>``, those of frequent contexts, and frequent pairs.
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys follow each other, and where each key begins there."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return order, np.flatnonzero(new)
 
-    ``hot``: hashes of frequent contexts; a pair with over ``most`` tokens is frequent.
-    """
-    sent = "bucket int, keys binary, counts binary, contexts binary, words binary"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                context, own = c.pairs()
-                on = np.flatnonzero(c.learned)
-                key, first, n = np.unique(pair_key(context[on], own[on]), return_index=True, return_counts=True)
-                at = on[first]
-                place = np.searchsorted(hot, context[at]) if len(hot) else np.zeros(len(at), np.int64)
-                is_hot = (hot[np.minimum(place, len(hot) - 1)] == context[at]) if len(hot) else np.zeros(len(at), bool)
-                which = np.where(is_hot, place, -1).astype("<i2")
-                count = np.where(is_hot, c.counts[c.tokens[at]], 0).astype("<u4")
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                yield _rows(sent, list(_dealt(bucket, key.astype("<u8"), n.astype("<u4"), which, count)))
+def _place(hot: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts are frequent, and where they stand in ``hot``."""
+    if not len(hot):
+        return np.zeros(len(context), bool), np.zeros(len(context), np.int64)
+    place = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+    return hot[place] == context, place
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        key, n = _joined(group["keys"], "<u8"), _joined(group["counts"], "<u4").astype(np.int64)
-        which, count = _joined(group["contexts"], "<i2"), _joined(group["words"], "<u4")
-        order = np.argsort(key, kind="stable")
-        key, n, which, count = key[order], n[order], which[order], count[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n, key, which, count = np.add.reduceat(n, at), key[at], which[at].astype(np.int64), count[at].astype(np.int64)
-        few = np.minimum(n, CUTOFF + 2)
-        counts_of = np.bincount(few, minlength=CUTOFF + 3)[1 : CUTOFF + 2]
-        on = which >= 0
-        by = np.zeros((len(hot), CUTOFF + 1), dtype=np.int64)
-        small = on & (n <= CUTOFF)
-        np.add.at(by, (which[small], n[small]), 1)
-        mass = np.bincount(which[on], weights=lower.probability(count[on]), minlength=len(hot))
-        large = n > most
-        return pd.DataFrame({"counts_of": [counts_of.tolist()], "by_context": [by.reshape(-1).tolist()], "mass": [mass.tolist()], "hot_keys": [key[large].view(np.int64).tolist()], "hot_counts": [n[large].tolist()]})
-
-    schema = "counts_of array<long>, by_context array<long>, mass array<double>, hot_keys array<long>, hot_counts array<long>"
-    return chunk_rows.mapInArrow(send, sent).groupBy("bucket").applyInPandas(add, schema)
-
-
-class Model:
-    """The bounded part of a model: word-level sums, discounts, frequent contexts and pairs."""
-
-    def __init__(self, lower: Lower, d: list[float], hot: np.ndarray, total: np.ndarray, by: np.ndarray, mass: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.lower, self.d = lower, np.array(d)
-        self.hot, self.keys, self.counts = hot, keys, counts
-        self.total, self.weight = self.sums(total, by @ (np.arange(CUTOFF + 1) * (1 - self.d)), mass)
-
-    @staticmethod
-    def sums(total: np.ndarray, taken: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What each context's counts are divided by, and its backoff weight; ``taken``: what discounts take off."""
-        total = total.astype(np.float64)
-        none = taken <= 1e-9
-        over = np.where(none, total + 1, total)
-        left = np.where(none, 1.0, taken) / np.maximum(over, 1)
-        weight = np.where(total > 0, left / np.maximum(1 - mass, 1e-12), 1.0)
-        return over, weight
-
-    def seen(self, count: np.ndarray, over: np.ndarray) -> np.ndarray:
-        d = np.where(count <= CUTOFF, self.d[np.minimum(count, CUTOFF)], 1.0)
-        return d * count / over
 
+class Requests:
+    """A chunk's distinct n-grams of one part of all contexts, by bucket."""
+
+    def __init__(self, c: Chunk, order_of: int, hot: np.ndarray, buckets: int, part: int, parts: int):
+        mine = c.part(part, parts)
+        context, key = c.grams(mine, order_of)
+        order, at = _groups(key)
+        context, key = context[order[at]], key[order[at]]
+        self.hot, self.place = _place(hot, context)
+        dealt_by = np.where(self.hot, key, context)
+        bucket = (mix(dealt_by ^ np.uint64(7)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        by = np.argsort(bucket, kind="stable")
+        #: Tokens by n-gram, where each n-gram begins, and the n-grams by bucket with a token of each.
+        self.tokens, self.at, self.by = mine[order], at, by
+        self.first, self.context, self.key = self.tokens[at][by], context[by], key[by]
+        self.bucket, self.hot, self.place = bucket[by].astype(np.int64), self.hot[by], self.place[by]
+
+    def times(self, learned: np.ndarray) -> np.ndarray:
+        """Training tokens of each n-gram."""
+        return np.add.reduceat(learned[self.tokens].astype(np.int64), self.at)[self.by] if len(self.at) else self.at
+
+    def spread(self, values: np.ndarray, out: np.ndarray) -> None:
+        """Puts each n-gram's value to all of its tokens."""
+        of = np.empty(len(values))
+        of[self.by] = values
+        out[self.tokens] = np.repeat(of, np.diff(np.append(self.at, len(self.tokens))))
 
-def scored(chunk_rows: DataFrame, model: Model, buckets: int, part: int, parts: int) -> DataFrame:
-    """``chunk, docs binary, sums binary``: log10 probabilities of one part of all contexts, summed by document."""
-    sent = "bucket int, chunk long, contexts binary, words binary, counts binary, docs binary, times binary"
+
+ANSWERS = "part int, bucket int, chunk long, counts binary, over binary, rest binary, small binary, counts_of array<long>, hot array<double>, keys array<long>, key_counts array<long>"
+
+
+def answers(chunk_rows: DataFrame, order: int, lower: Lower, hot: np.ndarray, most: int, buckets: int, part: int, parts: int) -> DataFrame:
+    """:data:`ANSWERS` to each chunk's :class:`Requests`, in their order.
+
+    ``counts``: training tokens of the n-gram; ``over``: what its context's are divided by, 0 if it
+    has none.  Only of n-grams without a count, ``rest``: the probability one order lower, divided by
+    that of all words not seen there; ``small``: how many n-grams of the context have each count up to
+    ``CUTOFF``.  For frequent contexts (``hot``) the divisors stay out.  On the row of a bucket's first
+    chunk: its counts-of-counts, sums for each frequent context (total, small counts, lower
+    probability of what was seen), and n-grams with over ``most`` tokens.
+    """
+    sent = "bucket int, chunk long, contexts binary, keys binary, times binary, low binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 c = Chunk(row)
-                context, own = c.pairs()
-                mine = np.flatnonzero((mix(context) >> np.uint64(40)) % np.uint64(parts) == part)
-                key = pair_key(context[mine], own[mine])
-                if len(model.keys):
-                    on = model.keys[np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)] != key
-                    mine, key = mine[on], key[on]
-                _, first, n = np.unique(mix(key ^ np.uint64(1)) + c.doc[mine].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True, return_counts=True)
-                at = mine[first]
-                cont, word = context[at], own[at]
-                is_hot = np.isin(cont, model.hot)
-                bucket = (mix(np.where(is_hot, key[first], cont) ^ np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((word, cont))
-                doc = (c.doc[at].astype(np.int64) * 2 + c.learned[at])[order]
-                parts_of = _dealt(bucket[order], cont[order].astype("<u8"), word[order].astype("<u8"), c.counts[c.tokens[at]][order].astype("<u4"), doc.astype("<u4"), n[order].astype("<u4"))
-                yield _rows(sent, [(b, row["chunk"], *blobs) for b, *blobs in parts_of])
+                r = Requests(c, order, hot, buckets, part, parts)
+                times, low = r.times(c.learned), c.low(lower, r.first)
+                edges = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1)).tolist() if len(r.bucket) else []
+                yield _rows(sent, [(int(r.bucket[a]), row["chunk"], r.context[a:b].tobytes(), r.key[a:b].tobytes(), _packed(times[a:b]), low[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        cont, word = _joined(group["contexts"], "<u8"), _joined(group["words"], "<u8")
-        count, doc, times = (_joined(group[k], "<u4").astype(np.int64) for k in ("counts", "docs", "times"))
         edge = np.concatenate([[0], np.cumsum([len(w) // 8 for w in group["contexts"]])])
-        order = np.lexsort((word, cont))
-        cont, word = cont[order], word[order]
-        new_context = np.concatenate([[True], cont[1:] != cont[:-1]])
-        new_pair = new_context | np.concatenate([[True], word[1:] != word[:-1]])
-        at_pair, pair = np.flatnonzero(new_pair), np.cumsum(new_pair) - 1
-        at_context, context = np.flatnonzero(new_context[at_pair]), np.cumsum(new_context[at_pair]) - 1
-        learned = (times * (doc & 1))[order]
-        c2 = np.add.reduceat(learned, at_pair)
-        low = model.lower.probability(count[order][at_pair])
-        few = (c2 > 0) & (c2 <= CUTOFF)
-        taken = np.add.reduceat(np.where(few, c2 * (1 - model.d[np.minimum(c2, CUTOFF)]), 0.0), at_context)
-        mass = np.add.reduceat(np.where(c2 > 0, low, 0.0), at_context)
-        over, weight = model.sums(np.add.reduceat(c2, at_context), taken, mass)
-        names = cont[at_pair][at_context]
-        if len(model.hot):
-            place = np.minimum(np.searchsorted(model.hot, names), len(model.hot) - 1)
-            known = model.hot[place] == names
-            over, weight = np.where(known, model.total[place], over), np.where(known, model.weight[place], weight)
-        p = np.where(c2 > 0, model.seen(c2, over[context]), weight[context] * low)
-        value = np.empty(len(order))
-        value[order] = np.log10(p)[pair]
-        value *= times
-        docs, sums = [], []
+        order, at = _groups(_joined(group["keys"], "<u8"))
+        count = np.add.reduceat(_unpacked(group["times"])[order], at)
+        context, low = _joined(group["contexts"], "<u8")[order[at]], _joined(group["low"], "<f8")[order[at]]
+        gram = np.empty(len(order), dtype=np.int64)
+        gram[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        frequent = np.flatnonzero(count > most)
+        keys = _joined(group["keys"], "<u8")[order[at[frequent]]]
+        by, first = _groups(context)
+        of = np.empty(len(by), dtype=np.int64)
+        of[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        total = np.add.reduceat(count[by], first)
+        mass = np.add.reduceat(np.where(count > 0, low, 0.0)[by], first)
+        few = (count > 0) & (count <= CUTOFF)
+        small = np.bincount(of[few] * CUTOFF + count[few] - 1, minlength=len(first) * CUTOFF).reshape(-1, CUTOFF)
+        is_hot, place = _place(hot, context[by[first]])
+        sums = np.zeros((len(hot), CUTOFF + 2))
+        sums[place[is_hot]] = np.column_stack([total, small, mass])[is_hot]
+        over = np.where(is_hot, 0, divisor(total, small))
+        rest = low / np.where(is_hot | (total == 0), 1.0, np.maximum(1 - mass, 1e-12))[of]
+        counts_of = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
+        out = []
         for a, b in zip(edge, edge[1:]):
-            some = doc[a:b] >> 1
-            total = np.bincount(some, weights=value[a:b])
-            has = np.flatnonzero(np.bincount(some))
-            docs.append(has.astype("<u4").tobytes())
-            sums.append(total[has].astype("<f8").tobytes())
-        return pd.DataFrame({"chunk": group["chunk"], "docs": docs, "sums": sums})
+            g = gram[a:b]
+            none = g[count[g] == 0]
+            out.append((_packed(count[g]), _packed(over[of[g]]), rest[none].tobytes(), _packed(np.where(is_hot[of[none], None], 0, small[of[none]]).reshape(-1))))
+        own = [(counts_of.tolist(), sums.reshape(-1).tolist(), keys.view(np.int64).tolist(), count[frequent].tolist())] + [([], [], [], [])] * (len(group) - 1)
+        rows = [(part, *x, *y, *z) for x, y, z in zip(zip(group["bucket"], group["chunk"]), out, own)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWERS.split(", ")])
+
+    return chunk_rows.mapInArrow(send, sent).groupBy("bucket").applyInPandas(add, ANSWERS)
+
+
+def divisor(total: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """What a context's counts are divided by: one more than their sum if no count is discounted."""
+    return np.where(total > 0, total + (small.sum(axis=1) == 0), 0)
+
+
+class Level:
+    """The bounded part of one order: discounts, frequent contexts with their sums, and the frequent n-grams."""
+
+    def __init__(self, answered: DataFrame, hot: np.ndarray):
+        def added(column: str) -> list:
+            return [r[1] for r in sorted(answered.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col")).collect())]
+
+        self.hot = hot
+        self.d = np.array(discounts([0, *(added("counts_of") or [0] * (CUTOFF + 1))]))
+        sums = np.array(added("hot") if len(hot) else [], dtype=np.float64)
+        sums = sums.reshape(-1, CUTOFF + 2) if len(sums) else np.zeros((len(hot), CUTOFF + 2))
+        total, small, mass = sums[:, 0], sums[:, 1:-1], sums[:, -1]
+        self.over = divisor(total, small)
+        self.weight = np.where(total > 0, self.left(self.over, small) / np.maximum(1 - mass, 1e-12), 1.0)
+        pairs = answered.select(F.explode("keys")).collect()
+        self.frequent = np.array([r[0] for r in pairs], dtype=np.int64).view(np.uint64)
+
+    def left(self, over: np.ndarray, small: np.ndarray) -> np.ndarray:
+        """The share that a context's discounts leave; all of it where it has no counts."""
+        taken = small @ (np.arange(1, CUTOFF + 1) * (1 - self.d[1:]))
+        return np.where(over > 0, np.where(small.sum(axis=1) == 0, 1.0, taken) / np.maximum(over, 1), 1.0)
+
+    def probability(self, r: Requests, told: list[dict]) -> np.ndarray:
+        """Of each request, from the answers in its order."""
+        count, over = _unpacked([t["counts"] for t in told]), _unpacked([t["over"] for t in told]).astype(np.float64)
+        rest, small = _joined([t["rest"] for t in told], "<f8"), _unpacked([t["small"] for t in told]).reshape(-1, CUTOFF)
+        none = np.flatnonzero(count == 0)
+        left = self.left(over[none], small)
+        if len(self.hot):
+            over = np.where(r.hot, self.over[r.place], over)
+            left = np.where(r.hot[none], self.weight[r.place[none]], left)
+        p = np.where(count <= CUTOFF, self.d[np.minimum(count, CUTOFF)], 1.0) * count / np.maximum(over, 1)
+        p[none] = left * rest
+        return p
+
+
+def token_probabilities(c: Chunk, told: list[dict], order: int, level: Level, buckets: int, parts: int) -> np.ndarray:
+    """Of each token of a chunk in its context, from all answers to the chunk."""
+    out = np.empty(len(c.tokens))
+    for part in range(parts):
+        r = Requests(c, order, level.hot, buckets, part, parts)
+        r.spread(level.probability(r, sorted((t for t in told if t["part"] == part), key=lambda t: t["bucket"])), out)
+    return out
+
+
+def _told(chunk_rows: DataFrame, answered: DataFrame, part: int, parts: int) -> DataFrame:
+    """One part of the chunks, each with ``told``: all answers to it."""
+    mine = F.pmod(F.xxhash64("chunk"), F.lit(parts)) == part
+    told = answered.filter(mine).groupBy("chunk").agg(F.collect_list(F.struct("part", "bucket", "counts", "over", "rest", "small")).alias("told"))
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    return chunk_rows.filter(mine).select(*names, "counts").join(told, "chunk")
+
+
+def _by_part(make: Callable[[int], DataFrame], parts: int, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The parts, written one after the other, together and each."""
+    each = [written(make(part), name, CHUNK_ROWS) for part in range(parts)]
+    return reduce(DataFrame.unionByName, each), each
+
+
+def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
+    """One part of the chunks with ``low binary``: each token's probability of this order, which the next one falls back on."""
+    schema = CHUNKS + ", counts binary, low binary"
 
-    return chunk_rows.mapInArrow(send, sent).groupBy("bucket").applyInPandas(add, "chunk long, docs binary, sums binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                p = token_probabilities(Chunk(row), row["told"], order, level, buckets, parts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(7)), pa.array([p.tobytes()], pa.binary())], [c.split()[0] for c in schema.split(", ")])
+
+    return _told(chunk_rows, answered, part, parts).mapInArrow(run, schema)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def finished(chunk_rows: DataFrame, sums: DataFrame, model: Model) -> DataFrame:
-    """:data:`SCORES` of every document: the sums of all buckets, and of frequent pairs, which are scored here."""
-    lower = model.lower
-    told = sums.groupBy("chunk").agg(F.collect_list(F.struct("docs", "sums")).alias("told"))
+def finished(chunk_rows: DataFrame, answered: DataFrame, order: int, lower: Lower, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
+    """:data:`SCORES` of the documents of one part of the chunks, from the answers of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 c = Chunk(row)
                 n = len(c.lengths)
                 count = c.counts[c.tokens]
                 base = np.bincount(c.doc, weights=np.log10((count + 1) / (lower.total + lower.types + 1)), minlength=n)
                 known = np.bincount(c.doc, weights=count > 0, minlength=n).astype(np.int64)
-                score = np.zeros(n)
-                for t in row["told"] or []:
-                    score[np.frombuffer(t["docs"], "<u4").astype(np.int64)] += np.frombuffer(t["sums"], "<f8")
-                if len(model.keys):
-                    context, own = c.pairs()
-                    key = pair_key(context, own)
-                    place = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-                    on = np.flatnonzero(model.keys[place] == key)
-                    over = model.total[np.searchsorted(model.hot, context[on])]
-                    score += np.bincount(c.doc[on], weights=np.log10(model.seen(model.counts[place[on]], over)), minlength=n)
+                p = token_probabilities(c, row["told"], order, level, buckets, parts)
+                score = np.bincount(c.doc, weights=np.log10(p), minlength=n)
                 cols = [pa.array(c.ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(np.full(n, lower.total)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
 
-    return chunk_rows.join(told, "chunk", "left").mapInArrow(run, SCORES)
+    return _told(chunk_rows, answered, part, parts).mapInArrow(run, SCORES)
 
 
-def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = ROUNDS, bucket: int = BUCKET) -> DataFrame:
+def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = ROUNDS, bucket: int = BUCKET, order: int = 2) -> DataFrame:
     """:data:`SCORES`: every text's tokens, known tokens, baseline and log10 probability.
 
     The model learns from rows whose ``crc32(doc_id as text) mod folds`` is not
-    ``fold``; a null id is not held out.  A null or empty text is the end token alone.
+    ``fold``; a null id is not held out.  ``order``: words of the longest n-grams, 2 or
+    more.  A null or empty text is the end token alone.
     Repeated rows count and are scored as often as they stand.  Without training rows
     every token is the one unknown word.  An empty table gives no rows; other columns
     are ignored.
@@ -397,43 +489,44 @@ def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = RO
     lower = Lower(sums[0], sums[1], [0, *sums[2:]])
     most = int(HOT * lower.total)
     ready = written(annotated(encoded, counted.select("chunk", "words", "counts")), "annotated")
-    hot, total = frequent_contexts(ready, lower, most)
+    hot, texts = frequent_contexts(ready, most)
     discard(encoded)
     discard(counted)
-    found = written(pair_counts(ready, lower, hot, most, buckets), "pair-counts")
-    add = [found.select(F.posexplode(c)).groupBy("pos").agg(F.sum("col")).collect() for c in ("counts_of", "by_context", "mass")]
-    counts_of, by, mass = ([v for _, v in sorted((r[0], r[1]) for r in a)] for a in add)
-    pairs = sorted((int(np.int64(r[0]).view(np.uint64)), r[1]) for r in found.select(F.explode(F.arrays_zip("hot_keys", "hot_counts")).alias("p")).select("p.hot_keys", "p.hot_counts").collect())
-    keys, counts = np.array([k for k, _ in pairs], dtype=np.uint64), np.array([n for _, n in pairs], dtype=np.int64)
-    d = discounts([0, *(counts_of or [0] * (CUTOFF + 1))])
-    model = Model(lower, d, hot, total, np.array(by, dtype=np.int64).reshape(len(hot), CUTOFF + 1), np.array(mass, dtype=np.float64), keys, counts)
-    parts = [written(scored(ready, model, buckets, part, rounds), "sums") for part in range(rounds)]
-    all_sums = parts[0]
-    for p in parts[1:]:
-        all_sums = all_sums.unionByName(p)
-    return finished(ready, all_sums, model)
-
-
-def frequent_contexts(chunk_rows: DataFrame, lower: Lower, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and training counts of the contexts with over ``most`` tokens, sorted; at most ``1 / HOT`` and the start.
+    below = [ready]
+    for n in range(2, order + 1):
+        answered, parts = _by_part(partial(answers, ready, n, lower, hot, most, buckets, parts=rounds), rounds, "answers")
+        level = Level(answered, hot)
+        if n < order:
+            out, higher = _by_part(partial(lowered, ready, answered, n, level, buckets, rounds), rounds, "lowered")
+            hot = np.sort(np.append(level.frequent, [start_of(n + 1)] if texts > most else np.zeros(0, np.uint64)).astype(np.uint64))
+        else:
+            out, higher = _by_part(partial(finished, ready, answered, n, lower, level, buckets, rounds), rounds, "scores")
+        for df in (*below, *parts):
+            discard(df)
+        ready, below = out, higher
+    return ready
+
+
+def frequent_contexts(chunk_rows: DataFrame, most: int) -> tuple[np.ndarray, int]:
+    """Hashes of the words with over ``most`` tokens, and of the start if it has; sorted, at most ``1 / HOT``; and the training texts.
 
     Every token but the end is the context of one other, and the start of one for each text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
+            for k in range(batch.num_rows):
+                c = Chunk(batch.slice(k, 1).to_pylist()[0])
                 on = np.flatnonzero((c.counts > most) & (c.vocabulary != END))
-                rows = [(int(w), int(n), 0) for w, n in zip(c.vocabulary[on].view(np.int64), c.counts[on])]
-                yield _rows("word long, count long, texts long", [*rows, (int(START), 0, int((~c.held).sum()))])
+                rows = [(int(w), 0) for w in c.vocabulary[on].view(np.int64)]
+                yield _rows("word long, texts long", [*rows, (int(START), int((~c.held).sum()))])
 
-    found = chunk_rows.mapInArrow(run, "word long, count long, texts long").groupBy("word").agg(F.max("count").alias("count"), F.sum("texts").alias("texts")).collect()
-    all_of = {int(np.int64(r["word"]).view(np.uint64)): r["count"] + r["texts"] for r in found}
-    chosen = sorted(w for w, n in all_of.items() if n > most)
-    return np.array(chosen, dtype=np.uint64), np.array([all_of[w] for w in chosen], dtype=np.int64)
+    found = chunk_rows.mapInArrow(run, "word long, texts long").groupBy("word").agg(F.sum("texts").alias("texts")).collect()
+    texts = sum(r["texts"] for r in found)
+    chosen = {r["word"] for r in found if r["word"] != int(START)} | ({int(START)} if texts > most else set())
+    return np.sort(np.array(list(chosen), dtype=np.int64).view(np.uint64)), texts
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: all documents, learning from six of seven folds."""
-    return katz_scores(table(spark, sf_dir, "documents"))
+    return katz_scores(table(spark, sf_dir, "documents"), order=ORDER)
