@@ -28,8 +28,8 @@ after the other, to bound the disk space of a shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,9 +146,9 @@ class Chunk:
             self.counts = np.frombuffer(row["counts"], "<i8")
         self.below = np.frombuffer(row["low"], "<f8") if row.get("low") is not None else None
 
-    def low(self, lower: Lower, at: np.ndarray) -> np.ndarray:
-        """The probabilities of some tokens, one order below the one that is asked for."""
-        return lower.probability(self.counts[self.tokens[at]]) if self.below is None else self.below[at]
+    def low(self, at: np.ndarray) -> np.ndarray:
+        """Of some tokens the probabilities one order below the one that is asked for; counts if those are of single words."""
+        return self.counts[self.tokens[at]] if self.below is None else self.below[at]
 
     @property
     def doc(self) -> np.ndarray:
@@ -250,18 +250,25 @@ def word_counts(encoded: DataFrame, buckets: int) -> DataFrame:
     return encoded.mapInArrow(send, sent).groupBy("bucket").applyInPandas(add, "chunk long, words binary, counts binary, sums array<long>")
 
 
-def annotated(encoded: DataFrame, counted: DataFrame) -> DataFrame:
-    """The chunks with ``counts binary``: training counts in the order of their vocabularies."""
-    told = counted.groupBy("chunk").agg(F.collect_list(F.struct("words", "counts")).alias("told"))
+def in_share(part: int, parts: int, tasks: int) -> F.Column:
+    """Whether a chunk is of one share: that of the tasks which made it, so that files of others are not read."""
+    low, high = part * tasks // parts << 32, (part + 1) * tasks // parts << 32
+    return (F.col("chunk") >= low) & (F.col("chunk") < high)
+
+
+def annotated(encoded: DataFrame, counted: DataFrame, mine: F.Column) -> DataFrame:
+    """A share of the chunks with ``counts binary``: training counts in the order of their vocabularies."""
+    told = counted.filter(mine).groupBy("chunk").agg(F.collect_list(F.struct("words", "counts")).alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, row in enumerate(batch.to_pylist()):
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 found, counts = _joined([t["words"] for t in row["told"]], "<u8"), _joined([t["counts"] for t in row["told"]], "<i8")
-                blob = counts[np.argsort(found, kind="stable")].tobytes()  # vocabularies are sorted
+                blob = counts[np.argsort(found)].tobytes()  # vocabularies are sorted
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(6)), pa.array([blob], pa.binary())], [*(c.split()[0] for c in CHUNKS.split(", ")), "counts"])
 
-    return encoded.join(told, "chunk").mapInArrow(run, CHUNKS + ", counts binary")
+    return encoded.filter(mine).join(told, "chunk").mapInArrow(run, CHUNKS + ", counts binary")
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +291,9 @@ def _place(hot: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Requests:
     """A chunk's distinct n-grams of one part of all contexts, by bucket."""
 
-    def __init__(self, c: Chunk, order_of: int, hot: np.ndarray, buckets: int, part: int, parts: int):
+    def __init__(self, c: Chunk, n: int, hot: np.ndarray, buckets: int, part: int, parts: int):
         mine = c.part(part, parts)
-        context, key = c.grams(mine, order_of)
+        context, key = c.grams(mine, n)
         order, at = _groups(key)
         context, key = context[order[at]], key[order[at]]
         self.hot, self.place = _place(hot, context)
@@ -312,7 +319,7 @@ class Requests:
 ANSWERS = "part int, bucket int, chunk long, counts binary, over binary, rest binary, small binary, counts_of array<long>, hot array<double>, keys array<long>, key_counts array<long>"
 
 
-def answers(chunk_rows: DataFrame, order: int, lower: Lower, hot: np.ndarray, most: int, buckets: int, part: int, parts: int) -> DataFrame:
+def answers(chunk_rows: DataFrame, order_of: int, lower: Lower, hot: np.ndarray, most: int, buckets: int, part: int, parts: int) -> DataFrame:
     """:data:`ANSWERS` to each chunk's :class:`Requests`, in their order.
 
     ``counts``: training tokens of the n-gram; ``over``: what its context's are divided by, 0 if it
@@ -329,16 +336,17 @@ def answers(chunk_rows: DataFrame, order: int, lower: Lower, hot: np.ndarray, mo
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 c = Chunk(row)
-                r = Requests(c, order, hot, buckets, part, parts)
-                times, low = r.times(c.learned), c.low(lower, r.first)
+                r = Requests(c, order_of, hot, buckets, part, parts)
+                times, low = r.times(c.learned), c.low(r.first)
                 edges = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1)).tolist() if len(r.bucket) else []
-                yield _rows(sent, [(int(r.bucket[a]), row["chunk"], r.context[a:b].tobytes(), r.key[a:b].tobytes(), _packed(times[a:b]), low[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
+                yield _rows(sent, [(int(r.bucket[a]), row["chunk"], r.context[a:b].tobytes(), r.key[a:b].tobytes(), _packed(times[a:b]), _packed(low[a:b]) if order_of == 2 else low[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         edge = np.concatenate([[0], np.cumsum([len(w) // 8 for w in group["contexts"]])])
         order, at = _groups(_joined(group["keys"], "<u8"))
         count = np.add.reduceat(_unpacked(group["times"])[order], at)
-        context, low = _joined(group["contexts"], "<u8")[order[at]], _joined(group["low"], "<f8")[order[at]]
+        context = _joined(group["contexts"], "<u8")[order[at]]
+        low = lower.probability(_unpacked(group["low"])[order[at]]) if order_of == 2 else _joined(group["low"], "<f8")[order[at]]
         gram = np.empty(len(order), dtype=np.int64)
         gram[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         frequent = np.flatnonzero(count > most)
@@ -418,22 +426,15 @@ def token_probabilities(c: Chunk, told: list[dict], order: int, level: Level, bu
     return out
 
 
-def _told(chunk_rows: DataFrame, answered: DataFrame, part: int, parts: int) -> DataFrame:
-    """One part of the chunks, each with ``told``: all answers to it."""
-    mine = F.pmod(F.xxhash64("chunk"), F.lit(parts)) == part
+def _told(share: DataFrame, answered: DataFrame, mine: F.Column) -> DataFrame:
+    """A share of the chunks, each with ``told``: all answers to it."""
     told = answered.filter(mine).groupBy("chunk").agg(F.collect_list(F.struct("part", "bucket", "counts", "over", "rest", "small")).alias("told"))
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    return chunk_rows.filter(mine).select(*names, "counts").join(told, "chunk")
+    return share.select(*names, "counts").join(told, "chunk")
 
 
-def _by_part(make: Callable[[int], DataFrame], parts: int, name: str) -> tuple[DataFrame, list[DataFrame]]:
-    """The parts, written one after the other, together and each."""
-    each = [written(make(part), name, CHUNK_ROWS) for part in range(parts)]
-    return reduce(DataFrame.unionByName, each), each
-
-
-def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
-    """One part of the chunks with ``low binary``: each token's probability of this order, which the next one falls back on."""
+def lowered(share: DataFrame, answered: DataFrame, mine: F.Column, order: int, level: Level, buckets: int, parts: int) -> DataFrame:
+    """A share of the chunks with ``low binary``: each token's probability of this order, which the next one falls back on."""
     schema = CHUNKS + ", counts binary, low binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,14 +444,14 @@ def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level
                 p = token_probabilities(Chunk(row), row["told"], order, level, buckets, parts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(7)), pa.array([p.tobytes()], pa.binary())], [c.split()[0] for c in schema.split(", ")])
 
-    return _told(chunk_rows, answered, part, parts).mapInArrow(run, schema)
+    return _told(share, answered, mine).mapInArrow(run, schema)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def finished(chunk_rows: DataFrame, answered: DataFrame, order: int, lower: Lower, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
-    """:data:`SCORES` of the documents of one part of the chunks, from the answers of the highest order."""
+def finished(share: DataFrame, answered: DataFrame, mine: F.Column, order: int, lower: Lower, level: Level, buckets: int, parts: int) -> DataFrame:
+    """:data:`SCORES` of the documents of a share of the chunks, from the answers of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,7 +467,7 @@ def finished(chunk_rows: DataFrame, answered: DataFrame, order: int, lower: Lowe
                 cols = [pa.array(c.ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(np.full(n, lower.total)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
 
-    return _told(chunk_rows, answered, part, parts).mapInArrow(run, SCORES)
+    return _told(share, answered, mine).mapInArrow(run, SCORES)
 
 
 def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = ROUNDS, bucket: int = BUCKET, order: int = 2) -> DataFrame:
@@ -481,30 +482,36 @@ def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = RO
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     encoded = written(chunks(texts_of(docs).select("doc_id", "text", held.alias("held"))), "chunks")
-    tokens = encoded.agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    tokens, last = encoded.agg(F.sum(F.length("tokens") / 4), F.max("chunk")).first()
+    tokens, tasks = tokens or 0, ((last or 0) >> 32) + 1
+    shares = [in_share(part, rounds, tasks) for part in range(rounds)]
     buckets = max(1, math.ceil(tokens / bucket))
     counted = written(word_counts(encoded, buckets), "counts")
     sums = counted.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect()
     sums = [v for _, v in sorted((r[0], r[1]) for r in sums)] or [0] * (CUTOFF + 3)
     lower = Lower(sums[0], sums[1], [0, *sums[2:]])
     most = int(HOT * lower.total)
-    ready = written(annotated(encoded, counted.select("chunk", "words", "counts")), "annotated")
-    hot, texts = frequent_contexts(ready, most)
+    told = counted.select("chunk", "words", "counts")
+    ready = [written(annotated(encoded, told, mine), "annotated", CHUNK_ROWS) for mine in shares]
     discard(encoded)
     discard(counted)
-    below = [ready]
+    hot, texts = frequent_contexts(reduce(DataFrame.unionByName, ready), most)
     for n in range(2, order + 1):
-        answered, parts = _by_part(partial(answers, ready, n, lower, hot, most, buckets, parts=rounds), rounds, "answers")
-        level = Level(answered, hot)
-        if n < order:
-            out, higher = _by_part(partial(lowered, ready, answered, n, level, buckets, rounds), rounds, "lowered")
-            hot = np.sort(np.append(level.frequent, [start_of(n + 1)] if texts > most else np.zeros(0, np.uint64)).astype(np.uint64))
-        else:
-            out, higher = _by_part(partial(finished, ready, answered, n, lower, level, buckets, rounds), rounds, "scores")
-        for df in (*below, *parts):
+        chunk_rows = reduce(DataFrame.unionByName, ready)
+        parts = [written(answers(chunk_rows, n, lower, hot, most, buckets, part, rounds), "answers", CHUNK_ROWS) for part in range(rounds)]
+        answered = reduce(DataFrame.unionByName, parts)
+        level, higher = Level(answered, hot), []
+        for share, mine in zip(ready, shares):
+            if n < order:
+                higher.append(written(lowered(share, answered, mine, n, level, buckets, rounds), "lowered", CHUNK_ROWS))
+            else:
+                higher.append(written(finished(share, answered, mine, n, lower, level, buckets, rounds), "scores", CHUNK_ROWS))
+            discard(share)
+        for df in parts:
             discard(df)
-        ready, below = out, higher
-    return ready
+        ready = higher
+        hot = np.sort(np.append(level.frequent, [start_of(n + 1)] if texts > most else np.zeros(0, np.uint64)).astype(np.uint64))
+    return reduce(DataFrame.unionByName, ready)
 
 
 def frequent_contexts(chunk_rows: DataFrame, most: int) -> tuple[np.ndarray, int]:
