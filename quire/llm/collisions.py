@@ -3,7 +3,8 @@
 Every block of vectors keeps one sorted array for each of ``projections`` random
 directions.  Around a query's own projection a window is opened in each array
 and widened level by level (virtual rehashing); a vector collides with the query
-once for each array in which it lies inside the window.  Vectors that collide in
+once for each array in which it lies inside the window, whose ends are taken to whole
+cells of the array.  Vectors that collide in
 more than a set share of the arrays are candidates; widening ends when there are
 enough of them, and they are verified by their exact inner product.
 
@@ -32,6 +33,8 @@ SHARE = 0.05
 #: First window as a share of the block's standard deviation along a direction, and the factor of each level.
 FIRST, WIDER = 0.6, 1.05
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
+#: Windows end at whole cells, of which an array has so many; arrays that are compared together.
+CELLS, TOGETHER = 256, 32
 
 
 class CollisionIndex:
@@ -43,38 +46,69 @@ class CollisionIndex:
         self.directions = np.random.default_rng([seed, data.shape[1]]).standard_normal((lifted.shape[1], projections))
         self.data = data
         values = (lifted @ self.directions).T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(values, self.order, axis=1)
+        n = len(data)
+        order = np.argsort(values, axis=1, kind="stable")
+        ordered = np.take_along_axis(values, order, axis=1)
         self.first = FIRST * max(float(values.std()), 1e-12)
         self.widest = float(np.abs(values).max(initial=0)) if len(data) else 0.0
-        # the arrays end to end, each moved past the one before: one search finds all windows
+        # the cell of each vector in each array; windows are about half an array, so comparing cells beats reading them
+        cell = np.arange(n) * CELLS // max(1, n)
+        self.cells = np.empty((projections, n), dtype=np.uint8)
+        np.put_along_axis(self.cells, order, cell.astype(np.uint8)[None], axis=1)
+        # first and last values of the cells, end to end, each array moved past the one before: one search finds all windows
         self.apart = 3 * self.widest + 1
-        self.moved = (self.sorted + np.arange(projections)[:, None] * self.apart).reshape(-1)
-        self.flat = self.order.reshape(-1).astype(np.int64)
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.number, self.at_cell = len(begins), cell[begins].astype(np.uint8)
+        base = np.arange(projections)[:, None] * self.apart
+        self.firsts = (ordered[:, begins] + base).reshape(-1)
+        self.lasts = (ordered[:, np.append(begins[1:], n) - 1] + base).reshape(-1)
+        self.hint = 0
 
     def candidates(self, query: np.ndarray, wanted: int, threshold: float) -> np.ndarray:
         """Positions of vectors that collide often enough, at least ``wanted`` if there are so many."""
-        n, m = len(self.data), len(self.order)
+        n, m = self.cells.shape[::-1]
         if wanted >= n:
             return np.arange(n)
         at = np.append(query, 0.0) @ self.directions
+        need = max(1, int(np.ceil(threshold * m)))
+        far = self.widest + float(np.abs(at).max())
+        # beyond the last level a window holds its whole array
+        last = max(0, int(np.ceil(np.log(max(far / self.first, 1)) / np.log(WIDER)))) + 1
+        # windows of a level hold those of the levels before, so the first that is wide enough can be searched for from any
+        low, high, best, level, step = -1, last + 1, None, min(self.hint, last), 1
+        while high - low > 1:
+            found = np.flatnonzero(self.collisions(at, self.first * WIDER**level) >= need)
+            if len(found) >= wanted or level == last:
+                high, best = level, found
+                level = max(low + 1, high - step) if low < 0 else (low + high) // 2
+            else:
+                low = level
+                level = min(last, low + step) if high > last else (low + high) // 2
+            step *= 2
+        self.hint = high
+        return best
+
+    def collisions(self, at: np.ndarray, width: float) -> np.ndarray:
+        """In how many arrays each vector lies in the window about ``at``, ends taken to whole cells."""
         # a window never needs to leave the span of its array's values
         reach = self.widest * 1.001
-        base = np.arange(m) * self.apart
-        counts = np.zeros(n, dtype=np.int64)
-        low = high = np.searchsorted(self.moved, np.clip(at, -reach, reach) + base)
-        width, need = self.first, max(1, int(np.ceil(threshold * m)))
-        far = self.widest + float(np.abs(at).max())
-        while True:
-            a = np.minimum(low, np.searchsorted(self.moved, np.clip(at - width, -reach, reach) + base))
-            b = np.maximum(high, np.searchsorted(self.moved, np.clip(at + width, -reach, reach) + base, side="right"))
-            opened = [self.flat[x:y] for x, y in zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist())]
-            counts += np.bincount(np.concatenate(opened), minlength=n)
-            low, high = a, b
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= wanted or width > far:
-                return found
-            width *= WIDER
+        base, place = np.arange(len(at)) * self.apart, np.arange(len(at)) * self.number
+        a = np.searchsorted(self.lasts, np.clip(at - width, -reach, reach) + base) - place
+        b = np.searchsorted(self.firsts, np.clip(at + width, -reach, reach) + base, side="right") - place
+        cells, some = self.cells, np.flatnonzero(b > a)
+        if len(some) < len(at):
+            cells, a, b = cells[some], a[some], b[some]
+        low = self.at_cell[a]
+        span = self.at_cell[b - 1] - low
+        counts = np.zeros(len(self.data), dtype=np.uint16)
+        moved, inside = np.empty((TOGETHER, len(counts)), np.uint8), np.empty((TOGETHER, len(counts)), bool)
+        for k in range(0, len(cells), TOGETHER):
+            n = len(low[k : k + TOGETHER])
+            # cells below the window wrap round
+            np.subtract(cells[k : k + n], low[k : k + n, None], out=moved[:n])
+            np.less_equal(moved[:n], span[k : k + n, None], out=inside[:n])
+            counts += np.add.reduce(inside[:n].view(np.uint8), axis=0, dtype=np.uint8)
+        return counts
 
     def search(self, query: np.ndarray, wanted: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Candidates and their exact inner products."""

@@ -79,3 +79,38 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert kd_search.exact_top(df, df, 5).count() == 0
     assert collisions.nearest(df, df, 5).count() == 0
+
+
+def test_collisions_are_counted_by_windows():
+    data = np.random.default_rng(3).standard_normal((700, 9))
+    index = collisions.CollisionIndex(data, 40)
+    query = data[5] * 0.7
+    at = np.append(query, 0.0) @ index.directions
+    norms = (data * data).sum(axis=1)
+    values = np.hstack([data, np.sqrt(norms.max() - norms)[:, None]]) @ index.directions
+    got, width = [], index.first
+    while width < 2 * index.first:
+        counts = index.collisions(at, width)
+        # a window may be wider by its end cells, which hold three vectors at most
+        exact = (np.abs(values - at) <= width).sum(axis=1)
+        assert (counts >= exact).all() and counts.sum() <= exact.sum() + 2 * 3 * 40
+        got.append(int((counts >= 24).sum()))
+        width *= collisions.WIDER
+    assert got == sorted(got)
+    # the level is the first that gives enough, from whichever one the search for it begins
+    wanted = got[len(got) // 2]
+    found = []
+    for hint in range(0, 60, 7):
+        index.hint = hint
+        found.append(index.candidates(query, wanted, 0.6).tolist())
+    assert all(f == found[0] for f in found) and len(found[0]) == next(n for n in got if n >= wanted)
+
+
+def test_a_level_is_searched_for_not_climbed_to(monkeypatch):
+    data = np.random.default_rng(4).standard_normal((3000, 16))
+    index = collisions.CollisionIndex(data, 64)
+    counted, count = [], index.collisions
+    monkeypatch.setattr(index, "collisions", lambda *a: counted.append(1) or count(*a))
+    for q in data[:50]:
+        index.candidates(q, 300, 0.6)
+    assert len(counted) < 5 * 50
