@@ -61,6 +61,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                 value, row, pos = shingles_in_order(*words(*text_bytes(batch.column(1).slice(a, b - a))), b - a, k)
                 at = minima(value, row, window)
                 yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), pa.array(doc[a:b][row[at]]), pa.array(pos[at].astype(np.int32))], ["seed", "doc_id", "pos"])
+        memory_returned()
 
     return docs.mapInArrow(run, "seed long, doc_id long, pos int")
 
@@ -156,6 +157,7 @@ def spans(of_doc: DataFrame, asking: bool, k: int = K) -> DataFrame:
                     some = order[new]
                     on, n, key = on[some], n[some], key[some]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[on], pa.int64()), pa.array(pos[on].astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "doc_id", "pos", "n"])
+        memory_returned()
 
     return of_doc.mapInArrow(run, "key long, doc_id long, pos int, n int")
 
@@ -273,6 +275,7 @@ def chained(anchors: DataFrame, window: int = WINDOW, least: int = CHAIN_WORDS)
             out = rows(int(held[0][0]), int(held[1][0]), *held[2:])
             if out:
                 yield batch_of(out)
+        memory_returned()
 
     dealt = anchors.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "pos", "source_pos")
     return dealt.mapInArrow(run, schema)
