@@ -39,7 +39,7 @@ CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 8, 40, 0.8
 #: Cost of each word of a gap; an extension ends when its score falls so far below its best.
 GAP_COST, DROP = 0.3, 8
 #: Words beyond a chain that are fetched at first; chains that go on beyond them are aligned in whole texts.
-REACH = 400
+REACH = 200
 #: Rows with both stretches that a task aligns at once.
 ALIGNED_ROWS = 256
 #: Words of the spans of seeds, at least; at most twice as many.
@@ -71,8 +71,9 @@ def minima(value: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
     n = len(value)
     if not n:
         return np.zeros(0, np.int64)
-    first = np.searchsorted(row, row, side="left")
-    last = np.searchsorted(row, row, side="right")
+    starts = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+    count = np.diff(starts, append=n)
+    first, last = np.repeat(starts, count), np.repeat(starts + count, count)
     best = np.arange(n)
     size = 1
     while size < window:
@@ -91,16 +92,7 @@ def shared_anchors(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
 
     ``n``: words of the seed or span.
     """
-    found = seeds(docs, k, window)
-    first = found.groupBy("seed").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).filter(F.col("source_id") != F.col("last")).select("seed", "source_id")
-    first = written(first, "first")
-    shared = written(found.join(first, "seed"), "shared")
-    source = written(shared.filter(F.col("doc_id") == F.col("source_id")).groupBy("seed").agg(F.min("pos").alias("source_pos")), "source")
-    # one row for each document, as its text is
-    of_doc = shared.join(source, "seed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "seed", "source_id", "source_pos"))).alias("s"))
-    of_doc = written(of_doc.select("doc_id", "s.pos", "s.seed", "s.source_id", "s.source_pos"), "of-doc")
-    for df in (first, shared, source):
-        discard(df)
+    of_doc = written(of_documents(with_first(seeds(docs, k, window))), "of-doc")
     asking = written(spans(of_doc, True, k), "asking")
     held = spans(of_doc, False, k).groupBy("key").agg(F.min("doc_id").alias("source_id"), F.min_by("pos", "doc_id").alias("source_pos"), F.max("doc_id").alias("last"))
     held = held.filter(F.col("source_id") != F.col("last")).drop("last")
@@ -114,6 +106,75 @@ def shared_anchors(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     return anchors
 
 
+def with_first(found: DataFrame) -> DataFrame:
+    """The rows of seeds that several documents have, with the seed's first document and its first place there."""
+    names = ["doc_id", "pos", "seed", "source_id", "source_pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_returned()
+        # of the seed that a batch ended in: its rows while they are of one document, then its first place
+        held: list[np.ndarray] | None = None
+        known: tuple[int, int, int] | None = None
+        for batch in batches:
+            seed, doc, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if held:
+                seed, doc, pos = (np.concatenate(c) for c in zip(held, (seed, doc, pos)))
+            if not len(seed):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+            count = np.diff(begin, append=len(seed))
+            source, at = doc[begin], pos[begin]
+            shared = doc[begin + count - 1] != source
+            if known and known[0] == seed[0]:
+                source[0], at[0], shared[0] = known[1], known[2], True
+            if shared[-1]:
+                held, known = None, (int(seed[-1]), int(source[-1]), int(at[-1]))
+            else:
+                held, known = [c[begin[-1] :] for c in (seed, doc, pos)], None
+            keep = np.repeat(shared, count)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, pos, seed, np.repeat(source, count), np.repeat(at, count))], names)
+        memory_returned()
+
+    dealt = found.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos")
+    return dealt.mapInArrow(run, "doc_id long, pos int, seed long, source_id long, source_pos int")
+
+
+def of_documents(rows: DataFrame) -> DataFrame:
+    """``doc_id, pos, seed, source_id, source_pos``: one row for each document, as its text is, with lists by place; equal rows count once."""
+    names = ["doc_id", "pos", "seed", "source_id", "source_pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+            if not len(cols[0]):
+                continue
+            # rows before the batch's last document are of whole documents, with those held
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if held and (last or cols[0][0] != held[-1][0][-1]):
+                held.append([c[:last] for c in cols])
+                yield lists(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            elif last:
+                yield lists(*(c[:last] for c in cols))
+            held.append([c[last:] for c in cols])
+        if held:
+            yield lists(*(np.concatenate(c) for c in zip(*held)))
+        memory_returned()
+
+    def lists(doc: np.ndarray, pos: np.ndarray, seed: np.ndarray, source: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (seed[1:] != seed[:-1])
+        doc = doc[new]
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        ends = pa.array(np.append(begin, len(doc)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), *(pa.ListArray.from_arrays(ends, pa.array(c[new])) for c in (pos, seed, source, at))], names)
+
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "pos", "seed")
+    return dealt.mapInArrow(run, "doc_id long, pos array<int>, seed array<long>, source_id array<long>, source_pos array<int>")
+
+
 def spans(of_doc: DataFrame, asking: bool, k: int = K) -> DataFrame:
     """``key long, doc_id long, pos int, n int``: from each seed the shortest span of each of the lengths in ``SPANS``.
 
@@ -185,13 +246,13 @@ class Fenwick:
         return out
 
 
-def runs(pos: np.ndarray, source: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
-    """Rows ``(start, source start, length)``: anchors of ``n`` words of a diagonal that follow each other closely."""
+def runs(group: np.ndarray, pos: np.ndarray, source: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each run, and rows ``(start, source start, length)``: anchors of ``n`` words of a group's diagonal that follow each other closely."""
     diagonal = pos - source
-    order = np.lexsort((pos, diagonal))
-    p, d = pos[order], diagonal[order]
+    order = np.lexsort((pos, diagonal, group))
+    p, d, g = pos[order], diagonal[order], group[order]
     other = np.ones(len(p), dtype=bool)
-    other[1:] = d[1:] != d[:-1]
+    other[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1])
     apart = np.cumsum(other) << 40
     end = np.maximum.accumulate(p + n[order] + apart) - apart
     new = other.copy()
@@ -199,7 +260,8 @@ def runs(pos: np.ndarray, source: np.ndarray, n: np.ndarray, window: int) -> np.
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(p)) - 1
     out = np.stack([p[at], p[at] - d[at], end[last] - p[at]], axis=1)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
+    order = np.lexsort((out[:, 1], out[:, 0], g[at]))
+    return g[at][order], out[order]
 
 
 def chains(blocks: np.ndarray, least: int, cost: float = GAP_COST) -> list[list[int]]:
@@ -249,32 +311,38 @@ def chained(anchors: DataFrame, window: int = WINDOW, least: int = CHAIN_WORDS)
     schema = "doc_id long, source_id long, xs array<int>, ys array<int>, ns array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(doc: int, source: int, pos: np.ndarray, at: np.ndarray, n: np.ndarray) -> list:
-            blocks = runs(pos, at, n, window)
-            return [(doc, source, *blocks[c].T.tolist()) for c in chains(blocks, least)]
-
-        def batch_of(out: list) -> pa.RecordBatch:
-            cols = list(zip(*out))
-            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "source_id", "xs", "ys", "ns"])
+        def rows(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, at: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+            """The chains of whole groups, which begin at ``first``."""
+            group, blocks = runs(np.repeat(np.arange(len(first)), np.diff(first, append=len(doc))), pos, at, n, window)
+            count = np.bincount(group, minlength=len(first))
+            # a single run is its group's chain
+            some = np.flatnonzero((count[group] == 1) & (blocks[:, 2] >= least))
+            groups, sizes, parts = [group[some]], [np.ones(len(some), np.int64)], [blocks[some]]
+            begin = np.cumsum(count) - count
+            for g in np.flatnonzero(count > 1).tolist():
+                of = blocks[begin[g] : begin[g] + count[g]]
+                for c in chains(of, least):
+                    groups.append(np.array([g]))
+                    sizes.append(np.array([len(c)]))
+                    parts.append(of[c])
+            groups, runs_of = first[np.concatenate(groups)], np.concatenate(parts)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(runs_of[:, c], pa.int32())) for c in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(doc[groups]), pa.array(source[groups]), *lists], ["doc_id", "source_id", "xs", "ys", "ns"])
 
         held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, source, pos, at, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5))
+            cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)]
             if held:
-                doc, source, pos, at, n = (np.concatenate(c) for c in zip(held, (doc, source, pos, at, n)))
-            cut = np.flatnonzero((doc[1:] != doc[:-1]) | (source[1:] != source[:-1])) + 1
-            edges = [0, *cut.tolist()]
-            out = [x for a, b in zip(edges, edges[1:]) for x in rows(int(doc[a]), int(source[a]), pos[a:b], at[a:b], n[a:b])]
-            held = [c[edges[-1] :] for c in (doc, source, pos, at, n)]
-            if out:
-                yield batch_of(out)
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            first = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))
+            if len(first) > 1:
+                yield rows(*(c[: first[-1]] for c in cols), first[:-1])
+            held = [c[first[-1] :] for c in cols]
         if held:
-            out = rows(int(held[0][0]), int(held[1][0]), *held[2:])
-            if out:
-                yield batch_of(out)
+            yield rows(*held, np.zeros(1, np.int64))
         memory_returned()
 
     dealt = anchors.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "pos", "source_pos")
@@ -364,8 +432,16 @@ def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bool]:
     return end, agreed, ran
 
 
-def aligned(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, bool, bool]:
-    """Start and length in both texts and equal words of a chain, and whether it went to the beginning or end of ``a`` or ``b``."""
+def goes_on(ran: bool, left_a: int, left_b: int, open_a: bool, open_b: bool) -> bool:
+    """Whether an extension that ran to the end of ``left_a`` or ``left_b`` words may go on in words that were not fetched.
+
+    ``open_a``, ``open_b``: there are such words.  It needs words of both texts, so a text that really ends there ends it.
+    """
+    return ran and (left_a > left_b or open_a) and (left_b > left_a or open_b)
+
+
+def aligned(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray, beyond: tuple[bool, bool, bool, bool]) -> tuple[int, int, int, int, int, bool]:
+    """Start and length in both texts and equal words of a chain, and whether it may go on ``beyond`` the words of ``a`` or ``b``."""
     equal = 0
     for k, (x, y, n) in enumerate(zip(xs, ys, ns)):
         equal += int((a[x : x + n] == b[y : y + n]).sum())
@@ -374,24 +450,61 @@ def aligned(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.nd
     x0, y0, x1, y1 = xs[0], ys[0], xs[-1] + ns[-1], ys[-1] + ns[-1]
     back, more, to_start = extension(a[:x0][::-1], b[:y0][::-1])
     ahead, still, to_end = extension(a[x1:], b[y1:])
-    return x0 - back, x1 - x0 + back + ahead, y0 - back, y1 - y0 + back + ahead, equal + more + still, to_start, to_end
+    on = goes_on(to_start, x0, y0, *beyond[:2]) or goes_on(to_end, len(a) - x1, len(b) - y1, *beyond[2:])
+    return x0 - back, x1 - x0 + back + ahead, y0 - back, y1 - y0 + back + ahead, equal + more + still, on
+
 
+def accepted(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray, least: int, identity: float, beyond: tuple[bool, bool, bool, bool] = (False,) * 4) -> tuple[list[tuple[int, int, int, int, int]], bool]:
+    """The alignment of a chain if it is long and alike enough in ``a``; else those of its two sides of the widest gap.
 
-def accepted(xs: list[int], ys: list[int], ns: list[int], a: np.ndarray, b: np.ndarray, least: int, identity: float) -> tuple[list[tuple[int, int, int, int, int]], bool, bool]:
-    """The alignment of a chain if it is long and alike enough in ``a``; else those of its two sides of the widest gap."""
-    waiting, out = [(0, len(xs))], []
-    to_start = to_end = False
+    ``beyond``: whether the texts have words before ``a`` and ``b``, and after them, that are not here; also returned
+    is whether an alignment may go on there.
+    """
+    waiting, out, more = [(0, len(xs))], [], False
     while waiting:
         i, j = waiting.pop()
-        *found, first, last = aligned(xs[i:j], ys[i:j], ns[i:j], a, b)
-        to_start, to_end = to_start or first, to_end or last
+        *found, on = aligned(xs[i:j], ys[i:j], ns[i:j], a, b, beyond)
+        more = more or on
         if found[1] >= least and found[4] >= identity * found[1]:
             out.append(tuple(found))
         elif j - i > 1 and found[1] >= least:
             gaps = [xs[k] - xs[k - 1] - ns[k - 1] + ys[k] - ys[k - 1] - ns[k - 1] for k in range(i + 1, j)]
             cut = i + 1 + int(np.argmax(gaps))
             waiting += [(cut, j), (i, cut)]
-    return out, to_start, to_end
+    return out, more
+
+
+def extensions(a: np.ndarray, at: np.ndarray, b: np.ndarray, b_at: np.ndarray, m: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`extension` for many stretches at once: of ``a`` from the places ``at`` and of ``b`` from ``b_at``, ``m`` words each.
+
+    ``way``: 1 ahead, -1 back.
+    """
+    end, agreed, ran = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.ones(len(m), bool)
+    score, best, equal = (np.zeros(len(m), np.int64) for _ in range(3))
+    some, start, size = np.flatnonzero(m > 0), 0, 16
+    while len(some):
+        place = start + np.arange(size)
+        there = place < m[some, None]
+        step = np.where(there, place, 0) * way
+        same = (a[at[some, None] + step] == b[b_at[some, None] + step]) & there
+        # places beyond a stretch change no score
+        run = score[some, None] + np.cumsum(np.where(same, 1, np.where(there, -2, 0)), axis=1)
+        low = run < np.maximum(np.maximum.accumulate(run, axis=1), best[some, None]) - DROP
+        stopped = low.any(axis=1)
+        stop = np.where(stopped, low.argmax(axis=1), size)
+        equals = equal[some, None] + np.cumsum(same, axis=1)
+        lines = np.arange(len(some))
+        until = np.where(np.arange(size) < stop[:, None], run, np.iinfo(np.int64).min)
+        top = until.argmax(axis=1)
+        better = until[lines, top] > best[some]
+        on = some[better]
+        best[on], end[on], agreed[on] = until[lines, top][better], start + top[better] + 1, equals[lines, top][better]
+        ran[some[stopped]] = False
+        score[some], equal[some] = run[:, -1], equals[:, -1]
+        start += size
+        some = some[~stopped & (m[some] > start)]
+        size = min(2 * size, 256)
+    return end, agreed, ran
 
 
 def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDENTITY) -> DataFrame:
@@ -413,17 +526,13 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDEN
     of = written(word_arrays(docs.join(named, "doc_id", "left_semi")), "words")
     near = written(_aligned(found, of, REACH, least, identity), "near", ALIGNED_ROWS)
     # chains that go on beyond what was fetched
-    far = near.filter("more").select("doc_id", "source_id").distinct()
-    whole = written(_aligned(found.join(far, ["doc_id", "source_id"], "left_semi"), of, None, least, identity), "whole", ALIGNED_ROWS)
-    rest = near.filter("start IS NOT NULL").join(far, ["doc_id", "source_id"], "left_anti")
-    return rest.unionByName(whole.filter("start IS NOT NULL")).drop("more").distinct()
+    far = near.filter("more").select("doc_id", "source_id", "xs", "ys", "ns")
+    whole = written(_aligned(far, of, None, least, identity), "whole", ALIGNED_ROWS)
+    return near.filter("NOT more").unionByName(whole).select("doc_id", "source_id", "start", "length", "source_start", "source_length", "matches", "text_hash").distinct()
 
 
 def _aligned(found: DataFrame, of: DataFrame, reach: int | None, least: int, identity: float) -> DataFrame:
-    """:data:`PASSAGES` and ``more``, with no more than ``reach`` words of the texts beyond a chain; ``more``: it goes on there.
-
-    A chain that gives no passage but goes on has a row without a start.
-    """
+    """:data:`PASSAGES` with no more than ``reach`` words of the texts beyond a chain; where it goes on there, ``more`` and the chain instead."""
     low, high = F.element_at("xs", 1), F.element_at("xs", -1) + F.element_at("ns", -1)
     s_low, s_high = F.element_at("ys", 1), F.element_at("ys", -1) + F.element_at("ns", -1)
     none, size = F.lit(0), F.lit(2**31 - 1)
@@ -432,28 +541,84 @@ def _aligned(found: DataFrame, of: DataFrame, reach: int | None, least: int, ide
     part = cut.join(of, "doc_id").withColumn("a", F.slice("words", F.col("from") + 1, F.col("to") - F.col("from"))).withColumn("cut_a", F.col("to") < F.size("words")).drop("words")
     source = of.select(F.col("doc_id").alias("source_id"), F.col("words").alias("s_words"))
     both = part.join(source, "source_id").withColumn("b", F.slice("s_words", F.col("s_from") + 1, F.col("s_to") - F.col("s_from")))
-    both = both.select("doc_id", "source_id", "xs", "ys", "ns", "from", "s_from", "a", "b", "text_hash", (F.col("cut_a") | (F.col("s_to") < F.size("s_words"))).alias("cut"))
+    both = both.select("doc_id", "source_id", "xs", "ys", "ns", "from", "s_from", "a", "b", "text_hash", "cut_a", (F.col("s_to") < F.size("s_words")).alias("cut_b"))
+    chain = PASSAGES + ", more boolean, xs array<int>, ys array<int>, ns array<int>"
+    names = [c.split()[0] for c in chain.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory_returned()
         for batch in batches:
-            out = []
-            a_of, b_of = batch.column(7), batch.column(8)
-            for k, r in enumerate(batch.select([0, 1, 2, 3, 4, 5, 6, 9, 10]).to_pylist()):
-                a, b = a_of[k].values.to_numpy(zero_copy_only=False), b_of[k].values.to_numpy(zero_copy_only=False)
-                xs, ys = [x - r["from"] for x in r["xs"]], [y - r["s_from"] for y in r["ys"]]
-                if xs[-1] + r["ns"][-1] > len(a) or ys[-1] + r["ns"][-1] > len(b):
-                    continue  # of another text with this id
-                some, to_start, to_end = accepted(xs, ys, r["ns"], a, b, least, identity)
-                more = (to_start and (r["from"] > 0 or r["s_from"] > 0)) or (to_end and r["cut"])
-                for x, n, y, m, equal in some or ([(None,) * 5] if more else []):
-                    out.append((r["doc_id"], x if x is None else r["from"] + x, n, r["source_id"], y if y is None else r["s_from"] + y, m, equal, r["text_hash"], more))
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [*(c.split()[0] for c in PASSAGES.split(", ")), "more"])
+            count = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            single = np.flatnonzero(count == 1)
+            if len(single):
+                yield from single_runs(batch if len(single) == len(count) else batch.take(pa.array(single)))
+            if len(single) < len(count):
+                yield from chains_of(batch.take(pa.array(np.flatnonzero(count > 1))))
         memory_returned()
 
-    return both.mapInArrow(run, PASSAGES + ", more boolean")
+    def going_on(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of chains that go on."""
+        none = [pa.nulls(batch.num_rows, kinds[k]) for k in (1, 2, 4, 5, 6, 7)]
+        cols = [batch.column(0), *none[:2], batch.column(1), *none[2:], pa.repeat(True, batch.num_rows), *(batch.column(c) for c in (2, 3, 4))]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, kinds)], names)
+
+    def found_here(cols: list[pa.Array]) -> pa.RecordBatch:
+        """Rows of passages."""
+        n = len(cols[0])
+        return pa.RecordBatch.from_arrays([*cols, pa.repeat(False, n), *(pa.nulls(n, t) for t in kinds[9:])], names)
+
+    def single_runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chains of one run, all at once."""
+        doc, source, start, s_start, text, cut_a, cut_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 5, 6, 9, 10, 11))
+        x, y, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3, 4))
+        x, y = x - start, y - s_start
+        (a, a_at, a_n), (b, b_at, b_n) = (stretches(batch.column(c)) for c in (7, 8))
+        fits = (x + n <= a_n) & (y + n <= b_n)  # else of another text with this id
+        if not fits.all():
+            batch = batch.filter(pa.array(fits))
+            doc, source, start, s_start, text, cut_a, cut_b, x, y, n, a_at, a_n, b_at, b_n = (v[fits] for v in (doc, source, start, s_start, text, cut_a, cut_b, x, y, n, a_at, a_n, b_at, b_n))
+        offset = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(offset, n)
+        same = np.concatenate([[0], np.cumsum(a[np.repeat(a_at + x, n) + within] == b[np.repeat(b_at + y, n) + within])])
+        equal = same[offset + n] - same[offset]
+        back, more, to_start = extensions(a, a_at + x - 1, b, b_at + y - 1, np.minimum(x, y), -1)
+        left_a, left_b = a_n - x - n, b_n - y - n
+        ahead, still, to_end = extensions(a, a_at + x + n, b, b_at + y + n, np.minimum(left_a, left_b), 1)
+        length, equal = n + back + ahead, equal + more + still
+        on = to_start & ((x > y) | (start > 0)) & ((y > x) | (s_start > 0))
+        on |= to_end & ((left_a > left_b) | cut_a) & ((left_b > left_a) | cut_b)
+        keep = (length >= least) & (equal >= identity * length) & ~on
+        cols = (doc, start + x - back, length, source, s_start + y - back, length, equal, text)
+        if on.any():
+            yield going_on(batch.filter(pa.array(on)))
+        if keep.any():
+            yield found_here([pa.array(c[keep], t) for c, t in zip(cols, kinds)])
+
+    def chains_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out, on = [], []
+        a_of, b_of = batch.column(7), batch.column(8)
+        for k, r in enumerate(batch.select([0, 1, 2, 3, 4, 5, 6, 9, 10, 11]).to_pylist()):
+            a, b = a_of[k].values.to_numpy(zero_copy_only=False), b_of[k].values.to_numpy(zero_copy_only=False)
+            xs, ys = [x - r["from"] for x in r["xs"]], [y - r["s_from"] for y in r["ys"]]
+            if xs[-1] + r["ns"][-1] > len(a) or ys[-1] + r["ns"][-1] > len(b):
+                continue  # of another text with this id
+            some, more = accepted(xs, ys, r["ns"], a, b, least, identity, (r["from"] > 0, r["s_from"] > 0, r["cut_a"], r["cut_b"]))
+            if more:
+                on.append(k)
+            else:
+                out += [(r["doc_id"], r["from"] + x, n, r["source_id"], r["s_from"] + y, m, equal, r["text_hash"]) for x, n, y, m, equal in some]
+        if on:
+            yield going_on(batch.take(pa.array(on)))
+        if out:
+            yield found_here([pa.array(c, t) for c, t in zip(zip(*out), kinds)])
+
+    def stretches(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all rows, and where each row's begin and how many they are."""
+        size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size, size
+
+    return both.mapInArrow(run, chain)
 
 
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
