@@ -29,32 +29,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, table, texts_of, written
+from quire.llm._common import discard, memory_returned, table, texts_of, written
 from quire.llm.induced import LIMIT, induced_order
-from quire.llm.words import mix, polynomial, text_bytes
+from quire.llm.words import mix, polynomial, slices, text_bytes
 
 SIZE = 50
 #: Bytes of the substrings whose smallest hash is the minimizer.
 GRAM = 16
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 18
 
 
-def stretches(raw: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first string and number of strings of each maximal stretch of a text."""
+def stretches(raw: np.ndarray, at: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, first string (as a place in ``raw``), number of strings and text of each maximal stretch of the texts that begin at ``at``."""
     n = len(raw) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value = polynomial(raw, gram)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = polynomial(raw, gram)
     window = size - gram + 1
-    least = value
     step = 1
     while step < window:
         more = min(step, window - step)
         least = np.minimum(least[: len(least) - more], least[more:])
         step += more
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    start = np.concatenate([[0], cut])
-    return least[start], start, np.diff(start, append=n)
+    # strings lie within a text
+    within = np.zeros(n + 1, dtype=np.int32)
+    long = np.flatnonzero(np.diff(at) >= size)
+    np.add.at(within, at[long], 1)
+    np.add.at(within, at[long + 1] - size + 1, -1)
+    within = np.cumsum(within[:-1]) > 0
+    new = np.ones(n, dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (within[1:] != within[:-1])
+    new[at[long]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(start, append=n)
+    start, count = start[within[start]], count[within[start]]
+    return least[start], start, count, np.searchsorted(at, start, side="right") - 1
 
 
 def minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -62,19 +71,16 @@ def minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = text_bytes(batch.column(1))
-            doc, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            size_of = 0
-            for k in range(len(doc)):
-                found = np.unique(stretches(raw[at[k] : at[k + 1]], size, gram)[0])
-                if len(found):
-                    out.append((found.view(np.int64), np.full(len(found), doc[k])))
-                    size_of += len(found)
-                if out and (size_of > 200_000 or k == len(doc) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["minimizer", "doc_id"])
-                    out, size_of = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["minimizer", "doc_id"])
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in slices(batch.column(1)):
+                least, _, _, row = stretches(*text_bytes(batch.column(1).slice(a, b - a)), size, gram)
+                order = np.lexsort((least, row))
+                least, row = least[order], row[order]
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(doc[a:b][row[new]])], ["minimizer", "doc_id"])
+        memory_returned()
 
     return docs.mapInArrow(run, "minimizer long, doc_id long")
 
@@ -87,48 +93,64 @@ def segments(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = text_bytes(batch.column(1))
-            doc, of = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out: list = []
-            for k in range(len(doc)):
-                text = raw[at[k] : at[k + 1]]
-                least, start, n = stretches(text, size, gram)
-                shared = np.sort(batch.column(3)[k].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                if not len(shared) or not len(least):
+            doc, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            for a, b in slices(batch.column(1)):
+                raw, at = text_bytes(batch.column(1).slice(a, b - a))
+                least, start, n, row = stretches(raw, at, size, gram)
+                edges = np.searchsorted(row, np.arange(b - a + 1))
+                on = np.zeros(len(row), dtype=bool)
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    shared = np.sort(batch.column(3)[a + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    part = slice(edges[k], edges[k + 1])
+                    if len(shared):
+                        on[part] = shared[np.minimum(np.searchsorted(shared, least[part]), len(shared) - 1)] == least[part]
+                least, start, n, row = least[on], start[on], n[on], row[on]
+                if not len(row):
                     continue
-                on = shared[np.minimum(np.searchsorted(shared, least), len(shared) - 1)] == least
-                least, start, n = least[on], start[on], n[on]
-                whole = text.tobytes()
-                for m, s, c in zip(least.view(np.int64).tolist(), start.tolist(), n.tolist()):
-                    part = whole[s : s + c + size - 1]
-                    digest = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                    out.append((m, digest, doc[k], of[k], s, c, part))
-                if len(out) > 50_000:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
-
-    def batch_of(out: list) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in SEGMENTS.split(", ")])
+                length = n + size - 1
+                ends = np.concatenate([[0], np.cumsum(length)])
+                letters = raw[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
+                binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+                cols = (least.view(np.int64), digests(raw, start, length).view(np.int64), doc[a:b][row], of[a:b][row], (start - at[row]).astype(np.int32), n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), binary], [c.split()[0] for c in SEGMENTS.split(", ")])
+        memory_returned()
 
     return docs.select("doc_id", "text", "text_hash", "shared").mapInArrow(run, SEGMENTS)
 
 
-def string_owners(parts: list[bytes], owner: np.ndarray, size: int, limit: int = LIMIT) -> list[np.ndarray]:
-    """For each segment, the smallest owner of each of its strings among all segments."""
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    raw = np.frombuffer(b"\x00".join(parts) + b"\x00" * 8, np.uint8)
-    start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    text = raw[: int(lengths.sum()) + len(parts)].astype(np.uint16) + 2
-    text[start[1:] - 1] = 1
+def digests(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of eight bytes or more: the mixed sum of its eight-byte words, each mixed with its place."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=np.ascontiguousarray(raw), strides=(1,))
+    n = -(-length // 8)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    # the last word may lie over the one before it
+    word = eight[np.repeat(start, n) + np.minimum(8 * place, np.repeat(length - 8, n))]
+    sums = np.add.reduceat(mix(word + mix((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), first)
+    return mix(sums + length.astype(np.uint64))
+
+
+def string_owners(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, size: int, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings that a segment of a smaller owner has too: their segment, first string and number, in order.
+
+    ``data``: the bytes of all segments, end to end.
+    """
+    n = len(lengths)
+    start = np.cumsum(lengths + 1) - lengths - 1
+    at = np.arange(len(data)) + np.repeat(np.arange(n), lengths)
+    raw = np.zeros(len(data) + n + 7, dtype=np.uint8)
+    raw[at] = data
+    text = np.ones(len(data) + n, dtype=np.uint16)
+    text[at] = data.astype(np.uint16) + 2
     text[-1] = 0
+    del at
     valid = np.zeros(len(text) + 1, dtype=np.int32)
     np.add.at(valid, start, 1)
     np.add.at(valid, start + lengths - size + 1, -1)
     inside = np.cumsum(valid[:-1]) > 0
-    of = np.repeat(np.arange(len(parts), dtype=np.int32), lengths + 1)
+    of = np.repeat(np.arange(n, dtype=np.int32), lengths + 1)
     order = induced_order(text, size, limit)
     order = order[inside[order]]
     eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
@@ -138,9 +160,11 @@ def string_owners(parts: list[bytes], owner: np.ndarray, size: int, limit: int =
         same[some] = eight[order[some] + k] == eight[order[some + 1] + k]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.minimum.reduceat(owner[of[order]], first)
-    by_place = np.zeros(len(text), dtype=np.int64)
-    by_place[order] = np.repeat(least, np.diff(first, append=len(order)))
-    return [by_place[a : a + n - size + 1] for a, n in zip(start.tolist(), lengths.tolist())]
+    smaller = np.zeros(len(text) + 2, dtype=np.int8)
+    smaller[order + 1] = np.repeat(least, np.diff(first, append=len(order))) < owner[of[order]]
+    edge = np.diff(smaller)
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return of[a], a - start[of[a]], b - a
 
 
 def resolved(distinct: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -151,28 +175,36 @@ def resolved(distinct: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) ->
     schema = "minimizer long, segment_hash long, owner long, starts array<int>, lengths array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[list[np.ndarray]] = []  # minimizer, hash, owner, length; and the bytes
         held_bytes = 0
 
         def shard() -> pa.RecordBatch:
-            owner = np.array([h[2] for h in held], dtype=np.int64)
-            out = []
-            for h, least in zip(held, string_owners([h[3] for h in held], owner, size)):
-                smaller = np.diff(np.concatenate([[0], (least < h[2]).astype(np.int8), [0]]))
-                a, b = np.flatnonzero(smaller == 1), np.flatnonzero(smaller == -1)
-                out.append((h[0], h[1], h[2], a.tolist(), (b - a).tolist()))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["minimizer", "segment_hash", "owner", "starts", "lengths"])
+            minimizer, digest, owner, length, data = (np.concatenate(c) for c in zip(*held))
+            of, start, n = string_owners(data, length, owner, size)
+            ends = pa.array(np.searchsorted(of, np.arange(len(owner) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int32())) for c in (start, n)]
+            return pa.RecordBatch.from_arrays([pa.array(minimizer), pa.array(digest), pa.array(owner), *lists], ["minimizer", "segment_hash", "owner", "starts", "lengths"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if held and held_bytes > shard_bytes and row[0] != held[-1][0]:
-                    yield shard()
-                    held, held_bytes = [], 0
-                held.append(row)
-                held_bytes += len(row[3])
+            if not batch.num_rows:
+                continue
+            minimizer, digest, owner = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            data, at = text_bytes(batch.column(3))
+            # the batch's last minimizer may go on in the next
+            last = int(np.flatnonzero(minimizer != minimizer[-1])[-1]) + 1 if minimizer[0] != minimizer[-1] else 0
+            if held_bytes + at[last] > shard_bytes and (last or (held and held[-1][0][-1] != minimizer[0])):
+                if last:
+                    held.append([minimizer[:last], digest[:last], owner[:last], np.diff(at[: last + 1]), data[: at[last]]])
+                yield shard()
+                held, held_bytes = [], 0
+            else:
+                last = 0
+            held.append([minimizer[last:].copy(), digest[last:].copy(), owner[last:].copy(), np.diff(at[last:]), data[at[last] :].copy()])
+            held_bytes += int(at[-1] - at[last])
         if held:
             yield shard()
+        held = []
+        memory_returned()
 
     dealt = distinct.select("minimizer", "segment_hash", "owner", "segment").repartition("minimizer").sortWithinPartitions("minimizer")
     return dealt.mapInArrow(run, schema)
@@ -195,11 +227,11 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     distinct = written(distinct, "distinct")
     counted = distinct.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("minimizer")) > 1)
     counted = written(counted, "counted")
+    discard(distinct)
     sorted_out = resolved(counted.filter("several"), size)
     none = F.array().cast("array<int>")
     alone = counted.filter(~F.col("several")).select("minimizer", "segment_hash", "owner", none.alias("starts"), none.alias("lengths"))
     owners = written(sorted_out.unionByName(alone), "owners")
-    discard(distinct)
     discard(counted)
     joined = placed.drop("segment").join(owners, ["minimizer", "segment_hash"])
     whole = joined.filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", F.col("start"), (F.col("strings") + size - 1).alias("length"))
@@ -212,14 +244,20 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     return spans
 
 
-def merged(spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the union of spans ``(start, length)``; spans that touch are one."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    v = np.array(sorted(spans), dtype=np.int64)
-    end = np.maximum.accumulate(v[:, 0] + v[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], v[1:, 0] > end[:-1]]))
-    return v[new, 0], end[np.append(new[1:], len(v)) - 1]
+def merged(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the union of each row's spans ``(start, length)``, and where each row's begin; spans that touch are one."""
+    flat = spans.flatten()
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start, length = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "length"))
+    order = np.lexsort((start, row))
+    row, start, length = row[order], start[order], length[order]
+    # rows one after the other, so that none reaches into the next
+    end = np.maximum.accumulate(start + length + (row << 32)) - (row << 32)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return start[first], end[last], np.searchsorted(row[first], np.arange(len(spans) + 1))
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -237,15 +275,17 @@ def deduplicated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFra
         for batch in batches:
             out = []
             raw, at = text_bytes(batch.column(1))
-            for k, found in enumerate(batch.column(2).to_pylist()):
+            begins, ends, of = merged(batch.column(2))
+            for k in range(batch.num_rows):
                 text = raw[at[k] : at[k + 1]]
-                a, b = merged([(s["start"], s["length"]) for s in found or []])
+                a, b = begins[of[k] : of[k + 1]], ends[of[k] : of[k + 1]]
                 edges = [0, *np.stack([a, b], axis=1).reshape(-1).tolist(), len(text)]
                 kept = b"".join(text[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2]))
                 out.append((len(text), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept))
             if out:
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        memory_returned()
 
     joined = docs.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
