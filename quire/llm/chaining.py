@@ -40,8 +40,8 @@ CHAIN_WORDS, PASSAGE_WORDS, IDENTITY = 8, 40, 0.8
 GAP_COST, DROP = 0.3, 8
 #: Words beyond a chain that are fetched at first; chains that go on beyond them are aligned in whole texts.
 REACH = 200
-#: Rows with both stretches that a task aligns at once.
-ALIGNED_ROWS = 256
+#: Rows with both stretches that a task aligns at once, and rows with both whole texts.
+ALIGNED_ROWS, WHOLE_ROWS = 256, 32
 #: Words of the spans of seeds, at least; at most twice as many.
 SPANS = (10, 20, PASSAGE_WORDS)
 #: Words next to the diagonal that the first, narrowest alignment of a gap looks at.
@@ -527,7 +527,7 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDEN
     near = written(_aligned(found, of, REACH, least, identity), "near", ALIGNED_ROWS)
     # chains that go on beyond what was fetched
     far = near.filter("more").select("doc_id", "source_id", "xs", "ys", "ns")
-    whole = written(_aligned(far, of, None, least, identity), "whole", ALIGNED_ROWS)
+    whole = written(_aligned(far, of, None, least, identity), "whole", WHOLE_ROWS)
     return near.filter("NOT more").unionByName(whole).select("doc_id", "source_id", "start", "length", "source_start", "source_length", "matches", "text_hash").distinct()
 
 

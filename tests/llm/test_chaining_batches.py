@@ -58,3 +58,17 @@ def test_lists_of_documents_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rule)
     assert got == {d: (list(range(5 * d + 1)), list(range(0, 35 * d + 1, 7))) for d in range(9)}
+
+
+def test_whole_texts_are_aligned_in_small_batches(spark, monkeypatch):
+    sizes, write = {}, chaining.written
+
+    def noted(df, name, batch_rows=None):
+        sizes[name] = batch_rows
+        return write(df, name, batch_rows)
+
+    monkeypatch.setattr(chaining, "written", noted)
+    text = " ".join(f"w{k}" for k in range(80))
+    assert [tuple(x)[:4] for x in chaining.passages(docs(spark, [text, text])).collect()] == [(1, 0, 0, 80)]
+    # both texts of a row have up to their 20,000 words of eight bytes
+    assert sizes["whole"] * 2 * 20_000 * 8 <= 12 << 20
