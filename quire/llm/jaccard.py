@@ -26,8 +26,10 @@ components are compared with the rest.
 
 Candidates.  A sketch of each set has one bit for each of ``SKETCH`` cells, which says
 whether the cell holds an odd number of shingles; two sets differ in as many
-shingles as their sketches in bits, at least.  Candidates whose sizes or sketches rule
-a link out go before any set is fetched.  Of the others, only those that still lie in
+shingles as their sketches in bits, at least.  A sketch of fixed size says nothing of
+sets that differ in more than half its cells and may still link, so larger sets have a
+wide one, too, of two to four cells for each shingle; the wider of two is folded to the
+other's size.  Candidates whose sizes or sketches rule a link out go before any set is fetched.  Of the others, only those that still lie in
 different components are compared, by exact intersection of the shingle sets.
 """
 
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, scope, table, texts_of, written
+from quire.llm._common import discard, memory_returned, scope, table, texts_of, written
 from quire.llm.components import components
 from quire.llm.words import mix, shingles, slices, text_bytes, words
 
@@ -54,6 +56,8 @@ SHARED = 8
 PARTS = 2
 #: Bits of a sketch.
 SKETCH = 512
+#: Pairs with both wide sketches that a task compares at once.
+PAIR_ROWS = 2048
 #: Places of the bit map that leaves most signatures which are not frequent out of the second shuffle.
 _SLOTS = 1 << 20
 
@@ -69,7 +73,7 @@ def _sets(column: pa.Array, start: int, stop: int, size: int) -> tuple[np.ndarra
 
 
 def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, key1, key2, s0..``; the keys stand for the whole set (128 bits), the others are its sketch."""
+    """``doc_id, n_shingles, key1, key2, s0.., wide``; the keys stand for the whole set (128 bits), the others are its sketch and its wide one."""
     names = ["doc_id", "n_shingles", "key1", "key2", *_WORDS_OF]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +86,24 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
                     total = np.zeros(b - a, dtype=np.uint64)
                     np.add.at(total, of, mix(value ^ np.uint64(salt)))
                     keys.append(total.view(np.int64))
-                cell = of * SKETCH + (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
-                odd = (np.bincount(cell, minlength=(b - a) * SKETCH) & 1).astype(np.uint8)
-                bits = np.packbits(odd, bitorder="little").view("<i8").reshape(b - a, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), *(pa.array(c) for c in bits.T.copy())], names)
+                spread = mix(value ^ np.uint64(0x2545F4914F6CDD1D))
+                bits = odd_cells(spread, of, np.full(b - a, SKETCH)).view("<i8").reshape(b - a, -1)
+                cells = np.where(2 * n > SKETCH, 1 << np.frexp(np.maximum(2 * n - 1, 1))[1].astype(np.int64), 0)
+                large = cells[of] > 0
+                wide = odd_cells(spread[large], of[large], cells)
+                ends = np.concatenate([[0], np.cumsum(cells // 8)]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(wide)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), *(pa.array(c) for c in bits.T.copy()), binary], [*names, "wide"])
+        memory_returned()
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", wide binary")
+
+
+def odd_cells(spread: np.ndarray, of: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which of the ``cells`` (powers of two) of each set hold an odd number of elements, as bits, all sets end to end."""
+    base = np.cumsum(cells) - cells
+    cell = base[of] + (spread & (cells[of] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=int(cells.sum())) & 1).astype(np.uint8), bitorder="little")
 
 
 def band_limits(sizes: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
@@ -182,7 +198,7 @@ class Passed:
 
     def keep(self, sig: np.ndarray) -> np.ndarray:
         """Positions of the rows to send."""
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         ranked = sig[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(first, append=len(sig))
@@ -209,6 +225,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int, part: int = 0, part
                     on = np.flatnonzero(sig % np.uint64(parts) == part)
                     on = on[passed.keep(sig[on])]
                     yield pa.RecordBatch.from_arrays([pa.array(sig[on].view(np.int64)), pa.array(doc[a:b][who[on]])], ["sig", "doc_id"])
+        memory_returned()
 
     return docs.mapInArrow(run, "sig long, doc_id long")
 
@@ -252,6 +269,7 @@ def shared_signatures(rows: DataFrame, most: int = SHARED) -> DataFrame:
             size = len(held[0][0])
         if size:
             yield groups(*(np.concatenate(c) for c in zip(*held)))
+        memory_returned()
 
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
 
@@ -281,6 +299,7 @@ def frequent_rows(docs: DataFrame, frequent: DataFrame, size: int, percent: int)
                     on = np.flatnonzero(may)
                     cols = [sig[on].view(np.int64), doc[a:b][who[on]], *(c[on] for c in rest)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+        memory_returned()
 
     rows = written(docs.mapInArrow(run, ", ".join(f"{n} long" for n in names)).join(frequent, "sig"), "frequent")
     taken = F.count_distinct(F.when(F.col("place") >= 0, F.col("place")))
@@ -303,7 +322,48 @@ def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     with_a = pairs.join(info.select(F.col("doc_id").alias("a"), F.struct("n_shingles", *_WORDS_OF).alias("x")), "a")
     both = with_a.join(info.select(F.col("doc_id").alias("b"), F.struct("n_shingles", *_WORDS_OF).alias("y")), "b").filter(may_link("x", "y", percent))
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _WORDS_OF])
-    return both.groupBy("a", "b").agg(F.min((apart * 1_000_000 / (F.col("x.n_shingles") + F.col("y.n_shingles"))).cast("int")).alias("apart"))
+    coarse = both.groupBy("a", "b").agg(F.min((apart * 1_000_000 / (F.col("x.n_shingles") + F.col("y.n_shingles"))).cast("int")).alias("apart"))
+    return narrowed(coarse, info, percent)
+
+
+def narrowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``(a, b, apart)`` that the wide sketches allow, with these for ``apart`` where they tell more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(3).to_numpy(zero_copy_only=False) + batch.column(5).to_numpy(zero_copy_only=False)
+            differ = cells_apart(batch.column(4), batch.column(6))
+            keep = np.flatnonzero(differ * (100 + percent) <= n * (100 - percent))
+            apart = np.maximum(batch.column(2).to_numpy(zero_copy_only=False)[keep], differ[keep] * 1_000_000 // n[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(apart, pa.int32())], ["a", "b", "apart"])
+        memory_returned()
+
+    with_a = pairs.select("a", "b", "apart").join(info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("wide").alias("w")), "a")
+    both = with_a.join(info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("wide").alias("v")), "b")
+    found = both.select("a", "b", "apart", "n", "w", "m", "v").mapInArrow(run, "a long, b long, apart int")
+    return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
+def cells_apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many cells the wide sketches of each row differ, the wider folded to the other's size; 0 where one is empty."""
+    (raw_x, at_x), (raw_y, at_y) = text_bytes(x), text_bytes(y)
+    size_x, size_y = np.diff(at_x) // 8, np.diff(at_y) // 8
+    out = np.zeros(len(x), dtype=np.int64)
+    some = np.flatnonzero((size_x > 0) & (size_y > 0))
+    if not len(some):
+        return out
+    size = np.minimum(size_x, size_y)[some]
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    bits = np.zeros(len(within), dtype=np.uint64)
+    for raw, at, whole in ((raw_x, at_x, size_x), (raw_y, at_y, size_y)):
+        eight = np.frombuffer(raw.tobytes(), "<u8")
+        start, folds = at[:-1][some] // 8, whole[some] // size
+        for fold in range(int(folds.max())):
+            on = np.repeat(folds > fold, size)
+            bits[on] ^= eight[(np.repeat(start + fold * size, size) + within)[on]]
+    out[some] = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -323,6 +383,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
                 link = [c * 100 >= (len(x) + len(y) - c) * percent for x, y, c in zip(*sides, common)]
                 yield batch.select([0, 1]).slice(start, stop - start).filter(pa.array(link, pa.bool_()))
+        memory_returned()
 
     texts = docs.select("doc_id", "text")
     first = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -360,8 +421,9 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     """
     docs = texts_of(docs)
     with scope() as keep:
-        sizes = keep(written(sketches(docs, size), "sizes"))
-        live = sizes.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        sketched = written(sketches(docs, size), "sketches")
+        sizes = keep(written(sketched.select("doc_id", "n_shingles"), "sizes"))
+        live = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
         firsts = written(live.groupBy("key1", "key2").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("copies")), "firsts")
         # copies of a set link with the first of them
         copied = live.join(firsts.filter(F.col("copies") > 1), ["key1", "key2"]).select("a", F.col("doc_id").alias("b")).filter(F.col("a") != F.col("b"))
@@ -369,10 +431,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         # a document with a text of its own set goes on; its other texts, if its id stands for several, too
         own = firsts.select(F.col("a").alias("doc_id")).distinct()
         reps = written(docs.join(own, "doc_id", "left_semi"), "firsts-texts")
-        info = written(live.join(own, "doc_id", "left_semi").select("doc_id", "n_shingles", *_WORDS_OF).distinct(), "info")
+        info = written(live.join(own, "doc_id", "left_semi").select("doc_id", "n_shingles", *_WORDS_OF, "wide").distinct(), "info")
+        discard(sketched)
         groups = reduce(DataFrame.unionByName, [written(shared_signatures(signature_rows(reps, size, percent, part, PARTS, shared), shared), "groups") for part in range(PARTS)])
         cold = groups.filter(F.col("sig").isNull()).select("a", "b").distinct()
-        edges = linked(written(possible(cold, info, percent), "pairs"), edges, reps, size, percent)
+        edges = linked(written(possible(cold, info, percent), "pairs", PAIR_ROWS), edges, reps, size, percent)
         hot = frequent_rows(reps, groups.filter(F.col("sig").isNotNull()).select("sig"), size, percent)
         if not hot.isEmpty():
             # the member of each frequent signature that shares most comes first
@@ -382,16 +445,17 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
             leaders = written(leaders.select("sig", "l.*"), "leaders")
             led = hot.join(leaders, "sig").filter((F.col("doc_id") != F.col("leader")) & (F.col("open") | F.col("leads")))
             led = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-            edges = linked(written(possible(led, info, percent), "led"), edges, reps, size, percent)
+            edges = linked(written(possible(led, info, percent), "led", PAIR_ROWS), edges, reps, size, percent)
             # documents outside their leader's component, with all others
             names = written(components(edges), "names")
-            members = written(_named(hot, names, "doc_id", "own").join(info, "doc_id"), "members")
+            members = written(_named(hot, names, "doc_id", "own").join(info.drop("wide"), "doc_id"), "members")
             centre = _named(leaders, names, "leader", "centre").select("sig", "centre")
             outside = written(members.join(centre, "sig").filter(F.col("own") != F.col("centre")).drop("centre"), "outside")
             met = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.own") != F.col("y.own")) & may_link("x", "y", percent)
             some = [(outside.filter("open"), members), (outside.filter("not open"), members.filter("open"))]
             rest = [x.alias("x").join(y.alias("y"), met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")) for x, y in some]
-            edges = edges.unionByName(verified(written(rest[0].union(rest[1]).distinct(), "rest"), reps, size, percent))
+            rest = narrowed(rest[0].union(rest[1]).distinct().withColumn("apart", F.lit(0)), info, percent)
+            edges = edges.unionByName(verified(written(rest, "rest", PAIR_ROWS), reps, size, percent))
         names = keep(written(components(edges), "components"))
     return _named(sizes.select("doc_id", "n_shingles"), names, "doc_id", "component_id")
 

@@ -79,18 +79,22 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     stops[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
     lengths = np.flatnonzero(stops) + 1 - starts
-    return span_hashes(LOWER[raw], starts, lengths), np.searchsorted(offsets, starts, side="right") - 1
+    return span_hashes(LOWER[raw], starts, lengths), np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def span_hashes(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes."""
-    sums = lengths.astype(np.uint64)
-    some, at = np.arange(len(starts)), starts
-    for place in range(min(int(lengths.max(initial=0)), len(_TABLE))):
-        if place:
-            on = lengths[some] > place
-            some, at = some[on], at[on]
-        sums[some] += _TABLE[place][letters[at + place]]
+    # longest first, so that those with a byte at a place stand in front
+    order = np.argsort(lengths)[::-1]
+    at, size = starts[order], lengths[order]
+    longer = len(size) - np.searchsorted(size[::-1], np.arange(len(_TABLE)), side="right")
+    ranked = size.astype(np.uint64)
+    for place, n in enumerate(longer.tolist()):
+        if not n:
+            break
+        ranked[:n] += _TABLE[place][letters[at[:n] + place]]
+    sums = np.empty(len(starts), dtype=np.uint64)
+    sums[order] = ranked
     for w in np.flatnonzero(lengths > len(_TABLE)).tolist():
         rest = letters[starts[w] + len(_TABLE) : starts[w] + lengths[w]]
         place = np.arange(len(rest), dtype=np.uint64) * np.uint64(_BASE)
@@ -155,8 +159,18 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tu
             has = counts[short] > k
             extra[has] += hashes[first[short[has]] + k] * np.uint64(_SLOT[k % 8] ^ (k // 8))
         value, of = np.concatenate([value, mix(extra + counts[short].astype(np.uint64))]), np.concatenate([of, short])
-    order = np.lexsort((value, of))
+    order = row_order(value, of, n_rows)
     value, of = value[order], of[order]
     keep = np.ones(len(value), dtype=bool)
     keep[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
     return value[keep], of[keep]
+
+
+def row_order(value: np.ndarray, of: np.ndarray, n_rows: int) -> np.ndarray:
+    """The order by row and value, from one sort of rows and high bits of values; where these leave values in the wrong order, from both."""
+    bits = np.uint64(max(1, int(n_rows - 1).bit_length()))
+    order = np.argsort((of.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits))
+    ranked, rows = value[order], of[order]
+    if ((ranked[1:] < ranked[:-1]) & (rows[1:] == rows[:-1])).any():
+        return np.lexsort((value, of))
+    return order

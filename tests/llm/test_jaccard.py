@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import jaccard
@@ -163,3 +164,32 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_long_unlike_texts_are_ruled_out_by_wide_sketches(spark, monkeypatch):
+    """Half of their words are equal, so they share signatures; only texts that may link are fetched."""
+    r = random.Random(21)
+    texts = []
+    for _ in range(8):
+        base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+        texts += [" ".join(base), " ".join(base[:1500] + [f"w{r.randrange(10**6)}" for _ in range(1500)])]
+    texts.append(" ".join(edited(r, texts[0].split(" "), 60)))
+    texts.append(" ".join(texts[1].split(" ")[:2600]))
+    compared = []
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    got = jaccard.jaccard_components(docs(spark, texts))
+    assert Counter(map(tuple, got.collect())) == brute_force(list(enumerate(texts)))
+    assert 2 <= sum(compared) <= 4, compared
+
+
+def test_cells_apart_folds_the_wider():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        value = np.unique(r.integers(0, 2**63, 700).astype(np.uint64))
+        other = value[r.random(len(value)) > 0.2]
+        x, y = (jaccard.odd_cells(v, np.zeros(len(v), np.int64), np.array([w])) for v, w in ((value, 2048), (other, 1024)))
+        got = jaccard.cells_apart(pa.array([x.tobytes(), None]), pa.array([y.tobytes(), y.tobytes()]))
+        folded = [{c for c in range(1024) if np.count_nonzero(v % np.uint64(1024) == c) % 2} for v in (value, other)]
+        assert got.tolist() == [len(folded[0] ^ folded[1]), 0]
+        assert got[0] <= len(value) - len(other)
