@@ -42,6 +42,8 @@ GAP_COST, DROP = 0.3, 8
 REACH = 200
 #: Rows with both stretches that a task aligns at once, and rows with both whole texts.
 ALIGNED_ROWS, WHOLE_ROWS = 256, 32
+#: Bytes of texts that a task cuts passages from at once, one text at least.
+CUT_BYTES = 1 << 20
 #: Words of the spans of seeds, at least; at most twice as many.
 SPANS = (10, 20, PASSAGE_WORDS)
 #: Words next to the diagonal that the first, narrowest alignment of a gap looks at.
@@ -84,7 +86,9 @@ def minima(value: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
         best = np.where(value[right] < value[best], right, best)
         size += step
     whole = (np.arange(n) + window <= last) | (np.arange(n) == first)
-    return np.unique(best[whole])
+    # the minima of later windows never stand further left
+    best = best[whole]
+    return best[np.flatnonzero(np.diff(best, prepend=-1))]
 
 
 def shared_anchors(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -641,6 +645,23 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def cut_rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``row, spans`` without their spans, about ``CUT_BYTES`` of text at once."""
+    whole = batch.column(0).field("text")
+    for a, b in slices(whole.fill_null(""), CUT_BYTES):
+        rows = batch.column(0).slice(a, b - a)
+        texts, cut = whole.slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+        new = [without(t, [(s["start"], s["length"]) for s in c]) if c else t for t, c in zip(texts, cut)]
+        cols = [rows.field(n) for n in names]
+        cols[names.index("text")] = pa.array(new, pa.string())
+        if "n_chars" in names:
+            at = names.index("n_chars")
+            old = cols[at].to_pylist()
+            cols[at] = pa.array([len(t) if c else v for t, c, v in zip(new, cut, old)], cols[at].type)
+        keep = pa.array([not c or bool(t.strip()) for t, c in zip(new, cut)])
+        yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
+
+
 def remove_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float = IDENTITY) -> DataFrame:
     """``docs`` with repeated passages cut out of all but their first document.
 
@@ -657,19 +678,10 @@ def remove_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0)
-            texts, cut = rows.field("text").to_pylist(), batch.column(1).to_pylist()
-            new = [without(t, [(s["start"], s["length"]) for s in c]) if c else t for t, c in zip(texts, cut)]
-            cols = [rows.field(n) for n in names]
-            cols[names.index("text")] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                at = names.index("n_chars")
-                old = cols[at].to_pylist()
-                cols[at] = pa.array([len(t) if c else v for t, c, v in zip(new, cut, old)], cols[at].type)
-            keep = pa.array([not c or bool(t.strip()) for t, c in zip(new, cut)])
-            yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
-
-    return joined.mapInArrow(run, docs.schema)
+            yield from cut_rows(batch, names)
+        memory_returned()
+
+    return written(joined.mapInArrow(run, docs.schema), "cut")
 
 
 def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ piece lengths (not texts) in memory, and no group sees another.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import table, texts_of
-from quire.llm.fragments import chunks, encoder, tokenizer_path
+from quire.llm._common import memory_returned, table, texts_of, written
+from quire.llm.fragments import encoder, tokenizer_path
+from quire.llm.words import slices
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 #: Documents of a group, about.
 GROUP_DOCS = 4096
+#: Bytes of texts that a task encodes at once, one text at least.
+ENCODED_BYTES = 1 << 20
 
 PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,24 +42,31 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_returned()
         enc = encoder(path, "words")
         for batch in batches:
-            doc, key, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            for s in chunks(texts):
-                rows = []
-                for d, k, ids in zip(doc[s], key[s], enc.encode(texts[s])):
-                    raw = np.append(ids, end_id).astype("<u4")
-                    n = len(raw)
-                    for at in range(0, n, length):
-                        part = raw[at : at + length]
-                        rows.append((d, k, at, len(part), zlib.crc32(part.tobytes()), n))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+            yield from pieces_of(batch, enc.encode, length, end_id)
+        memory_returned()
 
     keyed = texts_of(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     return keyed.mapInArrow(run, PIECES)
 
 
+def pieces_of(batch: pa.RecordBatch, encode: Callable[[list[str]], list[np.ndarray]], length: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of rows ``doc_id, text, row_key``, encoded about ``ENCODED_BYTES`` at once."""
+    for a, b in slices(batch.column(1), ENCODED_BYTES):
+        doc, texts, key = (c.slice(a, b - a).to_pylist() for c in batch.columns)
+        rows = []
+        for d, k, ids in zip(doc, key, encode(texts)):
+            raw = np.append(ids, end_id).astype("<u4")
+            n = len(raw)
+            for at in range(0, n, length):
+                part = raw[at : at + length]
+                rows.append((d, k, at, len(part), zlib.crc32(part.tobytes()), n))
+        cols = list(zip(*rows))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+
+
 class Tournament:
     """Capacities of bins in a complete binary tree whose inner nodes hold maxima.
 
@@ -118,7 +128,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
         base = int(group["pack_group"].iloc[0]) << 32
         return group.assign(sequence_id=[base + b for b in bins], offset=offsets)[[c.split()[0] for c in PACKED.split(", ")]]
 
-    dealt = pieces(docs, path, length, end_id).withColumn("pack_group", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(groups)))
+    dealt = written(pieces(docs, path, length, end_id), "pieces").withColumn("pack_group", F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(run, PACKED)
 
 
