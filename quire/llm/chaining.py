@@ -681,7 +681,9 @@ def remove_passages(docs: DataFrame, least: int = PASSAGE_WORDS, identity: float
             yield from cut_rows(batch, names)
         memory_returned()
 
-    return written(joined.mapInArrow(run, docs.schema), "cut")
+    cut = written(joined.mapInArrow(run, docs.schema), "cut")
+    # columns that are never null are declared so again, which tables of files are not
+    return cut if cut.schema == docs.schema else cut.mapInArrow(lambda batches: batches, docs.schema)
 
 
 def op2_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
