@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, table, texts_of, written
+from quire.llm._common import discard, memory_returned, table, texts_of, written
 from quire.llm.words import mix, slices, text_bytes, words
 
 END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
@@ -47,9 +47,9 @@ CUTOFF = 5
 ORDER = 3
 #: Share of all training tokens above which a context is frequent.
 HOT = 1 / 1000
-ROUNDS = 4
+ROUNDS = 5
 #: Tokens of a chunk and of a bucket, about.
-CHUNK, BUCKET = 1 << 20, 1 << 22
+CHUNK, BUCKET = 1 << 20, 1 << 21
 #: Chunks that Python gets at once.
 CHUNK_ROWS = 4
 
@@ -124,6 +124,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                     held, size, n = [], 0, n + 1
         if held:
             yield row()
+        held = []
+        memory_returned()
 
     return docs.mapInArrow(run, CHUNKS)
 
@@ -260,6 +262,7 @@ def annotated(encoded: DataFrame, counted: DataFrame) -> DataFrame:
                 found, counts = _joined([t["words"] for t in row["told"]], "<u8"), _joined([t["counts"] for t in row["told"]], "<i8")
                 blob = counts[np.argsort(found, kind="stable")].tobytes()  # vocabularies are sorted
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(6)), pa.array([blob], pa.binary())], [*(c.split()[0] for c in CHUNKS.split(", ")), "counts"])
+        memory_returned()
 
     return encoded.join(told, "chunk").mapInArrow(run, CHUNKS + ", counts binary")
 
@@ -289,12 +292,13 @@ class Requests:
         context, key = c.grams(mine, order_of)
         order, at = _groups(key)
         context, key = context[order[at]], key[order[at]]
+        order, at = order.astype(np.int32), at.astype(np.int32)
         self.hot, self.place = _place(hot, context)
         dealt_by = np.where(self.hot, key, context)
         bucket = (mix(dealt_by ^ np.uint64(7)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-        by = np.argsort(bucket, kind="stable")
+        by = np.argsort(bucket, kind="stable").astype(np.int32)
         #: Tokens by n-gram, where each n-gram begins, and the n-grams by bucket with a token of each.
-        self.tokens, self.at, self.by = mine[order], at, by
+        self.tokens, self.at, self.by = mine.astype(np.int32)[order], at, by
         self.first, self.context, self.key = self.tokens[at][by], context[by], key[by]
         self.bucket, self.hot, self.place = bucket[by].astype(np.int64), self.hot[by], self.place[by]
 
@@ -333,29 +337,34 @@ def answers(chunk_rows: DataFrame, order: int, lower: Lower, hot: np.ndarray, mo
                 times, low = r.times(c.learned), c.low(lower, r.first)
                 edges = np.flatnonzero(np.diff(r.bucket, prepend=-1, append=-1)).tolist() if len(r.bucket) else []
                 yield _rows(sent, [(int(r.bucket[a]), row["chunk"], r.context[a:b].tobytes(), r.key[a:b].tobytes(), _packed(times[a:b]), low[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
+        memory_returned()
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         edge = np.concatenate([[0], np.cumsum([len(w) // 8 for w in group["contexts"]])])
-        order, at = _groups(_joined(group["keys"], "<u8"))
+        keys = _joined(group["keys"], "<u8")
+        order, at = _groups(keys)
         count = np.add.reduceat(_unpacked(group["times"])[order], at)
-        context, low = _joined(group["contexts"], "<u8")[order[at]], _joined(group["low"], "<f8")[order[at]]
-        gram = np.empty(len(order), dtype=np.int64)
-        gram[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        gram = np.empty(len(order), dtype=np.int32)
+        gram[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+        one = order[at]
+        del order, at
+        context, low = _joined(group["contexts"], "<u8")[one], _joined(group["low"], "<f8")[one]
         frequent = np.flatnonzero(count > most)
-        keys = _joined(group["keys"], "<u8")[order[at[frequent]]]
+        keys = keys[one[frequent]]
         by, first = _groups(context)
-        of = np.empty(len(by), dtype=np.int64)
-        of[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(by))))
+        of = np.empty(len(by), dtype=np.int32)
+        of[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(by))))
         total = np.add.reduceat(count[by], first)
         mass = np.add.reduceat(np.where(count > 0, low, 0.0)[by], first)
         few = (count > 0) & (count <= CUTOFF)
-        small = np.bincount(of[few] * CUTOFF + count[few] - 1, minlength=len(first) * CUTOFF).reshape(-1, CUTOFF)
+        small = np.bincount(of[few].astype(np.int64) * CUTOFF + count[few] - 1, minlength=len(first) * CUTOFF).astype(np.int32).reshape(-1, CUTOFF)
         is_hot, place = _place(hot, context[by[first]])
         sums = np.zeros((len(hot), CUTOFF + 2))
         sums[place[is_hot]] = np.column_stack([total, small, mass])[is_hot]
         over = np.where(is_hot, 0, divisor(total, small))
         rest = low / np.where(is_hot | (total == 0), 1.0, np.maximum(1 - mass, 1e-12))[of]
         counts_of = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
+        del by, few, low, context
         out = []
         for a, b in zip(edge, edge[1:]):
             g = gram[a:b]
@@ -363,6 +372,8 @@ def answers(chunk_rows: DataFrame, order: int, lower: Lower, hot: np.ndarray, mo
             out.append((_packed(count[g]), _packed(over[of[g]]), rest[none].tobytes(), _packed(np.where(is_hot[of[none], None], 0, small[of[none]]).reshape(-1))))
         own = [(counts_of.tolist(), sums.reshape(-1).tolist(), keys.view(np.int64).tolist(), count[frequent].tolist())] + [([], [], [], [])] * (len(group) - 1)
         rows = [(part, *x, *y, *z) for x, y, z in zip(zip(group["bucket"], group["chunk"]), out, own)]
+        del gram, of, small, rest, over, group
+        memory_returned()
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
     return chunk_rows.mapInArrow(send, sent).groupBy("bucket").applyInPandas(add, ANSWERS)
@@ -418,12 +429,16 @@ def token_probabilities(c: Chunk, told: list[dict], order: int, level: Level, bu
     return out
 
 
-def _told(chunk_rows: DataFrame, answered: DataFrame, part: int, parts: int) -> DataFrame:
-    """One part of the chunks, each with ``told``: all answers to it."""
+def _told(chunk_rows: list[DataFrame], answered: DataFrame, part: int, parts: int) -> DataFrame:
+    """One part of the chunks, each with ``told``: all answers to it.
+
+    ``chunk_rows``: a table of all chunks, or one for each part.
+    """
     mine = F.pmod(F.xxhash64("chunk"), F.lit(parts)) == part
     told = answered.filter(mine).groupBy("chunk").agg(F.collect_list(F.struct("part", "bucket", "counts", "over", "rest", "small")).alias("told"))
     names = [c.split()[0] for c in CHUNKS.split(", ")]
-    return chunk_rows.filter(mine).select(*names, "counts").join(told, "chunk")
+    own = chunk_rows[part] if len(chunk_rows) == parts else chunk_rows[0]
+    return own.filter(mine).select(*names, "counts").join(told, "chunk")
 
 
 def _by_part(make: Callable[[int], DataFrame], parts: int, name: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -432,7 +447,7 @@ def _by_part(make: Callable[[int], DataFrame], parts: int, name: str) -> tuple[D
     return reduce(DataFrame.unionByName, each), each
 
 
-def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
+def lowered(chunk_rows: list[DataFrame], answered: DataFrame, order: int, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
     """One part of the chunks with ``low binary``: each token's probability of this order, which the next one falls back on."""
     schema = CHUNKS + ", counts binary, low binary"
 
@@ -442,6 +457,7 @@ def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level
                 row = batch.slice(k, 1).to_pylist()[0]
                 p = token_probabilities(Chunk(row), row["told"], order, level, buckets, parts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(7)), pa.array([p.tobytes()], pa.binary())], [c.split()[0] for c in schema.split(", ")])
+        memory_returned()
 
     return _told(chunk_rows, answered, part, parts).mapInArrow(run, schema)
 
@@ -449,7 +465,7 @@ def lowered(chunk_rows: DataFrame, answered: DataFrame, order: int, level: Level
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def finished(chunk_rows: DataFrame, answered: DataFrame, order: int, lower: Lower, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
+def finished(chunk_rows: list[DataFrame], answered: DataFrame, order: int, lower: Lower, level: Level, buckets: int, parts: int, part: int) -> DataFrame:
     """:data:`SCORES` of the documents of one part of the chunks, from the answers of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,6 +481,7 @@ def finished(chunk_rows: DataFrame, answered: DataFrame, order: int, lower: Lowe
                 score = np.bincount(c.doc, weights=np.log10(p), minlength=n)
                 cols = [pa.array(c.ids, mask=c.nulls), pa.array(c.held), pa.array(c.lengths), pa.array(known), pa.array(np.full(n, lower.total)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORES.split(", ")])
+        memory_returned()
 
     return _told(chunk_rows, answered, part, parts).mapInArrow(run, SCORES)
 
@@ -497,10 +514,10 @@ def katz_scores(docs: DataFrame, folds: int = 7, fold: int = 2, rounds: int = RO
         answered, parts = _by_part(partial(answers, ready, n, lower, hot, most, buckets, parts=rounds), rounds, "answers")
         level = Level(answered, hot)
         if n < order:
-            out, higher = _by_part(partial(lowered, ready, answered, n, level, buckets, rounds), rounds, "lowered")
+            out, higher = _by_part(partial(lowered, below, answered, n, level, buckets, rounds), rounds, "lowered")
             hot = np.sort(np.append(level.frequent, [start_of(n + 1)] if texts > most else np.zeros(0, np.uint64)).astype(np.uint64))
         else:
-            out, higher = _by_part(partial(finished, ready, answered, n, lower, level, buckets, rounds), rounds, "scores")
+            out, higher = _by_part(partial(finished, below, answered, n, lower, level, buckets, rounds), rounds, "scores")
         for df in (*below, *parts):
             discard(df)
         ready, below = out, higher
