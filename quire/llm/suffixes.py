@@ -4,8 +4,8 @@ A byte goes when a string of ``size`` bytes covers it that also starts in a
 document of smaller id.  Equal strings have equal minimizers (the smallest hash
 of their short substrings), so strings are dealt to shards by minimizer:
 
-1. Each document names its minimizers; those of one document only are left out,
-   which leaves the repeated part of the corpus.
+1. Each document names its minimizers; where they meet, those of one document only are
+   left out, which leaves the repeated part of the corpus.
 2. Maximal stretches whose strings share a minimizer become segments.  Segments
    that are equal as a whole are taken once, with their smallest document.
 3. Segments of one minimizer meet in one shard.  Each shard sorts its suffixes by
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import discard, memory_returned, table, texts_of, written
@@ -85,6 +85,26 @@ def minimizers(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "minimizer long, doc_id long")
 
 
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``minimizer, doc_id`` that are ordered by minimizer, those whose minimizer several documents have."""
+    names = ["minimizer", "doc_id"]
+    held: tuple[int, int, int] | None = None  # the last minimizer, which may go on, its smallest and its largest document
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        minimizer, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        first = np.flatnonzero(np.concatenate([[True], minimizer[1:] != minimizer[:-1]]))
+        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        if held and held[0] == minimizer[0]:
+            low[0], high[0] = min(low[0], held[1]), max(high[0], held[2])
+            # until now it had one document, so one row stands for those left out
+            if held[1] == held[2] and low[0] != high[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names)
+        on = np.repeat(low != high, np.diff(first, append=len(doc)))
+        held = (int(minimizer[-1]), int(low[-1]), int(high[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(minimizer[on]), pa.array(doc[on])], names)
+
+
 SEGMENTS = "minimizer long, segment_hash long, doc_id long, text_hash long, start int, strings int, segment binary"
 
 
@@ -173,6 +193,7 @@ def resolved(distinct: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) ->
     ``distinct``: ``minimizer, segment_hash, owner, segment``; places are strings within the segment.
     """
     schema = "minimizer long, segment_hash long, owner long, starts array<int>, lengths array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # minimizer, hash, owner, length; and the bytes
@@ -183,11 +204,20 @@ def resolved(distinct: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) ->
             of, start, n = string_owners(data, length, owner, size)
             ends = pa.array(np.searchsorted(of, np.arange(len(owner) + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int32())) for c in (start, n)]
-            return pa.RecordBatch.from_arrays([pa.array(minimizer), pa.array(digest), pa.array(owner), *lists], ["minimizer", "segment_hash", "owner", "starts", "lengths"])
+            return pa.RecordBatch.from_arrays([pa.array(minimizer), pa.array(digest), pa.array(owner), *lists], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
+            minimizer = batch.column(0).to_numpy(zero_copy_only=False)
+            # a minimizer with one segment has nothing to compare; the batch's first and last may have more elsewhere
+            alone = np.zeros(len(minimizer), dtype=bool)
+            alone[1:-1] = (minimizer[1:-1] != minimizer[:-2]) & (minimizer[1:-1] != minimizer[2:])
+            if alone.any():
+                rest = batch.select(names[:3]).filter(pa.array(alone))
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(rest.num_rows + 1), pa.int32()), pa.array([], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rest.columns, none, none], names)
+                batch = batch.filter(pa.array(~alone))
             minimizer, digest, owner = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             data, at = text_bytes(batch.column(3))
             # the batch's last minimizer may go on in the next
@@ -215,24 +245,15 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
 
     ``docs``: ``doc_id, text, text_hash`` without null ids.
     """
-    found = minimizers(docs, size, gram)
-    shared = found.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(F.col("low") != F.col("high")).select("minimizer")
-    shared = written(shared, "minimizers")
-    named = found.join(shared, "minimizer").groupBy("doc_id").agg(F.collect_list("minimizer").alias("shared"))
+    found = minimizers(docs, size, gram).repartition("minimizer").sortWithinPartitions("minimizer")
+    named = found.mapInArrow(repeated, "minimizer long, doc_id long").groupBy("doc_id").agg(F.collect_list("minimizer").alias("shared"))
     named = written(named, "named")
-    discard(shared)
     placed = written(segments(docs.join(named, "doc_id"), size, gram), "segments")
     discard(named)
     distinct = placed.groupBy("minimizer", "segment_hash").agg(F.min("doc_id").alias("owner"), F.first("segment").alias("segment"))
     distinct = written(distinct, "distinct")
-    counted = distinct.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("minimizer")) > 1)
-    counted = written(counted, "counted")
+    owners = written(resolved(distinct, size), "owners")
     discard(distinct)
-    sorted_out = resolved(counted.filter("several"), size)
-    none = F.array().cast("array<int>")
-    alone = counted.filter(~F.col("several")).select("minimizer", "segment_hash", "owner", none.alias("starts"), none.alias("lengths"))
-    owners = written(sorted_out.unionByName(alone), "owners")
-    discard(counted)
     joined = placed.drop("segment").join(owners, ["minimizer", "segment_hash"])
     whole = joined.filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", F.col("start"), (F.col("strings") + size - 1).alias("length"))
     part = joined.filter((F.col("doc_id") == F.col("owner")) & (F.size("starts") > 0)).select("doc_id", "text_hash", "start", F.explode(F.arrays_zip("starts", "lengths")).alias("p"))

@@ -34,3 +34,25 @@ def test_spans_of_rows_are_merged_apart():
     a, b, of = suffixes.merged(column)
     got = [list(zip(a[i:j].tolist(), b[i:j].tolist())) for i, j in zip(of, of[1:])]
     assert got == [[(0, 8), (20, 22)], [], [], [(0, 51), (52, 53)]]
+
+
+def test_repeated_minimizers_are_found_across_batches():
+    r = random.Random(6)
+    rows = sorted(((r.randint(0, 30), r.choice([1, 1, 1, 2, 3])) for _ in range(90)), key=lambda x: x[0])
+    docs_of = {}
+    for m, d in rows:
+        docs_of.setdefault(m, set()).add(d)
+    want = {(m, d) for m, d in rows if len(docs_of[m]) > 1}
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows[k : k + size]], pa.int64()), pa.array([d for _, d in rows[k : k + size]], pa.int64())], ["minimizer", "doc_id"]) for k in range(0, 90, size)]
+        got = {tuple(x.values()) for b in suffixes.repeated(iter([*batches, batches[0].slice(0, 0)])) for x in b.to_pylist()}
+        assert got == want
+
+
+def test_minimizers_with_one_segment_are_left_out_of_shards(spark):
+    rows = [(m, h, h, bytes([65 + h]) * 60) for m in range(40) for h in range(1 + m % 3)]
+    df = spark.createDataFrame(rows, "minimizer long, segment_hash long, owner long, segment binary")
+    got = suffixes.resolved(df, 50)
+    assert sorted(tuple(r) for r in got.collect()) == [(m, h, h, [], []) for m, h, *_ in rows]
+    same = spark.createDataFrame([(1, 5, 3, b"x" * 30 + b"ab" * 30), (1, 6, 2, b"ab" * 40)], df.schema)
+    assert [tuple(r) for r in suffixes.resolved(same, 50).sort("owner").collect()] == [(1, 6, 2, [], []), (1, 5, 3, [30], [11])]
