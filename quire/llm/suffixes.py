@@ -250,15 +250,19 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFr
     named = written(named, "named")
     placed = written(segments(docs.join(named, "doc_id"), size, gram), "segments")
     discard(named)
-    distinct = placed.groupBy("minimizer", "segment_hash").agg(F.min("doc_id").alias("owner"), F.first("segment").alias("segment"))
-    distinct = written(distinct, "distinct")
+    # in two parts, which halves the disk space of the shuffle
+    halves = [placed.filter(F.pmod(F.xxhash64("minimizer"), F.lit(2)) == half) for half in (0, 1)]
+    halves = [written(h.groupBy("minimizer", "segment_hash").agg(F.min("doc_id").alias("owner"), F.first("segment").alias("segment")), "distinct") for h in halves]
+    distinct = halves[0].unionByName(halves[1])
     owners = written(resolved(distinct, size), "owners")
-    discard(distinct)
+    for half in halves:
+        discard(half)
     joined = placed.drop("segment").join(owners, ["minimizer", "segment_hash"])
-    whole = joined.filter(F.col("doc_id") != F.col("owner")).select("doc_id", "text_hash", F.col("start"), (F.col("strings") + size - 1).alias("length"))
-    part = joined.filter((F.col("doc_id") == F.col("owner")) & (F.size("starts") > 0)).select("doc_id", "text_hash", "start", F.explode(F.arrays_zip("starts", "lengths")).alias("p"))
-    part = part.select("doc_id", "text_hash", (F.col("start") + F.col("p.starts")).alias("start"), (F.col("p.lengths") + size - 1).alias("length"))
-    spans = whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("starts"), F.col("strings").alias("lengths")))
+    runs = F.when(F.col("doc_id") != F.col("owner"), whole).otherwise(F.arrays_zip("starts", "lengths"))
+    found = joined.select("doc_id", "text_hash", "start", F.explode(runs).alias("p"))
+    found = found.select("doc_id", "text_hash", (F.col("start") + F.col("p.starts")).alias("start"), (F.col("p.lengths") + size - 1).alias("length"))
+    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = written(spans, "spans")
     discard(placed)
     discard(owners)

@@ -56,3 +56,21 @@ def test_minimizers_with_one_segment_are_left_out_of_shards(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(m, h, h, [], []) for m, h, *_ in rows]
     same = spark.createDataFrame([(1, 5, 3, b"x" * 30 + b"ab" * 30), (1, 6, 2, b"ab" * 40)], df.schema)
     assert [tuple(r) for r in suffixes.resolved(same, 50).sort("owner").collect()] == [(1, 6, 2, [], []), (1, 5, 3, [30], [11])]
+
+
+def test_segments_meet_their_owners_in_one_join(spark, monkeypatch):
+    """Whole and partial runs come from one join, and distinct segments are found by halves of the minimizers."""
+    names, joins, keep = [], [], suffixes.written
+
+    def written(df, name, *rest):
+        names.append(name)
+        if name == "spans":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner"))
+        return keep(df, name, *rest)
+
+    monkeypatch.setattr(suffixes, "written", written)
+    text = "".join(chr(97 + k * k % 23) for k in range(200))
+    df = spark.createDataFrame([(1, text), (2, "?" + text), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.deduplicated(df).collect()}
+    assert got == {1: (0, 0), 2: (200, 1), 3: (200, 1)}
+    assert names.count("distinct") == 2 and joins == [1]
