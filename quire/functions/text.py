@@ -24,6 +24,11 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(html, "(?i)" + gone, " ")), "[ \\t\\r\\n\\f]+", " "))
 
 
+def without_spaces_around(text: Column) -> Column:
+    """Text without spaces of any width at its ends; tabs and line ends stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+
+
 def file_name(title: Column, most: int = 80) -> Column:
     return F.substring(F.translate(F.regexp_replace(title, "[\\x00-\\x1f]", ""), UNSAFE, SAFE), 1, most)
 

@@ -259,15 +259,16 @@ def selected(root: Element, selector: str) -> list[Element]:
     return [e for e in root.below() if any(_holds(e, w, root) for w in _ways(selector))]
 
 
-def value_of(e: Element, expression: str) -> str:
-    """The text or the attribute that an expression of a rule names; nothing if there is no such element."""
+def value_of(e: Element, expression: str, blanks: bool = False) -> str:
+    """The text or the attribute that an expression of a rule names; nothing if there is no such element; ``blanks``: those around it stay."""
     selector, _, attribute = expression.partition("::attr(")
     if selector.strip():
         inner = selected(e, selector.strip())
         if not inner:
             return ""
         e = inner[0]
-    return (e.attributes.get(attribute[:-1], "") if attribute else e.text()).strip()
+    value = e.attributes.get(attribute[:-1], "") if attribute else e.text()
+    return value if blanks else value.strip()
 
 
 def select_page(html: str, rule: SelectorRule) -> list[tuple]:
@@ -312,6 +313,20 @@ def selector_value(html: Column, expression: str) -> Column:
     return one(html)
 
 
+#: Stands for the sign that entities begin with, where they must not be decoded; no stored text can hold it.
+_ENTITY = "\ud800"
+
+
+def written_value(html: Column, expression: str) -> Column:
+    """The first value of a selector expression in each page as it is written there: entities and blanks around it stay."""
+
+    @F.pandas_udf("string")
+    def one(column: pd.Series) -> pd.Series:
+        return column.map(lambda h: value_of(parsed((h or "").replace("&", _ENTITY)), expression, True).replace(_ENTITY, "&") or None)
+
+    return one(html)
+
+
 def json_rows(pages: DataFrame, key: str, rule: JsonRule) -> DataFrame:
     """``key`` and :data:`FOUND` for each item of a JSON list in the page or in a script of it."""
     body = F.regexp_extract("html", rule.script, 1) if rule.script else F.col("html")
