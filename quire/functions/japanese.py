@@ -484,11 +484,14 @@ def upright_runs(text: Column) -> Column:
 
 
 def heading_levels(text: Column) -> Column:
-    """Sections of a text that begin at headings, as ``level, title, body``; level 0 is what stands before the first."""
+    """Sections of a text that begin at headings, as ``level, title, body, size``; level 0 is what stands before the first.
+
+    ``size``: the characters of a section, its heading among them; a text that begins with a heading has no level 0.
+    """
     mark = "［＃([大中小])見出し］"
     parts = F.split(text, "(?=［＃[大中小]見出し］)")
     level = lambda p: F.coalesce(F.nullif(F.instr(F.lit("大中小"), F.regexp_extract(p, "^" + mark, 1)), F.lit(0)), F.lit(0))
-    one = lambda p: F.struct(F.when(p.rlike("^" + mark), level(p)).otherwise(0).alias("level"), F.regexp_extract(p, f"(?s)^{mark}(.*?)［＃", 2).alias("title"), F.regexp_replace(p, f"(?s)^{mark}.*?見出し終わり］\\n?", "").alias("body"))
+    one = lambda p: F.struct(F.when(p.rlike("^" + mark), level(p)).otherwise(0).alias("level"), F.regexp_extract(p, f"(?s)^{mark}(.*?)［＃", 2).alias("title"), F.regexp_replace(p, f"(?s)^{mark}.*?見出し終わり］\\n?", "").alias("body"), F.length(p).alias("size"))
     return F.transform(F.filter(parts, lambda p: p != ""), one)
 
 

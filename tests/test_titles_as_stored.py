@@ -45,3 +45,17 @@ def test_titles_keep_the_entities_that_sql_keeps(spark, tmp_path, stored):
 def test_written_values(spark):
     row = spark.createDataFrame([('<p title=" a&amp;b ">x &lt; y &amp</p><script>1 && 2</script>',)], "h string").select(R.written_value(F.col("h"), "p").alias("p"), R.written_value(F.col("h"), "p::attr(title)").alias("a"), R.written_value(F.col("h"), "script").alias("s"), R.selector_value(F.col("h"), "p").alias("d")).first()
     assert tuple(row) == ("x &lt; y &amp", " a&amp;b ", "1 && 2", "x < y &")
+
+
+def documents(texts):
+    return [(k, t, "en", "src1", len(t or "")) for k, t in texts]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_headings_behind_empty_texts_and_others(spark, tmp_path, stored):
+    texts = [None, "", "x", "\n", "［＃中見出し］甲［＃中見出し終わり］\n乙", "［＃大見出し］", "a［＃小見出し］b［＃", "見出し終わり］", "😀é\u0301", "\r\n\u2028", "long " * 9000]
+    columns, want = by_sql("heading_sections", documents=stored("documents", documents(enumerate(texts)), DOCUMENTS))
+    assert by_spark(spark, "heading_sections", tmp_path, columns) == want
+    assert (0, None, "題", 2) in want and (1, 0, "題", 2) in want
