@@ -56,10 +56,16 @@ def promotions_in(part: str, more: tuple[str, ...] = ()) -> list[str]:
 
 
 def cleaned(text: str | None, more: tuple[str, ...] = ()) -> tuple[str, list[str]]:
-    """A title or author without advertising, and the phrases taken out, each once.
+    """A title or author without advertising, and the phrases taken out, each once.  A text that is nothing else stays as it was."""
+    rest, found = _parted(text, more)
+    return (rest, found) if rest else (_folded(text or ""), [])
+
+
+def _parted(text: str | None, more: tuple[str, ...]) -> tuple[str, list[str]]:
+    """What is left of a text without advertising, perhaps nothing, and the phrases taken out, each once.
 
     Three passes: brackets with advertising inside; what follows the last ``@``, while it advertises; parts between separators, each
-    of which goes with the separator before it.  A text that is nothing else stays as it was.
+    of which goes with the separator before it.
     """
     rest, found = text or "", []
 
@@ -85,7 +91,7 @@ def cleaned(text: str | None, more: tuple[str, ...] = ()) -> tuple[str, list[str
             kept.append((separator if kept and kept[-1] is not None else "") + piece)
             separator = ""
     rest = _folded("".join(p for p in kept if p is not None))
-    return (rest, list(dict.fromkeys(found))) if rest else (_folded(text or ""), [])
+    return rest, list(dict.fromkeys(found))
 
 
 def folded(text: Column) -> Column:
@@ -93,12 +99,15 @@ def folded(text: Column) -> Column:
 
 
 def promotions(text: Column, more: Column | None = None) -> Column:
-    """``struct<text, tags>`` of :func:`cleaned`; ``more``: an array of further patterns, those that are none count as they are written."""
+    """``struct<text, tags, bare>`` of :func:`cleaned`; ``bare``: there was nothing but advertising, separators and blanks.
+
+    ``more``: an array of further patterns, those that are none count as they are written.
+    """
 
-    @F.pandas_udf("text string, tags array<string>")
+    @F.pandas_udf("text string, tags array<string>, bare boolean")
     def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        rows = [cleaned(t, () if m is None else tuple(x for x in m if x)) for t, m in zip(texts, lists)]
-        return pd.DataFrame(rows, columns=["text", "tags"])
+        found = [(t, *_parted(t, () if m is None else tuple(x for x in m if x))) for t, m in zip(texts, lists)]
+        return pd.DataFrame([(rest, tags, False) if rest else (_folded(t or ""), [], True) for t, rest, tags in found], columns=["text", "tags", "bare"])
 
     return run(text, F.array().cast("array<string>") if more is None else more)
 
@@ -116,7 +125,7 @@ def keywords(*settings: Column) -> Column:
 
 
 def normalised_entries(entries: DataFrame, enabled: Column, more: Column) -> DataFrame:
-    """Catalogue entries with advertising taken out of title and author, and ``updated``: whether that changes them.
+    """Catalogue entries with advertising taken out of title and author; ``updated``: whether that changes them; ``untitled``: whether the title is nothing else.
 
     ``entries`` has ``title, author, title_raw_latest, title_original, author_original, promo_tags,
     promo_tags_title, promo_tags_author``.  It begins from the originals that are kept, so it may be done again,
@@ -131,7 +140,7 @@ def normalised_entries(entries: DataFrame, enabled: Column, more: Column) -> Dat
     new |= {"promo_tags_title": F.when(F.col("_on"), F.col("_t.tags")).otherwise(none), "promo_tags_author": F.when(F.col("_on"), F.col("_a.tags")).otherwise(none)}
     new["promo_tags"] = F.array_distinct(F.concat(new["promo_tags_title"], new["promo_tags_author"]))
     updated = reduce(or_, (~c.eqNullSafe(F.col(n)) for n, c in new.items()))
-    out = rows.select(*(c for c in entries.columns if c not in (*new, "title_original", "author_original")), F.coalesce("_title", "title_original").alias("title_original"), F.coalesce("_author", "author_original").alias("author_original"), *(c.alias(n) for n, c in new.items()), updated.alias("updated"))
+    out = rows.select(*(c for c in entries.columns if c not in (*new, "title_original", "author_original", "untitled")), F.coalesce("_title", "title_original").alias("title_original"), F.coalesce("_author", "author_original").alias("author_original"), *(c.alias(n) for n, c in new.items()), updated.alias("updated"), F.col("_t.bare").alias("untitled"))
     return out
 
 

@@ -59,3 +59,13 @@ def test_headings_behind_empty_texts_and_others(spark, tmp_path, stored):
     columns, want = by_sql("heading_sections", documents=stored("documents", documents(enumerate(texts)), DOCUMENTS))
     assert by_spark(spark, "heading_sections", tmp_path, columns) == want
     assert (0, None, "題", 2) in want and (1, 0, "題", 2) in want
+
+
+TITLES = [None, "", " ", "---", " | ", "　", "-　-", "-　-　-", "\u00a0x\u00a0", "\u00a0", "a - - b", "/a/", "a　 \tb", "\ufeff", "@", "a@b.example", "x (y) z", "=", "~a:", "long " * 3000]
+
+
+def test_entries_without_a_title_are_left_out_where_sql_leaves_them_out(spark, tmp_path, stored):
+    texts = [(8 * n + k, t if t is None else t + end) for n, t in enumerate(TITLES) for k, end in enumerate(["", "\nx"] * 4)]
+    columns, want = by_sql("normalised_entries", documents=stored("documents", documents(texts), DOCUMENTS))
+    assert by_spark(spark, "normalised_entries", tmp_path, columns) == want
+    assert len(want) < len(texts) and (8, "", "author8", "") in want
