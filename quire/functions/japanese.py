@@ -1,17 +1,21 @@
 """Conversion of Japanese text for vertical setting, as Column expressions.
 
 Each function takes and gives a Column.  Texts are cut into pieces with look-around
-patterns where a piece needs more than a replacement, so all of it stays in the JVM.
+patterns where a piece needs more than a replacement, so each step stays in the JVM; the whole
+conversion is one pass over each text instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import brackets
+from quire.functions import whole as W
 from quire.functions.separators import separated
 
 #: Digits, units, and characters with their other widths, in the same order.
@@ -555,51 +559,82 @@ def converted(df: DataFrame, column: str, kind: str = "body", settings: dict | N
     units, zeros, fractions, dates, dakuten, dashes, half_indent, indent, ruby, large_kana, page_break,
     keep_words, full_letters, pack, comments, headings, force_indent, separators, char_separators``.  ``pairs`` are replaced at the end; ``before`` and ``after`` are functions of
     a Column and the kind, applied around the steps.
+
+    Steps are those of :mod:`quire.functions.whole`, one pass for all that follow each other.
     """
     usual = {"join_brackets": True, "join_lines": True, "kanji": True, "units": True, "zeros": 3, "half_indent": True, "indent": True, "ruby": True, "ellipses": True, "pack": True, "comments": True, "headings": True}
     s = usual | (settings or {})
     body = kind in ("body", "textfile")
     titles = kind in ("subtitle", "chapter")
-    steps = [trimmed_lines]
+    # steps over whole texts, and those of Columns where there is no other
+    steps: list[tuple[bool, Callable]] = []
+
+    def text(f: Callable, *more) -> None:
+        steps.append((True, (lambda t: f(t, *more)) if more else f))
+
+    def expression(f: Callable) -> None:
+        steps.append((False, f))
+
+    text(W.trimmed_lines)
     if body and s.get("page_break"):
-        steps.append(lambda t: page_breaks(t, s["page_break"]))
+        text(W.page_breaks, s["page_break"])
     if s.get("pack") and kind != "story":
-        steps.append(packed_blanks)
-    steps += [*([lambda t: before(t, kind)] if before else []), full_width_kana]
+        text(W.packed_blanks)
+    if before:
+        expression(lambda t: before(t, kind))
+    text(W.full_width_kana)
     if s.get("join_brackets"):
-        steps.append(joined_brackets)
+        text(W.joined_brackets)
     if s.get("join_lines"):
-        steps.append(joined_lines)
+        text(W.joined_lines)
     if kind == "textfile":
-        steps.append(without_comment_blocks)
-    steps += [hidden_links, site_tags, roman_numerals, all_letters if s.get("full_letters") else lambda t: letters(t, bool(s.get("keep_words")), True)]
+        expression(without_comment_blocks)
+    for f in (W.hidden_links, W.site_tags, W.roman_numerals):
+        text(f)
+    if s.get("full_letters"):
+        text(W.all_letters)
+    else:
+        text(W.letters, bool(s.get("keep_words")))
     if body:
-        steps.append(lambda t: chapter_lines(t, True))
-    steps.append(decimals)
+        text(W.chapter_lines)
+    text(W.decimals)
     if s.get("kanji") and not titles and kind != "story":
-        steps.append(lambda t: numbers(t, s["zeros"] if s.get("units") else None))
+        text(W.numbers, s["zeros"] if s.get("units") else None)
     else:
-        steps.append(lambda t: full_width_digits(t, kind == "subtitle"))
-    steps += [space_after_marks, notes_hidden, full_width_symbols, upright_marks, even_ellipses, head_spaces]
+        text(W.full_width_digits, kind == "subtitle")
+    for f in (W.space_after_marks, W.notes_hidden, W.full_width_symbols, W.upright_marks, W.even_ellipses, W.head_spaces):
+        text(f)
     if s.get("fractions") or s.get("dates"):
-        steps.append(lambda t: fractions_and_dates(t, bool(s.get("fractions")), bool(s.get("dates"))))
-    steps += [f for name, f in (("kana_two", kana_two), ("dakuten", voiced_marks), ("dashes", long_marks_to_dashes)) if s.get(name)]
+        expression(lambda t: fractions_and_dates(t, bool(s.get("fractions")), bool(s.get("dates"))))
+    for name, f in (("kana_two", W.kana_two), ("dakuten", W.voiced_marks), ("dashes", W.long_marks_to_dashes)):
+        if s.get(name):
+            text(f)
     if not titles:
-        steps += [trimmed_lines, border_lines]
-    if kind == "textfile":
-        steps += [*([author_comments] if s.get("comments") else []), *([spaced_headings] if s.get("headings") else [])]
-    steps += [shown, notes_shown]
+        text(W.trimmed_lines)
+        text(W.border_lines)
+    if kind == "textfile" and s.get("comments"):
+        expression(author_comments)
+    if kind == "textfile" and s.get("headings"):
+        expression(spaced_headings)
+    text(W.shown)
+    text(W.notes_shown)
     if body:
-        steps += [lambda t: bracket_indents(t, bool(s.get("half_indent")))]
+        text(W.bracket_indents, bool(s.get("half_indent")))
         if s.get("indent"):
-            steps.append(lambda t: indented(t, bool(s.get("force_indent"))))
-        steps.append(deep_lines)
+            text(W.indented, bool(s.get("force_indent")))
+        text(W.deep_lines)
     if s.get("ruby") and not titles:
-        steps.append(lambda t: ruby(t, True, bool(s.get("large_kana"))))
+        text(W.ruby, bool(s.get("large_kana")))
     if s.get("ellipses") and not titles:
-        steps.append(ellipses)
-    steps += [angle_notes, without_dust]
-    steps += [*([lambda t: after(t, kind)] if after else []), lambda t: replaced(t, list(pairs))]
+        text(W.ellipses)
+    text(W.angle_notes)
+    text(W.without_dust)
+    if after:
+        expression(lambda t: after(t, kind))
+    text(W.replaced, list(pairs))
     by = "word" if s.get("separators") else "character" if s.get("char_separators") else None
-    out = reduce(lambda d, f: d.withColumn(column, f(F.col(column))), steps, df)
+    out = df
+    for whole, together in groupby(steps, lambda x: x[0]):
+        fs = [f for _, f in together]
+        out = W.applied(out, column, fs) if whole else reduce(lambda d, f: d.withColumn(column, f(F.col(column))), fs, out)
     return separated(out, column, by) if body and by else out
