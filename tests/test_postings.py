@@ -77,3 +77,24 @@ def test_hot_terms_have_several_files(spark):
 def test_no_texts(spark):
     index = postings.build(spark.createDataFrame([], "k long, t string"), ["k"], ["t"], new_path(spark, "none"))
     assert postings.search(index, ["a"], 3).count() == 0
+
+
+def test_many_queries_are_summed_by_text(spark, monkeypatch):
+    """Whatever is worked on at once, and with many equal texts, the rows are those of the join; only a few of each task are ranked."""
+    import random
+
+    pick = random.Random(5)
+    words = "the of cat dog a b c d e f".split()
+    rows = [(pick.choice("xyz"), k, " ".join(pick.choices(words, k=pick.randint(0, 6)))) for k in range(300)] + [("z", 1000 + k, "the cat of") for k in range(200)] + [(None, 5, "cat"), ("x", None, "dog cat")]
+    df = spark.createDataFrame(rows, "work string, place long, text string")
+    index = postings.build(df, ["work", "place"], ["text"], new_path(spark, "many"), parts=4)
+    asked = spark.createDataFrame([(f"q{q}", t) for q in range(40) for t in pick.sample([*words, "none", "the\0"], 4)], "query string, term string")
+    got = []
+    for most, at_once, cells in ((0, 1, 1), (10**6, 7, 100), (10**6, 10**6, 10**6)):
+        monkeypatch.setattr(postings, "MOST_ASKED", most)
+        monkeypatch.setattr(postings, "ROWS_AT_ONCE", at_once)
+        monkeypatch.setattr(postings, "CELLS_AT_ONCE", cells)
+        got.append(sorted(map(repr, postings.search_many(index, asked, 3).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 120
+    asked = asked.withColumn("part", postings.part_of(F.col("term"), 4))
+    assert postings._best_by_text(index, asked, 3).count() <= 4 * 40 * 3 + 200
